@@ -106,7 +106,7 @@ def merge_spans(spans: Column) -> Column:
     ordered = sort_by_start(spans)
 
     def step(acc, s):
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         joins = (F.size(acc) > 0) & (last["pii_type"] == s["pii_type"]) \
             & (last["end"] > s["start"] - 2)
         grown = F.struct(last["start"].alias("start"),
@@ -138,7 +138,7 @@ def resolve_entities(values: Column, mode: str = "EQUALITY") -> Column:
     def step(acc, x):
         reps = F.filter(acc, lambda e: (e["v"] == e["r"]) & (
             (F.instr(x, e["r"]) > 0) | (F.instr(e["r"], x) > 0)))
-        rep = F.coalesce(F.element_at(reps, 1)["r"], x)
+        rep = F.coalesce(F.try_element_at(reps, F.lit(1))["r"], x)
         return F.array_append(acc, F.struct(x.alias("v"), rep.alias("r")))
 
     folded = F.aggregate(values, F.array().cast(pair), step)

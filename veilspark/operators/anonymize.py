@@ -26,7 +26,7 @@ def rebuild_text(text: Column, spans: Column, replacements: Column) -> Column:
         return F.concat(F.substring(text, prev_end + 1, s["start"] - prev_end),
                         F.element_at(replacements, i + 1))
 
-    last_end = F.coalesce(F.element_at(spans, -1)["end"], F.lit(0))
+    last_end = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))
     body = F.array_join(F.transform(spans, piece), "")
     tail = F.substring(text, last_end + 1, F.greatest(F.length(text) - last_end, F.lit(0)))
     return F.when(F.size(spans) > 0, F.concat(body, tail)).otherwise(text)

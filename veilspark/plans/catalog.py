@@ -77,3 +77,190 @@ def q_anonymize_roundtrip(spark, sf_dir):
     anon = anonymize(docs, "text", DEMO_SECRET, mode="aes", resolution="EQUALITY",
                      types=PATTERN_ALL, threshold=0.5, salt=DEMO_SALT, scope="doc_id")
     return deanonymize(anon, "text", DEMO_SECRET)
+
+
+# ---------------------------------------------------------------- synthetic PII text
+# Text with names, places and US identifiers built from customer × nation by
+# the same expression on both sides (the corpus itself has none of these).
+def customer_text(spark, sf_dir) -> DataFrame:
+    from veilspark.plans.sizing import broadcast_if_small
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    n = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    k = F.col("c_custkey")
+
+    def pad(x, w):
+        return F.lpad(x.cast("string"), w, "0")
+
+    text = F.concat(
+        F.lit("Contact "), F.col("c_name"), F.lit(" in "), F.col("n_name"),
+        F.lit(", office NATION_"), (F.col("c_nationkey") % 10).cast("string"),
+        F.lit(". Call +1 ("), pad(k % 900 + 100, 3), F.lit(") 555-"), pad(k % 10000, 4),
+        F.lit(", SSN "), pad(k % 800 + 100, 3), F.lit("-"), pad(k % 89 + 10, 2), F.lit("-"),
+        pad(k % 8999 + 1000, 4), F.lit(", passport P"), pad(k, 8),
+        F.lit(", account "), pad(k * 7919 % 1000000000000, 12), F.lit(" or ref "), pad(k, 9),
+        F.lit(". Ask "), F.col("c_name"), F.lit(" about NATION_"),
+        (F.col("c_nationkey") % 10).cast("string"), F.lit("."))
+    return c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", text.alias("text"))
+
+
+CUSTOMER_TEXT_SQL = """SELECT c_custkey, 'Contact ' || c_name || ' in ' || n_name || ', office NATION_'
+  || CAST(c_nationkey % 10 AS VARCHAR) || '. Call +1 (' || lpad(CAST(c_custkey % 900 + 100 AS VARCHAR), 3, '0')
+  || ') 555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')
+  || ', SSN ' || lpad(CAST(c_custkey % 800 + 100 AS VARCHAR), 3, '0') || '-'
+  || lpad(CAST(c_custkey % 89 + 10 AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey % 8999 + 1000 AS VARCHAR), 4, '0')
+  || ', passport P' || lpad(CAST(c_custkey AS VARCHAR), 8, '0')
+  || ', account ' || lpad(CAST(c_custkey * 7919 % 1000000000000 AS VARCHAR), 12, '0')
+  || ' or ref ' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')
+  || '. Ask ' || c_name || ' about NATION_' || CAST(c_nationkey % 10 AS VARCHAR) || '.' AS text
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+
+
+def name_dictionary(spark, sf_dir) -> DataFrame:
+    """Gazetteer (term, pii_type) derived from the tables: people and places."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_name").alias("term"),
+                                                     F.lit("PERSON").alias("pii_type"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("term"),
+                                                    F.lit("LOCATION").alias("pii_type"))
+    regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("term"),
+                                                    F.lit("LOCATION").alias("pii_type"))
+    return people.unionByName(nations).unionByName(regions)
+
+
+DICTIONARY_SQL = """SELECT DISTINCT term, pii_type FROM (
+  SELECT c_name AS term, 'PERSON' AS pii_type FROM customer
+  UNION ALL SELECT n_name, 'LOCATION' FROM nation
+  UNION ALL SELECT r_name, 'LOCATION' FROM region)"""
+
+
+def dictionary_span_rows_sql(src: str, key: str) -> str:
+    """(key, start, end, pii_type, score) for dictionary hits of 1..3-word phrases."""
+    from veilspark.operators.detect import PHRASE_TOKEN_RX
+    toks = S.match_rows_sql(src, key, "text", PHRASE_TOKEN_RX)
+    return f"""SELECT g.{key}, g.start, g."end", dct.pii_type, {S.num(P.SCORES['PERSON'])} AS score
+FROM (
+  SELECT {key}, text, toks[i].start AS start, toks[i + n - 1]."end" AS "end"
+  FROM (SELECT {key}, text, toks, n, unnest(generate_series(1, len(toks) - n + 1)) AS i
+        FROM (SELECT {key}, text, list({{'start': start, 'end': "end"}} ORDER BY start) AS toks
+              FROM {toks} GROUP BY {key}, text), (SELECT unnest([1, 2, 3]) AS n))
+) g JOIN ({DICTIONARY_SQL}) dct ON substring(g.text, g.start + 1, g."end" - g.start) = dct.term"""
+
+
+def _cust_spans(spark, sf_dir, types, threshold):
+    d = detect_pii(customer_text(spark, sf_dir), "text", types=types, threshold=threshold,
+                   key_col="c_custkey", dictionary=name_dictionary(spark, sf_dir))
+    return d
+
+
+@register("pii_us_ids", f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL})
+SELECT c_custkey, start, "end", pii_type, score, value FROM (
+  {S.type_spans_sql('cust_text', 'c_custkey', 'text', 'US_SSN')}
+  UNION ALL {S.type_spans_sql('cust_text', 'c_custkey', 'text', 'US_PASSPORT')}
+  UNION ALL {S.type_spans_sql('cust_text', 'c_custkey', 'text', 'US_BANK_NUMBER')})""")
+def q_pii_us_ids(spark, sf_dir):
+    d = _cust_spans(spark, sf_dir, ["US_SSN", "US_PASSPORT", "US_BANK_NUMBER"], 0.0)
+    return explode_spans(d, "c_custkey").select("c_custkey", "start", "end", "pii_type", "score", "value")
+
+
+@register("pii_gazetteer", f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL})
+SELECT c_custkey, start, "end", pii_type, score FROM ({dictionary_span_rows_sql('cust_text', 'c_custkey')})""")
+def q_pii_gazetteer(spark, sf_dir):
+    d = _cust_spans(spark, sf_dir, ["PERSON", "LOCATION"], 0.0)
+    return explode_spans(d, "c_custkey").select("c_custkey", "start", "end", "pii_type", "score")
+
+
+@register("pii_threshold", f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL})
+SELECT c_custkey, start, "end", pii_type, score FROM (
+  {' UNION ALL '.join(S.type_spans_sql('cust_text', 'c_custkey', 'text', t, 0.5) for t in P.PATTERN_TYPES)})""")
+def q_pii_threshold(spark, sf_dir):
+    d = detect_pii(customer_text(spark, sf_dir), "text", types=list(P.PATTERN_TYPES), threshold=0.5)
+    return explode_spans(d, "c_custkey").select("c_custkey", "start", "end", "pii_type", "score")
+
+
+@register("pii_types", f"""SELECT doc_id, start, "end", pii_type, score FROM (
+  {S.type_spans_sql('documents', 'doc_id', 'text', 'EMAIL_ADDRESS')}
+  UNION ALL {S.type_spans_sql('documents', 'doc_id', 'text', 'IP_ADDRESS')})""")
+def q_pii_types(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = detect_pii(docs, "text", types=["email_address", "ip_address"])
+    return explode_spans(d, "doc_id").select("doc_id", "start", "end", "pii_type", "score")
+
+
+def _merged_sql() -> str:
+    rows = " UNION ALL ".join(
+        f'SELECT c_custkey, start, "end", pii_type, score FROM ({S.type_spans_sql("cust_text", "c_custkey", "text", t, 0.5)})'
+        for t in P.PATTERN_TYPES)
+    rows += f" UNION ALL SELECT * FROM ({dictionary_span_rows_sql('cust_text', 'c_custkey')})"
+    return f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL}),
+spl AS ({S.spans_list_sql(rows, 'c_custkey')})
+SELECT c_custkey, s.start, s."end", s.pii_type, s.score
+FROM (SELECT c_custkey, unnest({S.merge_sql(S.resolve_overlaps_sql('sp'))}) AS s FROM spl)"""
+
+
+@register("pii_merge", _merged_sql())
+def q_pii_merge(spark, sf_dir):
+    from veilspark.functions.spans import drop_cross_type_overlaps, merge_spans
+    d = _cust_spans(spark, sf_dir, [], 0.5)
+    m = d.select("c_custkey", F.explode(merge_spans(drop_cross_type_overlaps(F.col("pii")))).alias("s"))
+    return m.select("c_custkey", "s.start", "s.end", "s.pii_type", "s.score")
+
+
+def _resolve_query(mode):
+    def run(spark, sf_dir):
+        d = _cust_spans(spark, sf_dir, [], 0.5)
+        return anonymize(d, "text", DEMO_SECRET, mode="sha", resolution=mode,
+                         spans_col="pii").select("c_custkey", "text")
+    return run
+
+
+def _resolve_oracle(mode):
+    inner = S.anonymize_sql("cust_text", "c_custkey", "text", list(P.PATTERN_TYPES), DEMO_SECRET,
+                            mode, threshold=0.5,
+                            extra_span_rows=dictionary_span_rows_sql("cust_text", "c_custkey"))
+    return f"WITH cust_text AS ({CUSTOMER_TEXT_SQL}) SELECT * FROM ({inner})"
+
+
+register("resolve_equality", _resolve_oracle("EQUALITY"))(_resolve_query("EQUALITY"))
+register("resolve_containment", _resolve_oracle("CONTAINMENT"))(_resolve_query("CONTAINMENT"))
+
+
+# ---------------------------------------------------------------- S1, S2, S4 sources
+@register("load_bulk", """SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS resource, text,
+  source AS doc, lang FROM documents""")
+def q_load_bulk(spark, sf_dir):
+    from veilspark.sources.documents import to_documents
+    raw = table(spark, sf_dir, "documents")
+    d = to_documents(raw, resource=F.concat(F.lit("doc-"), F.col("doc_id").cast("string")),
+                     name=F.col("source"), extra_meta={"lang": "lang"})
+    return d.select("resource", "text", F.col("metadata")["doc"].alias("doc"),
+                    F.col("metadata")["lang"].alias("lang"))
+
+
+@register("load_resource", """SELECT CAST(d.doc_id AS VARCHAR) AS resource, d.text,
+  CASE WHEN l.quality = 1 THEN 'good-' || CAST(d.doc_id AS VARCHAR) ELSE CAST(d.doc_id AS VARCHAR) END AS doc
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+def q_load_resource(spark, sf_dir):
+    from veilspark.sources.documents import load_resources, to_documents
+    docs = to_documents(table(spark, sf_dir, "documents"), resource=F.col("doc_id"))
+    lab = table(spark, sf_dir, "labels")
+    req = lab.select(F.col("doc_id").cast("string").alias("resource"),
+                     F.when(F.col("quality") == 1, F.concat(F.lit("good-"), F.col("doc_id").cast("string")))
+                     .alias("name"))
+    out = load_resources(docs, req, "resource", "name")
+    return out.select("resource", "text", F.col("metadata")["doc"].alias("doc"))
+
+
+def _page_text_sql() -> str:
+    from veilspark.sources import documents as D
+    t = f"regexp_replace(html, {S.q(D.HTML_DROP_BLOCKS)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {S.q(D.HTML_COMMENT)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {S.q(D.HTML_TAG)}, ' ', 'g')"
+    for ent, ch in D.HTML_ENTITIES:
+        t = f"replace({t}, {S.q(ent)}, {S.q(ch)})"
+    t = f"trim(regexp_replace({t}, {S.q(D.HTML_BLANKS)}, ' ', 'g'))"
+    return f"SELECT url AS resource, {t} AS text FROM pages"
+
+
+@register("page_text", _page_text_sql())
+def q_page_text(spark, sf_dir):
+    from veilspark.sources.documents import pages_to_documents
+    return pages_to_documents(table(spark, sf_dir, "pages")).select("resource", "text")

@@ -21,6 +21,7 @@ def build_session(master: str | None = None, app: str = "veilspark",
         b = b.master(master or f"local[{cpus}]")
     conf = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
