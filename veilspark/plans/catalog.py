@@ -264,3 +264,82 @@ def _page_text_sql() -> str:
 def q_page_text(spark, sf_dir):
     from veilspark.sources.documents import pages_to_documents
     return pages_to_documents(table(spark, sf_dir, "pages")).select("resource", "text")
+
+
+# ---------------------------------------------------------------- K1-K5 chunking
+def _pieces_sql(splitter: str, src: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    if splitter == "simple":
+        return f"SELECT {key}, string_split_regex({text}, '\\.') AS pieces FROM {src}"
+    from veilspark.operators import chunk as K
+    abbr = r"(^|[^\p{L}])(" + "|".join(K.ABBREVIATIONS) + r")\."
+    t = f"regexp_replace({text}, {S.q(abbr)}, '\\1\\2' || chr(2), 'g')"
+    t = f"regexp_replace({t}, {S.q(K.SENTENCE_END)}, '\\1' || chr(1), 'g')"
+    return (f"SELECT {key}, list_transform(string_split({t}, chr(1)), lambda s: replace(s, chr(2), '.')) "
+            f"AS pieces FROM {src}")
+
+
+def chunk_sql(max_words: int, overlap: int, min_words: int = 3, splitter: str = "simple",
+              src: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    from veilspark.fixed import WORD_RX
+    big = 10_000_000
+    return f"""WITH p AS (
+  SELECT {key}, pieces, unnest(generate_series(1, len(pieces))) AS j FROM ({_pieces_sql(splitter, src, key, text)})
+), c AS (
+  SELECT {key}, pieces, j, n, sum(n) OVER (PARTITION BY {key} ORDER BY j ROWS UNBOUNDED PRECEDING) AS P
+  FROM (SELECT {key}, pieces, j, len(regexp_extract_all(pieces[j], {S.q(WORD_RX)})) AS n FROM p)
+), pk AS (
+  SELECT {key}, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS P FROM {src}
+  UNION ALL SELECT {key}, CAST(j AS BIGINT), CAST(P AS BIGINT) FROM c
+), e AS (
+  SELECT {key}, pieces, j, CAST(P - least({int(max_words)}, {int(overlap)} + n) AS BIGINT) * {big} AS thr
+  FROM c WHERE n >= {int(min_words)}
+), a AS (
+  SELECT e.{key}, e.pieces, e.j, least(pk.k + 1, e.j) AS t
+  FROM e ASOF JOIN pk ON e.{key} = pk.{key} AND e.thr <= pk.P * {big} + pk.k
+), s AS (
+  SELECT {key}, pieces, j, max(t) OVER (PARTITION BY {key} ORDER BY j ROWS UNBOUNDED PRECEDING) AS st,
+         row_number() OVER (PARTITION BY {key} ORDER BY j) AS chunk_no
+  FROM a
+)
+SELECT {key}, CAST(chunk_no AS INTEGER) AS chunk_no, array_to_string(pieces[st:j], '. ') AS content FROM s"""
+
+
+def _chunk_query(max_words, overlap, splitter="simple"):
+    def run(spark, sf_dir):
+        from veilspark.operators.chunk import chunk_documents
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        return chunk_documents(docs, "text", splitter=splitter, max_words=max_words,
+                               overlap=overlap, min_words=3, keep_cols=["doc_id"])
+    return run
+
+
+register("chunk_window", chunk_sql(256, 10))(_chunk_query(256, 10))
+register("chunk_window_small", chunk_sql(40, 10))(_chunk_query(40, 10))
+register("chunk_sentence", chunk_sql(40, 10, splitter="sentence"))(_chunk_query(40, 10, "sentence"))
+
+
+@register("split_simple", f"""SELECT doc_id, CAST(i AS INTEGER) AS piece_no, pieces[i] AS piece
+FROM (SELECT doc_id, pieces, unnest(generate_series(1, len(pieces))) AS i FROM ({_pieces_sql('simple')}))""")
+def q_split_simple(spark, sf_dir):
+    from veilspark.operators.chunk import split_simple
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_simple(F.col("text"))))
+    return d.select("doc_id", (F.col("pos") + 1).cast("int").alias("piece_no"), F.col("col").alias("piece"))
+
+
+@register("split_sentence", f"""SELECT doc_id, CAST(i AS INTEGER) AS piece_no, pieces[i] AS piece
+FROM (SELECT doc_id, pieces, unnest(generate_series(1, len(pieces))) AS i FROM ({_pieces_sql('sentence')}))""")
+def q_split_sentence(spark, sf_dir):
+    from veilspark.operators.chunk import split_sentences
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_sentences(F.col("text"))))
+    return d.select("doc_id", (F.col("pos") + 1).cast("int").alias("piece_no"), F.col("col").alias("piece"))
+
+
+@register("chunk_metadata", f"""SELECT k.doc_id, k.chunk_no, d.source AS doc, d.lang AS lang,
+  CAST(k.chunk_no AS VARCHAR) AS chunk FROM ({chunk_sql(256, 10)}) k JOIN documents d ON k.doc_id = d.doc_id""")
+def q_chunk_metadata(spark, sf_dir):
+    from veilspark.operators.chunk import chunk_documents
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.create_map(F.lit("doc"), F.col("source"), F.lit("lang"), F.col("lang")).alias("metadata"))
+    c = chunk_documents(docs, "text", max_words=256, overlap=10, keep_cols=["doc_id"], meta_col="metadata")
+    m = F.col("metadata")
+    return c.select("doc_id", "chunk_no", m["doc"].alias("doc"), m["lang"].alias("lang"), m["chunk"].alias("chunk"))
