@@ -343,3 +343,86 @@ def q_chunk_metadata(spark, sf_dir):
     c = chunk_documents(docs, "text", max_words=256, overlap=10, keep_cols=["doc_id"], meta_col="metadata")
     m = F.col("metadata")
     return c.select("doc_id", "chunk_no", m["doc"].alias("doc"), m["lang"].alias("lang"), m["chunk"].alias("chunk"))
+
+
+# ---------------------------------------------------------------- E1-E2 embedding
+EMBED_DIM = 64
+EMBED_MAX = 256
+
+
+def hash_embed_sql(src: str, key: str, text: str, dim: int = EMBED_DIM, max_len: int = EMBED_MAX) -> str:
+    from veilspark.operators.embed import EMBED_WORD_RX
+    return f"""SELECT {key}, list_transform(c, lambda x: CAST(CASE WHEN ss = 0 THEN 0 ELSE x / sqrt(ss) END AS FLOAT)) AS embedding
+FROM (SELECT {key}, c, list_sum(list_transform(c, lambda x: x * x)) AS ss FROM (
+  SELECT t.{key}, list_transform(range(0, {dim}), lambda d: coalesce(h.h[d], 0)) AS c
+  FROM (SELECT {key}, regexp_extract_all(array_to_string(string_split({text}, ' ')[1:{max_len}], ' '), {S.q(EMBED_WORD_RX)}) AS w FROM {src}) t
+  LEFT JOIN (SELECT {key}, histogram(CAST(('0x' || substr(md5(x), 1, 8)) AS BIGINT) % {dim}) AS h
+             FROM (SELECT {key}, unnest(regexp_extract_all(array_to_string(string_split({text}, ' ')[1:{max_len}], ' '), {S.q(EMBED_WORD_RX)})) AS x FROM {src})
+             GROUP BY {key}) h ON t.{key} = h.{key}))"""
+
+
+def chunks_df(spark, sf_dir, max_words=256, overlap=10):
+    """Document chunks with node id ``doc_id * 1e6 + chunk_no`` and ``doc = source``."""
+    from veilspark.operators.chunk import chunk_documents
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    c = chunk_documents(docs, "text", max_words=max_words, overlap=overlap, keep_cols=["doc_id", "source"])
+    return c.select((F.col("doc_id") * 1000000 + F.col("chunk_no")).alias("id"), "doc_id", "chunk_no",
+                    F.col("source").alias("doc"), "content")
+
+
+CHUNKS_SQL = f"""SELECT k.doc_id * 1000000 + k.chunk_no AS id, k.doc_id, k.chunk_no, d.source AS doc, k.content
+FROM ({chunk_sql(256, 10)}) k JOIN documents d ON k.doc_id = d.doc_id"""
+
+
+@register("embed_truncate", "SELECT doc_id, array_to_string(string_split(text, ' ')[1:16], ' ') AS text FROM documents")
+def q_embed_truncate(spark, sf_dir):
+    from veilspark.operators.embed import truncate_words
+    return table(spark, sf_dir, "documents").select("doc_id", truncate_words(F.col("text"), 16).alias("text"))
+
+
+@register("embed_hash", f"""WITH ch AS ({CHUNKS_SQL})
+SELECT id, embedding FROM ({hash_embed_sql('ch', 'id', 'content')})""")
+def q_embed_hash(spark, sf_dir):
+    from veilspark.operators.embed import HashEmbedder, embed
+    return embed(chunks_df(spark, sf_dir), "content", HashEmbedder(EMBED_DIM, EMBED_MAX)).select("id", "embedding")
+
+
+# ---------------------------------------------------------------- J1, J2, F1, F8 search
+def _e6(c):
+    return F.round(c * F.lit(1e6)).cast("long")
+
+
+def knn_sql(metric: str, k: int, match_label: bool) -> str:
+    fn = "list_distance" if metric == "l2" else "list_negative_inner_product"
+    on = "q.label = c.label" if match_label else "TRUE"
+    return f"""SELECT qid, CAST(rank AS INTEGER) AS rank, id, CAST(round(d * 1e6) AS BIGINT) AS dist_e6,
+  CAST(round((1 - exp(-abs(d))) * 1e6) AS BIGINT) AS score_e6 FROM (
+  SELECT q.vec_id AS qid, c.vec_id AS id, {fn}(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS d,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY {fn}(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), c.vec_id) AS rank
+  FROM embeddings q JOIN embeddings c ON {on}) WHERE rank <= {k}"""
+
+
+def _knn_query(metric, k, match_label):
+    def run(spark, sf_dir):
+        from veilspark.operators.search import knn
+        e = table(spark, sf_dir, "embeddings")
+        q = e.select(F.col("vec_id").alias("qid"), "embedding", F.col("label").alias("q_label"))
+        c = e.select(F.col("vec_id").alias("id"), "embedding", "label")
+        r = knn(q, c, k=k, metric=metric, match=[("q_label", "label")] if match_label else None)
+        return r.select("qid", "rank", "id", _e6(F.col("distance")).alias("dist_e6"),
+                        _e6(F.col("score")).alias("score_e6"))
+    return run
+
+
+register("knn_l2", knn_sql("l2", 5, True))(_knn_query("l2", 5, True))
+register("knn_inner", knn_sql("inner", 5, True))(_knn_query("inner", 5, True))
+register("vector_score", knn_sql("l2", 1, False))(_knn_query("l2", 1, False))
+
+
+@register("metadata_filter", """SELECT doc_id FROM documents WHERE lang = 'en' AND source IS NOT NULL""")
+def q_metadata_filter(spark, sf_dir):
+    from veilspark.operators.search import metadata_contains
+    d = table(spark, sf_dir, "documents")
+    meta = F.create_map(F.lit("doc"), F.col("source"), F.lit("lang"), F.col("lang"))
+    probe = F.create_map(F.lit("lang"), F.lit("en"))
+    return d.where(metadata_contains(meta, probe) & metadata_contains(meta, {})).select("doc_id")
