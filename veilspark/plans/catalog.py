@@ -426,3 +426,138 @@ def q_metadata_filter(spark, sf_dir):
     meta = F.create_map(F.lit("doc"), F.col("source"), F.lit("lang"), F.col("lang"))
     probe = F.create_map(F.lit("lang"), F.lit("en"))
     return d.where(metadata_contains(meta, probe) & metadata_contains(meta, {})).select("doc_id")
+
+
+# ---------------------------------------------------------------- S5-S9 collection
+def _new_collection(spark, name, dim=EMBED_DIM, include_metadata=True):
+    import uuid
+    from veilspark.session import shared_path
+    from veilspark.sources.collection import Collection
+    root = shared_path(spark, f"collections/{uuid.uuid4().hex}")
+    return Collection(spark, root, name, dim, include_metadata).create()
+
+
+def _saved_chunks(spark, sf_dir):
+    from veilspark.operators.embed import HashEmbedder, embed
+    ch = embed(chunks_df(spark, sf_dir), "content", HashEmbedder(EMBED_DIM, EMBED_MAX))
+    coll = _new_collection(spark, "doc_nodes")
+    coll.save_nodes(ch.select("id", "content", F.create_map(F.lit("doc"), F.col("doc")).alias("metadata"),
+                              "embedding"))
+    return coll
+
+
+@register("save_nodes", f"""SELECT id, doc, content, 64 AS dim FROM ({CHUNKS_SQL})""")
+def q_save_nodes(spark, sf_dir):
+    s = _saved_chunks(spark, sf_dir).scan()
+    return s.select("id", F.col("metadata")["doc"].alias("doc"), "content",
+                    F.size("embedding").alias("dim"))
+
+
+@register("delete_by_content", f"""WITH ch AS ({CHUNKS_SQL})
+SELECT id FROM ch WHERE content NOT IN (
+  SELECT ch.content FROM ch JOIN labels l ON ch.doc_id = l.doc_id WHERE l.toxic = 1)""")
+def q_delete_by_content(spark, sf_dir):
+    coll = _saved_chunks(spark, sf_dir)
+    toxic = table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select("doc_id")
+    keys = chunks_df(spark, sf_dir).join(toxic, "doc_id", "left_semi").select("content")
+    coll.delete_by_content(keys)
+    return coll.scan().select("id")
+
+
+# ---------------------------------------------------------------- C1-C3, F4-F6 cache
+CACHE_AS_OF = "2024-06-01 00:00:00"
+CACHE_AGE_STEP = 36000          # seconds between consecutive items' creation
+
+
+def _cache_records(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    rec = F.to_json(F.struct(F.col("item_id"), F.concat(F.lit("answer "), F.col("item_id").cast("string"))
+                             .alias("answer")))
+    created = F.to_timestamp(F.lit(CACHE_AS_OF)) - F.make_dt_interval(
+        secs=(F.col("item_id") * CACHE_AGE_STEP).cast("decimal(18,6)"))
+    return b.select(F.col("item_id").alias("id"), F.col("text").alias("prompt"), rec.alias("record_json"),
+                    created.alias("created_at"))
+
+
+CACHE_RECORDS_SQL = f"""SELECT item_id AS id, text AS prompt,
+  '{{"item_id":' || CAST(item_id AS VARCHAR) || ',"answer":"answer ' || CAST(item_id AS VARCHAR) || '"}}' AS record_json,
+  TIMESTAMP '{CACHE_AS_OF}' - to_seconds(item_id * {CACHE_AGE_STEP}) AS created_at
+FROM benchmark"""
+
+
+def _stored_cache(spark, sf_dir):
+    from veilspark.operators.cache import cache_store
+    coll = _new_collection(spark, "prompt_cache")
+    cache_store(_cache_records(spark, sf_dir), coll, secret=DEMO_SECRET, created_col="created_at",
+                salt=DEMO_SALT)
+    return coll
+
+
+@register("cache_admit", f"SELECT id FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}")
+def q_cache_admit(spark, sf_dir):
+    from veilspark.operators.cache import admit
+    return _cache_records(spark, sf_dir).where(admit(F.col("prompt"), EMBED_MAX)).select("id")
+
+
+@register("cache_store", f"""SELECT id, prompt AS content, record_json, created_at, 64 AS dim
+FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}""")
+def q_cache_store(spark, sf_dir):
+    from veilspark.operators.anonymize import deanonymize_text
+    s = _stored_cache(spark, sf_dir).scan()
+    return s.select("id", deanonymize_text(F.col("content"), DEMO_SECRET).alias("content"),
+                    deanonymize_text(F.col("metadata")["cache"], DEMO_SECRET).alias("record_json"),
+                    "created_at", F.size("embedding").alias("dim"))
+
+
+@register("cache_expired", f"""SELECT id FROM ({CACHE_RECORDS_SQL})
+WHERE created_at + to_seconds(604800) < TIMESTAMP '{CACHE_AS_OF}'""")
+def q_cache_expired(spark, sf_dir):
+    from veilspark.operators.cache import expired
+    r = _cache_records(spark, sf_dir)
+    return r.where(expired(F.col("created_at"), 604800, F.to_timestamp(F.lit(CACHE_AS_OF)))).select("id")
+
+
+@register("cache_evict", f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX})
+SELECT id FROM r WHERE prompt NOT IN (
+  SELECT prompt FROM r WHERE created_at + to_seconds(604800) < TIMESTAMP '{CACHE_AS_OF}')""")
+def q_cache_evict(spark, sf_dir):
+    from veilspark.operators.cache import cache_evict
+    coll = _stored_cache(spark, sf_dir)
+    cache_evict(coll, as_of=F.to_timestamp(F.lit(CACHE_AS_OF)), ttl_seconds=604800)
+    return coll.scan().select("id")
+
+
+def _cache_probes(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), F.col("text").alias("prompt"))
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
+        (F.lit(1_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("pid"),
+        F.col("text").alias("prompt"))
+    return b.unionByName(c)
+
+
+CACHE_PROBES_SQL = """SELECT item_id AS pid, text AS prompt FROM benchmark
+UNION ALL SELECT 1000000000 + conv_id * 1000 + turn, text FROM conversations WHERE role = 'user'"""
+
+
+@register("cache_lookup", f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}),
+p AS ({CACHE_PROBES_SQL}),
+pe AS ({hash_embed_sql('p', 'pid', 'prompt')}),
+re AS ({hash_embed_sql('r', 'id', 'prompt')}),
+top AS (
+  SELECT pid, id, d FROM (
+    SELECT pe.pid, re.id, list_distance(CAST(pe.embedding AS DOUBLE[]), CAST(re.embedding AS DOUBLE[])) AS d,
+           row_number() OVER (PARTITION BY pe.pid ORDER BY list_distance(CAST(pe.embedding AS DOUBLE[]),
+               CAST(re.embedding AS DOUBLE[])), re.id) AS rk
+    FROM pe, re) WHERE rk = 1),
+st AS (
+  SELECT p.pid, top.id, CASE WHEN top.id IS NULL OR 1 - exp(-abs(top.d)) >= 0.1 THEN 'miss'
+    WHEN r.created_at + to_seconds(604800) < TIMESTAMP '{CACHE_AS_OF}' THEN 'expired' ELSE 'hit' END AS status,
+    r.record_json
+  FROM p LEFT JOIN top ON p.pid = top.pid LEFT JOIN r ON top.id = r.id)
+SELECT pid, status, CASE WHEN status = 'hit' THEN id END AS cache_id,
+  CASE WHEN status = 'hit' THEN record_json END AS record_json FROM st""")
+def q_cache_lookup(spark, sf_dir):
+    from veilspark.operators.cache import cache_lookup
+    coll = _stored_cache(spark, sf_dir)
+    return cache_lookup(_cache_probes(spark, sf_dir), coll.scan(), secret=DEMO_SECRET,
+                        as_of=F.to_timestamp(F.lit(CACHE_AS_OF)), ttl_seconds=604800)
