@@ -19,7 +19,7 @@ from veilspark.plans import sqlgen as S
 # --- fixed values: demo secret used by the registered checks (not a real key)
 DEMO_SECRET = "veilspark-demo-secret"
 DEMO_SALT = "run-0"
-FLAGSHIP = "anonymize_mask"
+FLAGSHIP = "rag_requests"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -561,3 +561,148 @@ def q_cache_lookup(spark, sf_dir):
     coll = _stored_cache(spark, sf_dir)
     return cache_lookup(_cache_probes(spark, sf_dir), coll.scan(), secret=DEMO_SECRET,
                         as_of=F.to_timestamp(F.lit(CACHE_AS_OF)), ttl_seconds=604800)
+
+
+# ---------------------------------------------------------------- J3, A1-A6
+N_SOURCES = 20
+
+
+def request_titles(conv_id):
+    """Two document titles per request, derived from the request id."""
+    return F.array(F.concat(F.lit("src"), (conv_id % N_SOURCES).cast("string")),
+                   F.concat(F.lit("src"), ((conv_id * 7 + 3) % N_SOURCES).cast("string")))
+
+
+def _nodes(spark, sf_dir, secret=DEMO_SECRET):
+    from veilspark.plans.pipelines import ingest_nodes
+    docs = table(spark, sf_dir, "documents")
+    return ingest_nodes(docs, secret=secret, max_words=256, overlap=10, salt=DEMO_SALT)
+
+
+REQ_SQL = """SELECT conv_id AS request_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), '') AS prompt,
+  max(turn) AS last_turn FROM conversations GROUP BY conv_id"""
+
+
+def _hits_sql(k: int = 3) -> str:
+    return f"""ch AS ({CHUNKS_SQL}),
+ce AS (SELECT ch.id, ch.doc, ch.content, e.embedding FROM ch JOIN ({hash_embed_sql('ch', 'id', 'content')}) e ON ch.id = e.id),
+req AS ({REQ_SQL}),
+pq AS (SELECT request_id * 1000 + title_pos AS qid, * FROM (
+  SELECT request_id, prompt, 1 AS title_pos, 'src' || CAST(request_id % {N_SOURCES} AS VARCHAR) AS title FROM req
+  UNION ALL SELECT request_id, prompt, 2, 'src' || CAST((request_id * 7 + 3) % {N_SOURCES} AS VARCHAR) FROM req)),
+pe AS (SELECT pq.*, e.embedding FROM pq JOIN ({hash_embed_sql('pq', 'qid', 'prompt')}) e ON pq.qid = e.qid),
+hits AS (SELECT * FROM (
+  SELECT p.request_id, p.title_pos, c.id, c.doc, c.content,
+    row_number() OVER (PARTITION BY p.qid ORDER BY list_distance(CAST(p.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), c.id) AS rank
+  FROM pe p JOIN ce c ON c.doc = p.title) WHERE rank <= {k})"""
+
+
+@register("knn_by_title", f"""WITH {_hits_sql()}
+SELECT request_id, CAST(title_pos AS INTEGER) AS title_pos, CAST(rank AS INTEGER) AS rank, id FROM hits""")
+def q_knn_by_title(spark, sf_dir):
+    from veilspark.operators.context import retrieve_by_title
+    from veilspark.operators.embed import HashEmbedder
+    from veilspark.plans.pipelines import conversation_requests
+    req = conversation_requests(table(spark, sf_dir, "conversations"), request_titles)
+    probes = req.select("request_id", "prompt", F.posexplode("titles").alias("title_pos", "title")) \
+        .withColumn("title_pos", (F.col("title_pos") + 1).cast("int"))
+    hits = retrieve_by_title(probes, _nodes(spark, sf_dir), embedder=HashEmbedder(EMBED_DIM, EMBED_MAX), k=3)
+    return hits.select("request_id", "title_pos", "rank", "id")
+
+
+def _ctx_sql() -> str:
+    from veilspark.fixed import CONTEXT_HEAD, CONTEXT_TAIL
+    return f"""WITH {_hits_sql()},
+ctx AS (SELECT request_id, {S.q(CONTEXT_HEAD)} || string_agg('From the document with the title ' || doc || ', ' || content,
+  chr(10) ORDER BY title_pos, rank) || {S.q(CONTEXT_TAIL)} AS context FROM hits GROUP BY request_id),
+full_ctx AS (SELECT r.request_id, r.last_turn, coalesce(c.context, {S.q(CONTEXT_HEAD + CONTEXT_TAIL)}) AS context
+  FROM req r LEFT JOIN ctx c ON r.request_id = c.request_id)"""
+
+
+@register("context_prompt", f"{_ctx_sql()} SELECT request_id, context FROM full_ctx")
+def q_context_prompt(spark, sf_dir):
+    from veilspark.operators.context import empty_context, format_context, retrieve_by_title
+    from veilspark.operators.embed import HashEmbedder
+    from veilspark.plans.pipelines import conversation_requests
+    req = conversation_requests(table(spark, sf_dir, "conversations"), request_titles)
+    probes = req.select("request_id", "prompt", F.posexplode("titles").alias("title_pos", "title")) \
+        .withColumn("title_pos", (F.col("title_pos") + 1).cast("int"))
+    hits = retrieve_by_title(probes, _nodes(spark, sf_dir), embedder=HashEmbedder(EMBED_DIM, EMBED_MAX), k=3)
+    ctx = format_context(hits, secret=DEMO_SECRET)
+    return req.select("request_id").join(ctx, "request_id", "left").select(
+        "request_id", F.coalesce("context", empty_context()).alias("context"))
+
+
+def _rag_sql() -> str:
+    from veilspark.fixed import RAG_SYSTEM_PROMPT
+    msgs = f"""(SELECT conv_id * 1000 + turn + 1 AS mk, conv_id AS request_id, CAST(turn + 1 AS INTEGER) AS msg_no,
+  role, coalesce(text, '') AS content FROM conversations
+  UNION ALL SELECT request_id * 1000 + last_turn + 2, request_id, CAST(last_turn + 2 AS INTEGER), 'system', context FROM full_ctx)"""
+    anon = S.anonymize_sql("msgs", "mk", "content", PATTERN_ALL, DEMO_SECRET, "EQUALITY", threshold=0.5)
+    return f"""{_ctx_sql()}, msgs AS {msgs}, an AS ({anon})
+SELECT m.request_id, m.msg_no, m.role, an.content FROM msgs m JOIN an ON m.mk = an.mk
+UNION ALL SELECT DISTINCT conv_id, CAST(0 AS INTEGER), 'system', {S.q(RAG_SYSTEM_PROMPT)} FROM conversations"""
+
+
+@register("rag_requests", _rag_sql())
+def q_rag_requests(spark, sf_dir):
+    from veilspark.operators.embed import HashEmbedder
+    from veilspark.plans.pipelines import rag_requests
+    return rag_requests(table(spark, sf_dir, "conversations"), _nodes(spark, sf_dir), request_titles,
+                        secret=DEMO_SECRET, node_secret=DEMO_SECRET, embedder=HashEmbedder(EMBED_DIM, EMBED_MAX),
+                        k=3, mode="sha", types=PATTERN_ALL, threshold=0.5)
+
+
+@register("assemble_request", f"""WITH msgs AS (SELECT conv_id * 1000 + turn + 1 AS mk, conv_id AS request_id,
+  CAST(turn + 1 AS INTEGER) AS msg_no, role, coalesce(text, '') AS content FROM conversations),
+an AS ({S.anonymize_sql("msgs", "mk", "content", PATTERN_ALL, DEMO_SECRET, "EQUALITY", threshold=0.5)})
+SELECT m.request_id, m.msg_no, m.role, an.content FROM msgs m JOIN an ON m.mk = an.mk
+UNION ALL SELECT DISTINCT conv_id, CAST(0 AS INTEGER), 'system', {S.q(__import__('veilspark.fixed', fromlist=['x']).RAG_SYSTEM_PROMPT)} FROM conversations""")
+def q_assemble_request(spark, sf_dir):
+    from veilspark.operators.context import assemble_requests
+    conv = table(spark, sf_dir, "conversations")
+    msgs = conv.select(F.col("conv_id").alias("request_id"), (F.col("turn") + 1).cast("int").alias("msg_no"),
+                       "role", F.col("text").alias("content"))
+    return assemble_requests(msgs, None, secret=DEMO_SECRET, mode="sha", types=PATTERN_ALL, threshold=0.5)
+
+
+@register("ingest", f"SELECT id, doc, content, 64 AS dim FROM ({CHUNKS_SQL})")
+def q_ingest(spark, sf_dir):
+    from veilspark.operators.anonymize import deanonymize_text
+    coll = _new_collection(spark, "node")
+    coll.save_nodes(_nodes(spark, sf_dir).select("id", "content", "metadata", "embedding"))
+    s = coll.scan()
+    return s.select("id", F.col("metadata")["doc"].alias("doc"),
+                    deanonymize_text(F.col("content"), DEMO_SECRET).alias("content"),
+                    F.size("embedding").alias("dim"))
+
+
+@register("response_restore", """SELECT conv_id, turn, 'assistant' AS role, text AS content
+FROM conversations WHERE role = 'assistant'""")
+def q_response_restore(spark, sf_dir):
+    from veilspark.operators.context import restore_response
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    anon = anonymize(conv, "text", DEMO_SECRET, mode="aes", types=PATTERN_ALL, threshold=0.5,
+                     salt=DEMO_SALT, scope="conv_id")
+    resp = anon.select("conv_id", "turn", F.struct(
+        F.concat(F.lit("chatcmpl-"), F.col("conv_id").cast("string")).alias("id"),
+        F.lit("chat.completion").alias("object"), F.lit(0).cast("long").alias("created"),
+        F.lit("model").alias("model"),
+        F.array(F.struct(F.lit(0).alias("index"), F.struct(F.lit("assistant").alias("role"),
+                                                           F.col("text").alias("content"),
+                                                           F.lit(None).cast("string").alias("name")).alias("message"),
+                         F.lit("stop").alias("finish_reason"))).alias("choices"),
+        F.struct(F.lit(0).cast("long").alias("prompt_tokens"), F.lit(0).cast("long").alias("completion_tokens"),
+                 F.lit(0).cast("long").alias("total_tokens")).alias("usage")).alias("provider_response"))
+    r = restore_response(resp, secret=DEMO_SECRET)
+    return r.select("conv_id", "turn", F.explode("messages").alias("m")).select(
+        "conv_id", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+
+
+@register("record_json", """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
+  FALSE AS corrupt FROM events""")
+def q_record_json(spark, sf_dir):
+    from veilspark.operators.context import parse_records
+    ev = table(spark, sf_dir, "events")
+    p = parse_records(ev, "props", "k int")
+    return p.select("event_id", F.col("record.k").alias("k"), "corrupt")
