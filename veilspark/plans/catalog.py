@@ -706,3 +706,164 @@ def q_record_json(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     p = parse_records(ev, "props", "k int")
     return p.select("event_id", F.col("record.k").alias("k"), "corrupt")
+
+
+# ---------------------------------------------------------------- P7-P9, F9 aliases
+def _anon_docs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return anonymize(docs, "text", DEMO_SECRET, mode="sha", types=PATTERN_ALL, threshold=0.5)
+
+
+ANON_DOCS_SQL = (f"SELECT a.doc_id, d.source, a.text FROM ("
+                 f"{S.anonymize_sql('documents', 'doc_id', 'text', PATTERN_ALL, DEMO_SECRET, 'EQUALITY', 0.5)}"
+                 f") a JOIN documents d ON a.doc_id = d.doc_id")
+
+
+def _alias_sql(session: str, row: str, pos: str) -> str:
+    return (f"substring(translate(to_base64(unhex(sha256({session} || '#' || CAST({row} AS VARCHAR) || '#' || "
+            f"CAST({pos} AS VARCHAR)))), '+/', '-_'), 1, 7)")
+
+
+@register("alias_set", f"""WITH an AS ({ANON_DOCS_SQL})
+SELECT doc_id, CASE WHEN len(string_split(text, 'α')) % 2 = 0 THEN NULL ELSE array_to_string(list_transform(
+  string_split(text, 'α'), lambda s, i: CASE WHEN (i - 1) % 2 = 1 THEN 'α' || {_alias_sql('source', 'doc_id', 'i - 1')} || 'α'
+  ELSE s END), '') END AS text FROM an""")
+def q_alias_set(spark, sf_dir):
+    from veilspark.operators.aliases import alias_tokens
+    text, _ = alias_tokens(_anon_docs(spark, sf_dir), "text", "source", "doc_id")
+    return text.select("doc_id", "text")
+
+
+ALIAS_MAP_SQL = f"""SELECT source AS session_id, 'α' || {_alias_sql('source', 'doc_id', 'i - 1')} || 'α' AS alias, segs[i] AS token
+FROM (SELECT doc_id, source, segs, unnest(generate_series(1, len(segs))) AS i
+      FROM (SELECT doc_id, source, string_split(text, 'α') AS segs FROM an WHERE len(string_split(text, 'α')) % 2 = 1))
+WHERE (i - 1) % 2 = 1"""
+
+
+@register("alias_map", f"WITH an AS ({ANON_DOCS_SQL}) {ALIAS_MAP_SQL}")
+def q_alias_map(spark, sf_dir):
+    from veilspark.operators.aliases import alias_tokens
+    _, amap = alias_tokens(_anon_docs(spark, sf_dir), "text", "source", "doc_id")
+    return amap
+
+
+@register("alias_get", f"WITH an AS ({ANON_DOCS_SQL}) SELECT doc_id, source, text, FALSE AS missing_alias FROM an")
+def q_alias_get(spark, sf_dir):
+    from veilspark.operators.aliases import alias_tokens, expand_aliases
+    text, amap = alias_tokens(_anon_docs(spark, sf_dir), "text", "source", "doc_id")
+    return expand_aliases(text, amap, "text", "source", "doc_id")
+
+
+@register("alias_delete_session", f"""WITH an AS ({ANON_DOCS_SQL}), m AS ({ALIAS_MAP_SQL})
+SELECT session_id, alias FROM m WHERE session_id NOT IN (
+  SELECT DISTINCT d.source FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1)""")
+def q_alias_delete_session(spark, sf_dir):
+    from veilspark.operators.aliases import alias_tokens, delete_sessions
+    _, amap = alias_tokens(_anon_docs(spark, sf_dir), "text", "source", "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    toxic = table(spark, sf_dir, "labels").where(F.col("toxic") == 1)
+    sessions = docs.join(toxic, "doc_id", "left_semi").select(F.col("source").alias("session_id"))
+    return delete_sessions(amap, sessions).select("session_id", "alias")
+
+
+# ---------------------------------------------------------------- T1-T6 modifiers
+def _vowels(c):
+    return F.translate(c, "aeiou", "AEIOU")
+
+
+def _stop_sql(text: str) -> str:
+    from veilspark.fixed import WS_CLASS
+    from veilspark.operators import modifiers as Mo
+    words = ", ".join(S.q(w) for w in sorted(set(w.lower() for w in Mo.default_stop_words())))
+    return (f"array_to_string(list_transform(list_filter(list_filter(string_split_regex({text}, {S.q(WS_CLASS + '+')}), "
+            f"lambda w: w <> ''), lambda w: NOT list_contains([{words}], translate(w, {S.q(Mo.LOWER_FROM)}, "
+            f"{S.q(Mo.LOWER_TO)}))), lambda w: regexp_replace(w, '[^\\x00-\\x7F]', '', 'g')), ' ')")
+
+
+@register("stop_words", f"SELECT doc_id, {_stop_sql('text')} AS text FROM documents")
+def q_stop_words(spark, sf_dir):
+    from veilspark.operators.modifiers import apply_modifier, remove_stop_words
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return apply_modifier(d, "text", remove_stop_words())
+
+
+@register("modifier_chain", f"SELECT doc_id, translate({_stop_sql('text')}, 'aeiou', 'AEIOU') AS text FROM documents")
+def q_modifier_chain(spark, sf_dir):
+    from veilspark.operators.modifiers import apply_modifier, chain, remove_stop_words
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return apply_modifier(d, "text", chain(remove_stop_words(), _vowels))
+
+
+@register("modifier_nested", """SELECT conv_id, turn,
+  translate(text, 'aeiou', 'AEIOU') AS node_content, translate(text, 'aeiou', 'AEIOU') AS node_note, 'role' AS node_role_key,
+  text AS list_node_note, translate(text, 'aeiou', 'AEIOU') AS list_node_content,
+  translate(coalesce(text, ''), 'aeiou', 'AEIOU') AS msg_content, role AS msg_role,
+  translate(role, 'aeiou', 'AEIOU') AS tag_role, translate(text, 'aeiou', 'AEIOU') AS map_value, turn AS kept_int
+FROM conversations""")
+def q_modifier_nested(spark, sf_dir):
+    from veilspark.operators.modifiers import apply_modifier
+    c = table(spark, sf_dir, "conversations")
+    nested = c.select("conv_id", "turn", F.struct(
+        F.struct(F.col("text").alias("content"), F.create_map(F.lit("note"), F.col("text"), F.lit("role"), F.col("role"))
+                 .alias("metadata")).alias("node"),
+        F.array(F.struct(F.col("text").alias("content"), F.create_map(F.lit("note"), F.col("text")).alias("metadata")))
+        .alias("nodes"),
+        F.array(F.struct(F.col("role").alias("role"), F.col("text").alias("content"),
+                         F.lit(None).cast("string").alias("name"))).alias("messages"),
+        F.array(F.col("role")).alias("tags"),
+        F.create_map(F.col("role"), F.col("text")).alias("extra"),
+        F.col("turn").alias("n")).alias("payload"))
+    m = apply_modifier(nested, "payload", _vowels)
+    p = F.col("payload")
+    return m.select("conv_id", "turn", p["node"]["content"].alias("node_content"),
+                    p["node"]["metadata"]["note"].alias("node_note"),
+                    F.map_keys(p["node"]["metadata"])[1].alias("node_role_key"),
+                    p["nodes"][0]["metadata"]["note"].alias("list_node_note"),
+                    p["nodes"][0]["content"].alias("list_node_content"),
+                    p["messages"][0]["content"].alias("msg_content"), p["messages"][0]["role"].alias("msg_role"),
+                    p["tags"][0].alias("tag_role"), F.map_values(p["extra"])[0].alias("map_value"),
+                    p["n"].alias("kept_int"))
+
+
+TOX_LEXICON_SQL = """SELECT word FROM (
+  SELECT w.word, sum(CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END) AS t, sum(CASE WHEN l.toxic = 0 THEN 1 ELSE 0 END) AS c
+  FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')) AS word FROM documents) w
+  JOIN labels l ON w.doc_id = l.doc_id GROUP BY w.word) WHERE t >= 5 AND c = 0"""
+
+
+def _tox_hits_sql(text: str) -> str:
+    return (f"len(list_filter(regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+            f"'abcdefghijklmnopqrstuvwxyz'), '[a-z]+'), lambda w: list_contains(lex.words, w)))")
+
+
+def _lexicon(spark, sf_dir):
+    from veilspark.operators.modifiers import learn_toxic_lexicon, lexicon_words
+    lex = learn_toxic_lexicon(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), min_docs=5)
+    return lexicon_words(lex)
+
+
+@register("toxicity_lexicon", TOX_LEXICON_SQL)
+def q_toxicity_lexicon(spark, sf_dir):
+    from veilspark.operators.modifiers import learn_toxic_lexicon
+    return learn_toxic_lexicon(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), min_docs=5)
+
+
+@register("toxicity_purge", f"""WITH lex AS (SELECT coalesce(list(word), []) AS words FROM ({TOX_LEXICON_SQL}))
+SELECT doc_id, CASE WHEN {_tox_hits_sql('text')} > 0
+  THEN {S.q(__import__('veilspark.fixed', fromlist=['x']).PURGED_TEXT)} ELSE text END AS text FROM documents, lex""")
+def q_toxicity_purge(spark, sf_dir):
+    from veilspark.operators.modifiers import apply_modifier, purge_toxic
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return apply_modifier(d, "text", purge_toxic(0.5, _lexicon(spark, sf_dir)))
+
+
+@register("toxicity_flag", f"""WITH lex AS (SELECT coalesce(list(word), []) AS words FROM ({TOX_LEXICON_SQL}))
+SELECT conv_id, turn, {_tox_hits_sql('text')} AS hits, {_tox_hits_sql('text')} > 0 AS is_toxic FROM conversations, lex""")
+def q_toxicity_flag(spark, sf_dir):
+    from veilspark.operators.modifiers import toxic_hits, toxicity_score
+    lex = _lexicon(spark, sf_dir)
+    c = table(spark, sf_dir, "conversations")
+    h = toxic_hits(F.col("text"), lex)
+    return c.select("conv_id", "turn", h.alias("hits"),
+                    (toxicity_score(h) > F.lit(0.5)).alias("is_toxic"))
