@@ -867,3 +867,84 @@ def q_toxicity_flag(spark, sf_dir):
     h = toxic_hits(F.col("text"), lex)
     return c.select("conv_id", "turn", h.alias("hits"),
                     (toxicity_score(h) > F.lit(0.5)).alias("is_toxic"))
+
+
+# ---------------------------------------------------------------- X1-X4 streams
+def _stream_dirs(spark, name):
+    import uuid
+    from veilspark.session import shared_path
+    base = shared_path(spark, f"streams/{name}-{uuid.uuid4().hex}")
+    return f"{base}/sink", f"{base}/checkpoint", f"{base}/map"
+
+
+def _run(q):
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+@register("stream_anonymize", S.anonymize_sql("documents", "doc_id", "text", PATTERN_ALL,
+                                              DEMO_SECRET, "EQUALITY", threshold=0.5))
+def q_stream_anonymize(spark, sf_dir):
+    from veilspark.streaming.streams import anonymize_stream, table_stream
+    schema = table(spark, sf_dir, "documents").select("doc_id", "text").schema
+    sink, ckpt, _ = _stream_dirs(spark, "anonymize")
+    s = table_stream(spark, sf_dir, "documents", schema)
+    _run(anonymize_stream(s, "text", DEMO_SECRET, sink=sink, checkpoint=ckpt, mode="sha",
+                          types=PATTERN_ALL, threshold=0.5))
+    return spark.read.schema(schema).parquet(sink)
+
+
+@register("stream_ingest", f"SELECT id, doc, content FROM ({CHUNKS_SQL})")
+def q_stream_ingest(spark, sf_dir):
+    from veilspark.operators.anonymize import deanonymize_text
+    from veilspark.streaming.streams import ingest_stream, table_stream
+    schema = table(spark, sf_dir, "documents").schema
+    _, ckpt, _ = _stream_dirs(spark, "ingest")
+    coll = _new_collection(spark, "node")
+    s = table_stream(spark, sf_dir, "documents", schema)
+    _run(ingest_stream(s, coll, secret=DEMO_SECRET, checkpoint=ckpt, max_words=256, overlap=10, salt=DEMO_SALT))
+    return coll.scan().select("id", F.col("metadata")["doc"].alias("doc"),
+                              deanonymize_text(F.col("content"), DEMO_SECRET).alias("content"))
+
+
+@register("stream_cache_lookup", f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}),
+p AS (SELECT item_id AS pid, text AS prompt FROM benchmark),
+pe AS ({hash_embed_sql('p', 'pid', 'prompt')}),
+re AS ({hash_embed_sql('r', 'id', 'prompt')}),
+top AS (
+  SELECT pid, id, d FROM (
+    SELECT pe.pid, re.id, list_distance(CAST(pe.embedding AS DOUBLE[]), CAST(re.embedding AS DOUBLE[])) AS d,
+           row_number() OVER (PARTITION BY pe.pid ORDER BY list_distance(CAST(pe.embedding AS DOUBLE[]),
+               CAST(re.embedding AS DOUBLE[])), re.id) AS rk
+    FROM pe, re) WHERE rk = 1),
+st AS (
+  SELECT p.pid, top.id, CASE WHEN top.id IS NULL OR 1 - exp(-abs(top.d)) >= 0.1 THEN 'miss'
+    WHEN r.created_at + to_seconds(604800) < TIMESTAMP '{CACHE_AS_OF}' THEN 'expired' ELSE 'hit' END AS status,
+    r.record_json
+  FROM p LEFT JOIN top ON p.pid = top.pid LEFT JOIN r ON top.id = r.id)
+SELECT pid, status, CASE WHEN status = 'hit' THEN id END AS cache_id,
+  CASE WHEN status = 'hit' THEN record_json END AS record_json FROM st""")
+def q_stream_cache_lookup(spark, sf_dir):
+    from veilspark.streaming.streams import cache_lookup_stream, table_stream
+    coll = _stored_cache(spark, sf_dir)
+    schema = table(spark, sf_dir, "benchmark").schema
+    sink, ckpt, _ = _stream_dirs(spark, "cache")
+    s = table_stream(spark, sf_dir, "benchmark", schema).select(
+        F.col("item_id").alias("pid"), F.col("text").alias("prompt"))
+    _run(cache_lookup_stream(s, coll, secret=DEMO_SECRET, as_of=F.to_timestamp(F.lit(CACHE_AS_OF)),
+                             sink=sink, checkpoint=ckpt, ttl_seconds=604800))
+    return spark.read.option("recursiveFileLookup", "true").parquet(sink) \
+        .select("pid", "status", "cache_id", "record_json")
+
+
+@register("stream_alias_map", f"WITH an AS ({ANON_DOCS_SQL}) {ALIAS_MAP_SQL}")
+def q_stream_alias_map(spark, sf_dir):
+    from veilspark.streaming.streams import alias_stream, table_stream
+    schema = table(spark, sf_dir, "documents").select("doc_id", "source", "text").schema
+    sink, ckpt, msink = _stream_dirs(spark, "alias")
+    s = table_stream(spark, sf_dir, "documents", schema).select("doc_id", "source", "text")
+    s = anonymize(s, "text", DEMO_SECRET, mode="sha", types=PATTERN_ALL, threshold=0.5)
+    _run(alias_stream(s, text_col="text", session_col="source", row_key="doc_id", text_sink=sink,
+                      map_sink=msink, checkpoint=ckpt))
+    return spark.read.option("recursiveFileLookup", "true").parquet(msink).select("session_id", "alias", "token")

@@ -1,10 +1,11 @@
 """A vector collection stored as versioned Parquet snapshots.
 
 Layout under ``<root>/<name>``:  ``v000000/, v000001/, ...`` data versions and
-``_pointer/`` (a one-row JSON table naming the current version).  Appends add
-files to the current version; a delete writes the survivors to a *new*
-version and then moves the pointer, so no job ever overwrites a path it reads.
-Single writer per collection is assumed.
+``_pointer/`` (a one-row JSON table naming the current version).  Each append
+writes one sub-folder ``part-<tag>`` of the current version; writing the same
+tag again replaces it, so a replayed stream batch is idempotent.  A delete
+writes the survivors to a *new* version and then moves the pointer, so no job
+ever overwrites a path it reads.  Single writer per collection is assumed.
 """
 
 from __future__ import annotations
@@ -72,7 +73,8 @@ class Collection:
         p = self._read_pointer()
         if p is None or p["dropped"]:
             v = 0 if p is None else int(p["version"]) + 1
-            self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self._vpath(v))
+            self.spark.createDataFrame([], self.schema).write.mode("overwrite") \
+                .parquet(f"{self._vpath(v)}/part-init")
             self._write_pointer(v)
         return self
 
@@ -84,11 +86,16 @@ class Collection:
 
     # -- S10 ------------------------------------------------------------------
     def scan(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self._vpath(self._current()))
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true") \
+            .parquet(self._vpath(self._current()))
 
     # -- S7 -------------------------------------------------------------------
-    def save_nodes(self, nodes: DataFrame) -> None:
-        """Append nodes; ``created_at`` defaults to now; dim is enforced."""
+    def save_nodes(self, nodes: DataFrame, tag: str | None = None) -> None:
+        """Append nodes; ``created_at`` defaults to now; dim is enforced.
+
+        ``tag`` names the append (e.g. a stream batch id); re-saving a tag
+        replaces that append instead of duplicating it.
+        """
         v = self._current()
         cols = [F.col("id").cast("long").alias("id"), F.col("content").cast("string").alias("content")]
         if self.include_metadata:
@@ -101,7 +108,9 @@ class Collection:
         cols.append(checked.alias("embedding"))
         ts = F.col("created_at").cast("timestamp") if "created_at" in nodes.columns else F.lit(None)
         cols.append(F.coalesce(ts, F.current_timestamp()).alias("created_at"))
-        nodes.select(*cols).write.mode("append").parquet(self._vpath(v))
+        import uuid
+        part = f"{self._vpath(v)}/part-{tag if tag is not None else uuid.uuid4().hex}"
+        nodes.select(*cols).write.mode("overwrite").parquet(part)
 
     # -- S8 -------------------------------------------------------------------
     def delete_by_content(self, keys: DataFrame, content_col: str = "content") -> None:
@@ -109,7 +118,7 @@ class Collection:
         v = self._current()
         k = keys.select(F.col(content_col).alias("content")).distinct()
         survivors = self.scan().join(k, "content", "left_anti")
-        survivors.write.mode("overwrite").parquet(self._vpath(v + 1))
+        survivors.write.mode("overwrite").parquet(f"{self._vpath(v + 1)}/part-0")
         self._write_pointer(v + 1)
 
     def delete_where(self, cond) -> None:
