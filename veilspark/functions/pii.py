@@ -19,12 +19,12 @@ from veilspark.functions.spans import context_before, regex_matches
 # --- fixed values: detector patterns, scores and context words --------------
 EMAIL_RX = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 EMAIL_OK = r"\.[A-Za-z]{2,}$"
-IP_RX = r"[0-9]+(\.[0-9]+)+"
+IP_RX = r"[0-9]+(\.[0-9]+){3,}"
 IP_OK = r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"
-CARD_RX = r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]+"
+CARD_RX = r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,}"
 CARD_OK = r"^[0-9]{13,19}$"
 PHONE_RX = r"(\+1[ .-]?)?(\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}"
-SSN_RX = r"[0-9]+(-[0-9]+)+"
+SSN_RX = r"[0-9]+(-[0-9]+){2,}"
 SSN_OK = r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"
 SSN_BAD = r"^(000|666|9[0-9][0-9])-|-00-|-0000$"
 DATE_RX = (r"[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?"
@@ -32,9 +32,9 @@ DATE_RX = (r"[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?"
            r"|(January|February|March|April|May|June|July|August|September|October"
            r"|November|December) [0-9]{1,2}(, [0-9]{4})?")
 DATE_ISO_OK = r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
-PASSPORT_RX = r"[A-Z]?[0-9]+"
+PASSPORT_RX = r"[A-Z]?[0-9]{8,}"
 PASSPORT_OK = r"^([0-9]{9}|[A-Z][0-9]{8})$"
-BANK_RX = r"[0-9]+"
+BANK_RX = r"[0-9]{8,}"
 BANK_OK = r"^[0-9]{8,17}$"
 PASSPORT_CONTEXT = r"(?i)passport"
 BANK_CONTEXT = r"(?i)(account|acct|bank|iban|routing)"
@@ -65,6 +65,7 @@ class Detector:
     validator: Callable[[Column], Column] | None = None
     context: str | None = None
     score: float = field(default=0.5)
+    needs: str | None = "digit"     # a guard: "digit", a literal character, or None
 
 
 def luhn_ok(value: Column) -> Column:
@@ -95,7 +96,8 @@ def _rx_ok(rx: str) -> Callable[[Column], Column]:
 
 
 DETECTORS: dict[str, Detector] = {
-    "EMAIL_ADDRESS": Detector("EMAIL_ADDRESS", EMAIL_RX, _rx_ok(EMAIL_OK), score=SCORES["EMAIL_ADDRESS"]),
+    "EMAIL_ADDRESS": Detector("EMAIL_ADDRESS", EMAIL_RX, _rx_ok(EMAIL_OK), score=SCORES["EMAIL_ADDRESS"],
+                              needs="@"),
     "IP_ADDRESS": Detector("IP_ADDRESS", IP_RX, ip_ok, score=SCORES["IP_ADDRESS"]),
     "CREDIT_CARD": Detector("CREDIT_CARD", CARD_RX, luhn_ok, score=SCORES["CREDIT_CARD"]),
     "PHONE_NUMBER": Detector("PHONE_NUMBER", PHONE_RX, None, score=SCORES["PHONE_NUMBER"]),

@@ -34,21 +34,22 @@ def regex_matches(text: Column, pattern: str) -> Column:
     ``regexp_extract_all`` (the matches): both walk the text with the same
     left-to-right search, so match *i* starts after segments ``0..i`` and
     matches ``0..i-1``.  Returns ``array<struct<start,end,value>>``.
+    Each regex runs once per row (higher-order functions are interpreted, so
+    an expression referenced twice would be evaluated twice).
     """
     segs = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(found.alias("m"), F.slice(segs, 1, F.size(found)).alias("s"))
+    pairs = F.arrays_zip(segs.alias("s"), found.alias("m"))   # the last pair has m = NULL
     init = F.struct(F.lit(0).alias("pos"), F.array().cast(MATCHES).alias("out"))
 
     def step(acc, x):
         st = acc["pos"] + F.length(x["s"])
         en = st + F.length(x["m"])
-        return F.struct(en.alias("pos"), F.array_append(
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(en.alias("pos"), F.array_append(
             acc["out"], F.struct(st.cast("int").alias("start"), en.cast("int").alias("end"),
-                                 x["m"].alias("value"))).alias("out"))
+                                 x["m"].alias("value"))).alias("out")))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, init, step)["out"]) \
-        .otherwise(F.array().cast(MATCHES))
+    return F.aggregate(pairs, init, step)["out"]
 
 
 def context_before(text: Column, start: Column, width: int) -> Column:
@@ -128,18 +129,23 @@ def resolve_entities(values: Column, mode: str = "EQUALITY") -> Column:
     variants are not added, so the relation is greedy and not transitive.
     Returns ``array<string>`` aligned with ``values``.
     """
-    if mode.upper() == "EQUALITY":
-        return values
-    if mode.upper() != "CONTAINMENT":
+    keyed = F.transform(values, lambda v: F.struct(v.alias("v")))
+    return F.transform(resolve_structs(keyed, mode), lambda e: e["rep"])
+
+
+def resolve_structs(items: Column, mode: str = "EQUALITY") -> Column:
+    """Add field ``rep`` to each struct of ``items`` (field ``v`` holds the surface)."""
+    m = mode.upper()
+    if m == "EQUALITY":
+        return F.transform(items, lambda e: e.withField("rep", e["v"]))
+    if m != "CONTAINMENT":
         raise ValueError(f"unknown entity resolution {mode!r}")
-    pair = T.ArrayType(T.StructType([T.StructField("v", T.StringType()),
-                                     T.StructField("r", T.StringType())]))
 
     def step(acc, x):
-        reps = F.filter(acc, lambda e: (e["v"] == e["r"]) & (
-            (F.instr(x, e["r"]) > 0) | (F.instr(e["r"], x) > 0)))
-        rep = F.coalesce(F.try_element_at(reps, F.lit(1))["r"], x)
-        return F.array_append(acc, F.struct(x.alias("v"), rep.alias("r")))
+        reps = F.filter(acc, lambda e: (e["v"] == e["rep"]) & (
+            (F.instr(x["v"], e["rep"]) > 0) | (F.instr(e["rep"], x["v"]) > 0)))
+        rep = F.coalesce(F.try_element_at(reps, F.lit(1))["rep"], x["v"])
+        return F.concat(acc, F.array(x.withField("rep", rep)))
 
-    folded = F.aggregate(values, F.array().cast(pair), step)
-    return F.transform(folded, lambda e: e["r"])
+    empty = F.slice(F.transform(items, lambda e: e.withField("rep", e["v"])), 1, 0)
+    return F.aggregate(items, empty, step)

@@ -14,22 +14,27 @@ from pyspark.sql import functions as F
 
 from veilspark.fixed import EQUALITY, TOKEN_DELIM
 from veilspark.functions.spans import (drop_cross_type_overlaps, merge_spans,
-                                       resolve_entities, surface)
+                                       resolve_structs, surface)
 from veilspark.functions.tokens import decrypt_token, make_token, wrap
 from veilspark.operators.detect import pattern_spans
 
 
-def rebuild_text(text: Column, spans: Column, replacements: Column) -> Column:
-    """Replace each (sorted, disjoint) span by the aligned replacement string."""
-    def piece(s, i):
-        prev_end = F.when(i == 0, F.lit(0)).otherwise(F.element_at(spans, i)["end"])
-        return F.concat(F.substring(text, prev_end + 1, s["start"] - prev_end),
-                        F.element_at(replacements, i + 1))
+def rebuild_text(text: Column, items: Column) -> Column:
+    """Replace each (sorted, disjoint) ``items[i].start..end`` by ``items[i].repl``.
 
-    last_end = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))
-    body = F.array_join(F.transform(spans, piece), "")
-    tail = F.substring(text, last_end + 1, F.greatest(F.length(text) - last_end, F.lit(0)))
-    return F.when(F.size(spans) > 0, F.concat(body, tail)).otherwise(text)
+    One left-to-right fold; ``items`` is consumed once.
+    """
+    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, x):
+        gap = F.substring(text, acc["pos"] + 1, x["start"] - acc["pos"])
+        return F.struct(x["end"].alias("pos"), F.array_append(F.array_append(acc["out"], gap), x["repl"])
+                        .alias("out"))
+
+    folded = F.aggregate(items, init, step, lambda acc: F.concat(
+        F.array_join(acc["out"], ""),
+        F.substring(text, acc["pos"] + 1, F.greatest(F.length(text) - acc["pos"], F.lit(0)))))
+    return folded
 
 
 def anonymize_column(df: DataFrame, col: str, secret: str, *, mode: str = "aes",
@@ -43,21 +48,20 @@ def anonymize_column(df: DataFrame, col: str, secret: str, *, mode: str = "aes",
     with a dictionary), else from the pattern detectors.  Same entity within
     the row (under ``resolution``) shares one token.  ``scope`` names a column
     mixed into the IV so that one value gets different tokens in different
-    rows/sessions.
+    rows/sessions.  Each stage consumes the previous array exactly once.
     """
     out_col = out_col or col
     t = F.col(col)
     raw = F.col(spans_col) if spans_col else pattern_spans(t, types, threshold)
-    tmp = f"__anon_{col}"
-    d = df.withColumn(tmp + "_s", merge_spans(drop_cross_type_overlaps(raw)))
-    d = d.withColumn(tmp + "_v", F.transform(F.col(tmp + "_s"), lambda s: surface(t, s)))
-    d = d.withColumn(tmp + "_r", resolve_entities(F.col(tmp + "_v"), resolution))
+    merged = merge_spans(drop_cross_type_overlaps(raw))
+    items = F.transform(merged, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
+                                                   surface(t, s).alias("v")))
+    resolved = resolve_structs(items, resolution)
     scope_c = F.col(scope) if scope else None
-    d = d.withColumn(tmp + "_t", F.transform(
-        F.col(tmp + "_r"), lambda r: wrap(make_token(r, secret, mode, salt, scope_c), delim)))
-    d = d.withColumn(out_col, F.when(t.isNull(), t).otherwise(
-        rebuild_text(t, F.col(tmp + "_s"), F.col(tmp + "_t"))))
-    return d.drop(tmp + "_s", tmp + "_v", tmp + "_r", tmp + "_t")
+    with_tok = F.transform(resolved, lambda e: F.struct(
+        e["start"].alias("start"), e["end"].alias("end"),
+        wrap(make_token(e["rep"], secret, mode, salt, scope_c), delim).alias("repl")))
+    return df.withColumn(out_col, F.when(t.isNull(), t).otherwise(rebuild_text(t, with_tok)))
 
 
 def anonymize(df: DataFrame, cols, secret: str, **kw) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.functions.pii import (DETECTORS, GAZETTEER_TYPES, SCORES, detector_spans,
                                      normalize_types)
@@ -28,7 +29,20 @@ def pattern_spans(text: Column, types=None, threshold: float = 0.0) -> Column:
     wanted = [t for t in normalize_types(types) if t in DETECTORS]
     if not wanted:
         return F.array().cast(SPANS)
-    parts = [detector_spans(text, DETECTORS[t]) for t in wanted]
+    # Cheap guards skip whole groups of detectors on rows that cannot match:
+    # every numeric detector needs a digit, the e-mail detector needs an '@'.
+    empty = F.array().cast(SPANS)
+    groups: dict[str, list] = {}
+    for t in wanted:
+        groups.setdefault(DETECTORS[t].needs or "", []).append(detector_spans(text, DETECTORS[t]))
+    parts = []
+    for need, dets in groups.items():
+        spans = dets[0] if len(dets) == 1 else F.concat(*dets)
+        if need == "digit":
+            spans = F.when(text.rlike("[0-9]"), spans).otherwise(empty)
+        elif need:
+            spans = F.when(F.instr(text, need) > 0, spans).otherwise(empty)
+        parts.append(spans)
     allspans = parts[0] if len(parts) == 1 else F.concat(*parts)
     if threshold > 0:
         allspans = F.filter(allspans, lambda s: s["score"] >= F.lit(threshold))
@@ -36,13 +50,26 @@ def pattern_spans(text: Column, types=None, threshold: float = 0.0) -> Column:
 
 
 def phrase_candidates(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """One row per 1..3-word phrase: (key, start, end, phrase).  Narrow."""
+    """One row per 1..3-word phrase: (key, start, end, phrase).  Narrow.
+
+    A single fold slides over the tokens keeping the two previous starts, so
+    the token array is produced and read once per row.
+    """
     toks = regex_matches(F.col(text_col), PHRASE_TOKEN_RX)
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MAX_PHRASE_WORDS)), lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(0))),
-        lambda i: F.struct(F.element_at(toks, i)["start"].alias("start"),
-                           F.element_at(toks, i + n - 1)["end"].alias("end")))))
-    grams = F.when(F.size(toks) > 0, grams).otherwise(F.array())
+    gram = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()),
+                                     T.StructField("end", T.IntegerType())]))
+    init = F.struct(F.lit(None).cast("int").alias("p1"), F.lit(None).cast("int").alias("p2"),
+                    F.array().cast(gram).alias("out"))
+
+    def step(acc, x):
+        new = F.filter(F.array(
+            F.struct(x["start"].alias("start"), x["end"].alias("end")),
+            F.struct(acc["p1"].alias("start"), x["end"].alias("end")),
+            F.struct(acc["p2"].alias("start"), x["end"].alias("end"))), lambda g: g["start"].isNotNull())
+        return F.struct(x["start"].alias("p1"), acc["p1"].alias("p2"),
+                        F.concat(acc["out"], new).alias("out"))
+
+    grams = F.aggregate(toks, init, step, lambda acc: acc["out"])
     g = df.select(F.col(key_col), F.col(text_col), F.explode(grams).alias("g"))
     return g.select(F.col(key_col), F.col("g.start").alias("start"), F.col("g.end").alias("end"),
                     F.substring(F.col(text_col), F.col("g.start") + 1,
