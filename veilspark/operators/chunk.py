@@ -93,12 +93,14 @@ def chunk_documents(df: DataFrame, text_col: str = "text", *, splitter: str = "s
     d = d.withColumn("_n", word_counts(F.col("_pieces")))
     d = d.withColumn("_ends", emitted_ends(F.col("_n"), min_words)) \
         .withColumn("_starts", window_starts(F.col("_n"), max_words, overlap, min_words))
-    d = d.select(*keep, *([meta_col] if meta_col else []), "_pieces",
-                 F.posexplode(F.arrays_zip(F.col("_starts").alias("s"), F.col("_ends").alias("e")))
-                 .alias("_pos", "_w"))
-    content = F.array_join(F.slice("_pieces", F.col("_w.s"), F.col("_w.e") - F.col("_w.s") + 1), ". ")
-    out = d.select(*keep, *([meta_col] if meta_col else []),
-                   (F.col("_pos") + 1).cast("int").alias("chunk_no"), content.alias("content"))
+    # Build each window's text before exploding, so an output row carries only
+    # its own content (never the document's whole piece array).
+    windows = F.transform(F.arrays_zip(F.col("_starts").alias("s"), F.col("_ends").alias("e")),
+                          lambda w, i: F.struct((i + 1).cast("int").alias("chunk_no"), F.array_join(
+                              F.slice(F.col("_pieces"), w["s"], w["e"] - w["s"] + 1), ". ").alias("content")))
+    d = d.select(*keep, *([meta_col] if meta_col else []), F.explode(windows).alias("_w"))
+    out = d.select(*keep, *([meta_col] if meta_col else []), F.col("_w.chunk_no").alias("chunk_no"),
+                   F.col("_w.content").alias("content"))
     if meta_col:
         out = out.withColumn(meta_col, merge_metadata(
             F.create_map(F.lit("chunk"), F.col("chunk_no").cast("string")), F.col(meta_col)))

@@ -34,8 +34,14 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+# Text-heavy tables and the key their rows are spread by (see sizing.balance).
+TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from veilspark.plans.sizing import balance
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balance(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 # ---------------------------------------------------------------- P1 detectors

@@ -26,3 +26,25 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
     Catalyst/AQE, which handles any size.
     """
     return F.broadcast(df) if row_count_at_most(df, max_rows) is not None else df
+
+
+def target_partitions(spark, factor: int = 2) -> int:
+    """Enough tasks to keep every core busy: ``factor`` x default parallelism."""
+    return max(1, spark.sparkContext.defaultParallelism * factor)
+
+
+def balance(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
+    """Spread CPU-heavy text rows over all cores when the scan yields too few splits.
+
+    Parquet splits only at row-group boundaries, so a file written as one
+    large row group is read by one task however big it is.  When the scan
+    has fewer partitions than the cluster's parallelism, rows are hash-
+    partitioned by ``key`` (deterministic under retries, and co-partitioned
+    for later joins on the key); a large input that already has enough splits
+    is left alone, so no shuffle is added at scale.
+    """
+    spark = df.sparkSession
+    n = target_partitions(spark, factor)
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, key) if key else df.repartition(n)
