@@ -84,5 +84,6 @@ def expand_aliases(df: DataFrame, token_map: DataFrame, text_col: str, session_c
 
 def delete_sessions(token_map: DataFrame, sessions: DataFrame, session_col: str = "session_id") -> DataFrame:
     """drop every alias of the given sessions (anti join)."""
+    from veilspark.plans.sizing import broadcast_if_small
     s = sessions.select(F.col(session_col).alias("session_id")).distinct()
-    return token_map.join(s, "session_id", "left_anti")
+    return token_map.join(broadcast_if_small(s), "session_id", "left_anti")

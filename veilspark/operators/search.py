@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.fixed import DEFAULT_K
-from veilspark.plans.sizing import row_count_at_most
 
 DEFAULT_BLOCK_ROWS = 50_000
 _MARGIN = 8
@@ -145,17 +144,18 @@ def knn(queries: DataFrame, collection: DataFrame, *, k: int = DEFAULT_K, metric
                             _key_expr(qcols).alias("mkey")).where(F.size("vec") == F.lit(dim))
     coll = collection.withColumn("_mkey", _key_expr(ccols)).where(F.size(c_vec) == F.lit(dim))
 
-    n = row_count_at_most(probes, block_rows)
-    if n is not None:
-        blocks = [probes]
+    # One bounded collect both proves the probe side small and fetches it;
+    # only a larger probe side is split into hash blocks (one scan each).
+    first = probes.limit(block_rows + 1).toPandas()
+    if len(first) <= block_rows:
+        pdfs = [first]
     else:
         total = probes.count()
         nb = math.ceil(total / block_rows)
         bucket = F.pmod(F.xxhash64("qid"), F.lit(nb))
-        blocks = [probes.where(bucket == b) for b in range(nb)]
+        pdfs = (probes.where(bucket == b).toPandas() for b in range(nb))
     parts = []
-    for blk in blocks:
-        pdf = blk.toPandas()
+    for pdf in pdfs:
         if len(pdf) == 0:
             continue
         parts.append(_candidates(coll, pdf, c_id=c_id, c_vec=c_vec, payload=payload,

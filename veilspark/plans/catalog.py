@@ -38,10 +38,11 @@ def register(name: str, oracle: str | None = None):
 TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = True) -> DataFrame:
+    """Read a driver table; CPU-heavy text work gets its rows spread (``balanced``)."""
     from veilspark.plans.sizing import balance
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return balance(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+    return balance(df, TEXT_TABLES[name]) if balanced and name in TEXT_TABLES else df
 
 
 # ---------------------------------------------------------------- P1 detectors
@@ -234,7 +235,7 @@ register("resolve_containment", _resolve_oracle("CONTAINMENT"))(_resolve_query("
   source AS doc, lang FROM documents""")
 def q_load_bulk(spark, sf_dir):
     from veilspark.sources.documents import to_documents
-    raw = table(spark, sf_dir, "documents")
+    raw = table(spark, sf_dir, "documents", balanced=False)
     d = to_documents(raw, resource=F.concat(F.lit("doc-"), F.col("doc_id").cast("string")),
                      name=F.col("source"), extra_meta={"lang": "lang"})
     return d.select("resource", "text", F.col("metadata")["doc"].alias("doc"),
@@ -246,7 +247,7 @@ def q_load_bulk(spark, sf_dir):
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def q_load_resource(spark, sf_dir):
     from veilspark.sources.documents import load_resources, to_documents
-    docs = to_documents(table(spark, sf_dir, "documents"), resource=F.col("doc_id"))
+    docs = to_documents(table(spark, sf_dir, "documents", balanced=False), resource=F.col("doc_id"))
     lab = table(spark, sf_dir, "labels")
     req = lab.select(F.col("doc_id").cast("string").alias("resource"),
                      F.when(F.col("quality") == 1, F.concat(F.lit("good-"), F.col("doc_id").cast("string")))
@@ -328,7 +329,8 @@ register("chunk_sentence", chunk_sql(40, 10, splitter="sentence"))(_chunk_query(
 FROM (SELECT doc_id, pieces, unnest(generate_series(1, len(pieces))) AS i FROM ({_pieces_sql('simple')}))""")
 def q_split_simple(spark, sf_dir):
     from veilspark.operators.chunk import split_simple
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_simple(F.col("text"))))
+    d = table(spark, sf_dir, "documents", balanced=False).select(
+        "doc_id", F.posexplode(split_simple(F.col("text"))))
     return d.select("doc_id", (F.col("pos") + 1).cast("int").alias("piece_no"), F.col("col").alias("piece"))
 
 
@@ -383,7 +385,8 @@ FROM ({chunk_sql(256, 10)}) k JOIN documents d ON k.doc_id = d.doc_id"""
 @register("embed_truncate", "SELECT doc_id, array_to_string(string_split(text, ' ')[1:16], ' ') AS text FROM documents")
 def q_embed_truncate(spark, sf_dir):
     from veilspark.operators.embed import truncate_words
-    return table(spark, sf_dir, "documents").select("doc_id", truncate_words(F.col("text"), 16).alias("text"))
+    return table(spark, sf_dir, "documents", balanced=False).select(
+        "doc_id", truncate_words(F.col("text"), 16).alias("text"))
 
 
 @register("embed_hash", f"""WITH ch AS ({CHUNKS_SQL})
@@ -428,7 +431,7 @@ register("vector_score", knn_sql("l2", 1, False))(_knn_query("l2", 1, False))
 @register("metadata_filter", """SELECT doc_id FROM documents WHERE lang = 'en' AND source IS NOT NULL""")
 def q_metadata_filter(spark, sf_dir):
     from veilspark.operators.search import metadata_contains
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", balanced=False)
     meta = F.create_map(F.lit("doc"), F.col("source"), F.lit("lang"), F.col("lang"))
     probe = F.create_map(F.lit("lang"), F.lit("en"))
     return d.where(metadata_contains(meta, probe) & metadata_contains(meta, {})).select("doc_id")

@@ -66,15 +66,20 @@ def alias_stream(stream: DataFrame, *, text_col: str, session_col: str, row_key:
                  text_sink: str, map_sink: str, checkpoint: str, available_now: bool = True):
     """Alias tokens per batch; map rows carry ``last_used`` (the batch time)."""
     def batch(bdf: DataFrame, batch_id: int) -> None:
-        text, amap = alias_tokens(bdf, text_col, session_col, row_key)
-        text.write.mode("overwrite").parquet(f"{text_sink}/batch={batch_id}")
-        amap.withColumn("last_used", F.current_timestamp()) \
-            .write.mode("overwrite").parquet(f"{map_sink}/batch={batch_id}")
+        bdf = bdf.persist()          # two outputs read the batch; compute it once
+        try:
+            text, amap = alias_tokens(bdf, text_col, session_col, row_key)
+            text.write.mode("overwrite").parquet(f"{text_sink}/batch={batch_id}")
+            amap.withColumn("last_used", F.current_timestamp()) \
+                .write.mode("overwrite").parquet(f"{map_sink}/batch={batch_id}")
+        finally:
+            bdf.unpersist()
     return _writer(stream, checkpoint, available_now).foreachBatch(batch).start()
 
 
 def purge_idle_sessions(token_map: DataFrame, *, ttl_seconds: int, as_of: Column) -> DataFrame:
     """X4 expiry: keep sessions used within the TTL (partial max per session, no collect)."""
     last = token_map.groupBy("session_id").agg(F.max("last_used").alias("_last"))
+    from veilspark.plans.sizing import broadcast_if_small
     live = last.where(F.col("_last") + F.make_dt_interval(secs=F.lit(int(ttl_seconds))) >= as_of)
-    return token_map.join(live.select("session_id"), "session_id", "left_semi")
+    return token_map.join(broadcast_if_small(live.select("session_id")), "session_id", "left_semi")
