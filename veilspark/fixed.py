@@ -50,10 +50,10 @@ CACHE_THRESHOLD = 0.1            # miss when score >= this
 CACHE_TTL_SECONDS = 604800       # 7 days
 ALIAS_LEN = 7                    # characters of a short alias
 
-# Python's str.split() whitespace set, as one regex character class that
-# Java regex and RE2 read the same way.
-WS_CLASS = (
-    r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
-WORD_RX = WS_CLASS[:1] + "^" + WS_CLASS[1:] + "+"   # a maximal run of non-blanks
+# Python's str.split() whitespace set, as characters and as one regex
+# character class that Java regex and RE2 read the same way.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+WS_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in WS_CHARS) + "]"
+WORD_RX = "[^" + WS_CLASS[1:] + "+"   # a maximal run of non-blanks

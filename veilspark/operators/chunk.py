@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.fixed import DEFAULT_MIN_CHUNK, DEFAULT_OVERLAP, WORD_RX
+from veilspark.fixed import DEFAULT_MIN_CHUNK, DEFAULT_OVERLAP, WS_CHARS
 
 # --- fixed values: sentence splitting ---------------------------------------
 SENTENCE_END = r"([.!?])[\t\n\f\r ]+"
@@ -44,9 +44,16 @@ def split_sentences(text: Column) -> Column:
     return F.transform(F.split(t, _CUT, -1), lambda s: F.replace(s, F.lit(_PROTECT), F.lit(".")))
 
 
+def blank_words(text: Column) -> Column:
+    """Python ``s.split()``: map every Unicode blank to ' ' (a character map,
+    no regex), split on the single space, drop the empty pieces."""
+    return F.filter(F.split(F.translate(text, WS_CHARS, " " * len(WS_CHARS)), " ", -1),
+                    lambda w: w != "")
+
+
 def word_counts(pieces: Column) -> Column:
     """Python ``len(s.split())`` for each piece."""
-    return F.transform(pieces, lambda p: F.regexp_count(p, F.lit(WORD_RX)))
+    return F.transform(pieces, lambda p: F.size(blank_words(p)))
 
 
 def window_starts(counts: Column, max_words: int, overlap: int, min_words: int) -> Column:

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.fixed import PURGED_TEXT, WS_CLASS
+from veilspark.fixed import PURGED_TEXT
+from veilspark.operators.chunk import blank_words
 
 Modifier = Callable[[Column], Column]
 
@@ -128,7 +129,7 @@ def remove_stop_words(stop_words=None) -> Modifier:
     lit_words = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
     def fn(c: Column) -> Column:
-        toks = F.filter(F.split(c, WS_CLASS + "+", -1), lambda w: w != "")
+        toks = blank_words(c)
         kept = F.filter(toks, lambda w: ~F.array_contains(lit_words, F.translate(w, LOWER_FROM, LOWER_TO)))
         return F.array_join(F.transform(kept, lambda w: F.regexp_replace(w, r"[^\x00-\x7F]", "")), " ")
     return fn

@@ -35,7 +35,7 @@ def register(name: str, oracle: str | None = None):
 
 
 # Text-heavy tables and the key their rows are spread by (see sizing.balance).
-TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "customer": "c_custkey"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = True) -> DataFrame:
