@@ -154,6 +154,11 @@ def knn(queries: DataFrame, collection: DataFrame, *, k: int = DEFAULT_K, metric
         nb = math.ceil(total / block_rows)
         bucket = F.pmod(F.xxhash64("qid"), F.lit(nb))
         pdfs = (probes.where(bucket == b).toPandas() for b in range(nb))
+        # Several scans follow: materialize the collection once in the shared
+        # checkpoint folder instead of recomputing its lineage per block.
+        from veilspark.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(coll.sparkSession)
+        coll = coll.checkpoint(eager=True)
     parts = []
     for pdf in pdfs:
         if len(pdf) == 0:

@@ -957,3 +957,26 @@ def q_stream_alias_map(spark, sf_dir):
     _run(alias_stream(s, text_col="text", session_col="source", row_key="doc_id", text_sink=sink,
                       map_sink=msink, checkpoint=ckpt))
     return spark.read.option("recursiveFileLookup", "true").parquet(msink).select("session_id", "alias", "token")
+
+
+# ---------------------------------------------------------------- DATE_TIME on order text
+def order_text(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    d = F.col("o_orderdate")
+    text = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" placed "),
+                    F.date_format(d, "yyyy-MM-dd"), F.lit(" at "), F.date_format(d, "HH:mm"),
+                    F.lit(", ship by "), F.date_format(d, "MM/dd/yyyy"), F.lit(", confirm on "),
+                    F.date_format(d, "MMMM d, yyyy"), F.lit(" ("), F.col("o_orderpriority"), F.lit(")."))
+    return o.select("o_orderkey", text.alias("text"))
+
+
+ORDER_TEXT_SQL = """SELECT o_orderkey, 'Order ' || CAST(o_orderkey AS VARCHAR) || ' placed ' || strftime(o_orderdate, '%Y-%m-%d')
+  || ' at ' || strftime(o_orderdate, '%H:%M') || ', ship by ' || strftime(o_orderdate, '%m/%d/%Y')
+  || ', confirm on ' || strftime(o_orderdate, '%B %-d, %Y') || ' (' || o_orderpriority || ').' AS text FROM orders"""
+
+
+@register("pii_date_orders", f"""WITH ot AS ({ORDER_TEXT_SQL})
+SELECT o_orderkey, start, "end", pii_type, score, value FROM ({S.type_spans_sql('ot', 'o_orderkey', 'text', 'DATE_TIME')})""")
+def q_pii_date_orders(spark, sf_dir):
+    d = detect_pii(order_text(spark, sf_dir), "text", types=["DATE_TIME"])
+    return explode_spans(d, "o_orderkey").select("o_orderkey", "start", "end", "pii_type", "score", "value")
