@@ -124,7 +124,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 def name_dictionary(spark, sf_dir) -> DataFrame:
     """Gazetteer (term, pii_type) derived from the tables: people and places."""
-    people = table(spark, sf_dir, "customer").select(F.col("c_name").alias("term"),
+    people = table(spark, sf_dir, "customer", balanced=False).select(F.col("c_name").alias("term"),
                                                      F.lit("PERSON").alias("pii_type"))
     nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("term"),
                                                     F.lit("LOCATION").alias("pii_type"))
