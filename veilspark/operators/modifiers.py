@@ -186,3 +186,28 @@ def purge_toxic(threshold: float, lexicon: list[str]) -> Modifier:
         raise ValueError("threshold must be in [0, 1]")
     return lambda c: F.when(toxicity_score(toxic_hits(c, lexicon)) > F.lit(threshold),
                             F.lit(PURGED_TEXT)).otherwise(c)
+
+
+def toxicity_classifier(labeled: DataFrame, *, text_col: str = "text", label_col: str = "toxic",
+                        num_features: int = 1 << 16, max_iter: int = 20, reg: float = 0.01):
+    """T4 (model form): bag-of-words linear SVM trained on labelled texts.
+
+    Regex tokenizer → hashing TF → ``LinearSVC`` (distributed gradient
+    aggregation).  The hashed training features are computed once and
+    persisted for the iterations, then released; the returned
+    ``PipelineModel`` scores any DataFrame with a ``text_col`` column.
+    """
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tox_words", pattern="[^a-zA-Z]+", toLowercase=True)
+    tf = HashingTF(inputCol="_tox_words", outputCol="_tox_tf", numFeatures=num_features)
+    feats = tf.transform(tok.transform(labeled)).select(
+        F.col(label_col).cast("double").alias("_tox_label"), "_tox_tf").persist()
+    try:
+        svm = LinearSVC(featuresCol="_tox_tf", labelCol="_tox_label", maxIter=max_iter,
+                        regParam=reg).fit(feats)
+    finally:
+        feats.unpersist()
+    return PipelineModel(stages=[tok, tf, svm])

@@ -980,3 +980,26 @@ SELECT o_orderkey, start, "end", pii_type, score, value FROM ({S.type_spans_sql(
 def q_pii_date_orders(spark, sf_dir):
     d = detect_pii(order_text(spark, sf_dir), "text", types=["DATE_TIME"])
     return explode_spans(d, "o_orderkey").select("o_orderkey", "start", "end", "pii_type", "score", "value")
+
+
+# ---------------------------------------------------------------- P6 with malformed input
+@register("deanonymize", """SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE text END AS text,
+  lang = 'de' AS malformed FROM documents""")
+def q_deanonymize(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    anon = anonymize(docs, "text", DEMO_SECRET, mode="aes", types=PATTERN_ALL, threshold=0.5,
+                     salt=DEMO_SALT, scope="doc_id")
+    # German rows get a stray delimiter appended: their text must come back NULL and flagged.
+    tampered = anon.withColumn("text", F.when(F.col("lang") == "de", F.concat("text", F.lit("α")))
+                               .otherwise(F.col("text")))
+    return deanonymize(tampered, "text", DEMO_SECRET).select("doc_id", "text", "malformed")
+
+
+# ---------------------------------------------------------------- T4 classifier (rows-only)
+@register("toxicity_model")
+def q_toxicity_model(spark, sf_dir):
+    from veilspark.operators.modifiers import toxicity_classifier
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity_classifier(docs.join(labels, "doc_id"), text_col="text", label_col="toxic")
+    return model.transform(docs).select("doc_id", F.col("prediction").cast("int").alias("is_toxic"))
