@@ -22,12 +22,14 @@ def _brute(rows, k, metric, same_label):
 
 @pytest.mark.parametrize("metric", ["l2", "inner"])
 @pytest.mark.parametrize("same_label", [True, False])
-def test_knn_matches_brute_force(spark, sf_small, metric, same_label):
+@pytest.mark.parametrize("block_rows", [50_000, 60])     # broadcast path / salted cogroup path
+def test_knn_matches_brute_force(spark, sf_small, metric, same_label, block_rows):
     e = spark.read.parquet(f"{sf_small}/embeddings.parquet")
     rows = e.collect()
     q = e.select(F.col("vec_id").alias("qid"), "embedding", F.col("label").alias("ql"))
     c = e.select(F.col("vec_id").alias("id"), "embedding", "label")
-    res = knn(q, c, k=4, metric=metric, match=[("ql", "label")] if same_label else None)
+    res = knn(q, c, k=4, metric=metric, match=[("ql", "label")] if same_label else None,
+              block_rows=block_rows)
     got = {}
     for r in res.collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
@@ -61,3 +63,14 @@ def test_metadata_contains(spark):
     assert df.where(metadata_contains(F.col("m"), {"doc": "a", "x": "2"})).count() == 0
     probe = F.create_map(F.lit("doc"), F.lit("b"))
     assert df.where(metadata_contains(F.col("m"), probe)).count() == 1
+
+
+def test_hot_key_is_split(spark, sf_small):
+    """One key holding most rows: the salted path still returns exact results."""
+    e = spark.read.parquet(f"{sf_small}/embeddings.parquet")
+    hot = F.when(F.col("label") < 8, F.lit(0)).otherwise(F.col("label"))
+    q = e.select(F.col("vec_id").alias("qid"), "embedding", hot.alias("ql"))
+    c = e.select(F.col("vec_id").alias("id"), "embedding", hot.alias("label"))
+    a = {(r["qid"], r["rank"], r["id"]) for r in knn(q, c, k=3, match=[("ql", "label")]).collect()}
+    b = {(r["qid"], r["rank"], r["id"]) for r in knn(q, c, k=3, match=[("ql", "label")], block_rows=40).collect()}
+    assert a == b

@@ -2,8 +2,10 @@
 
 Plan shape (never a cross join, never all pairs on the wire):
 
-1. The probe side is split into blocks whose row count is checked against a
-   bound; each block is broadcast (one small matrix).
+1. The probe side is broadcast when a bounded probe proves it small (the
+   usual case: requests against a large collection).  A larger probe side
+   takes the distributed path :func:`_knn_cogroup` instead (salted groups,
+   no driver round trip).
 2. ``mapInArrow`` over the collection: per Arrow batch a numpy matmul gives
    approximate distances to the block's probes, ``argpartition`` keeps a few
    more than k candidates per probe, and their exact distances are recomputed
@@ -16,8 +18,6 @@ Plan shape (never a cross join, never all pairs on the wire):
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -116,6 +116,70 @@ def _candidates(coll: DataFrame, probe_pdf, *, c_id: str, c_vec: str, payload: l
     return src.mapInArrow(run, out_schema)
 
 
+def _top_k_local(Q, X, k, metric):
+    """Candidate indices and exact distances of the k nearest rows of X per row of Q."""
+    if metric == "l2":
+        approx = (Q * Q).sum(1)[:, None] + (X * X).sum(1)[None, :] - 2.0 * (Q @ X.T)
+    else:
+        approx = -(Q @ X.T)
+    kk = min(X.shape[0], k + _MARGIN)
+    if kk < X.shape[0]:
+        cand = np.argpartition(approx, kk - 1, axis=1)[:, :kk]
+    else:
+        cand = np.broadcast_to(np.arange(X.shape[0]), (Q.shape[0], X.shape[0]))
+    Xc = X[cand]
+    exact = np.sqrt(((Xc - Q[:, None, :]) ** 2).sum(-1)) if metric == "l2" else -(Xc * Q[:, None, :]).sum(-1)
+    return cand, exact
+
+
+def _knn_cogroup(probes: DataFrame, coll: DataFrame, *, c_id: str, c_vec: str, payload: list[str],
+                 k: int, metric: str, dim: int, group_rows: int) -> DataFrame:
+    """Distributed exact k-NN for a large probe side, safe for hot keys.
+
+    Per match key, the collection is split into ``ceil(n_c / group_rows)``
+    salts and the probes into ``ceil(n_q / group_rows)`` blocks; probes are
+    replicated over the key's salts and collection rows over the key's probe
+    blocks, so every (key, salt, block) group holds at most ``group_rows`` rows
+    of each side however large one key is.  Groups meet in
+    ``cogroup().applyInPandas`` (numpy matmul + local top-k); the caller's
+    window keeps the global top-k.
+    """
+    from veilspark.plans.sizing import broadcast_if_small
+    keys = coll.groupBy(F.col("_mkey").alias("mkey")).agg(F.count("*").alias("n_c")) \
+        .join(probes.groupBy("mkey").agg(F.count("*").alias("n_q")), "mkey") \
+        .select("mkey", F.ceil(F.col("n_c") / group_rows).cast("int").alias("n_salt"),
+                F.ceil(F.col("n_q") / group_rows).cast("int").alias("n_blk"))
+    keys = broadcast_if_small(keys)
+    px = probes.join(keys, "mkey").select(
+        "qid", "vec", "mkey", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)).alias("salt"),
+        F.pmod(F.xxhash64("qid"), F.col("n_blk")).cast("int").alias("blk"))
+    cx = coll.join(keys, coll["_mkey"] == keys["mkey"]).select(
+        F.col(c_id).cast("long").alias(c_id), F.col(c_vec), F.col("mkey"), *payload,
+        F.pmod(F.xxhash64(c_id), F.col("n_salt")).cast("int").alias("salt"),
+        F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("blk"))
+    out_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField(c_id, T.LongType()),
+                               T.StructField("distance", T.DoubleType())]
+                              + [coll.schema[p] for p in payload])
+    cols = ["qid", c_id, "distance"] + payload
+
+    def group(qdf, cdf):
+        import pandas as pd
+        if len(qdf) == 0 or len(cdf) == 0:
+            return pd.DataFrame({c: [] for c in cols})
+        Q = np.stack([np.asarray(v, dtype=np.float64) for v in qdf["vec"]])
+        X = np.stack([np.asarray(v, dtype=np.float64) for v in cdf[c_vec]])
+        cand, exact = _top_k_local(Q, X, k, metric)
+        flat = cand.reshape(-1)
+        res = {"qid": np.repeat(qdf["qid"].to_numpy(np.int64), cand.shape[1]),
+               c_id: cdf[c_id].to_numpy(np.int64)[flat], "distance": exact.reshape(-1)}
+        for p in payload:
+            res[p] = cdf[p].to_numpy(object)[flat]
+        return pd.DataFrame(res, columns=cols)
+
+    return px.groupBy("mkey", "salt", "blk").cogroup(cx.groupBy("mkey", "salt", "blk")) \
+        .applyInPandas(group, out_schema)
+
+
 def knn(queries: DataFrame, collection: DataFrame, *, k: int = DEFAULT_K, metric: str = "l2",
         q_id: str = "qid", q_vec: str = "embedding", c_id: str = "id", c_vec: str = "embedding",
         match: list[tuple[str, str]] | None = None, payload: list[str] | None = None,
@@ -144,26 +208,14 @@ def knn(queries: DataFrame, collection: DataFrame, *, k: int = DEFAULT_K, metric
                             _key_expr(qcols).alias("mkey")).where(F.size("vec") == F.lit(dim))
     coll = collection.withColumn("_mkey", _key_expr(ccols)).where(F.size(c_vec) == F.lit(dim))
 
-    # One bounded collect both proves the probe side small and fetches it;
-    # only a larger probe side is split into hash blocks (one scan each).
+    # One bounded collect both proves the probe side small and fetches it.
     first = probes.limit(block_rows + 1).toPandas()
-    if len(first) <= block_rows:
-        pdfs = [first]
-    else:
-        total = probes.count()
-        nb = math.ceil(total / block_rows)
-        bucket = F.pmod(F.xxhash64("qid"), F.lit(nb))
-        pdfs = (probes.where(bucket == b).toPandas() for b in range(nb))
-        # Several scans follow: materialize the collection once in the shared
-        # checkpoint folder instead of recomputing its lineage per block.
-        from veilspark.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(coll.sparkSession)
-        coll = coll.checkpoint(eager=True)
     parts = []
-    for pdf in pdfs:
-        if len(pdf) == 0:
-            continue
-        parts.append(_candidates(coll, pdf, c_id=c_id, c_vec=c_vec, payload=payload,
+    if len(first) > block_rows:
+        parts.append(_knn_cogroup(probes, coll, c_id=c_id, c_vec=c_vec, payload=payload, k=k,
+                                  metric=metric, dim=dim, group_rows=block_rows))
+    elif len(first):
+        parts.append(_candidates(coll, first, c_id=c_id, c_vec=c_vec, payload=payload,
                                  k=k, metric=metric, dim=dim))
     if not parts:
         empty = collection.sparkSession.createDataFrame([], T.StructType(
