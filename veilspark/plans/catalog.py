@@ -868,7 +868,8 @@ def q_toxicity_purge(spark, sf_dir):
 
 
 @register("toxicity_flag", f"""WITH lex AS (SELECT coalesce(list(word), []) AS words FROM ({TOX_LEXICON_SQL}))
-SELECT conv_id, turn, {_tox_hits_sql('text')} AS hits, {_tox_hits_sql('text')} > 0 AS is_toxic FROM conversations, lex""")
+SELECT conv_id, turn, CAST({_tox_hits_sql('text')} AS INTEGER) AS hits, {_tox_hits_sql('text')} > 0 AS is_toxic
+FROM conversations, lex""")
 def q_toxicity_flag(spark, sf_dir):
     from veilspark.operators.modifiers import toxic_hits, toxicity_score
     lex = _lexicon(spark, sf_dir)

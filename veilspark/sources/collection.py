@@ -116,8 +116,9 @@ class Collection:
     def delete_by_content(self, keys: DataFrame, content_col: str = "content") -> None:
         """Drop *every* node whose content equals a key's content."""
         v = self._current()
+        from veilspark.plans.sizing import broadcast_if_small
         k = keys.select(F.col(content_col).alias("content")).distinct()
-        survivors = self.scan().join(k, "content", "left_anti")
+        survivors = self.scan().join(broadcast_if_small(k), "content", "left_anti")
         survivors.write.mode("overwrite").parquet(f"{self._vpath(v + 1)}/part-0")
         self._write_pointer(v + 1)
 
