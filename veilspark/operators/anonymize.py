@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.fixed import EQUALITY, TOKEN_DELIM
-from veilspark.functions.spans import (drop_cross_type_overlaps, merge_spans,
+from veilspark.functions.spans import (drop_cross_type_overlaps, merge_spans, regex_matches,
                                        resolve_structs, surface)
 from veilspark.functions.tokens import decrypt_token, make_token, wrap
 from veilspark.operators.detect import pattern_spans
@@ -80,14 +80,37 @@ def deanonymize_text(text: Column, secret: str, delim: str = TOKEN_DELIM) -> Col
     return F.when(ok, F.array_join(restored, ""))
 
 
+# --- fixed values: shape of a well-formed token (base64 of iv + >= 1 block) ---
+TOKEN_BODY_RX = "[A-Za-z0-9+/]{43,}={0,2}"
+
+
+def restore_tokens(text: Column, secret: str, delim: str = TOKEN_DELIM) -> Column:
+    """Lenient restore: only well-formed ``delim+base64+delim`` tokens that decrypt
+    are replaced; any other delimiter (e.g. Greek prose) is left as written."""
+    found = regex_matches(text, delim + TOKEN_BODY_RX + delim)
+    items = F.transform(found, lambda m: F.struct(
+        m["start"].alias("start"), m["end"].alias("end"),
+        F.coalesce(decrypt_token(F.substring(m["value"], 2, F.length(m["value"]) - 2), secret),
+                   m["value"]).alias("repl")))
+    return F.when(text.isNull(), text).otherwise(rebuild_text(text, items))
+
+
 def deanonymize(df: DataFrame, cols, secret: str, *, on_error: str = "null",
-                delim: str = TOKEN_DELIM, flag_col: str = "malformed") -> DataFrame:
+                delim: str = TOKEN_DELIM, flag_col: str = "malformed",
+                restore: str = "strict") -> DataFrame:
     """Restore tokens in ``cols``.
 
-    on_error: ``null`` — malformed text becomes NULL and ``flag_col`` is set;
-    ``raise`` — the job fails on the first malformed row (strict mode).
+    restore: ``strict`` — every delimiter pair must hold a valid token (the
+    reference rule); ``tokens`` — only well-formed tokens are restored, other
+    delimiters stay (for text that legitimately contains the delimiter).
+    on_error (strict): ``null`` — malformed text becomes NULL and ``flag_col``
+    is set; ``raise`` — the job fails on the first malformed row.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
+    if restore == "tokens":
+        for c in cols:
+            df = df.withColumn(c, restore_tokens(F.col(c), secret, delim))
+        return df.withColumn(flag_col, F.lit(False))
     flags = []
     for c in cols:
         df = df.withColumn(f"__r_{c}", deanonymize_text(F.col(c), secret, delim))
