@@ -59,3 +59,12 @@ def test_alias_round_trip_and_missing(spark):
     assert miss[1]["text"] is None and miss[1]["missing_alias"]
     left = delete_sessions(amap, spark.createDataFrame([("s1",)], "session_id string"))
     assert left.count() == 0
+
+
+def test_parse_records_flags_corrupt_rows(spark):
+    from veilspark.operators.context import parse_records
+    df = spark.createDataFrame([(1, '{"k": 1}'), (2, '{bad'), (3, None)], "id int, p string")
+    out = {r["id"]: r for r in parse_records(df, "p", "k int").collect()}
+    assert out[1]["record"]["k"] == 1 and not out[1]["corrupt"]
+    assert out[2]["corrupt"]
+    assert out[3]["record"] is None and not out[3]["corrupt"]
