@@ -45,12 +45,17 @@ class HashEmbedder:
 
         @F.pandas_udf(T.ArrayType(T.FloatType()))
         def _hist(col: pd.Series) -> pd.Series:
-            out = []
-            for b in col:
-                v = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-                ss = float(np.dot(v, v))
-                out.append((v / np.sqrt(ss) if ss > 0 else v).astype(np.float32))
-            return pd.Series(out)
+            # One bincount for the whole Arrow batch: cell = row * dim + bucket.
+            n = len(col)
+            lens = np.fromiter((0 if b is None else len(b) for b in col), dtype=np.int64, count=n)
+            flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in col if b is not None and len(b)]) \
+                if lens.sum() else np.empty(0, dtype=np.int64)
+            cells = np.repeat(np.arange(n, dtype=np.int64), lens) * dim + flat
+            m = np.bincount(cells, minlength=n * dim).reshape(n, dim).astype(np.float64)
+            norm = np.sqrt((m * m).sum(axis=1))
+            nz = norm > 0
+            m[nz] /= norm[nz, None]
+            return pd.Series(list(m.astype(np.float32)))
 
         return _hist(word_buckets(truncate_words(text, self.max_length), dim))
 
