@@ -7,10 +7,11 @@ Plan shape (never a cross join, never all pairs on the wire):
    takes the distributed path :func:`_knn_cogroup` instead (salted groups,
    no driver round trip).
 2. ``mapInArrow`` over the collection: per Arrow batch a numpy matmul gives
-   approximate distances to the block's probes, ``argpartition`` keeps a few
-   more than k candidates per probe, and their exact distances are recomputed
-   in float64.  Probes with match keys (e.g. ``doc = title``) only see
-   collection rows with the same key.
+   approximate distances to the probes, ``argpartition`` keeps a few more
+   than k candidates per probe, and their exact distances are recomputed in
+   float64; each task keeps a running exact top-k per probe across its
+   batches and emits at most k rows per probe.  Probes with match keys
+   (e.g. ``doc = title``) only see collection rows with the same key.
 3. A window ``row_number() over (qid order by distance, id) <= k`` merges the
    per-batch candidates; Spark applies the limit partially before the shuffle,
    so at most k rows per probe per task move.
@@ -68,16 +69,15 @@ def _candidates(coll: DataFrame, probe_pdf, *, c_id: str, c_vec: str, payload: l
     def run(batches):
         qids_, Q_, groups_ = bc.value
         qn = (Q_ * Q_).sum(1)
+        kept_q, kept_id, kept_d, kept_pay = [], [], [], [[] for _ in payload]
         for rb in batches:
             n = rb.num_rows
             if n == 0:
                 continue
-            emb = rb.column(c_vec)
-            X = emb.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
+            X = rb.column(c_vec).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
             ids = rb.column(c_id).to_numpy(zero_copy_only=False)
             mk = np.asarray(rb.column("_mkey").to_pylist(), dtype=object)
             xn = (X * X).sum(1)
-            rows_q, rows_x, dists = [], [], []
             for key in np.unique(mk):
                 pidx = groups_.get(key)
                 if pidx is None:
@@ -89,28 +89,43 @@ def _candidates(coll: DataFrame, probe_pdf, *, c_id: str, c_vec: str, payload: l
                 else:
                     approx = -(Qs @ Xs.T)
                 kk = min(len(xr), k + _MARGIN)
-                if kk < len(xr):
-                    cand = np.argpartition(approx, kk - 1, axis=1)[:, :kk]
-                else:
-                    cand = np.broadcast_to(np.arange(len(xr)), (len(pidx), len(xr)))
+                cand = np.argpartition(approx, kk - 1, axis=1)[:, :kk] if kk < len(xr) \
+                    else np.broadcast_to(np.arange(len(xr)), (len(pidx), len(xr)))
                 Xc = Xs[cand]                                  # (probes, kk, dim)
-                if metric == "l2":
-                    exact = np.sqrt(((Xc - Qs[:, None, :]) ** 2).sum(-1))
-                else:
-                    exact = -(Xc * Qs[:, None, :]).sum(-1)
-                rows_q.append(np.repeat(qids_[pidx], cand.shape[1]))
-                rows_x.append(xr[cand].reshape(-1))
-                dists.append(exact.reshape(-1))
-            if not rows_q:
-                continue
-            take = pa.array(np.concatenate(rows_x))
-            cols = [pa.array(np.concatenate(rows_q), pa.int64()),
-                    pa.array(ids, pa.int64()).take(take),
-                    pa.array(np.concatenate(dists), pa.float64())]
-            cols += [rb.column(p).take(take) for p in payload]
-            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(
-                [pa.field("qid", pa.int64()), pa.field(c_id, pa.int64()),
-                 pa.field("distance", pa.float64())] + [rb.schema.field(p) for p in payload]))
+                exact = np.sqrt(((Xc - Qs[:, None, :]) ** 2).sum(-1)) if metric == "l2" \
+                    else -(Xc * Qs[:, None, :]).sum(-1)
+                rows = xr[cand]                                # batch row of each candidate
+                # exact top-k per probe by (distance, id) inside this batch
+                r = np.repeat(np.arange(len(pidx)), cand.shape[1])
+                order = np.lexsort((ids[rows.reshape(-1)], exact.reshape(-1), r))
+                keep = order.reshape(len(pidx), cand.shape[1])[:, :min(k, cand.shape[1])].reshape(-1)
+                sel_rows = rows.reshape(-1)[keep]
+                kept_q.append(np.repeat(qids_[pidx], min(k, cand.shape[1])))
+                kept_id.append(ids[sel_rows])
+                kept_d.append(exact.reshape(-1)[keep])
+                take = pa.array(sel_rows)
+                for j, p in enumerate(payload):
+                    kept_pay[j].append(rb.column(p).take(take))
+        if not kept_q:
+            return
+        # reduce across the task's batches: top-k per probe by (distance, id)
+        q = np.concatenate(kept_q)
+        i = np.concatenate(kept_id)
+        d = np.concatenate(kept_d)
+        order = np.lexsort((i, d, q))
+        qs = q[order]
+        first = np.r_[0, np.nonzero(qs[1:] != qs[:-1])[0] + 1]
+        rank = np.arange(len(qs)) - np.repeat(first, np.diff(np.r_[first, len(qs)]))
+        sel = order[rank < k]
+        idx = pa.array(sel)
+        cols = [pa.array(q[sel], pa.int64()), pa.array(i[sel], pa.int64()), pa.array(d[sel], pa.float64())]
+        fields = [pa.field("qid", pa.int64()), pa.field(c_id, pa.int64()), pa.field("distance", pa.float64())]
+        for j, p in enumerate(payload):
+            arr = pa.concat_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
+                                    for a in kept_pay[j]])
+            cols.append(arr.take(idx))
+            fields.append(pa.field(p, arr.type))
+        yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(fields))
 
     src = coll.select(F.col(c_id).cast("long").alias(c_id), F.col(c_vec), "_mkey", *payload)
     return src.mapInArrow(run, out_schema)
@@ -169,9 +184,15 @@ def _knn_cogroup(probes: DataFrame, coll: DataFrame, *, c_id: str, c_vec: str, p
         Q = np.stack([np.asarray(v, dtype=np.float64) for v in qdf["vec"]])
         X = np.stack([np.asarray(v, dtype=np.float64) for v in cdf[c_vec]])
         cand, exact = _top_k_local(Q, X, k, metric)
-        flat = cand.reshape(-1)
-        res = {"qid": np.repeat(qdf["qid"].to_numpy(np.int64), cand.shape[1]),
-               c_id: cdf[c_id].to_numpy(np.int64)[flat], "distance": exact.reshape(-1)}
+        cid = cdf[c_id].to_numpy(np.int64)
+        # keep the exact top-k per probe by (distance, id) before the shuffle
+        r = np.repeat(np.arange(Q.shape[0]), cand.shape[1])
+        order = np.lexsort((cid[cand.reshape(-1)], exact.reshape(-1), r))
+        kk = min(k, cand.shape[1])
+        keep = order.reshape(Q.shape[0], cand.shape[1])[:, :kk].reshape(-1)
+        flat = cand.reshape(-1)[keep]
+        res = {"qid": np.repeat(qdf["qid"].to_numpy(np.int64), kk),
+               c_id: cid[flat], "distance": exact.reshape(-1)[keep]}
         for p in payload:
             res[p] = cdf[p].to_numpy(object)[flat]
         return pd.DataFrame(res, columns=cols)
