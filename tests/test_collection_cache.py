@@ -58,7 +58,7 @@ def test_cache_hit_miss_expired(spark):
         (2, "how tall is the tower", '{"a":"330m"}', "2023-01-01 00:00:00"),
         (3, "x" * 300, '{"a":"too long"}', "2024-01-07 00:00:00")],
         "id long, prompt string, record_json string, created string") \
-        .withColumn("created_at", F.to_timestamp("created"))
+        .withColumn("created_at", F.to_timestamp_ntz("created"))
     cache_store(recs, coll, secret=KEY, embedder=emb, created_col="created_at")
     assert coll.scan().count() == 2            # the long prompt is not admitted
     stored = {r["id"]: r["metadata"]["cache"] for r in coll.scan().collect()}
@@ -66,7 +66,7 @@ def test_cache_hit_miss_expired(spark):
     probes = spark.createDataFrame([(10, "what is the capital of france"), (11, "how tall is the tower"),
                                     (12, "completely different words entirely")], "pid long, prompt string")
     out = {r["pid"]: r for r in cache_lookup(probes, coll.scan(), secret=KEY, embedder=emb,
-                                             as_of=F.to_timestamp(F.lit("2024-01-08 00:00:00"))).collect()}
+                                             as_of=F.to_timestamp_ntz(F.lit("2024-01-08 00:00:00"))).collect()}
     assert out[10]["status"] == "hit" and out[10]["record_json"] == '{"a":"paris","mail":"jo@ex.com"}'
     assert out[11]["status"] == "expired" and out[11]["record_json"] is None
     assert out[12]["status"] == "miss"

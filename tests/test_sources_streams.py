@@ -37,3 +37,16 @@ def test_stream_ingest_equals_batch(spark, sf_small):
     s = E.queries()["stream_ingest"](spark, sf_small)
     b = E.queries()["ingest"](spark, sf_small).select("id", "doc", "content")
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_load_documents_from_json_and_text(spark):
+    import tempfile
+    from veilspark.sources.documents import load_documents
+    d = tempfile.mkdtemp(prefix="vs-src-", dir="/tmp")
+    spark.createDataFrame([("a", "x y", "A"), ("b", "z", None)], "resource string, text string, name string") \
+        .write.mode("overwrite").json(f"{d}/json")
+    j = load_documents(spark, f"{d}/json", "json", name_col="name")
+    assert {r["resource"]: r["metadata"]["doc"] for r in j.collect()} == {"a": "A", "b": "b"}
+    spark.createDataFrame([("line one",), ("line two",)], "value string").write.mode("overwrite").text(f"{d}/txt")
+    t = load_documents(spark, f"{d}/txt", "text", text_col="value", resource_col="value")
+    assert sorted(r["text"] for r in t.collect()) == ["line one", "line two"]

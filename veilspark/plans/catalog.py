@@ -482,7 +482,7 @@ def _cache_records(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     rec = F.to_json(F.struct(F.col("item_id"), F.concat(F.lit("answer "), F.col("item_id").cast("string"))
                              .alias("answer")))
-    created = F.to_timestamp(F.lit(CACHE_AS_OF)) - F.make_dt_interval(
+    created = F.to_timestamp_ntz(F.lit(CACHE_AS_OF)) - F.make_dt_interval(
         secs=(F.col("item_id") * CACHE_AGE_STEP).cast("decimal(18,6)"))
     return b.select(F.col("item_id").alias("id"), F.col("text").alias("prompt"), rec.alias("record_json"),
                     created.alias("created_at"))
@@ -523,7 +523,7 @@ WHERE created_at + to_seconds(604800) < TIMESTAMP '{CACHE_AS_OF}'""")
 def q_cache_expired(spark, sf_dir):
     from veilspark.operators.cache import expired
     r = _cache_records(spark, sf_dir)
-    return r.where(expired(F.col("created_at"), 604800, F.to_timestamp(F.lit(CACHE_AS_OF)))).select("id")
+    return r.where(expired(F.col("created_at"), 604800, F.to_timestamp_ntz(F.lit(CACHE_AS_OF)))).select("id")
 
 
 @register("cache_evict", f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX})
@@ -532,7 +532,7 @@ SELECT id FROM r WHERE prompt NOT IN (
 def q_cache_evict(spark, sf_dir):
     from veilspark.operators.cache import cache_evict
     coll = _stored_cache(spark, sf_dir)
-    cache_evict(coll, as_of=F.to_timestamp(F.lit(CACHE_AS_OF)), ttl_seconds=604800)
+    cache_evict(coll, as_of=F.to_timestamp_ntz(F.lit(CACHE_AS_OF)), ttl_seconds=604800)
     return coll.scan().select("id")
 
 
@@ -569,7 +569,7 @@ def q_cache_lookup(spark, sf_dir):
     from veilspark.operators.cache import cache_lookup
     coll = _stored_cache(spark, sf_dir)
     return cache_lookup(_cache_probes(spark, sf_dir), coll.scan(), secret=DEMO_SECRET,
-                        as_of=F.to_timestamp(F.lit(CACHE_AS_OF)), ttl_seconds=604800)
+                        as_of=F.to_timestamp_ntz(F.lit(CACHE_AS_OF)), ttl_seconds=604800)
 
 
 # ---------------------------------------------------------------- J3, A1-A6
@@ -942,7 +942,7 @@ def q_stream_cache_lookup(spark, sf_dir):
     sink, ckpt, _ = _stream_dirs(spark, "cache")
     s = table_stream(spark, sf_dir, "benchmark", schema).select(
         F.col("item_id").alias("pid"), F.col("text").alias("prompt"))
-    _run(cache_lookup_stream(s, coll, secret=DEMO_SECRET, as_of=F.to_timestamp(F.lit(CACHE_AS_OF)),
+    _run(cache_lookup_stream(s, coll, secret=DEMO_SECRET, as_of=F.to_timestamp_ntz(F.lit(CACHE_AS_OF)),
                              sink=sink, checkpoint=ckpt, ttl_seconds=604800))
     return spark.read.option("recursiveFileLookup", "true").parquet(sink) \
         .select("pid", "status", "cache_id", "record_json")

@@ -20,7 +20,7 @@ NODE_SCHEMA = T.StructType([
     T.StructField("content", T.StringType(), False),
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType()), False),
     T.StructField("embedding", T.ArrayType(T.FloatType()), False),
-    T.StructField("created_at", T.TimestampType(), True),
+    T.StructField("created_at", T.TimestampNTZType(), True),   # wall-clock time, no zone
 ])
 _POINTER = T.StructType([T.StructField("version", T.IntegerType()),
                          T.StructField("dropped", T.BooleanType())])
@@ -106,8 +106,8 @@ class Collection:
         checked = F.when(F.size(emb) == F.lit(self.dim), emb).otherwise(
             F.raise_error(F.lit(f"embedding dimension must be {self.dim}")).cast("array<float>"))
         cols.append(checked.alias("embedding"))
-        ts = F.col("created_at").cast("timestamp") if "created_at" in nodes.columns else F.lit(None)
-        cols.append(F.coalesce(ts, F.current_timestamp()).alias("created_at"))
+        ts = F.col("created_at").cast("timestamp_ntz") if "created_at" in nodes.columns else F.lit(None)
+        cols.append(F.coalesce(ts, F.localtimestamp()).alias("created_at"))
         import uuid
         part = f"{self._vpath(v)}/part-{tag if tag is not None else uuid.uuid4().hex}"
         nodes.select(*cols).write.mode("overwrite").parquet(part)
