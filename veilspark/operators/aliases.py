@@ -60,10 +60,15 @@ def expand_aliases(df: DataFrame, token_map: DataFrame, text_col: str, session_c
                    row_key: str, delim: str = TOKEN_DELIM, missing_col: str = "missing_alias") -> DataFrame:
     """Replace ``αaliasα`` by ``αtokenα``; unknown alias → NULL text + flag.
 
-    Returns ``(row_key, session_col, text_col, missing_col)``.
+    Returns ``(row_key, session_col, text_col, missing_col)``.  Rows without
+    the delimiter pass straight through; only rows holding aliases are
+    exploded, joined and regrouped (the only shuffle).
     """
-    e = df.select(F.col(row_key), F.col(session_col),
-                  F.posexplode(F.split(F.col(text_col), delim, -1)).alias("pos", "seg"))
+    has = F.coalesce(F.instr(F.col(text_col), delim) > 0, F.lit(False))
+    untouched = df.where(~has).select(F.col(row_key), F.col(session_col), F.col(text_col),
+                                      F.lit(False).alias(missing_col))
+    e = df.where(has).select(F.col(row_key), F.col(session_col),
+                             F.posexplode(F.split(F.col(text_col), delim, -1)).alias("pos", "seg"))
     plain = e.where(F.col("pos") % 2 == 0).select(row_key, session_col, "pos", F.col("seg").alias("out"),
                                                   F.lit(False).alias("miss"))
     al = e.where(F.col("pos") % 2 == 1).withColumn("alias", F.concat(F.lit(delim), F.col("seg"), F.lit(delim)))
@@ -76,10 +81,11 @@ def expand_aliases(df: DataFrame, token_map: DataFrame, text_col: str, session_c
         F.array_sort(F.collect_list(F.struct("pos", "out"))).alias("_p"),
         F.max("pos").alias("_maxpos"), F.max(F.col("miss").cast("int")).alias("_miss"))
     bad = (g["_miss"] == 1) | (g["_maxpos"] % 2 == 1)
-    return g.select(row_key, session_col,
-                    F.when(bad, F.lit(None).cast("string"))
-                    .otherwise(F.array_join(F.transform("_p", lambda x: x["out"]), "")).alias(text_col),
-                    bad.alias(missing_col))
+    expanded = g.select(row_key, session_col,
+                        F.when(bad, F.lit(None).cast("string"))
+                        .otherwise(F.array_join(F.transform("_p", lambda x: x["out"]), "")).alias(text_col),
+                        bad.alias(missing_col))
+    return untouched.unionByName(expanded)
 
 
 def delete_sessions(token_map: DataFrame, sessions: DataFrame, session_col: str = "session_id") -> DataFrame:
