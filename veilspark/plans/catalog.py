@@ -382,11 +382,12 @@ CHUNKS_SQL = f"""SELECT k.doc_id * 1000000 + k.chunk_no AS id, k.doc_id, k.chunk
 FROM ({chunk_sql(256, 10)}) k JOIN documents d ON k.doc_id = d.doc_id"""
 
 
-@register("embed_truncate", "SELECT doc_id, array_to_string(string_split(text, ' ')[1:16], ' ') AS text FROM documents")
+@register("embed_truncate", f"SELECT doc_id, array_to_string(string_split(text, ' ')[1:{EMBED_MAX}], ' ') AS text FROM documents")
 def q_embed_truncate(spark, sf_dir):
+    """E1 with the embedder's own limit (the text the model actually sees)."""
     from veilspark.operators.embed import truncate_words
     return table(spark, sf_dir, "documents", balanced=False).select(
-        "doc_id", truncate_words(F.col("text"), 16).alias("text"))
+        "doc_id", truncate_words(F.col("text"), EMBED_MAX).alias("text"))
 
 
 @register("embed_hash", f"""WITH ch AS ({CHUNKS_SQL})
