@@ -70,3 +70,15 @@ def test_cache_hit_miss_expired(spark):
     assert out[10]["status"] == "hit" and out[10]["record_json"] == '{"a":"paris","mail":"jo@ex.com"}'
     assert out[11]["status"] == "expired" and out[11]["record_json"] is None
     assert out[12]["status"] == "miss"
+
+
+def test_second_handle_sees_writes(spark):
+    root = tempfile.mkdtemp(prefix="vs-coll-", dir="/tmp")
+    a = Collection(spark, root, "shared", 4).create()
+    a.save_nodes(_nodes(spark, [(1, "a", [1.0, 0.0, 0.0, 0.0]), (2, "b", [0.0, 1.0, 0.0, 0.0])]))
+    a.delete_by_content(spark.createDataFrame([("a",)], "content string"))
+    b = Collection(spark, root, "shared", 4)          # a fresh reader reads the pointer
+    assert [r["id"] for r in b.scan().collect()] == [2]
+    a.drop()
+    with pytest.raises(RuntimeError):
+        Collection(spark, root, "shared", 4).scan()

@@ -43,18 +43,25 @@ class Collection:
         self.base = f"{root.rstrip('/')}/{self.name}"
         self.schema = NODE_SCHEMA if include_metadata else T.StructType(
             [f for f in NODE_SCHEMA.fields if f.name != "metadata"])
+        self._known = None     # (version, dropped) last read or written by this object
 
     # -- pointer ------------------------------------------------------------
     def _read_pointer(self):
+        # Single writer: a pointer this object read or wrote is still current.
+        if self._known is not None:
+            return {"version": self._known[0], "dropped": self._known[1]}
         try:
             r = self.spark.read.schema(_POINTER).json(f"{self.base}/_pointer").first()
         except AnalysisException:
             return None
+        if r is not None:
+            self._known = (int(r["version"]), bool(r["dropped"]))
         return r
 
     def _write_pointer(self, version: int, dropped: bool = False) -> None:
         self.spark.createDataFrame([(version, dropped)], _POINTER).coalesce(1) \
             .write.mode("overwrite").json(f"{self.base}/_pointer")
+        self._known = (version, dropped)
 
     def _vpath(self, v: int) -> str:
         return f"{self.base}/v{v:06d}"
