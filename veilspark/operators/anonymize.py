@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.fixed import EQUALITY, TOKEN_DELIM
+from veilspark.fixed import DEFAULT_THRESHOLD, EQUALITY, TOKEN_DELIM
 from veilspark.functions.spans import (drop_cross_type_overlaps, merge_spans, regex_matches,
                                        resolve_structs, surface)
 from veilspark.functions.tokens import decrypt_token, make_token, wrap
@@ -38,7 +38,7 @@ def rebuild_text(text: Column, items: Column) -> Column:
 
 
 def anonymize_column(df: DataFrame, col: str, secret: str, *, mode: str = "aes",
-                     resolution: str = EQUALITY, types=None, threshold: float = 0.0,
+                     resolution: str = EQUALITY, types=None, threshold: float = DEFAULT_THRESHOLD,
                      salt: str = "", scope: str | None = None,
                      spans_col: str | None = None, out_col: str | None = None,
                      delim: str = TOKEN_DELIM) -> DataFrame:
