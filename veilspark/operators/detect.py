@@ -18,8 +18,7 @@ from veilspark.functions.spans import SPANS, regex_matches
 from veilspark.plans.sizing import broadcast_if_small
 
 # --- fixed values: phrase tokens for dictionary lookup ----------------------
-PHRASE_TOKEN_RX = r"[\p{L}\p{N}][\p{L}\p{N}#_'&-]*"
-MAX_PHRASE_WORDS = 3
+PHRASE_TOKEN_RX = r"[\p{L}\p{N}][\p{L}\p{N}#_'&-]*"   # phrases are 1, 2 or 3 of these tokens
 
 
 def pattern_spans(text: Column, types=None, threshold: float = 0.0) -> Column:
