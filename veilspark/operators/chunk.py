@@ -64,6 +64,9 @@ def window_starts(counts: Column, max_words: int, overlap: int, min_words: int)
     def _starts(col: pd.Series) -> pd.Series:
         out = []
         for arr in col:
+            if arr is None:                 # NULL text: no pieces, no windows
+                out.append(np.empty(0, dtype=np.int32))
+                continue
             n = np.asarray(arr, dtype=np.int64)
             ends = np.nonzero(n >= m)[0] + 1
             if ends.size == 0:
