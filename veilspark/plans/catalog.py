@@ -760,7 +760,13 @@ def q_alias_map(spark, sf_dir):
 @register("alias_get", f"WITH an AS ({ANON_DOCS_SQL}) SELECT doc_id, source, text, FALSE AS missing_alias FROM an")
 def q_alias_get(spark, sf_dir):
     from veilspark.operators.aliases import alias_tokens, expand_aliases
-    text, amap = alias_tokens(_anon_docs(spark, sf_dir), "text", "source", "doc_id")
+    from veilspark.session import ensure_checkpoint_dir
+    # The tokenized text feeds three branches (map, aliased text, expansion):
+    # cut the lineage once in the shared checkpoint folder instead of
+    # re-running detection for each branch.
+    ensure_checkpoint_dir(spark)
+    anon = _anon_docs(spark, sf_dir).checkpoint(eager=True)
+    text, amap = alias_tokens(anon, "text", "source", "doc_id")
     return expand_aliases(text, amap, "text", "source", "doc_id")
 
 
