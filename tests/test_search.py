@@ -74,3 +74,12 @@ def test_hot_key_is_split(spark, sf_small):
     a = {(r["qid"], r["rank"], r["id"]) for r in knn(q, c, k=3, match=[("ql", "label")]).collect()}
     b = {(r["qid"], r["rank"], r["id"]) for r in knn(q, c, k=3, match=[("ql", "label")], block_rows=40).collect()}
     assert a == b
+
+
+@pytest.mark.parametrize("block_rows", [50_000, 1])
+def test_wrong_length_vectors_are_skipped(spark, block_rows):
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None)],
+                              "id long, embedding array<float>")
+    q = spark.createDataFrame([(10, [0.9, 0.1]), (11, [0.5])], "qid long, embedding array<float>")
+    got = [(r["qid"], r["id"]) for r in knn(q, c, k=5, dim=2, block_rows=block_rows).orderBy("qid", "rank").collect()]
+    assert got == [(10, 1), (10, 2)]

@@ -71,6 +71,9 @@ def _candidates(coll: DataFrame, probe_pdf, *, c_id: str, c_vec: str, payload: l
         qn = (Q_ * Q_).sum(1)
         kept_q, kept_id, kept_d, kept_pay = [], [], [], [[] for _ in payload]
         for rb in batches:
+            lens = rb.column(c_vec).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            if not (lens == dim).all():
+                rb = rb.filter(pa.array(lens == dim))
             n = rb.num_rows
             if n == 0:
                 continue
@@ -179,6 +182,8 @@ def _knn_cogroup(probes: DataFrame, coll: DataFrame, *, c_id: str, c_vec: str, p
 
     def group(qdf, cdf):
         import pandas as pd
+        qdf = qdf[[v is not None and len(v) == dim for v in qdf["vec"]]]
+        cdf = cdf[[v is not None and len(v) == dim for v in cdf[c_vec]]].reset_index(drop=True)
         if len(qdf) == 0 or len(cdf) == 0:
             return pd.DataFrame({c: [] for c in cols})
         Q = np.stack([np.asarray(v, dtype=np.float64) for v in qdf["vec"]])
@@ -225,13 +230,18 @@ def knn(queries: DataFrame, collection: DataFrame, *, k: int = DEFAULT_K, metric
     if dim is None:
         first = collection.select(F.size(c_vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
         dim = int(first[0]["d"]) if first else 1
+    # Vectors of the wrong length are skipped inside the Arrow/pandas code, not
+    # by a filter here: a filter on a Python UDF's output makes the optimizer
+    # evaluate that UDF twice (once in the filter, once in the projection).
     probes = queries.select(F.col(q_id).cast("long").alias("qid"), F.col(q_vec).alias("vec"),
-                            _key_expr(qcols).alias("mkey")).where(F.size("vec") == F.lit(dim))
-    coll = collection.withColumn("_mkey", _key_expr(ccols)).where(F.size(c_vec) == F.lit(dim))
+                            _key_expr(qcols).alias("mkey"))
+    coll = collection.withColumn("_mkey", _key_expr(ccols))
 
     # One bounded collect both proves the probe side small and fetches it.
     first = probes.limit(block_rows + 1).toPandas()
     parts = []
+    if len(first) <= block_rows:
+        first = first[[v is not None and len(v) == dim for v in first["vec"]]]
     if len(first) > block_rows:
         parts.append(_knn_cogroup(probes, coll, c_id=c_id, c_vec=c_vec, payload=payload, k=k,
                                   metric=metric, dim=dim, group_rows=block_rows))
