@@ -68,3 +68,12 @@ def test_parse_records_flags_corrupt_rows(spark):
     assert out[1]["record"]["k"] == 1 and not out[1]["corrupt"]
     assert out[2]["corrupt"]
     assert out[3]["record"] is None and not out[3]["corrupt"]
+
+
+def test_toxic_hit_counts_literal_and_join_paths(spark):
+    from veilspark.operators.modifiers import toxic_hit_counts
+    df = spark.createDataFrame([(1, "you idiot, IDIOT moron"), (2, "nice day"), (3, None)], "id int, text string")
+    lex = spark.createDataFrame([("idiot",), ("moron",)], "word string")
+    a = {r["id"]: r["toxic_hits"] for r in toxic_hit_counts(df, "id", "text", lex).collect()}
+    b = {r["id"]: r["toxic_hits"] for r in toxic_hit_counts(df, "id", "text", lex, max_literal=1).collect()}
+    assert a == {1: 3, 2: 0, 3: 0} and b == a

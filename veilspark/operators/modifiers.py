@@ -164,17 +164,36 @@ def learn_toxic_lexicon(docs: DataFrame, labels: DataFrame, *, min_docs: int = 5
 def toxic_hits(text: Column, lexicon_words: list[str]) -> Column:
     """Number of word occurrences that are in the (size-checked, collected) lexicon."""
     lex = F.array(*[F.lit(w) for w in lexicon_words]) if lexicon_words else F.array().cast("array<string>")
-    return F.size(F.filter(ascii_words(text), lambda w: F.array_contains(lex, w)))
+    return F.coalesce(F.size(F.filter(ascii_words(text), lambda w: F.array_contains(lex, w))), F.lit(0))
 
 
-def lexicon_words(lexicon: DataFrame, max_words: int = 10_000) -> list[str]:
-    """Collect a learned lexicon after proving it small (it becomes a literal)."""
+def lexicon_words(lexicon: DataFrame, max_words: int = 10_000) -> list[str] | None:
+    """The lexicon as a sorted list when it is proven small (it becomes a
+    literal), else None — callers then use :func:`toxic_hit_counts`' join path."""
     rows = lexicon.limit(max_words + 1).collect()
     if len(rows) > max_words:
-        raise ValueError(f"lexicon has more than {max_words} words; raise min_docs")
+        return None
     return sorted(r["word"] for r in rows)
 
 
+def toxic_hit_counts(df: DataFrame, key_col: str, text_col: str, lexicon: DataFrame,
+                     out_col: str = "toxic_hits", max_literal: int = 10_000) -> DataFrame:
+    """Add the number of lexicon-word occurrences per row, for any lexicon size.
+
+    A small lexicon is a literal (narrow projection).  A large one is matched
+    by exploding words and equi-joining the lexicon; counts are partial
+    aggregates per row key, joined back (AQE splits a hot word).
+    """
+    words = lexicon_words(lexicon, max_literal)
+    if words is not None:
+        return df.withColumn(out_col, toxic_hits(F.col(text_col), words))
+    from veilspark.plans.sizing import broadcast_if_small
+    lex = broadcast_if_small(lexicon.select("word").distinct())
+    ex = df.select(key_col, F.explode(ascii_words(F.col(text_col))).alias("word"))
+    counts = ex.join(lex, "word").groupBy(key_col).agg(F.count("*").cast("int").alias(out_col))
+    return df.join(counts, key_col, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.lit(0)))
+
+
 def toxicity_score(hits: Column) -> Column:
     """T4 score in [0, 1): ``1 - exp(-hits)``; toxic when above the threshold (default 0.5)."""
     return F.lit(1.0) - F.exp(-hits.cast("double"))

@@ -854,9 +854,8 @@ def _tox_hits_sql(text: str) -> str:
 
 
 def _lexicon(spark, sf_dir):
-    from veilspark.operators.modifiers import learn_toxic_lexicon, lexicon_words
-    lex = learn_toxic_lexicon(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), min_docs=5)
-    return lexicon_words(lex)
+    from veilspark.operators.modifiers import learn_toxic_lexicon
+    return learn_toxic_lexicon(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), min_docs=5)
 
 
 @register("toxicity_lexicon", TOX_LEXICON_SQL)
@@ -869,21 +868,22 @@ def q_toxicity_lexicon(spark, sf_dir):
 SELECT doc_id, CASE WHEN {_tox_hits_sql('text')} > 0
   THEN {S.q(__import__('veilspark.fixed', fromlist=['x']).PURGED_TEXT)} ELSE text END AS text FROM documents, lex""")
 def q_toxicity_purge(spark, sf_dir):
-    from veilspark.operators.modifiers import apply_modifier, purge_toxic
+    from veilspark.fixed import PURGED_TEXT
+    from veilspark.operators.modifiers import toxic_hit_counts, toxicity_score
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return apply_modifier(d, "text", purge_toxic(0.5, _lexicon(spark, sf_dir)))
+    h = toxic_hit_counts(d, "doc_id", "text", _lexicon(spark, sf_dir))
+    return h.select("doc_id", F.when(toxicity_score(F.col("toxic_hits")) > F.lit(0.5), F.lit(PURGED_TEXT))
+                    .otherwise(F.col("text")).alias("text"))
 
 
 @register("toxicity_flag", f"""WITH lex AS (SELECT coalesce(list(word), []) AS words FROM ({TOX_LEXICON_SQL}))
 SELECT conv_id, turn, CAST({_tox_hits_sql('text')} AS INTEGER) AS hits, {_tox_hits_sql('text')} > 0 AS is_toxic
 FROM conversations, lex""")
 def q_toxicity_flag(spark, sf_dir):
-    from veilspark.operators.modifiers import toxic_hits, toxicity_score
-    lex = _lexicon(spark, sf_dir)
-    c = table(spark, sf_dir, "conversations")
-    h = toxic_hits(F.col("text"), lex)
-    return c.select("conv_id", "turn", h.alias("hits"),
-                    (toxicity_score(h) > F.lit(0.5)).alias("is_toxic"))
+    from veilspark.operators.modifiers import toxic_hit_counts, toxicity_score
+    c = table(spark, sf_dir, "conversations").withColumn("_k", F.col("conv_id") * 1000 + F.col("turn"))
+    h = toxic_hit_counts(c, "_k", "text", _lexicon(spark, sf_dir), out_col="hits")
+    return h.select("conv_id", "turn", "hits", (toxicity_score(F.col("hits")) > F.lit(0.5)).alias("is_toxic"))
 
 
 # ---------------------------------------------------------------- X1-X4 streams
