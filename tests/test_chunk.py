@@ -49,3 +49,10 @@ def test_metadata_merge_document_wins(spark):
                                "c map<string,string>, d map<string,string>")
     got = df.select(merge_metadata(F.col("c"), F.col("d")).alias("m")).first()["m"]
     assert got == {"chunk": "1", "a": "doc", "doc": "d"}
+
+
+def test_sentence_splitter_keeps_abbreviations(spark):
+    from veilspark.operators.chunk import split_sentences
+    df = spark.createDataFrame([("Dr. Smith met Mr. Lee at 5 p.m. today! Was it late? Yes.  Done",)], "t string")
+    got = df.select(split_sentences(F.col("t")).alias("s")).first()["s"]
+    assert got == ["Dr. Smith met Mr. Lee at 5 p.m.", "today!", "Was it late?", "Yes.", "Done"]
