@@ -77,3 +77,13 @@ def test_toxic_hit_counts_literal_and_join_paths(spark):
     a = {r["id"]: r["toxic_hits"] for r in toxic_hit_counts(df, "id", "text", lex).collect()}
     b = {r["id"]: r["toxic_hits"] for r in toxic_hit_counts(df, "id", "text", lex, max_literal=1).collect()}
     assert a == {1: 3, 2: 0, 3: 0} and b == a
+
+
+def test_set_aliases_last_write_wins(spark):
+    from veilspark.operators.aliases import set_aliases
+    old = spark.createDataFrame([("s", "αaα", "t1", 1), ("s", "αbα", "t2", 1)],
+                                "session_id string, alias string, token string, v int")
+    new = spark.createDataFrame([("s", "αaα", "t9", 2), ("u", "αaα", "t3", 2)],
+                                "session_id string, alias string, token string, v int")
+    got = {(r["session_id"], r["alias"]): r["token"] for r in set_aliases(old, new, order_col="v").collect()}
+    assert got == {("s", "αaα"): "t9", ("s", "αbα"): "t2", ("u", "αaα"): "t3"}
