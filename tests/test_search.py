@@ -83,3 +83,17 @@ def test_wrong_length_vectors_are_skipped(spark, block_rows):
     q = spark.createDataFrame([(10, [0.9, 0.1]), (11, [0.5])], "qid long, embedding array<float>")
     got = [(r["qid"], r["id"]) for r in knn(q, c, k=5, dim=2, block_rows=block_rows).orderBy("qid", "rank").collect()]
     assert got == [(10, 1), (10, 2)]
+
+
+class _LenModel:
+    """Stand-in model: a 2-d vector of (characters, words)."""
+
+    def encode(self, texts):
+        return [[float(len(t)), float(len(t.split()))] for t in texts]
+
+
+def test_model_embedder_hook(spark):
+    from veilspark.operators.embed import ModelEmbedder, embed
+    df = spark.createDataFrame([(1, "a bc"), (2, None), (3, "one two three four")], "id int, t string")
+    out = {r["id"]: r["embedding"] for r in embed(df, "t", ModelEmbedder(_LenModel, dim=2, max_length=3)).collect()}
+    assert out == {1: [4.0, 2.0], 2: [0.0, 0.0], 3: [13.0, 3.0]}      # truncated to 3 words first
