@@ -19,3 +19,15 @@ def test_stream_anonymize_equals_batch(spark, sf_small):
     s = E.queries()["stream_anonymize"](spark, sf_small)
     b = E.queries()["anonymize_mask"](spark, sf_small)
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_no_registered_plan_pairs_rows(spark, sf_small):
+    """No query's physical plan contains a cross product or nested-loop join."""
+    bad = []
+    for name, fn in sorted(E.queries().items()):
+        if name.startswith("stream_") or name in ("toxicity_model",):
+            continue
+        plan = fn(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            bad.append(name)
+    assert bad == []
