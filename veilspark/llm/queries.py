@@ -6,12 +6,26 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from veilspark.llm import decontaminate as decon
-from veilspark.llm import packing, quality_rules, warc
-from veilspark.llm.common import table
+from veilspark.llm import lm_hmm, minhash, packing, quality_rules, site_quality, toxicity, warc
+from veilspark.llm.common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), "toxic")
+    learn = docs.join(labels, F.col("doc_id") == F.col("label_id")).filter(~held_out(F.col("doc_id"), 3))
+    scored, name = toxicity.score(docs, toxicity.train(learn))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3).alias("held_out"), F.col(name).alias("score"),
+                         (F.col(name) >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_site_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return site_quality.score(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op3_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
@@ -24,6 +38,10 @@ def op5_quality_rules(spark, sf_dir):
         *[F.col(f"{r}_fence") for r in quality_rules.RULES])
 
 
+def op6_minhash(spark, sf_dir):
+    return minhash.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, name = decon.scan(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -40,10 +58,22 @@ def op9_warc(spark, sf_dir):
     return warc.derive(warc.responses(pages)).drop("warc_headers").withColumnRenamed("key", "page_id")
 
 
+def op10_lm_hmm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = F.col("doc_id")
+    model = lm_hmm.train(docs.filter(~held_out(out, 5)), key="doc_id")
+    return lm_hmm.score(docs, model).select(
+        "doc_id", held_out(out, 5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_site_quality": op2_site_quality,
     "op3_packing": op3_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_minhash": op6_minhash,
     "op7_decontamination": op7_decontamination,
     "op9_warc": op9_warc,
+    "op10_lm_hmm": op10_lm_hmm,
 }
 ORACLES = {"op9_warc": warc.ORACLE_SQL}
