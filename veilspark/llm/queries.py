@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from veilspark.llm import decontaminate as decon
-from veilspark.llm import lm_hmm, minhash, packing, quality_rules, site_quality, toxicity, warc
+from veilspark.llm import line_dedup, lm_hmm, minhash, packing, quality_rules, site_quality, toxicity, warc
 from veilspark.llm.common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +31,14 @@ def op3_packing(spark, sf_dir):
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
+def op4_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    r = F.col("lines_removed")
+    return line_dedup.deduplicate(docs, drop_emptied=False, report=True).select(
+        "doc_id", r["n_lines"].alias("n_lines"), r["n_removed"].alias("n_removed"), r["n_runs"].alias("n_runs"),
+        F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.judge(docs).select(
@@ -70,6 +78,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_site_quality": op2_site_quality,
     "op3_packing": op3_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_minhash": op6_minhash,
     "op7_decontamination": op7_decontamination,
