@@ -47,3 +47,21 @@ def line_dedup(rows: list[tuple[int, str]], line_hash, min_words: int):
         if sum(n[d][a:b + 1]) >= min_words:
             gone[d] |= set(range(a, b + 1))
     return {d: "\n".join(x for i, x in enumerate(ls) if i not in gone[d]) for d, ls in docs.items()}
+
+
+def suffix_dedup(rows: list[tuple[int, bytes]], length: int):
+    """{doc_id: (removed bytes, runs, kept bytes)} by counting every string."""
+    seen: dict[bytes, int] = {}
+    for _, t in rows:
+        for i in range(len(t) - length + 1):
+            s = t[i:i + length]
+            seen[s] = seen.get(s, 0) + 1
+    out = {}
+    for d, t in rows:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[t[i:i + length]] > 1:
+                gone[i:i + length] = b"\1" * length
+        runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out[d] = (sum(gone), runs, bytes(b for b, g in zip(t, gone) if not g))
+    return out

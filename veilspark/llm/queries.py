@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from veilspark.llm import decontaminate as decon
-from veilspark.llm import line_dedup, lm_hmm, minhash, packing, quality_rules, site_quality, toxicity, warc
+from veilspark.llm import line_dedup, lm_hmm, minhash, packing, quality_rules, site_quality, suffix_dedup, toxicity, warc
 from veilspark.llm.common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,6 +66,10 @@ def op9_warc(spark, sf_dir):
     return warc.derive(warc.responses(pages)).drop("warc_headers").withColumnRenamed("key", "page_id")
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_lm_hmm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = F.col("doc_id")
@@ -82,6 +86,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_minhash": op6_minhash,
     "op7_decontamination": op7_decontamination,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc": op9_warc,
     "op10_lm_hmm": op10_lm_hmm,
 }
