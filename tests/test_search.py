@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from veilspark.operators.search import knn, metadata_contains
 
+DIM = 64
+
 
 def _brute(rows, k, metric, same_label):
     ids = np.array([r["vec_id"] for r in rows])
@@ -22,14 +24,14 @@ def _brute(rows, k, metric, same_label):
 
 @pytest.mark.parametrize("metric", ["l2", "inner"])
 @pytest.mark.parametrize("same_label", [True, False])
-@pytest.mark.parametrize("block_rows", [50_000, 60])     # broadcast path / salted cogroup path
-def test_knn_matches_brute_force(spark, sf_small, metric, same_label, block_rows):
+@pytest.mark.parametrize("probe_rows", [50_000, 60])     # broadcast / salted groups
+def test_knn_matches_brute_force(spark, sf_small, metric, same_label, probe_rows):
     e = spark.read.parquet(f"{sf_small}/embeddings.parquet")
     rows = e.collect()
     q = e.select(F.col("vec_id").alias("qid"), "embedding", F.col("label").alias("ql"))
     c = e.select(F.col("vec_id").alias("id"), "embedding", "label")
     res = knn(q, c, k=4, metric=metric, match=[("ql", "label")] if same_label else None,
-              block_rows=block_rows)
+              dim=DIM, probe_bytes=probe_rows * 8 * DIM)
     got = {}
     for r in res.collect():
         got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
@@ -42,8 +44,8 @@ def test_probe_blocks_equal_single_pass(spark, sf_small):
     e = spark.read.parquet(f"{sf_small}/embeddings.parquet")
     q = e.select(F.col("vec_id").alias("qid"), "embedding")
     c = e.select(F.col("vec_id").alias("id"), "embedding")
-    one = {(r["qid"], r["rank"], r["id"]) for r in knn(q, c, k=3).collect()}
-    many = {(r["qid"], r["rank"], r["id"]) for r in knn(q, c, k=3, block_rows=97).collect()}
+    one = {(r["qid"], r["rank"], r["id"]) for r in knn(q, c, k=3, dim=DIM).collect()}
+    many = {(r["qid"], r["rank"], r["id"]) for r in knn(q, c, k=3, dim=DIM, probe_bytes=97 * 8 * DIM).collect()}
     assert one == many
 
 
@@ -51,9 +53,9 @@ def test_score_and_empty_probe_set(spark, sf_small):
     e = spark.read.parquet(f"{sf_small}/embeddings.parquet")
     c = e.select(F.col("vec_id").alias("id"), "embedding")
     q = e.where("vec_id = 0").select(F.col("vec_id").alias("qid"), "embedding")
-    top = knn(q, c, k=1).first()
+    top = knn(q, c, k=1, dim=DIM).first()
     assert top["id"] == 0 and abs(top["distance"]) < 1e-6 and abs(top["score"]) < 1e-6
-    assert knn(q.where("false"), c, k=2).count() == 0
+    assert knn(q.where("false"), c, k=2, dim=DIM).count() == 0
 
 
 def test_metadata_contains(spark):
@@ -71,18 +73,44 @@ def test_hot_key_is_split(spark, sf_small):
     hot = F.when(F.col("label") < 8, F.lit(0)).otherwise(F.col("label"))
     q = e.select(F.col("vec_id").alias("qid"), "embedding", hot.alias("ql"))
     c = e.select(F.col("vec_id").alias("id"), "embedding", hot.alias("label"))
-    a = {(r["qid"], r["rank"], r["id"]) for r in knn(q, c, k=3, match=[("ql", "label")]).collect()}
-    b = {(r["qid"], r["rank"], r["id"]) for r in knn(q, c, k=3, match=[("ql", "label")], block_rows=40).collect()}
+    a = {(r["qid"], r["rank"], r["id"]) for r in knn(q, c, k=3, match=[("ql", "label")], dim=DIM).collect()}
+    b = {(r["qid"], r["rank"], r["id"]) for r in knn(q, c, k=3, match=[("ql", "label")], dim=DIM, probe_bytes=40 * 8 * DIM).collect()}
     assert a == b
 
 
-@pytest.mark.parametrize("block_rows", [50_000, 1])
-def test_wrong_length_vectors_are_skipped(spark, block_rows):
-    c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None)],
-                              "id long, embedding array<float>")
-    q = spark.createDataFrame([(10, [0.9, 0.1]), (11, [0.5])], "qid long, embedding array<float>")
-    got = [(r["qid"], r["id"]) for r in knn(q, c, k=5, dim=2, block_rows=block_rows).orderBy("qid", "rank").collect()]
+@pytest.mark.parametrize("probe_bytes", [1 << 20, 8])
+def test_null_vectors_are_skipped_and_wrong_lengths_fail(spark, probe_bytes):
+    c = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (4, None)], "id long, embedding array<float>")
+    q = spark.createDataFrame([(10, [0.9, 0.1]), (11, None)], "qid long, embedding array<float>")
+    got = [(r["qid"], r["id"]) for r in knn(q, c, k=5, dim=2, probe_bytes=probe_bytes).orderBy("qid", "rank").collect()]
     assert got == [(10, 1), (10, 2)]
+    bad = c.unionByName(spark.createDataFrame([(3, [1.0, 0.0, 0.0])], c.schema))
+    with pytest.raises(Exception, match="vectors must have 2 values"):
+        knn(q, bad, k=5, dim=2, probe_bytes=probe_bytes).collect()
+    with pytest.raises(Exception, match="vectors must have 3 values"):
+        knn(q, c, k=5, dim=3, probe_bytes=probe_bytes).collect()
+
+
+@pytest.mark.parametrize("probe_bytes", [1 << 20, 16])
+def test_ties_go_by_id(spark, probe_bytes):
+    """400 equal vectors in shuffled order: the five least ids come back, for either id type."""
+    ids = np.random.default_rng(1).permutation(400).tolist()
+    c = spark.createDataFrame([(i, f"n{i:03d}", [0.5, 0.25]) for i in ids], "id long, name string, v array<float>")
+    q = spark.createDataFrame([(j, [0.1 * j, 0.3]) for j in range(3)], "qid long, embedding array<float>")
+    for col, want in (("id", [0, 1, 2, 3, 4]), ("name", ["n000", "n001", "n002", "n003", "n004"])):
+        got = {}
+        for r in knn(q, c.repartition(5), k=5, dim=2, c_id=col, c_vec="v", probe_bytes=probe_bytes).collect():
+            got.setdefault(r["qid"], []).append((r["rank"], r[col]))
+        assert all([x for _, x in sorted(v)] == want for v in got.values()) and len(got) == 3
+
+
+def test_condition_and_late_columns(spark):
+    c = spark.createDataFrame([(1, [1.0, 0.0], {"lang": "en", "x": "1"}, "one"), (2, [0.9, 0.0], {"lang": "de"}, "two"),
+                               (3, [0.0, 1.0], {"lang": "en"}, "three"), (4, [1.0, 0.0], None, "four")],
+                              "id long, embedding array<float>, metadata map<string,string>, content string")
+    q = spark.createDataFrame([(7, [0.9, 0.0])], "qid long, embedding array<float>")
+    got = knn(q, c, k=2, dim=2, where=metadata_contains(F.col("metadata"), {"lang": "en"}), payload=["content"])
+    assert [(r["id"], r["content"]) for r in got.orderBy("rank").collect()] == [(1, "one"), (3, "three")]
 
 
 class _LenModel:

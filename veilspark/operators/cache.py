@@ -53,11 +53,10 @@ def cache_lookup(prompts: DataFrame, cache: DataFrame, *, secret: str, as_of: Co
 
     ``cache`` is a collection scan.  The record is restored only on a hit.
     """
-    dim = None
     embedder = embedder or HashEmbedder()
     q = prompts.select(F.col(pid_col).alias("qid"), embedder.column(F.col(prompt_col)).alias("embedding"))
     c = cache.select("id", "embedding", "created_at", F.col("metadata")["cache"].alias("record"))
-    top = knn(q, c, k=1, metric="l2", payload=["created_at", "record"], dim=dim or embedder.output_dim)
+    top = knn(q, c, k=1, metric="l2", payload=["created_at", "record"], dim=embedder.output_dim)
     j = prompts.select(F.col(pid_col).alias("qid")).join(top, "qid", "left")
     is_exp = expired(F.col("created_at"), ttl_seconds, as_of)
     status = (F.when(F.col("id").isNull() | (F.col("score") >= F.lit(threshold)), F.lit("miss"))

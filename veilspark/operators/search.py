@@ -1,34 +1,35 @@
 """Exact k-nearest-neighbour search with metadata filters.
 
-Plan shape (never a cross join, never all pairs on the wire):
-
-1. The probe side is broadcast when a bounded probe proves it small (the
-   usual case: requests against a large collection).  A larger probe side
-   takes the distributed path :func:`_knn_cogroup` instead (salted groups,
-   no driver round trip).
-2. ``mapInArrow`` over the collection: per Arrow batch a numpy matmul gives
-   approximate distances to the probes, ``argpartition`` keeps a few more
-   than k candidates per probe, and their exact distances are recomputed in
-   float64; each task keeps a running exact top-k per probe across its
-   batches and emits at most k rows per probe.  Probes with match keys
-   (e.g. ``doc = title``) only see collection rows with the same key.
-3. A window ``row_number() over (qid order by distance, id) <= k`` merges the
-   per-batch candidates; Spark applies the limit partially before the shuffle,
-   so at most k rows per probe per task move.
+The collection is read once, as ``(id, vector, key)`` only; other columns are
+joined to the k winners by id.  One kernel does the search in both placements:
+
+* probes whose vectors are proven to fit ``probe_bytes`` are broadcast and
+  ``mapInArrow`` runs the kernel over the collection, without a shuffle;
+* more probes meet the collection in salted groups (``cogroup``), both sides
+  of a group bounded by ``probe_bytes``, however large one match key is.
+
+The kernel keeps a running top-k per probe across its batches.  A matrix
+product in tiles of bounded size gives distances up to a rounding error; every
+row that may be among the k nearest under that error is measured exactly, so
+ties are always decided by (distance, id) and the placements agree row for
+row.  Its memory depends on the probes and k, not on the number of batches.
+
+A vector of another length than ``dim`` is an error; a NULL vector is skipped.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.fixed import DEFAULT_K
 
-DEFAULT_BLOCK_ROWS = 50_000
-_MARGIN = 8
+PROBE_BYTES = 32 << 20
+TILE_CELLS = 1 << 22          # cells of one distance tile (32 MB)
 
 
 def score(distance: Column) -> Column:
@@ -37,7 +38,10 @@ def score(distance: Column) -> Column:
 
 
 def metadata_contains(meta: Column, probe: dict | Column) -> Column:
-    """``meta @> probe`` for a string map; an empty probe matches everything."""
+    """``meta @> probe`` for a string map; an empty probe matches everything.
+
+    A dict gives one ``meta[key] = value`` condition per entry.
+    """
     if isinstance(probe, dict):
         cond = F.lit(True)
         for k, v in probe.items():
@@ -51,212 +55,175 @@ def _key_expr(cols) -> Column:
     return F.concat_ws("\u0001", *[F.col(c).cast("string") for c in cols]) if cols else F.lit("")
 
 
-def _candidates(coll: DataFrame, probe_pdf, *, c_id: str, c_vec: str, payload: list[str],
-                k: int, metric: str, dim: int) -> DataFrame:
-    spark = coll.sparkSession
-    qids = probe_pdf["qid"].to_numpy(np.int64)
-    Q = np.stack([np.asarray(v, dtype=np.float64) for v in probe_pdf["vec"]]) if len(probe_pdf) \
-        else np.zeros((0, dim))
-    keys = probe_pdf["mkey"].to_numpy(object)
-    groups: dict[str, np.ndarray] = {}
-    for key in np.unique(keys):
-        groups[key] = np.nonzero(keys == key)[0]
-    bc = spark.sparkContext.broadcast((qids, Q, groups))
-    out_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField(c_id, T.LongType()),
-                               T.StructField("distance", T.DoubleType())]
-                              + [coll.schema[p] for p in payload])
+def _make_search(k: int, metric: str, dim: int, tile_cells: int = TILE_CELLS):
+    """The kernel, as closures (they travel to the workers by value)."""
+
+    def matrix(vectors):
+        """float64 rows of an Arrow list column (no NULLs); other lengths are an error."""
+        lens = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        if not (lens == dim).all():
+            raise ValueError(f"vectors must have {dim} values, found {sorted(set(lens.tolist()))}")
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return flat.reshape(len(vectors), dim)
+
+    def ranks(ids):
+        """Places of ids in their own order, whatever their type."""
+        at = pc.array_sort_indices(ids).to_numpy()
+        out = np.empty(len(at), np.int64)
+        out[at] = np.arange(len(at))
+        return out
+
+    def first_k(who, dist, rank):
+        """Positions of the k least (dist, rank) of each ``who``."""
+        order = np.lexsort((rank, dist, who))
+        w = who[order]
+        start = np.r_[0, np.flatnonzero(w[1:] != w[:-1]) + 1] if len(w) else np.zeros(0, int)
+        place = np.arange(len(w)) - np.repeat(start, np.diff(np.r_[start, len(w)]))
+        return order[place < k]
+
+    class Best:
+        """Running top-k of every probe."""
+
+        def __init__(self, q):
+            self.q, self.qn = q, (q * q).sum(1)
+            self.bound = np.full(len(q), np.inf)            # exact distance of the k-th so far
+            self.who, self.dist, self.ids = np.zeros(0, np.int64), np.zeros(0), None
+
+        def add(self, probes, ids, x):
+            """Offer rows ``x`` (with ``ids``, an Arrow array) to the probes at positions ``probes``."""
+            xn, rank = (x * x).sum(1), ranks(ids)
+            step, some = max(1, tile_cells // max(1, len(x))), max(1, tile_cells // dim)
+            who, row, dist = [], [], []
+            for lo in range(0, len(probes), step):
+                p = probes[lo:lo + step]
+                dots = self.q[p] @ x.T
+                if metric == "l2":
+                    near = self.qn[p][:, None] + xn[None, :] - 2.0 * dots
+                    slack = 1e-14 * (dim + 8) * (self.qn[p][:, None] + xn[None, :]) + 1e-300
+                    limit = self.bound[p] ** 2 * (1 + 1e-12)
+                else:
+                    near = -dots
+                    slack = 1e-14 * (dim + 8) * np.sqrt(self.qn[p])[:, None] * np.sqrt(xn)[None, :] + 1e-300
+                    limit = self.bound[p]
+                if len(x) > k:
+                    limit = np.minimum(limit, np.partition(near + slack, k - 1, axis=1)[:, k - 1])
+                r, c = np.nonzero(near - slack <= limit[:, None])
+                d = np.empty(len(r))
+                for i in range(0, len(r), some):
+                    u, v = self.q[p[r[i:i + some]]], x[c[i:i + some]]
+                    d[i:i + some] = np.sqrt(((v - u) ** 2).sum(1)) if metric == "l2" else -(v * u).sum(1)
+                keep = first_k(r, d, rank[c])
+                who.append(p[r[keep]])
+                row.append(c[keep])
+                dist.append(d[keep])
+            if not who:
+                return
+            taken = ids.take(pa.array(np.concatenate(row)))
+            self.who = np.concatenate([self.who, *who])
+            self.dist = np.concatenate([self.dist, *dist])
+            self.ids = taken if self.ids is None else pa.concat_arrays([self.ids, taken])
+            keep = first_k(self.who, self.dist, ranks(self.ids))
+            self.who, self.dist, self.ids = self.who[keep], self.dist[keep], self.ids.take(pa.array(keep))
+            worst = np.full(len(self.q), -np.inf)
+            np.maximum.at(worst, self.who, self.dist)
+            done = np.bincount(self.who, minlength=len(self.q)) == k
+            self.bound[done] = worst[done]
+
+    return matrix, Best
+
+
+def _by_broadcast(coll, probe, c_id, k, metric, dim, schema) -> DataFrame:
+    """``probe``: Arrow table (qid, vec, mkey), bounded and without NULL vectors."""
+    matrix, Best = _make_search(k, metric, dim)
+    qids, keys = probe.column("qid").to_numpy(), np.asarray(probe.column("mkey").to_pylist(), dtype=object)
+    q = matrix(probe.column("vec").combine_chunks()) if len(qids) else np.zeros((0, dim))
+    groups = {key: np.flatnonzero(keys == key) for key in set(keys.tolist())}
+    sent = coll.sparkSession.sparkContext.broadcast((qids, q, groups))
 
     def run(batches):
-        qids_, Q_, groups_ = bc.value
-        qn = (Q_ * Q_).sum(1)
-        kept_q, kept_id, kept_d, kept_pay = [], [], [], [[] for _ in payload]
+        qids, q, groups = sent.value
+        best = Best(q)
         for rb in batches:
-            lens = rb.column(c_vec).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            if not (lens == dim).all():
-                rb = rb.filter(pa.array(lens == dim))
-            n = rb.num_rows
-            if n == 0:
+            rb = rb.filter(rb.column("vec").is_valid())
+            if not rb.num_rows:
                 continue
-            X = rb.column(c_vec).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
-            ids = rb.column(c_id).to_numpy(zero_copy_only=False)
-            mk = np.asarray(rb.column("_mkey").to_pylist(), dtype=object)
-            xn = (X * X).sum(1)
-            for key in np.unique(mk):
-                pidx = groups_.get(key)
-                if pidx is None:
-                    continue
-                xr = np.nonzero(mk == key)[0]
-                Xs, Qs = X[xr], Q_[pidx]
-                if metric == "l2":
-                    approx = qn[pidx][:, None] + xn[xr][None, :] - 2.0 * (Qs @ Xs.T)
-                else:
-                    approx = -(Qs @ Xs.T)
-                kk = min(len(xr), k + _MARGIN)
-                cand = np.argpartition(approx, kk - 1, axis=1)[:, :kk] if kk < len(xr) \
-                    else np.broadcast_to(np.arange(len(xr)), (len(pidx), len(xr)))
-                Xc = Xs[cand]                                  # (probes, kk, dim)
-                exact = np.sqrt(((Xc - Qs[:, None, :]) ** 2).sum(-1)) if metric == "l2" \
-                    else -(Xc * Qs[:, None, :]).sum(-1)
-                rows = xr[cand]                                # batch row of each candidate
-                # exact top-k per probe by (distance, id) inside this batch
-                r = np.repeat(np.arange(len(pidx)), cand.shape[1])
-                order = np.lexsort((ids[rows.reshape(-1)], exact.reshape(-1), r))
-                keep = order.reshape(len(pidx), cand.shape[1])[:, :min(k, cand.shape[1])].reshape(-1)
-                sel_rows = rows.reshape(-1)[keep]
-                kept_q.append(np.repeat(qids_[pidx], min(k, cand.shape[1])))
-                kept_id.append(ids[sel_rows])
-                kept_d.append(exact.reshape(-1)[keep])
-                take = pa.array(sel_rows)
-                for j, p in enumerate(payload):
-                    kept_pay[j].append(rb.column(p).take(take))
-        if not kept_q:
-            return
-        # reduce across the task's batches: top-k per probe by (distance, id)
-        q = np.concatenate(kept_q)
-        i = np.concatenate(kept_id)
-        d = np.concatenate(kept_d)
-        order = np.lexsort((i, d, q))
-        qs = q[order]
-        first = np.r_[0, np.nonzero(qs[1:] != qs[:-1])[0] + 1]
-        rank = np.arange(len(qs)) - np.repeat(first, np.diff(np.r_[first, len(qs)]))
-        sel = order[rank < k]
-        idx = pa.array(sel)
-        cols = [pa.array(q[sel], pa.int64()), pa.array(i[sel], pa.int64()), pa.array(d[sel], pa.float64())]
-        fields = [pa.field("qid", pa.int64()), pa.field(c_id, pa.int64()), pa.field("distance", pa.float64())]
-        for j, p in enumerate(payload):
-            arr = pa.concat_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
-                                    for a in kept_pay[j]])
-            cols.append(arr.take(idx))
-            fields.append(pa.field(p, arr.type))
-        yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(fields))
-
-    src = coll.select(F.col(c_id).cast("long").alias(c_id), F.col(c_vec), "_mkey", *payload)
-    return src.mapInArrow(run, out_schema)
-
-
-def _top_k_local(Q, X, k, metric):
-    """Candidate indices and exact distances of the k nearest rows of X per row of Q."""
-    if metric == "l2":
-        approx = (Q * Q).sum(1)[:, None] + (X * X).sum(1)[None, :] - 2.0 * (Q @ X.T)
-    else:
-        approx = -(Q @ X.T)
-    kk = min(X.shape[0], k + _MARGIN)
-    if kk < X.shape[0]:
-        cand = np.argpartition(approx, kk - 1, axis=1)[:, :kk]
-    else:
-        cand = np.broadcast_to(np.arange(X.shape[0]), (Q.shape[0], X.shape[0]))
-    Xc = X[cand]
-    exact = np.sqrt(((Xc - Q[:, None, :]) ** 2).sum(-1)) if metric == "l2" else -(Xc * Q[:, None, :]).sum(-1)
-    return cand, exact
-
-
-def _knn_cogroup(probes: DataFrame, coll: DataFrame, *, c_id: str, c_vec: str, payload: list[str],
-                 k: int, metric: str, dim: int, group_rows: int) -> DataFrame:
-    """Distributed exact k-NN for a large probe side, safe for hot keys.
-
-    Per match key, the collection is split into ``ceil(n_c / group_rows)``
-    salts and the probes into ``ceil(n_q / group_rows)`` blocks; probes are
-    replicated over the key's salts and collection rows over the key's probe
-    blocks, so every (key, salt, block) group holds at most ``group_rows`` rows
-    of each side however large one key is.  Groups meet in
-    ``cogroup().applyInPandas`` (numpy matmul + local top-k); the caller's
-    window keeps the global top-k.
-    """
-    from veilspark.plans.sizing import broadcast_if_small
-    keys = coll.groupBy(F.col("_mkey").alias("mkey")).agg(F.count("*").alias("n_c")) \
+            x = matrix(rb.column("vec"))
+            mk = np.asarray(rb.column("mkey").to_pylist(), dtype=object)
+            for key in set(mk.tolist()) & groups.keys():
+                at = np.flatnonzero(mk == key)
+                best.add(groups[key], rb.column("id").take(pa.array(at)), x[at])
+        if best.ids is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids[best.who], pa.int64()), best.ids, pa.array(best.dist)],
+                names=["qid", c_id, "distance"])
+
+    return coll.select(F.col(c_id).alias("id"), "vec", "mkey").mapInArrow(run, schema)
+
+
+def _by_groups(probes, coll, c_id, k, metric, dim, schema, group_rows) -> DataFrame:
+    """Per match key ``ceil(n / group_rows)`` parts of either side; a hot key is many groups."""
+    matrix, Best = _make_search(k, metric, dim)
+    keys = coll.groupBy("mkey").agg(F.count("*").alias("n_c")) \
         .join(probes.groupBy("mkey").agg(F.count("*").alias("n_q")), "mkey") \
         .select("mkey", F.ceil(F.col("n_c") / group_rows).cast("int").alias("n_salt"),
                 F.ceil(F.col("n_q") / group_rows).cast("int").alias("n_blk"))
-    keys = broadcast_if_small(keys)
     px = probes.join(keys, "mkey").select(
         "qid", "vec", "mkey", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)).alias("salt"),
         F.pmod(F.xxhash64("qid"), F.col("n_blk")).cast("int").alias("blk"))
-    cx = coll.join(keys, coll["_mkey"] == keys["mkey"]).select(
-        F.col(c_id).cast("long").alias(c_id), F.col(c_vec), F.col("mkey"), *payload,
-        F.pmod(F.xxhash64(c_id), F.col("n_salt")).cast("int").alias("salt"),
+    cx = coll.join(keys, "mkey").select(
+        F.col(c_id).alias("id"), "vec", "mkey", F.pmod(F.xxhash64(c_id), F.col("n_salt")).cast("int").alias("salt"),
         F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("blk"))
-    out_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField(c_id, T.LongType()),
-                               T.StructField("distance", T.DoubleType())]
-                              + [coll.schema[p] for p in payload])
-    cols = ["qid", c_id, "distance"] + payload
-
-    def group(qdf, cdf):
-        import pandas as pd
-        qdf = qdf[[v is not None and len(v) == dim for v in qdf["vec"]]]
-        cdf = cdf[[v is not None and len(v) == dim for v in cdf[c_vec]]].reset_index(drop=True)
-        if len(qdf) == 0 or len(cdf) == 0:
-            return pd.DataFrame({c: [] for c in cols})
-        Q = np.stack([np.asarray(v, dtype=np.float64) for v in qdf["vec"]])
-        X = np.stack([np.asarray(v, dtype=np.float64) for v in cdf[c_vec]])
-        cand, exact = _top_k_local(Q, X, k, metric)
-        cid = cdf[c_id].to_numpy(np.int64)
-        # keep the exact top-k per probe by (distance, id) before the shuffle
-        r = np.repeat(np.arange(Q.shape[0]), cand.shape[1])
-        order = np.lexsort((cid[cand.reshape(-1)], exact.reshape(-1), r))
-        kk = min(k, cand.shape[1])
-        keep = order.reshape(Q.shape[0], cand.shape[1])[:, :kk].reshape(-1)
-        flat = cand.reshape(-1)[keep]
-        res = {"qid": np.repeat(qdf["qid"].to_numpy(np.int64), kk),
-               c_id: cid[flat], "distance": exact.reshape(-1)[keep]}
-        for p in payload:
-            res[p] = cdf[p].to_numpy(object)[flat]
-        return pd.DataFrame(res, columns=cols)
-
-    return px.groupBy("mkey", "salt", "blk").cogroup(cx.groupBy("mkey", "salt", "blk")) \
-        .applyInPandas(group, out_schema)
-
-
-def knn(queries: DataFrame, collection: DataFrame, *, k: int = DEFAULT_K, metric: str = "l2",
+
+    def group(qt, ct):
+        qt, ct = qt.filter(qt.column("vec").is_valid()), ct.filter(ct.column("vec").is_valid())
+        out = [pa.array([], pa.int64()), pa.array([], ct.schema.field("id").type), pa.array([], pa.float64())]
+        if len(qt) and len(ct):
+            best = Best(matrix(qt.column("vec").combine_chunks()))
+            for rb in ct.combine_chunks().to_batches(max_chunksize=2048):
+                best.add(np.arange(len(qt)), rb.column("id"), matrix(rb.column("vec")))
+            out = [pa.array(qt.column("qid").to_numpy()[best.who]), best.ids, pa.array(best.dist)]
+        return pa.table(out, names=["qid", c_id, "distance"])
+
+    return px.groupBy("mkey", "salt", "blk").cogroup(cx.groupBy("mkey", "salt", "blk")).applyInArrow(group, schema)
+
+
+def knn(queries: DataFrame, collection: DataFrame, *, dim: int, k: int = DEFAULT_K, metric: str = "l2",
         q_id: str = "qid", q_vec: str = "embedding", c_id: str = "id", c_vec: str = "embedding",
-        match: list[tuple[str, str]] | None = None, payload: list[str] | None = None,
-        dim: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """J1/J2 (+F1 as equality keys): top-k rows of ``collection`` per probe.
+        match: list[tuple[str, str]] | None = None, where: Column | None = None,
+        payload: list[str] | None = None, probe_bytes: int = PROBE_BYTES) -> DataFrame:
+    """J1/J2 (+F1): top-k rows of ``collection`` per probe.
 
     Returns ``(qid, rank, <c_id>, distance, score, *payload)``; ranks are by
-    distance then id.  ``metric``: ``l2`` (Euclidean) or ``inner`` (negative
-    inner product).  ``match`` pairs (probe column, collection column) must be
-    equal for a row to be a candidate (NULL never matches).
+    distance then id (ids are unique).  ``metric``: ``l2`` (Euclidean) or
+    ``inner`` (negative inner product).  ``match`` pairs (probe column,
+    collection column) must be equal (NULL never matches); ``where`` is any
+    condition on the collection, e.g. :func:`metadata_contains`, applied
+    before the search.  ``payload`` columns are joined after it.
     """
     if metric not in ("l2", "inner"):
         raise ValueError("metric must be 'l2' or 'inner'")
-    match = match or []
-    payload = list(payload or [])
-    qcols = [c for c, _ in match]
-    ccols = [c for _, c in match]
-    for q in qcols:
-        queries = queries.where(F.col(q).isNotNull())
-    for c in ccols:
-        collection = collection.where(F.col(c).isNotNull())
-    if dim is None:
-        first = collection.select(F.size(c_vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
-        dim = int(first[0]["d"]) if first else 1
-    # Vectors of the wrong length are skipped inside the Arrow/pandas code, not
-    # by a filter here: a filter on a Python UDF's output makes the optimizer
-    # evaluate that UDF twice (once in the filter, once in the projection).
+    match, payload = match or [], list(payload or [])
+    if where is not None:
+        collection = collection.where(where)
+    for q, c in match:
+        queries, collection = queries.where(F.col(q).isNotNull()), collection.where(F.col(c).isNotNull())
     probes = queries.select(F.col(q_id).cast("long").alias("qid"), F.col(q_vec).alias("vec"),
-                            _key_expr(qcols).alias("mkey"))
-    coll = collection.withColumn("_mkey", _key_expr(ccols))
-
-    # One bounded collect both proves the probe side small and fetches it.
-    first = probes.limit(block_rows + 1).toPandas()
-    parts = []
-    if len(first) <= block_rows:
-        first = first[[v is not None and len(v) == dim for v in first["vec"]]]
-    if len(first) > block_rows:
-        parts.append(_knn_cogroup(probes, coll, c_id=c_id, c_vec=c_vec, payload=payload, k=k,
-                                  metric=metric, dim=dim, group_rows=block_rows))
-    elif len(first):
-        parts.append(_candidates(coll, first, c_id=c_id, c_vec=c_vec, payload=payload,
-                                 k=k, metric=metric, dim=dim))
-    if not parts:
-        empty = collection.sparkSession.createDataFrame([], T.StructType(
-            [T.StructField("qid", T.LongType()), T.StructField(c_id, T.LongType()),
-             T.StructField("distance", T.DoubleType())] + [collection.schema[p] for p in payload]))
-        parts = [empty]
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+                            _key_expr([q for q, _ in match]).alias("mkey"))
+    # NULL vectors are skipped inside the Arrow code: a filter on an embedding
+    # UDF's output would make the optimizer evaluate the UDF twice.
+    coll = collection.select(c_id, F.col(c_vec).alias("vec"), _key_expr([c for _, c in match]).alias("mkey"))
+    schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField(c_id, collection.schema[c_id].dataType),
+                           T.StructField("distance", T.DoubleType())])
+    most = max(1, probe_bytes // (8 * dim))
+    # One bounded fetch both proves the probe side small and delivers it.
+    first = probes.limit(most + 1).toArrow()
+    if first.num_rows <= most:
+        cand = _by_broadcast(coll, first.filter(first.column("vec").is_valid()), c_id, k, metric, dim, schema)
+    else:
+        cand = _by_groups(probes, coll, c_id, k, metric, dim, schema, most)
     w = Window.partitionBy("qid").orderBy(F.col("distance"), F.col(c_id))
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if payload:
+        top = top.join(collection.select(c_id, *payload), c_id)
     return top.select("qid", F.col("rank").cast("int").alias("rank"), c_id, "distance",
                       score(F.col("distance")).alias("score"), *payload)
