@@ -26,11 +26,13 @@ def test_lifecycle(spark):
     c.create()  # idempotent
     assert c.scan().count() == 0
     c.save_nodes(_nodes(spark, [(1, "a", [1.0, 0.0, 0.0, 0.0]), (2, "a", [0.0, 1.0, 0.0, 0.0]), (3, "b", [0.0, 0.0, 1.0, 0.0])]))
-    c.save_nodes(_nodes(spark, [(4, "c", [0.0, 0.0, 0.0, 1.0])]), tag="b0")
-    c.save_nodes(_nodes(spark, [(4, "c", [0.0, 0.0, 0.0, 1.0])]), tag="b0")   # replay: replaced
+    c.save_nodes(_nodes(spark, [(4, "c", [0.0, 0.0, 0.0, 1.0])]))
+    c.save_nodes(_nodes(spark, [(4, "c", [0.0, 0.0, 0.0, 1.0])]))             # replay: by id, nothing new
     assert c.scan().count() == 4
     c.delete_by_content(spark.createDataFrame([("a",)], "content string"))
     assert sorted(r["id"] for r in c.scan().collect()) == [3, 4]
+    c.save_nodes(_nodes(spark, [(1, "a", [1.0, 0.0, 0.0, 0.0]), (4, "c", [0.0, 0.0, 0.0, 1.0])]))   # replay after delete
+    assert sorted(r["id"] for r in c.scan().collect()) == [3, 4]
     c.drop()
     with pytest.raises(RuntimeError):
         c.scan()
@@ -77,7 +79,7 @@ def test_second_handle_sees_writes(spark):
     a = Collection(spark, root, "shared", 4).create()
     a.save_nodes(_nodes(spark, [(1, "a", [1.0, 0.0, 0.0, 0.0]), (2, "b", [0.0, 1.0, 0.0, 0.0])]))
     a.delete_by_content(spark.createDataFrame([("a",)], "content string"))
-    b = Collection(spark, root, "shared", 4)          # a fresh reader reads the pointer
+    b = Collection(spark, root, "shared", 4)          # a fresh reader sees the delete
     assert [r["id"] for r in b.scan().collect()] == [2]
     a.drop()
     with pytest.raises(RuntimeError):

@@ -1,11 +1,10 @@
-"""A vector collection stored as versioned Parquet snapshots.
-
-Layout under ``<root>/<name>``:  ``v000000/, v000001/, ...`` data versions and
-``_pointer/`` (a one-row JSON table naming the current version).  Each append
-writes one sub-folder ``part-<tag>`` of the current version; writing the same
-tag again replaces it, so a replayed stream batch is idempotent.  A delete
-writes the survivors to a *new* version and then moves the pointer, so no job
-ever overwrites a path it reads.  Single writer per collection is assumed.
+"""A vector collection as two plain Parquet tables.
+
+``<root>/<name>/nodes`` holds the nodes, ``<root>/<name>/deleted`` the ids of
+deleted ones.  Writes are appends only, and idempotent by node id: a node whose
+id is already stored, or was deleted, is not written again, so a replayed
+stream batch, a restarted stream or a second stream neither duplicates rows
+nor brings deleted ones back.  Reads leave deleted ids out.
 """
 
 from __future__ import annotations
@@ -22,8 +21,7 @@ NODE_SCHEMA = T.StructType([
     T.StructField("embedding", T.ArrayType(T.FloatType()), False),
     T.StructField("created_at", T.TimestampNTZType(), True),   # wall-clock time, no zone
 ])
-_POINTER = T.StructType([T.StructField("version", T.IntegerType()),
-                         T.StructField("dropped", T.BooleanType())])
+_DELETED = T.StructType([T.StructField("id", T.LongType())])
 
 
 def sanitize_name(name: str) -> str:
@@ -43,67 +41,40 @@ class Collection:
         self.base = f"{root.rstrip('/')}/{self.name}"
         self.schema = NODE_SCHEMA if include_metadata else T.StructType(
             [f for f in NODE_SCHEMA.fields if f.name != "metadata"])
-        self._known = None     # (version, dropped) last read or written by this object
-
-    # -- pointer ------------------------------------------------------------
-    def _read_pointer(self):
-        # Single writer: a pointer this object read or wrote is still current.
-        if self._known is not None:
-            return {"version": self._known[0], "dropped": self._known[1]}
-        try:
-            r = self.spark.read.schema(_POINTER).json(f"{self.base}/_pointer").first()
-        except AnalysisException:
-            return None
-        if r is not None:
-            self._known = (int(r["version"]), bool(r["dropped"]))
-        return r
-
-    def _write_pointer(self, version: int, dropped: bool = False) -> None:
-        self.spark.createDataFrame([(version, dropped)], _POINTER).coalesce(1) \
-            .write.mode("overwrite").json(f"{self.base}/_pointer")
-        self._known = (version, dropped)
-
-    def _vpath(self, v: int) -> str:
-        return f"{self.base}/v{v:06d}"
-
-    def _current(self) -> int:
-        p = self._read_pointer()
-        if p is None:
+
+    def _table(self, table: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{table}")
+
+    def _check(self) -> None:
+        def there(table):
+            try:
+                self._table(table, _DELETED)
+                return True
+            except AnalysisException:
+                return False
+        if not there("nodes"):
             raise RuntimeError(f"collection {self.name} does not exist")
-        if p["dropped"]:
+        if there("dropped"):
             raise RuntimeError(f"collection {self.name} was dropped; it can no longer be queried")
-        return int(p["version"])
 
-    # -- S5 / S9 ------------------------------------------------------------
     def create(self) -> "Collection":
         """Create if it does not exist (idempotent)."""
-        p = self._read_pointer()
-        if p is None or p["dropped"]:
-            v = 0 if p is None else int(p["version"]) + 1
-            self.spark.createDataFrame([], self.schema).write.mode("overwrite") \
-                .parquet(f"{self._vpath(v)}/part-init")
-            self._write_pointer(v)
+        self.spark.createDataFrame([], self.schema).write.mode("ignore").parquet(f"{self.base}/nodes")
+        self.spark.createDataFrame([], _DELETED).write.mode("ignore").parquet(f"{self.base}/deleted")
         return self
 
     def drop(self) -> None:
-        """Later calls raise; data versions are left for the storage retention policy."""
-        p = self._read_pointer()
-        if p is not None:
-            self._write_pointer(int(p["version"]), dropped=True)
+        """Later calls raise; the files are left to the storage retention policy."""
+        self.spark.createDataFrame([], _DELETED).write.mode("ignore").parquet(f"{self.base}/dropped")
 
-    # -- S10 ------------------------------------------------------------------
     def scan(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true") \
-            .parquet(self._vpath(self._current()))
-
-    # -- S7 -------------------------------------------------------------------
-    def save_nodes(self, nodes: DataFrame, tag: str | None = None) -> None:
-        """Append nodes; ``created_at`` defaults to now; dim is enforced.
+        """Every stored node that was not deleted."""
+        self._check()
+        return self._table("nodes", self.schema).join(self._table("deleted", _DELETED), "id", "left_anti")
 
-        ``tag`` names the append (e.g. a stream batch id); re-saving a tag
-        replaces that append instead of duplicating it.
-        """
-        v = self._current()
+    def save_nodes(self, nodes: DataFrame) -> None:
+        """Append nodes whose id is new; ``created_at`` defaults to now; dim is enforced."""
+        self._check()
         cols = [F.col("id").cast("long").alias("id"), F.col("content").cast("string").alias("content")]
         if self.include_metadata:
             meta = F.col("metadata") if "metadata" in nodes.columns else \
@@ -115,19 +86,15 @@ class Collection:
         cols.append(checked.alias("embedding"))
         ts = F.col("created_at").cast("timestamp_ntz") if "created_at" in nodes.columns else F.lit(None)
         cols.append(F.coalesce(ts, F.localtimestamp()).alias("created_at"))
-        import uuid
-        part = f"{self._vpath(v)}/part-{tag if tag is not None else uuid.uuid4().hex}"
-        nodes.select(*cols).write.mode("overwrite").parquet(part)
+        known = self._table("nodes", self.schema).select("id").union(self._table("deleted", _DELETED))
+        nodes.select(*cols).join(known, "id", "left_anti") \
+            .write.mode("append").parquet(f"{self.base}/nodes")
 
-    # -- S8 -------------------------------------------------------------------
     def delete_by_content(self, keys: DataFrame, content_col: str = "content") -> None:
-        """Drop *every* node whose content equals a key's content."""
-        v = self._current()
-        from veilspark.plans.sizing import broadcast_if_small
+        """Drop *every* node whose content equals a key's content (their ids are noted)."""
         k = keys.select(F.col(content_col).alias("content")).distinct()
-        survivors = self.scan().join(broadcast_if_small(k), "content", "left_anti")
-        survivors.write.mode("overwrite").parquet(f"{self._vpath(v + 1)}/part-0")
-        self._write_pointer(v + 1)
+        self.scan().select("id", "content").join(k, "content", "left_semi").select("id") \
+            .write.mode("append").parquet(f"{self.base}/deleted")
 
     def delete_where(self, cond) -> None:
         """Delete rows matching a predicate, by content (as S8 does)."""

@@ -3,8 +3,9 @@
 * X1 ``anonymize_stream`` — stateless projection on ``readStream``; file sink
   (exactly-once through the sink's commit log).  Tokens use a derived IV, so a
   replayed batch writes identical bytes.
-* X2 ``ingest_stream`` — ``foreachBatch`` runs the batch ingest plan and
-  saves under the batch id, so a replay replaces instead of duplicating.
+* X1 ``deanonymize_stream`` — the way back, with a flag for malformed rows.
+* X2 ``ingest_stream`` — ``foreachBatch`` runs the batch ingest plan; saving
+  is idempotent by node id, so replays and several streams are safe.
 * X3 ``cache_lookup_stream`` — stream–static lookup against the cache table.
 * X4 ``alias_stream`` — per-batch alias map rows appended with the batch
   time; :func:`purge_idle_sessions` is the batch job that expires sessions.
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.operators.aliases import alias_tokens
-from veilspark.operators.anonymize import anonymize
+from veilspark.operators.anonymize import anonymize, deanonymize
 from veilspark.operators.cache import cache_lookup
 from veilspark.plans.pipelines import ingest_nodes
 
@@ -44,12 +45,20 @@ def anonymize_stream(stream: DataFrame, cols, secret: str, *, sink: str, checkpo
         .outputMode("append").start()
 
 
+def deanonymize_stream(stream: DataFrame, cols, secret: str, *, sink: str, checkpoint: str,
+                       available_now: bool = True, **kw):
+    """Restore each arriving row; malformed rows are flagged; append to a Parquet sink."""
+    out = deanonymize(stream, cols, secret, **kw)
+    return _writer(out, checkpoint, available_now).format("parquet").option("path", sink) \
+        .outputMode("append").start()
+
+
 def ingest_stream(stream: DataFrame, collection, *, secret: str | None, checkpoint: str,
                   available_now: bool = True, **ingest_kw):
     """Documents stream → chunk/embed/anonymize → collection (idempotent per batch)."""
     def batch(bdf: DataFrame, batch_id: int) -> None:
         nodes = ingest_nodes(bdf, secret=secret, **ingest_kw)
-        collection.save_nodes(nodes.select("id", "content", "metadata", "embedding"), tag=f"b{batch_id}")
+        collection.save_nodes(nodes.select("id", "content", "metadata", "embedding"))
     return _writer(stream, checkpoint, available_now).foreachBatch(batch).start()
 
 
@@ -80,6 +89,5 @@ def alias_stream(stream: DataFrame, *, text_col: str, session_col: str, row_key:
 def purge_idle_sessions(token_map: DataFrame, *, ttl_seconds: int, as_of: Column) -> DataFrame:
     """X4 expiry: keep sessions used within the TTL (partial max per session, no collect)."""
     last = token_map.groupBy("session_id").agg(F.max("last_used").alias("_last"))
-    from veilspark.plans.sizing import broadcast_if_small
     live = last.where(F.col("_last") + F.make_dt_interval(secs=F.lit(int(ttl_seconds))) >= as_of)
-    return token_map.join(broadcast_if_small(live.select("session_id")), "session_id", "left_semi")
+    return token_map.join(live.select("session_id"), "session_id", "left_semi")
