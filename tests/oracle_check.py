@@ -86,7 +86,7 @@ def check(spark, sf_dir: str, names=None) -> dict:
 if __name__ == "__main__":
     from veilspark.session import build_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
-    spark = build_session(shuffle_partitions=8)
+    spark = build_session(master=os.environ.get("ORACLE_MASTER"), shuffle_partitions=8)
     res = check(spark, sf, sys.argv[2:] or None)
     bad = [k for k, v in res.items() if v.get("ok") is False]
     print("FAILED:", bad)

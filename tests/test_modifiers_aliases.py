@@ -70,13 +70,35 @@ def test_parse_records_flags_corrupt_rows(spark):
     assert out[3]["record"] is None and not out[3]["corrupt"]
 
 
-def test_toxic_hit_counts_literal_and_join_paths(spark):
+def test_toxic_hit_counts(spark):
+    """Repeated keys do not mix, and repeated texts each get their count."""
     from veilspark.operators.modifiers import toxic_hit_counts
-    df = spark.createDataFrame([(1, "you idiot, IDIOT moron"), (2, "nice day"), (3, None)], "id int, text string")
-    lex = spark.createDataFrame([("idiot",), ("moron",)], "word string")
-    a = {r["id"]: r["toxic_hits"] for r in toxic_hit_counts(df, "id", "text", lex).collect()}
-    b = {r["id"]: r["toxic_hits"] for r in toxic_hit_counts(df, "id", "text", lex, max_literal=1).collect()}
-    assert a == {1: 3, 2: 0, 3: 0} and b == a
+    df = spark.createDataFrame([(1, "you idiot, IDIOT moron"), (1, "nice day"), (3, None), (4, "you idiot, IDIOT moron")],
+                               "id int, text string")
+    lex = spark.createDataFrame([("idiot",), ("moron",), ("moron",)], "word string")
+    got = [(r["id"], r["toxic_hits"]) for r in toxic_hit_counts(df, "text", lex).collect()]
+    assert sorted(got) == [(1, 0), (1, 3), (3, 0), (4, 3)]
+
+
+def test_ambiguous_alias_is_withheld(spark):
+    df = spark.createDataFrame([(1, "s", "a αT1α b"), (2, "s", "αT2α"), (3, "s", "Greek αα letter αT2α")],
+                               "id int, sess string, text string")
+    amap = spark.createDataFrame([("s", "αT1α", "one"), ("s", "αT1α", "two"), ("s", "αT2α", "x"), ("s", "αT2α", "x")],
+                                 "session_id string, alias string, token string")
+    got = {r["id"]: (r["text"], r["missing_alias"]) for r in expand_aliases(df, amap, "text", "sess", "id").collect()}
+    assert got == {1: (None, True), 2: ("αxα", False), 3: ("Greek αα letter αxα", False)}
+
+
+def test_escaped_delimiters_get_no_alias(spark):
+    df = spark.createDataFrame([(1, "s", "one αα two αTOKENα")], "id int, sess string, text string")
+    text, amap = alias_tokens(df, "text", "sess", "id")
+    assert text.first()["text"].startswith("one αα two α") and amap.count() == 1
+    assert expand_aliases(text, amap, "text", "sess", "id").first()["text"] == "one αα two αTOKENα"
+
+
+def test_stop_words_ignore_ascii_case_on_both_sides(spark):
+    df = spark.createDataFrame([("The ÜBER fast cat",)], "t string")
+    assert apply_modifier(df, "t", remove_stop_words(["THE", "über"])).first()["t"] == "BER fast cat"
 
 
 def test_set_aliases_last_write_wins(spark):

@@ -1,8 +1,9 @@
 """Pattern detectors for PII, as Column expressions.
 
-A detector finds *candidates* with a regex whose matches are maximal runs (so
-no word-boundary assertion is needed and Java regex and RE2 agree), then keeps
-those passing a validator, and scores them.  Weak detectors get a low base
+A detector finds *candidates* with a regex (no boundary assertion, so Java
+regex and RE2 agree), then keeps those passing a validator, and scores them.
+Card, phone and date candidates must not touch a further digit, so that a part
+of a longer number is never taken for a whole one.  Weak detectors get a low base
 score that a context word in the preceding characters raises.
 """
 
@@ -21,7 +22,7 @@ EMAIL_RX = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 EMAIL_OK = r"\.[A-Za-z]{2,}$"
 IP_RX = r"[0-9]+(\.[0-9]+){3,}"
 IP_OK = r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"
-CARD_RX = r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,}"
+CARD_RX = r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,}"
 CARD_OK = r"^[0-9]{13,19}$"
 PHONE_RX = r"(\+1[ .-]?)?(\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}"
 SSN_RX = r"[0-9]+(-[0-9]+){2,}"
@@ -31,6 +32,8 @@ DATE_RX = (r"[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?"
            r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}"
            r"|(January|February|March|April|May|June|July|August|September|October"
            r"|November|December) [0-9]{1,2}(, [0-9]{4})?")
+DATE_SLASH_OK = r"^(0?[1-9]|1[0-2])/(0?[1-9]|[12][0-9]|3[01])/|^(0?[1-9]|[12][0-9]|3[01])/(0?[1-9]|1[0-2])/"
+DATE_WORD_OK = r"^[A-Z][a-z]+ (0?[1-9]|[12][0-9]|3[01])(,|$)"
 DATE_ISO_OK = r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
 PASSPORT_RX = r"[A-Z]?[0-9]{8,}"
 PASSPORT_OK = r"^([0-9]{9}|[A-Z][0-9]{8})$"
@@ -66,6 +69,7 @@ class Detector:
     context: str | None = None
     score: float = field(default=0.5)
     needs: str | None = "digit"     # a guard: "digit", a literal character, or None
+    whole: bool = False             # no digit directly before or after
 
 
 def luhn_ok(value: Column) -> Column:
@@ -88,7 +92,7 @@ def ip_ok(value: Column) -> Column:
 
 
 def date_ok(value: Column) -> Column:
-    return ~value.rlike(r"^[0-9]{4}-") | value.rlike(DATE_ISO_OK)
+    return value.rlike(DATE_ISO_OK) | value.rlike(DATE_SLASH_OK) | value.rlike(DATE_WORD_OK)
 
 
 def _rx_ok(rx: str) -> Callable[[Column], Column]:
@@ -99,11 +103,11 @@ DETECTORS: dict[str, Detector] = {
     "EMAIL_ADDRESS": Detector("EMAIL_ADDRESS", EMAIL_RX, _rx_ok(EMAIL_OK), score=SCORES["EMAIL_ADDRESS"],
                               needs="@"),
     "IP_ADDRESS": Detector("IP_ADDRESS", IP_RX, ip_ok, score=SCORES["IP_ADDRESS"]),
-    "CREDIT_CARD": Detector("CREDIT_CARD", CARD_RX, luhn_ok, score=SCORES["CREDIT_CARD"]),
-    "PHONE_NUMBER": Detector("PHONE_NUMBER", PHONE_RX, None, score=SCORES["PHONE_NUMBER"]),
+    "CREDIT_CARD": Detector("CREDIT_CARD", CARD_RX, luhn_ok, score=SCORES["CREDIT_CARD"], whole=True),
+    "PHONE_NUMBER": Detector("PHONE_NUMBER", PHONE_RX, None, score=SCORES["PHONE_NUMBER"], whole=True),
     "US_SSN": Detector("US_SSN", SSN_RX, lambda v: v.rlike(SSN_OK) & ~v.rlike(SSN_BAD),
                        score=SCORES["US_SSN"]),
-    "DATE_TIME": Detector("DATE_TIME", DATE_RX, date_ok, score=SCORES["DATE_TIME"]),
+    "DATE_TIME": Detector("DATE_TIME", DATE_RX, date_ok, score=SCORES["DATE_TIME"], whole=True),
     "US_PASSPORT": Detector("US_PASSPORT", PASSPORT_RX, _rx_ok(PASSPORT_OK), PASSPORT_CONTEXT,
                             score=SCORES["US_PASSPORT"]),
     "US_BANK_NUMBER": Detector("US_BANK_NUMBER", BANK_RX, _rx_ok(BANK_OK), BANK_CONTEXT,
@@ -118,6 +122,9 @@ def detector_spans(text: Column, det: Detector) -> Column:
     cands = regex_matches(text, det.pattern)
     if det.validator is not None:
         cands = F.filter(cands, lambda m: det.validator(m["value"]))
+    if det.whole:
+        cands = F.filter(cands, lambda m: ~((m["start"] > 0) & F.substring(text, m["start"], 1).rlike("[0-9]"))
+                         & ~F.substring(text, m["end"] + 1, 1).rlike("[0-9]"))
 
     def to_span(m):
         score = F.lit(det.score)

@@ -33,24 +33,24 @@ def alias_tokens(df: DataFrame, text_col: str, session_col: str, row_key: str,
     s, r = F.col(session_col), F.col(row_key)
 
     def swap(seg, i):
-        return F.when(i % 2 == 1, F.concat(F.lit(delim), alias_for(s, r, i, length), F.lit(delim))) \
+        # an empty token is an escaped delimiter and stays
+        return F.when((i % 2 == 1) & (seg == ""), F.lit(delim + delim)) \
+            .when(i % 2 == 1, F.concat(F.lit(delim), alias_for(s, r, i, length), F.lit(delim))) \
             .otherwise(seg)
 
     malformed = F.size(segs) % 2 == 0
     text = df.withColumn(text_col, F.when(malformed, F.lit(None).cast("string"))
                          .otherwise(F.array_join(F.transform(segs, swap), "")))
     m = df.where(~malformed).select(s.alias("session_id"), r.alias("_row"),
-                                    F.posexplode(segs).alias("pos", "token")).where(F.col("pos") % 2 == 1)
+                                    F.posexplode(segs).alias("pos", "token")).where((F.col("pos") % 2 == 1) & (F.col("token") != ""))
     amap = m.select("session_id", F.concat(F.lit(delim), alias_for(F.col("session_id"), F.col("_row"),
                                                                    F.col("pos"), length), F.lit(delim))
                     .alias("alias"), "token")
     return text, amap
 
 
-def set_aliases(token_map: DataFrame, new_rows: DataFrame, order_col: str | None = None) -> DataFrame:
-    """P9 set: upsert — the last write per (session_id, alias) wins."""
-    if order_col is None:
-        return token_map.unionByName(new_rows).dropDuplicates(["session_id", "alias"])
+def set_aliases(token_map: DataFrame, new_rows: DataFrame, order_col: str) -> DataFrame:
+    """P9 set: upsert — the last write (by ``order_col``) per (session_id, alias) wins."""
     w = Window.partitionBy("session_id", "alias").orderBy(F.col(order_col).desc())
     u = token_map.unionByName(new_rows, allowMissingColumns=True)
     return u.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
@@ -60,6 +60,9 @@ def expand_aliases(df: DataFrame, token_map: DataFrame, text_col: str, session_c
                    row_key: str, delim: str = TOKEN_DELIM, missing_col: str = "missing_alias") -> DataFrame:
     """Replace ``αaliasα`` by ``αtokenα``; unknown alias → NULL text + flag.
 
+    An alias that the map gives two tokens (a collision, or a double write) is
+    treated as unknown: its text is withheld and flagged, never guessed.
+
     Returns ``(row_key, session_col, text_col, missing_col)``.  Rows without
     the delimiter pass straight through; only rows holding aliases are
     exploded, joined and regrouped (the only shuffle).
@@ -69,10 +72,13 @@ def expand_aliases(df: DataFrame, token_map: DataFrame, text_col: str, session_c
                                       F.lit(False).alias(missing_col))
     e = df.where(has).select(F.col(row_key), F.col(session_col),
                              F.posexplode(F.split(F.col(text_col), delim, -1)).alias("pos", "seg"))
-    plain = e.where(F.col("pos") % 2 == 0).select(row_key, session_col, "pos", F.col("seg").alias("out"),
-                                                  F.lit(False).alias("miss"))
-    al = e.where(F.col("pos") % 2 == 1).withColumn("alias", F.concat(F.lit(delim), F.col("seg"), F.lit(delim)))
-    tm = token_map.select(F.col("session_id").alias(session_col), "alias", "token")
+    escaped = (F.col("pos") % 2 == 1) & (F.col("seg") == "")
+    plain = e.where((F.col("pos") % 2 == 0) | escaped).select(
+        row_key, session_col, "pos", F.when(escaped, F.lit(delim + delim)).otherwise(F.col("seg")).alias("out"),
+        F.lit(False).alias("miss"))
+    al = e.where((F.col("pos") % 2 == 1) & (F.col("seg") != "")).withColumn("alias", F.concat(F.lit(delim), F.col("seg"), F.lit(delim)))
+    tm = token_map.groupBy(F.col("session_id").alias(session_col), "alias").agg(
+        F.when(F.min("token") == F.max("token"), F.min("token")).alias("token"))
     looked = al.join(tm, [session_col, "alias"], "left").select(
         row_key, session_col, "pos", F.concat(F.lit(delim), F.col("token"), F.lit(delim)).alias("out"),
         F.col("token").isNull().alias("miss"))
@@ -88,8 +94,25 @@ def expand_aliases(df: DataFrame, token_map: DataFrame, text_col: str, session_c
     return untouched.unionByName(expanded)
 
 
+def touch_aliases(token_map: DataFrame, df: DataFrame, text_col: str, session_col: str, used_at: Column,
+                  delim: str = TOKEN_DELIM) -> DataFrame:
+    """The map with ``last_used`` moved to ``used_at`` for every alias that ``df`` refers to."""
+    used = df.select(F.col(session_col).alias("session_id"), F.posexplode(F.split(F.col(text_col), delim, -1))
+                     .alias("pos", "seg")).where((F.col("pos") % 2 == 1) & (F.col("seg") != "")) \
+        .select("session_id", F.concat(F.lit(delim), F.col("seg"), F.lit(delim)).alias("alias"),
+                F.lit(True).alias("_used")).distinct()
+    return token_map.join(used, ["session_id", "alias"], "left").withColumn(
+        "last_used", F.when(F.col("_used"), F.greatest("last_used", used_at)).otherwise(F.col("last_used"))).drop("_used")
+
+
+def delete_counts(token_map: DataFrame, sessions: DataFrame, session_col: str = "session_id") -> DataFrame:
+    """F9 result: (session_id, deleted) per requested session; 0 where the map holds none."""
+    s = sessions.select(F.col(session_col).alias("session_id")).distinct()
+    n = token_map.groupBy("session_id").agg(F.count("*").alias("deleted"))
+    return s.join(n, "session_id", "left").select("session_id", F.coalesce("deleted", F.lit(0)).alias("deleted"))
+
+
 def delete_sessions(token_map: DataFrame, sessions: DataFrame, session_col: str = "session_id") -> DataFrame:
     """drop every alias of the given sessions (anti join)."""
-    from veilspark.plans.sizing import broadcast_if_small
     s = sessions.select(F.col(session_col).alias("session_id")).distinct()
-    return token_map.join(broadcast_if_small(s), "session_id", "left_anti")
+    return token_map.join(s, "session_id", "left_anti")

@@ -19,21 +19,25 @@ from veilspark.functions.tokens import decrypt_token, make_token, wrap
 from veilspark.operators.detect import pattern_spans
 
 
-def rebuild_text(text: Column, items: Column) -> Column:
+def rebuild_text(text: Column, items: Column, escape: str | None = None) -> Column:
     """Replace each (sorted, disjoint) ``items[i].start..end`` by ``items[i].repl``.
 
-    One left-to-right fold; ``items`` is consumed once.
+    One left-to-right fold; ``items`` is consumed once.  ``escape``: a
+    delimiter that is doubled (an empty token) where the kept text holds it.
     """
+    def kept(piece):
+        return F.replace(piece, F.lit(escape), F.lit(escape * 2)) if escape else piece
+
     init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
-        gap = F.substring(text, acc["pos"] + 1, x["start"] - acc["pos"])
+        gap = kept(F.substring(text, acc["pos"] + 1, x["start"] - acc["pos"]))
         return F.struct(x["end"].alias("pos"), F.array_append(F.array_append(acc["out"], gap), x["repl"])
                         .alias("out"))
 
     folded = F.aggregate(items, init, step, lambda acc: F.concat(
         F.array_join(acc["out"], ""),
-        F.substring(text, acc["pos"] + 1, F.greatest(F.length(text) - acc["pos"], F.lit(0)))))
+        kept(F.substring(text, acc["pos"] + 1, F.greatest(F.length(text) - acc["pos"], F.lit(0))))))
     return folded
 
 
@@ -61,7 +65,7 @@ def anonymize_column(df: DataFrame, col: str, secret: str, *, mode: str = "aes",
     with_tok = F.transform(resolved, lambda e: F.struct(
         e["start"].alias("start"), e["end"].alias("end"),
         wrap(make_token(e["rep"], secret, mode, salt, scope_c), delim).alias("repl")))
-    return df.withColumn(out_col, F.when(t.isNull(), t).otherwise(rebuild_text(t, with_tok)))
+    return df.withColumn(out_col, F.when(t.isNull(), t).otherwise(rebuild_text(t, with_tok, delim)))
 
 
 def anonymize(df: DataFrame, cols, secret: str, **kw) -> DataFrame:
@@ -74,7 +78,7 @@ def anonymize(df: DataFrame, cols, secret: str, **kw) -> DataFrame:
 def deanonymize_text(text: Column, secret: str, delim: str = TOKEN_DELIM) -> Column:
     """Restore a tokenized text; NULL when malformed (odd delimiters or a bad token)."""
     segs = F.split(text, delim, -1)
-    restored = F.transform(segs, lambda s, i: F.when(i % 2 == 0, s)
+    restored = F.transform(segs, lambda s, i: F.when(i % 2 == 0, s).when(s == "", F.lit(delim))
                            .otherwise(decrypt_token(s, secret)))
     ok = (F.size(segs) % 2 == 1) & F.forall(restored, lambda x: x.isNotNull())
     return F.when(ok, F.array_join(restored, ""))
@@ -86,12 +90,12 @@ TOKEN_BODY_RX = "[A-Za-z0-9+/]{43,}={0,2}"
 
 def restore_tokens(text: Column, secret: str, delim: str = TOKEN_DELIM) -> Column:
     """Lenient restore: only well-formed ``delim+base64+delim`` tokens that decrypt
-    are replaced; any other delimiter (e.g. Greek prose) is left as written."""
-    found = regex_matches(text, delim + TOKEN_BODY_RX + delim)
+    are replaced, and doubled delimiters unescaped; any other delimiter stays."""
+    found = regex_matches(text, f"{delim}({TOKEN_BODY_RX})?{delim}")
     items = F.transform(found, lambda m: F.struct(
         m["start"].alias("start"), m["end"].alias("end"),
-        F.coalesce(decrypt_token(F.substring(m["value"], 2, F.length(m["value"]) - 2), secret),
-                   m["value"]).alias("repl")))
+        F.when(m["value"] == delim * 2, F.lit(delim)).otherwise(F.coalesce(
+            decrypt_token(F.substring(m["value"], 2, F.length(m["value"]) - 2), secret), m["value"])).alias("repl")))
     return F.when(text.isNull(), text).otherwise(rebuild_text(text, items))
 
 

@@ -2,8 +2,8 @@
 
 Pattern types run as one projection per row (JVM regex, no Python, no
 shuffle).  Name-like types (PERSON, LOCATION, NRP) come from a dictionary
-table: the text's 1..3-word phrases are looked up with an equi-join, and the
-hits are regrouped per row.
+table: the text's 1..3-word phrases (cut in Arrow batches, in time linear in
+the text) are looked up with an equi-join, and the hits are regrouped per row.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from veilspark.functions.pii import (DETECTORS, GAZETTEER_TYPES, SCORES, detector_spans,
                                      normalize_types)
 from veilspark.functions.spans import SPANS, regex_matches
-from veilspark.plans.sizing import broadcast_if_small
 
 # --- fixed values: phrase tokens for dictionary lookup ----------------------
 PHRASE_TOKEN_RX = r"[\p{L}\p{N}][\p{L}\p{N}#_'&-]*"   # phrases are 1, 2 or 3 of these tokens
@@ -49,30 +48,35 @@ def pattern_spans(text: Column, types=None, threshold: float = 0.0) -> Column:
 
 
 def phrase_candidates(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """One row per 1..3-word phrase: (key, start, end, phrase).  Narrow.
+    """One row per 1..3-word phrase: (key, start, end, phrase).
 
-    A single fold slides over the tokens keeping the two previous starts, so
-    the token array is produced and read once per row.
+    One pass over each text (its time is linear in the words), in Arrow batches.
     """
-    toks = regex_matches(F.col(text_col), PHRASE_TOKEN_RX)
-    gram = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()),
-                                     T.StructField("end", T.IntegerType())]))
-    init = F.struct(F.lit(None).cast("int").alias("p1"), F.lit(None).cast("int").alias("p2"),
-                    F.array().cast(gram).alias("out"))
-
-    def step(acc, x):
-        new = F.filter(F.array(
-            F.struct(x["start"].alias("start"), x["end"].alias("end")),
-            F.struct(acc["p1"].alias("start"), x["end"].alias("end")),
-            F.struct(acc["p2"].alias("start"), x["end"].alias("end"))), lambda g: g["start"].isNotNull())
-        return F.struct(x["start"].alias("p1"), acc["p1"].alias("p2"),
-                        F.concat(acc["out"], new).alias("out"))
-
-    grams = F.aggregate(toks, init, step, lambda acc: acc["out"])
-    g = df.select(F.col(key_col), F.col(text_col), F.explode(grams).alias("g"))
-    return g.select(F.col(key_col), F.col("g.start").alias("start"), F.col("g.end").alias("end"),
-                    F.substring(F.col(text_col), F.col("g.start") + 1,
-                                F.col("g.end") - F.col("g.start")).alias("phrase"))
+    rx = PHRASE_TOKEN_RX
+    schema = T.StructType([T.StructField(key_col, df.schema[key_col].dataType), T.StructField("start", T.IntegerType()),
+                           T.StructField("end", T.IntegerType()), T.StructField("phrase", T.StringType())])
+
+    def run(batches):
+        import pyarrow as pa
+        import regex
+        token = regex.compile(rx)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for lo in range(0, len(texts), 64):
+                row, start, end, phrase = [], [], [], []
+                for i, t in enumerate(texts[lo:lo + 64], lo):
+                    spans = [m.span() for m in token.finditer(t)] if t else []
+                    for n in range(min(3, len(spans))):
+                        for (s, _), (_, e) in zip(spans, spans[n:]):
+                            start.append(s)
+                            end.append(e)
+                            phrase.append(t[s:e])
+                        row += [i] * (len(spans) - n)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
+                     pa.array(phrase, pa.string())], names=[key_col, "start", "end", "phrase"])
+
+    return df.select(key_col, text_col).mapInArrow(run, schema)
 
 
 def dictionary_spans(df: DataFrame, key_col: str, text_col: str, dictionary: DataFrame,
@@ -80,16 +84,15 @@ def dictionary_spans(df: DataFrame, key_col: str, text_col: str, dictionary: Dat
     """(key, spans) for dictionary types; rows without a hit are absent.
 
     ``dictionary`` has columns ``term`` and ``pii_type``.  The lookup is an
-    equi-join on the phrase; the dictionary side is broadcast only when its
-    row count is under the checked bound, otherwise both sides shuffle on the
-    phrase (AQE splits a hot phrase).
+    equi-join on the phrase; Spark broadcasts a dictionary that is small by
+    bytes, otherwise both sides shuffle on the phrase (AQE splits a hot phrase).
     """
     wanted = [t for t in normalize_types(types) if t in GAZETTEER_TYPES]
     d = dictionary.select(F.col("term"), F.upper("pii_type").alias("pii_type")) \
         .where(F.col("pii_type").isin(wanted)).dropDuplicates(["term", "pii_type"])
     score = F.coalesce(*[F.when(F.col("pii_type") == t, F.lit(SCORES[t])) for t in wanted])
     hits = phrase_candidates(df, key_col, text_col) \
-        .join(broadcast_if_small(d), F.col("phrase") == F.col("term")) \
+        .join(d, F.col("phrase") == F.col("term")) \
         .select(key_col, "start", "end", "pii_type", score.cast("double").alias("score")) \
         .where(F.col("score") >= F.lit(threshold))
     return hits.groupBy(key_col).agg(

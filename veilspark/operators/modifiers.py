@@ -100,44 +100,34 @@ def chain(*fns: Modifier) -> Modifier:
     return lambda c: reduce(lambda acc, f: f(acc), fns, c)
 
 
-# --- T3 stop words -----------------------------------------------------------
-_FALLBACK_STOP_WORDS = (
-    # fixed values: used only when Spark's bundled English list cannot be read
-    "a an and are as at be but by for if in into is it no not of on or such that the their "
-    "then there these they this to was will with"
-).split()
+LOWER_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER_TO = "abcdefghijklmnopqrstuvwxyz"
 
 
+# --- T3 stop words -----------------------------------------------------------
 def default_stop_words() -> list[str]:
-    """Spark's bundled English stop-word list (read from the MLlib jar), else a short list."""
-    try:
-        import pyspark
-        jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-        for name in sorted(os.listdir(jars)):
-            if name.startswith("spark-mllib_") and name.endswith(".jar"):
-                with zipfile.ZipFile(os.path.join(jars, name)) as z:
-                    raw = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-                return [w.strip() for w in raw.splitlines() if w.strip()]
-    except (OSError, KeyError, zipfile.BadZipFile):
-        pass
-    return list(_FALLBACK_STOP_WORDS)
+    """Spark's bundled English stop-word list, read from the MLlib jar; a missing list is an error."""
+    import pyspark
+    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
+    name = next(n for n in sorted(os.listdir(jars)) if n.startswith("spark-mllib_") and n.endswith(".jar"))
+    with zipfile.ZipFile(os.path.join(jars, name)) as z:
+        raw = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
+    return [w.strip() for w in raw.splitlines() if w.strip()]
 
 
 def remove_stop_words(stop_words=None) -> Modifier:
     """Keep words whose lower case is not a stop word, strip non-ASCII, join by one blank."""
-    words = sorted(set(w.lower() for w in (stop_words if stop_words is not None else default_stop_words())))
-    lit_words = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    ascii_lower = str.maketrans(LOWER_FROM, LOWER_TO)          # the same rule for texts and list
+    words = sorted({w.translate(ascii_lower) for w in (stop_words if stop_words is not None else default_stop_words())})
 
     def fn(c: Column) -> Column:
         toks = blank_words(c)
-        kept = F.filter(toks, lambda w: ~F.array_contains(lit_words, F.translate(w, LOWER_FROM, LOWER_TO)))
+        kept = F.filter(toks, lambda w: ~F.translate(w, LOWER_FROM, LOWER_TO).isin(words))
         return F.array_join(F.transform(kept, lambda w: F.regexp_replace(w, r"[^\x00-\x7F]", "")), " ")
     return fn
 
 
 # --- T4-T6 toxicity ------------------------------------------------------------
-LOWER_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER_TO = "abcdefghijklmnopqrstuvwxyz"
 TOX_WORD_RX = "[a-z]+"
 
 
@@ -152,8 +142,7 @@ def learn_toxic_lexicon(docs: DataFrame, labels: DataFrame, *, min_docs: int = 5
     One distributed aggregation: distinct (doc, word) pairs are counted per
     word with partial aggregation, so frequent words never concentrate rows.
     """
-    from veilspark.plans.sizing import broadcast_if_small
-    lab = broadcast_if_small(labels.select(key_col, "toxic"))
+    lab = labels.select(key_col, "toxic")
     w = docs.select(key_col, text_col).join(lab, key_col) \
         .select("toxic", F.explode(F.array_distinct(ascii_words(F.col(text_col)))).alias("word"))
     g = w.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic_docs"),
@@ -162,36 +151,23 @@ def learn_toxic_lexicon(docs: DataFrame, labels: DataFrame, *, min_docs: int = 5
 
 
 def toxic_hits(text: Column, lexicon_words: list[str]) -> Column:
-    """Number of word occurrences that are in the (size-checked, collected) lexicon."""
-    lex = F.array(*[F.lit(w) for w in lexicon_words]) if lexicon_words else F.array().cast("array<string>")
-    return F.coalesce(F.size(F.filter(ascii_words(text), lambda w: F.array_contains(lex, w))), F.lit(0))
-
-
-def lexicon_words(lexicon: DataFrame, max_words: int = 10_000) -> list[str] | None:
-    """The lexicon as a sorted list when it is proven small (it becomes a
-    literal), else None — callers then use :func:`toxic_hit_counts`' join path."""
-    rows = lexicon.limit(max_words + 1).collect()
-    if len(rows) > max_words:
-        return None
-    return sorted(r["word"] for r in rows)
+    """Number of word occurrences that are in a given list (for :func:`purge_toxic`)."""
+    return F.coalesce(F.size(F.filter(ascii_words(text), lambda w: w.isin(list(lexicon_words)))), F.lit(0))
 
 
-def toxic_hit_counts(df: DataFrame, key_col: str, text_col: str, lexicon: DataFrame,
-                     out_col: str = "toxic_hits", max_literal: int = 10_000) -> DataFrame:
+def toxic_hit_counts(df: DataFrame, text_col: str, lexicon: DataFrame, out_col: str = "toxic_hits") -> DataFrame:
     """Add the number of lexicon-word occurrences per row, for any lexicon size.
 
-    A small lexicon is a literal (narrow projection).  A large one is matched
-    by exploding words and equi-joining the lexicon; counts are partial
-    aggregates per row key, joined back (AQE splits a hot word).
+    Words are counted per distinct text (by SHA-256), so repeated keys or rows
+    cannot mix; counts are partial aggregates, joined back (AQE splits hot texts).
     """
-    words = lexicon_words(lexicon, max_literal)
-    if words is not None:
-        return df.withColumn(out_col, toxic_hits(F.col(text_col), words))
-    from veilspark.plans.sizing import broadcast_if_small
-    lex = broadcast_if_small(lexicon.select("word").distinct())
-    ex = df.select(key_col, F.explode(ascii_words(F.col(text_col))).alias("word"))
-    counts = ex.join(lex, "word").groupBy(key_col).agg(F.count("*").cast("int").alias(out_col))
-    return df.join(counts, key_col, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.lit(0)))
+    lex = lexicon.select("word").distinct()
+    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    ex = df.select(key.alias("_t"), F.col(text_col).alias("_text")).groupBy("_t").agg(F.any_value("_text").alias("_text")) \
+        .select("_t", F.explode(ascii_words(F.col("_text"))).alias("word"))
+    counts = ex.join(lex, "word").groupBy("_t").agg(F.count("*").cast("int").alias("_n"))
+    return df.withColumn("_t", key).join(counts, "_t", "left") \
+        .withColumn(out_col, F.coalesce("_n", F.lit(0))).drop("_t", "_n")
 
 
 def toxicity_score(hits: Column) -> Column:

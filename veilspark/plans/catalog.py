@@ -39,7 +39,7 @@ TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = True) -> DataFrame:
-    """Read a driver table; CPU-heavy text work gets its rows spread (``balanced``)."""
+    """Read a driver table; the session may ask for ``balanced`` scans (see sizing)."""
     from veilspark.plans.sizing import balance
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return balance(df, TEXT_TABLES[name]) if balanced and name in TEXT_TABLES else df
@@ -67,6 +67,11 @@ for _name, _t in [("pii_email", "EMAIL_ADDRESS"), ("pii_ip", "IP_ADDRESS"),
 PATTERN_ALL = list(P.PATTERN_TYPES)
 
 
+def token_count(text):
+    """Well-formed tokens in a stored text."""
+    return F.size(F.regexp_extract_all(text, F.lit("α[A-Za-z0-9+/=]+α"), F.lit(0)))
+
+
 # ---------------------------------------------------------------- P2-P5 anonymize (mask)
 @register("anonymize_mask", S.anonymize_sql("documents", "doc_id", "text", PATTERN_ALL,
                                              DEMO_SECRET, "EQUALITY", threshold=0.5))
@@ -78,21 +83,36 @@ def q_anonymize_mask(spark, sf_dir):
 
 # ---------------------------------------------------------------- P5+P6 round trip
 @register("anonymize_roundtrip",
-          "SELECT doc_id, text, FALSE AS malformed FROM documents")
+          f"""SELECT d.doc_id, d.text, FALSE AS malformed, n.n_tokens FROM documents d
+JOIN ({S.token_counts_sql('documents', 'doc_id', 'text', PATTERN_ALL, 0.5)}) n ON d.doc_id = n.doc_id""")
 def q_anonymize_roundtrip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     anon = anonymize(docs, "text", DEMO_SECRET, mode="aes", resolution="EQUALITY",
                      types=PATTERN_ALL, threshold=0.5, salt=DEMO_SALT, scope="doc_id")
-    return deanonymize(anon, "text", DEMO_SECRET)
+    return deanonymize(anon.withColumn("n_tokens", token_count(F.col("text"))), "text", DEMO_SECRET)
+
+
+# Greek text: every "e" becomes the delimiter, so plain delimiters and tokens stand side by side.
+GREEK_DOCS_SQL = "SELECT doc_id, replace(text, 'e', 'α') AS text FROM documents"
+
+
+@register("anonymize_greek", f"""WITH gd AS ({GREEK_DOCS_SQL})
+SELECT d.doc_id, d.text, FALSE AS malformed,
+  len(string_split(d.text, 'α')) - 1 + n.n_tokens AS n_pairs
+FROM gd d JOIN ({S.token_counts_sql('gd', 'doc_id', 'text', PATTERN_ALL, 0.5)}) n ON d.doc_id = n.doc_id""")
+def q_anonymize_greek(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("e"), F.lit("α")).alias("text"))
+    anon = anonymize(docs, "text", DEMO_SECRET, mode="aes", types=PATTERN_ALL, threshold=0.5, salt=DEMO_SALT, scope="doc_id")
+    pairs = F.floor((F.size(F.split("text", "α", -1)) - 1) / 2).cast("long")
+    return deanonymize(anon.withColumn("n_pairs", pairs), "text", DEMO_SECRET)
 
 
 # ---------------------------------------------------------------- synthetic PII text
 # Text with names, places and US identifiers built from customer × nation by
 # the same expression on both sides (the corpus itself has none of these).
 def customer_text(spark, sf_dir) -> DataFrame:
-    from veilspark.plans.sizing import broadcast_if_small
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    n = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     k = F.col("c_custkey")
 
     def pad(x, w):
@@ -139,7 +159,7 @@ DICTIONARY_SQL = """SELECT DISTINCT term, pii_type FROM (
   UNION ALL SELECT r_name, 'LOCATION' FROM region)"""
 
 
-def dictionary_span_rows_sql(src: str, key: str) -> str:
+def dictionary_span_rows_sql(src: str, key: str, dictionary: str = DICTIONARY_SQL) -> str:
     """(key, start, end, pii_type, score) for dictionary hits of 1..3-word phrases."""
     from veilspark.operators.detect import PHRASE_TOKEN_RX
     toks = S.match_rows_sql(src, key, "text", PHRASE_TOKEN_RX)
@@ -149,7 +169,7 @@ FROM (
   FROM (SELECT {key}, text, toks, n, unnest(generate_series(1, len(toks) - n + 1)) AS i
         FROM (SELECT {key}, text, list({{'start': start, 'end': "end"}} ORDER BY start) AS toks
               FROM {toks} GROUP BY {key}, text), (SELECT unnest([1, 2, 3]) AS n))
-) g JOIN ({DICTIONARY_SQL}) dct ON substring(g.text, g.start + 1, g."end" - g.start) = dct.term"""
+) g JOIN ({dictionary}) dct ON substring(g.text, g.start + 1, g."end" - g.start) = dct.term"""
 
 
 def _cust_spans(spark, sf_dir, types, threshold):
@@ -168,6 +188,54 @@ def q_pii_us_ids(spark, sf_dir):
     return explode_spans(d, "c_custkey").select("c_custkey", "start", "end", "pii_type", "score", "value")
 
 
+# Dictionary detection over documents: terms are word sequences that the corpus holds (from benchmark
+# items), as groups (NRP), next to the people and places of the other tables.
+TERM_RX = r"^[\p{L}]+ [\p{L}]+"
+DOC_DICTIONARY_SQL = f"""SELECT DISTINCT regexp_extract(text, {S.q(TERM_RX)}) AS term, 'NRP' AS pii_type FROM benchmark
+WHERE regexp_extract(text, {S.q(TERM_RX)}) <> '' UNION ({DICTIONARY_SQL})"""
+
+
+@register("gazetteer_documents", f"""SELECT doc_id, start, "end", pii_type, score
+FROM ({dictionary_span_rows_sql('documents', 'doc_id', DOC_DICTIONARY_SQL)})""")
+def q_gazetteer_documents(spark, sf_dir):
+    from veilspark.operators.detect import dictionary_spans
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    terms = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", TERM_RX, 0).alias("term"),
+                                                     F.lit("NRP").alias("pii_type")).where("term <> ''")
+    d = dictionary_spans(docs, "doc_id", "text", terms.unionByName(name_dictionary(spark, sf_dir)))
+    return d.select("doc_id", F.explode("_dict_spans").alias("s")).select("doc_id", "s.start", "s.end", "s.pii_type", "s.score")
+
+
+# Numbers at their edges: a 4-6-5 card, digit runs that hold a phone or card, impossible dates.
+EDGE_TEXT_SQL = """SELECT c_custkey, 'Amex 3782 822463 10005, run 55' || lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0')
+  || ' 78901234, ref 1555-123-45678, call (212) 555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')
+  || ', due ' || CAST(c_custkey % 40 AS VARCHAR) || '/' || CAST(c_custkey % 17 AS VARCHAR)
+  || '/2024, on May ' || CAST(c_custkey % 35 AS VARCHAR) || ', 2024 or 99/99/2024 or 12024-01-015.' AS text FROM customer"""
+
+
+def edge_text(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(
+        F.lit("Amex 3782 822463 10005, run 55"), F.lpad((k % 1000000).cast("string"), 6, "0"),
+        F.lit(" 78901234, ref 1555-123-45678, call (212) 555-"), F.lpad((k % 10000).cast("string"), 4, "0"),
+        F.lit(", due "), (k % 40).cast("string"), F.lit("/"), (k % 17).cast("string"), F.lit("/2024, on May "),
+        (k % 35).cast("string"), F.lit(", 2024 or 99/99/2024 or 12024-01-015.")).alias("text"))
+
+
+@register("pii_number_edges", f"""WITH e AS ({EDGE_TEXT_SQL}), v AS (
+SELECT c_custkey, text, 'CREDIT_CARD' AS pii_type, '3782 822463 10005' AS value FROM e
+UNION ALL SELECT c_custkey, text, 'PHONE_NUMBER', '(212) 555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') FROM e
+UNION ALL SELECT c_custkey, text, 'DATE_TIME', CAST(c_custkey % 40 AS VARCHAR) || '/' || CAST(c_custkey % 17 AS VARCHAR) || '/2024'
+  FROM e WHERE least(c_custkey % 40, c_custkey % 17) BETWEEN 1 AND 12 AND greatest(c_custkey % 40, c_custkey % 17) <= 31
+UNION ALL SELECT c_custkey, text, 'DATE_TIME', 'May ' || CAST(c_custkey % 35 AS VARCHAR) || ', 2024'
+  FROM e WHERE c_custkey % 35 BETWEEN 1 AND 31)
+SELECT c_custkey, CAST(strpos(text, value) - 1 AS INTEGER) AS start, CAST(strpos(text, value) - 1 + length(value) AS INTEGER) AS "end",
+  pii_type, value FROM v""")
+def q_pii_number_edges(spark, sf_dir):
+    d = detect_pii(edge_text(spark, sf_dir), "text", types=["CREDIT_CARD", "PHONE_NUMBER", "DATE_TIME"])
+    return explode_spans(d, "c_custkey").select("c_custkey", "start", "end", "pii_type", "value")
+
+
 @register("pii_gazetteer", f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL})
 SELECT c_custkey, start, "end", pii_type, score FROM ({dictionary_span_rows_sql('cust_text', 'c_custkey')})""")
 def q_pii_gazetteer(spark, sf_dir):
@@ -373,8 +441,9 @@ def chunks_df(spark, sf_dir, max_words=256, overlap=10):
     """Document chunks with node id ``doc_id * 1e6 + chunk_no`` and ``doc = source``."""
     from veilspark.operators.chunk import chunk_documents
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    from veilspark.plans.pipelines import compose_id
     c = chunk_documents(docs, "text", max_words=max_words, overlap=overlap, keep_cols=["doc_id", "source"])
-    return c.select((F.col("doc_id") * 1000000 + F.col("chunk_no")).alias("id"), "doc_id", "chunk_no",
+    return c.select(compose_id(F.col("doc_id"), F.col("chunk_no")).alias("id"), "doc_id", "chunk_no",
                     F.col("source").alias("doc"), "content")
 
 
@@ -398,6 +467,9 @@ def q_embed_hash(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- J1, J2, F1, F8 search
+VECTOR_DIM = 64          # of the embeddings table
+
+
 def _e6(c):
     return F.round(c * F.lit(1e6)).cast("long")
 
@@ -418,7 +490,7 @@ def _knn_query(metric, k, match_label):
         e = table(spark, sf_dir, "embeddings")
         q = e.select(F.col("vec_id").alias("qid"), "embedding", F.col("label").alias("q_label"))
         c = e.select(F.col("vec_id").alias("id"), "embedding", "label")
-        r = knn(q, c, k=k, metric=metric, match=[("q_label", "label")] if match_label else None)
+        r = knn(q, c, dim=VECTOR_DIM, k=k, metric=metric, match=[("q_label", "label")] if match_label else None)
         return r.select("qid", "rank", "id", _e6(F.col("distance")).alias("dist_e6"),
                         _e6(F.col("score")).alias("score_e6"))
     return run
@@ -427,6 +499,24 @@ def _knn_query(metric, k, match_label):
 register("knn_l2", knn_sql("l2", 5, True))(_knn_query("l2", 5, True))
 register("knn_inner", knn_sql("inner", 5, True))(_knn_query("inner", 5, True))
 register("vector_score", knn_sql("l2", 1, False))(_knn_query("l2", 1, False))
+register("knn_l2_unfiltered", knn_sql("l2", 5, False))(_knn_query("l2", 5, False))
+
+
+@register("knn_ties", f"""WITH ch AS (SELECT * FROM ({CHUNKS_SQL}) c),
+ce AS ({hash_embed_sql('ch', 'id', 'content')}),
+p AS (SELECT item_id AS qid, text AS prompt FROM benchmark),
+pe AS ({hash_embed_sql('p', 'qid', 'prompt')})
+SELECT qid, CAST(rank AS INTEGER) AS rank, id FROM (
+  SELECT pe.qid, ce.id, row_number() OVER (PARTITION BY pe.qid ORDER BY list_distance(CAST(pe.embedding AS DOUBLE[]),
+    CAST(ce.embedding AS DOUBLE[])), ce.id) AS rank FROM pe, ce) WHERE rank <= 5""")
+def q_knn_ties(spark, sf_dir):
+    """Chunks hold exact copies, so equal distances are common: ids decide."""
+    from veilspark.operators.embed import HashEmbedder, embed
+    from veilspark.operators.search import knn
+    emb = HashEmbedder(EMBED_DIM, EMBED_MAX)
+    c = embed(chunks_df(spark, sf_dir), "content", emb)
+    q = embed(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), "text", emb)
+    return knn(q, c, dim=EMBED_DIM, k=5).select("qid", "rank", "id")
 
 
 @register("metadata_filter", """SELECT doc_id FROM documents WHERE lang = 'en' AND source IS NOT NULL""")
@@ -434,8 +524,7 @@ def q_metadata_filter(spark, sf_dir):
     from veilspark.operators.search import metadata_contains
     d = table(spark, sf_dir, "documents", balanced=False)
     meta = F.create_map(F.lit("doc"), F.col("source"), F.lit("lang"), F.col("lang"))
-    probe = F.create_map(F.lit("lang"), F.lit("en"))
-    return d.where(metadata_contains(meta, probe) & metadata_contains(meta, {})).select("doc_id")
+    return d.where(metadata_contains(meta, {"lang": "en"}) & metadata_contains(meta, {})).select("doc_id")
 
 
 # ---------------------------------------------------------------- S5-S9 collection
@@ -538,15 +627,16 @@ def q_cache_evict(spark, sf_dir):
 
 
 def _cache_probes(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), F.col("text").alias("prompt"))
+    """Benchmark items (negative or zero ids) and user turns (positive ids): the two cannot meet."""
+    from veilspark.plans.pipelines import compose_id
+    b = table(spark, sf_dir, "benchmark").select((-F.col("item_id")).alias("pid"), F.col("text").alias("prompt"))
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
-        (F.lit(1_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("pid"),
-        F.col("text").alias("prompt"))
+        (compose_id(F.col("conv_id"), F.col("turn")) + 1).alias("pid"), F.col("text").alias("prompt"))
     return b.unionByName(c)
 
 
-CACHE_PROBES_SQL = """SELECT item_id AS pid, text AS prompt FROM benchmark
-UNION ALL SELECT 1000000000 + conv_id * 1000 + turn, text FROM conversations WHERE role = 'user'"""
+CACHE_PROBES_SQL = """SELECT -item_id AS pid, text AS prompt FROM benchmark
+UNION ALL SELECT conv_id * 1000000 + turn + 1, text FROM conversations WHERE role = 'user'"""
 
 
 @register("cache_lookup", f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}),
@@ -574,13 +664,19 @@ def q_cache_lookup(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- J3, A1-A6
-N_SOURCES = 20
-
+def request_titles(spark, sf_dir):
+    """Two document titles per request: a function of the request id over the table's own titles."""
+    from pyspark.sql import Window
+    titles = table(spark, sf_dir, "documents", balanced=False).select("source").where("source is not null").distinct()
+    ranked = titles.select("source", (F.row_number().over(Window.orderBy("source")) - 1).alias("n"))
 
-def request_titles(conv_id):
-    """Two document titles per request, derived from the request id."""
-    return F.array(F.concat(F.lit("src"), (conv_id % N_SOURCES).cast("string")),
-                   F.concat(F.lit("src"), ((conv_id * 7 + 3) % N_SOURCES).cast("string")))
+    def of(req):
+        total = titles.count()
+        asked = req.select("request_id", "prompt", F.posexplode(F.array(
+            F.col("request_id") % total, (F.col("request_id") * 7 + 3) % total)).alias("p", "n"))
+        return asked.join(ranked, "n").select("request_id", "prompt", (F.col("p") + 1).cast("int").alias("title_pos"),
+                                              F.col("source").alias("title"))
+    return of
 
 
 def _nodes(spark, sf_dir, secret=DEMO_SECRET):
@@ -597,9 +693,11 @@ def _hits_sql(k: int = 3) -> str:
     return f"""ch AS ({CHUNKS_SQL}),
 ce AS (SELECT ch.id, ch.doc, ch.content, e.embedding FROM ch JOIN ({hash_embed_sql('ch', 'id', 'content')}) e ON ch.id = e.id),
 req AS ({REQ_SQL}),
+tt AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS n, count(*) OVER () AS total
+  FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
 pq AS (SELECT request_id * 1000 + title_pos AS qid, * FROM (
-  SELECT request_id, prompt, 1 AS title_pos, 'src' || CAST(request_id % {N_SOURCES} AS VARCHAR) AS title FROM req
-  UNION ALL SELECT request_id, prompt, 2, 'src' || CAST((request_id * 7 + 3) % {N_SOURCES} AS VARCHAR) FROM req)),
+  SELECT request_id, prompt, 1 AS title_pos, source AS title FROM req JOIN tt ON n = request_id % total
+  UNION ALL SELECT request_id, prompt, 2, source FROM req JOIN tt ON n = (request_id * 7 + 3) % total)),
 pe AS (SELECT pq.*, e.embedding FROM pq JOIN ({hash_embed_sql('pq', 'qid', 'prompt')}) e ON pq.qid = e.qid),
 hits AS (SELECT * FROM (
   SELECT p.request_id, p.title_pos, c.id, c.doc, c.content,
@@ -613,9 +711,8 @@ def q_knn_by_title(spark, sf_dir):
     from veilspark.operators.context import retrieve_by_title
     from veilspark.operators.embed import HashEmbedder
     from veilspark.plans.pipelines import conversation_requests
-    req = conversation_requests(table(spark, sf_dir, "conversations"), request_titles)
-    probes = req.select("request_id", "prompt", F.posexplode("titles").alias("title_pos", "title")) \
-        .withColumn("title_pos", (F.col("title_pos") + 1).cast("int"))
+    req = conversation_requests(table(spark, sf_dir, "conversations"))
+    probes = request_titles(spark, sf_dir)(req)
     hits = retrieve_by_title(probes, _nodes(spark, sf_dir), embedder=HashEmbedder(EMBED_DIM, EMBED_MAX), k=3)
     return hits.select("request_id", "title_pos", "rank", "id")
 
@@ -634,9 +731,8 @@ def q_context_prompt(spark, sf_dir):
     from veilspark.operators.context import empty_context, format_context, retrieve_by_title
     from veilspark.operators.embed import HashEmbedder
     from veilspark.plans.pipelines import conversation_requests
-    req = conversation_requests(table(spark, sf_dir, "conversations"), request_titles)
-    probes = req.select("request_id", "prompt", F.posexplode("titles").alias("title_pos", "title")) \
-        .withColumn("title_pos", (F.col("title_pos") + 1).cast("int"))
+    req = conversation_requests(table(spark, sf_dir, "conversations"))
+    probes = request_titles(spark, sf_dir)(req)
     hits = retrieve_by_title(probes, _nodes(spark, sf_dir), embedder=HashEmbedder(EMBED_DIM, EMBED_MAX), k=3)
     ctx = format_context(hits, secret=DEMO_SECRET)
     return req.select("request_id").join(ctx, "request_id", "left").select(
@@ -658,25 +754,57 @@ UNION ALL SELECT DISTINCT conv_id, CAST(0 AS INTEGER), 'system', {S.q(RAG_SYSTEM
 def q_rag_requests(spark, sf_dir):
     from veilspark.operators.embed import HashEmbedder
     from veilspark.plans.pipelines import rag_requests
-    return rag_requests(table(spark, sf_dir, "conversations"), _nodes(spark, sf_dir), request_titles,
+    return rag_requests(table(spark, sf_dir, "conversations"), _nodes(spark, sf_dir), request_titles(spark, sf_dir),
                         secret=DEMO_SECRET, node_secret=DEMO_SECRET, embedder=HashEmbedder(EMBED_DIM, EMBED_MAX),
                         k=3, mode="sha", types=PATTERN_ALL, threshold=0.5)
 
 
-@register("assemble_request", f"""WITH msgs AS (SELECT conv_id * 1000 + turn + 1 AS mk, conv_id AS request_id,
-  CAST(turn + 1 AS INTEGER) AS msg_no, role, coalesce(text, '') AS content FROM conversations),
+# Messages that hold personal data: the turn's text and a customer's contact line.
+PII_TURNS_SQL = """SELECT conv_id, turn, role, coalesce(t.text, '') || ' ' || c.text AS text FROM conversations t
+JOIN cust_text c ON c.c_custkey = (SELECT min(c_custkey) FROM cust_text) + t.conv_id % (SELECT count(*) FROM cust_text)"""
+
+
+def pii_turns(spark, sf_dir) -> DataFrame:
+    """conversations, each turn followed by a customer's contact line (the customer by conversation)."""
+    cust = customer_text(spark, sf_dir).select(F.col("c_custkey").alias("n"), F.col("text").alias("line"))
+    r = cust.agg(F.min("n").alias("first"), F.count("*").alias("total")).first()
+    conv = table(spark, sf_dir, "conversations").withColumn("n", F.lit(r["first"]) + F.col("conv_id") % r["total"])
+    return conv.join(cust, "n").select("conv_id", "turn", "role", F.concat(
+        F.coalesce("text", F.lit("")), F.lit(" "), F.col("line")).alias("text"))
+
+
+@register("rag_from_collection", _rag_sql())
+def q_rag_from_collection(spark, sf_dir):
+    """The corpus is ingested once; requests search the saved collection through its metadata map."""
+    from veilspark.operators.embed import HashEmbedder
+    from veilspark.operators.search import metadata_contains
+    from veilspark.plans.pipelines import rag_requests
+    coll = _new_collection(spark, "node")
+    coll.save_nodes(_nodes(spark, sf_dir).select(
+        "id", "content", F.map_concat("metadata", F.create_map(F.lit("kind"), F.lit("document"))).alias("metadata"), "embedding"))
+    nodes = coll.scan().withColumn("doc", F.col("metadata")["doc"])
+    return rag_requests(table(spark, sf_dir, "conversations"), nodes, request_titles(spark, sf_dir),
+                        secret=DEMO_SECRET, node_secret=DEMO_SECRET, embedder=HashEmbedder(EMBED_DIM, EMBED_MAX),
+                        k=3, mode="sha", types=PATTERN_ALL, threshold=0.5,
+                        where=metadata_contains(F.col("metadata"), {"kind": "document"}))
+
+
+@register("assemble_request", f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL}), pt AS ({PII_TURNS_SQL}),
+msgs AS (SELECT conv_id * 1000 + turn + 1 AS mk, conv_id AS request_id,
+  CAST(turn + 1 AS INTEGER) AS msg_no, role, text AS content FROM pt),
 an AS ({S.anonymize_sql("msgs", "mk", "content", PATTERN_ALL, DEMO_SECRET, "EQUALITY", threshold=0.5)})
 SELECT m.request_id, m.msg_no, m.role, an.content FROM msgs m JOIN an ON m.mk = an.mk
 UNION ALL SELECT DISTINCT conv_id, CAST(0 AS INTEGER), 'system', {S.q(__import__('veilspark.fixed', fromlist=['x']).RAG_SYSTEM_PROMPT)} FROM conversations""")
 def q_assemble_request(spark, sf_dir):
     from veilspark.operators.context import assemble_requests
-    conv = table(spark, sf_dir, "conversations")
+    conv = pii_turns(spark, sf_dir)
     msgs = conv.select(F.col("conv_id").alias("request_id"), (F.col("turn") + 1).cast("int").alias("msg_no"),
                        "role", F.col("text").alias("content"))
     return assemble_requests(msgs, None, secret=DEMO_SECRET, mode="sha", types=PATTERN_ALL, threshold=0.5)
 
 
-@register("ingest", f"SELECT id, doc, content, 64 AS dim FROM ({CHUNKS_SQL})")
+@register("ingest", f"""WITH ch AS ({CHUNKS_SQL}) SELECT ch.id, doc, content, 64 AS dim, n_tokens
+FROM ch JOIN ({S.token_counts_sql('ch', 'id', 'content', PATTERN_ALL, 0.5)}) n ON ch.id = n.id""")
 def q_ingest(spark, sf_dir):
     from veilspark.operators.anonymize import deanonymize_text
     coll = _new_collection(spark, "node")
@@ -684,17 +812,19 @@ def q_ingest(spark, sf_dir):
     s = coll.scan()
     return s.select("id", F.col("metadata")["doc"].alias("doc"),
                     deanonymize_text(F.col("content"), DEMO_SECRET).alias("content"),
-                    F.size("embedding").alias("dim"))
+                    F.size("embedding").alias("dim"), token_count(F.col("content")).alias("n_tokens"))
 
 
-@register("response_restore", """SELECT conv_id, turn, 'assistant' AS role, text AS content
-FROM conversations WHERE role = 'assistant'""")
+@register("response_restore", f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL}), pt AS ({PII_TURNS_SQL}),
+a AS (SELECT conv_id * 1000 + turn AS mk, conv_id, turn, text FROM pt WHERE role = 'assistant')
+SELECT a.conv_id, a.turn, 'assistant' AS role, a.text AS content, n.n_tokens FROM a
+JOIN ({S.token_counts_sql('a', 'mk', 'text', PATTERN_ALL, 0.5)}) n ON a.mk = n.mk""")
 def q_response_restore(spark, sf_dir):
     from veilspark.operators.context import restore_response
-    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    conv = pii_turns(spark, sf_dir).where(F.col("role") == "assistant")
     anon = anonymize(conv, "text", DEMO_SECRET, mode="aes", types=PATTERN_ALL, threshold=0.5,
                      salt=DEMO_SALT, scope="conv_id")
-    resp = anon.select("conv_id", "turn", F.struct(
+    resp = anon.select("conv_id", "turn", token_count(F.col("text")).alias("n_tokens"), F.struct(
         F.concat(F.lit("chatcmpl-"), F.col("conv_id").cast("string")).alias("id"),
         F.lit("chat.completion").alias("object"), F.lit(0).cast("long").alias("created"),
         F.lit("model").alias("model"),
@@ -705,19 +835,42 @@ def q_response_restore(spark, sf_dir):
         F.struct(F.lit(0).cast("long").alias("prompt_tokens"), F.lit(0).cast("long").alias("completion_tokens"),
                  F.lit(0).cast("long").alias("total_tokens")).alias("usage")).alias("provider_response"))
     r = restore_response(resp, secret=DEMO_SECRET)
-    return r.select("conv_id", "turn", F.explode("messages").alias("m")).select(
-        "conv_id", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+    return r.select("conv_id", "turn", "n_tokens", F.explode("messages").alias("m")).select(
+        "conv_id", "turn", "n_tokens", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
-@register("record_json", """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
-  FALSE AS corrupt FROM events""")
+@register("record_json", """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k,
+  event_id % 7 = 0 AS corrupt FROM events""")
 def q_record_json(spark, sf_dir):
+    """Every seventh record is cut off before its end."""
     from veilspark.operators.context import parse_records
-    ev = table(spark, sf_dir, "events")
+    cut = F.expr("substring(props, 1, length(props) - 1)")
+    ev = table(spark, sf_dir, "events").withColumn(
+        "props", F.when(F.col("event_id") % 7 == 0, cut).otherwise(F.col("props")))
     p = parse_records(ev, "props", "k int")
     return p.select("event_id", F.col("record.k").alias("k"), "corrupt")
 
 
+@register("response_json", """SELECT conv_id, turn, '{"id":"r-' || CAST(conv_id AS VARCHAR)
+  || '","choices":[{"index":0,"message":{"role":"assistant","content":"' || length(text) || ' chars"},"finish_reason":"stop"}]'
+  || ',"usage":{"prompt_tokens":' || CAST(turn AS VARCHAR) || ',"total_tokens":' || CAST(turn + 1 AS VARCHAR) || '}}' AS json,
+  length(text) || ' chars' AS content, turn + 1 AS total_tokens
+FROM conversations WHERE role = 'assistant'""")
+def q_response_json(spark, sf_dir):
+    """A nested response written as JSON and read back."""
+    from veilspark.operators.context import RESPONSE, parse_records
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    text = F.concat(F.length("text").cast("string"), F.lit(" chars"))
+    resp = F.struct(F.concat(F.lit("r-"), F.col("conv_id").cast("string")).alias("id"),
+                    F.array(F.struct(F.lit(0).alias("index"), F.struct(F.lit("assistant").alias("role"), text.alias("content"))
+                                     .alias("message"), F.lit("stop").alias("finish_reason"))).alias("choices"),
+                    F.struct(F.col("turn").alias("prompt_tokens"), (F.col("turn") + 1).alias("total_tokens")).alias("usage"))
+    p = parse_records(c.withColumn("json", F.to_json(resp)), "json", RESPONSE)
+    return p.where("not corrupt").select(
+        "conv_id", "turn", "json", F.col("record.choices")[0]["message"]["content"].alias("content"),
+        F.col("record.usage.total_tokens").cast("int").alias("total_tokens"))
+
+
 # ---------------------------------------------------------------- P7-P9, F9 aliases
 def _anon_docs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -782,6 +935,49 @@ def q_alias_delete_session(spark, sf_dir):
     return delete_sessions(amap, sessions).select("session_id", "alias")
 
 
+@register("alias_upsert", f"""WITH an AS ({ANON_DOCS_SQL}), m AS ({ALIAS_MAP_SQL})
+SELECT session_id, alias, CASE WHEN session_id = 'src0' THEN 'rewritten' ELSE token END AS token FROM m""")
+def q_alias_upsert(spark, sf_dir):
+    """One session's aliases are written again, later; the last write wins."""
+    from veilspark.operators.aliases import alias_tokens, set_aliases
+    _, amap = alias_tokens(_anon_docs(spark, sf_dir), "text", "source", "doc_id")
+    old = amap.withColumn("written", F.lit(1))
+    new = old.where("session_id = 'src0'").withColumn("token", F.lit("rewritten")).withColumn("written", F.lit(2))
+    return set_aliases(old, new, order_col="written").select("session_id", "alias", "token")
+
+
+ALIAS_USE_SQL = "TIMESTAMP '2024-01-01' + to_days(CAST(substring(session_id, 4) AS INTEGER))"
+
+
+@register("alias_purge", f"""WITH an AS ({ANON_DOCS_SQL}), m AS ({ALIAS_MAP_SQL}),
+u AS (SELECT *, {ALIAS_USE_SQL} AS t FROM m)
+SELECT session_id, alias FROM u WHERE session_id = 'src1' OR t >= TIMESTAMP '2024-01-11'""")
+def q_alias_purge(spark, sf_dir):
+    """Sessions idle for ten days go; expanding a text of session src1 counts as use."""
+    from veilspark.operators.aliases import alias_tokens, touch_aliases
+    from veilspark.streaming.streams import purge_idle_sessions
+    text, amap = alias_tokens(_anon_docs(spark, sf_dir), "text", "source", "doc_id")
+    start = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
+    day = F.substring("session_id", 4, 10).cast("int")
+    amap = amap.withColumn("last_used", start + F.make_dt_interval(days=day))
+    used = touch_aliases(amap, text.where("source = 'src1'"), "text", "source", F.to_timestamp_ntz(F.lit("2024-01-21 00:00:00")))
+    return purge_idle_sessions(used, ttl_seconds=10 * 86400, as_of=F.to_timestamp_ntz(F.lit("2024-01-21 00:00:00"))) \
+        .select("session_id", "alias")
+
+
+@register("alias_delete_count", f"""WITH an AS ({ANON_DOCS_SQL}), m AS ({ALIAS_MAP_SQL}),
+s AS (SELECT DISTINCT source AS session_id FROM documents UNION SELECT 'unknown')
+SELECT s.session_id, count(m.alias) AS deleted FROM s LEFT JOIN m ON s.session_id = m.session_id GROUP BY s.session_id""")
+def q_alias_delete_count(spark, sf_dir):
+    """how many aliases each session's deletion removes; 0 where there is none."""
+    from veilspark.operators.aliases import alias_tokens, delete_counts
+    _, amap = alias_tokens(_anon_docs(spark, sf_dir), "text", "source", "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    sessions = docs.select(F.col("source").alias("session_id")).distinct().union(
+        spark.createDataFrame([("unknown",)], "session_id string"))
+    return delete_counts(amap, sessions)
+
+
 # ---------------------------------------------------------------- T1-T6 modifiers
 def _vowels(c):
     return F.translate(c, "aeiou", "AEIOU")
@@ -871,7 +1067,7 @@ def q_toxicity_purge(spark, sf_dir):
     from veilspark.fixed import PURGED_TEXT
     from veilspark.operators.modifiers import toxic_hit_counts, toxicity_score
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    h = toxic_hit_counts(d, "doc_id", "text", _lexicon(spark, sf_dir))
+    h = toxic_hit_counts(d, "text", _lexicon(spark, sf_dir))
     return h.select("doc_id", F.when(toxicity_score(F.col("toxic_hits")) > F.lit(0.5), F.lit(PURGED_TEXT))
                     .otherwise(F.col("text")).alias("text"))
 
@@ -881,8 +1077,8 @@ SELECT conv_id, turn, CAST({_tox_hits_sql('text')} AS INTEGER) AS hits, {_tox_hi
 FROM conversations, lex""")
 def q_toxicity_flag(spark, sf_dir):
     from veilspark.operators.modifiers import toxic_hit_counts, toxicity_score
-    c = table(spark, sf_dir, "conversations").withColumn("_k", F.col("conv_id") * 1000 + F.col("turn"))
-    h = toxic_hit_counts(c, "_k", "text", _lexicon(spark, sf_dir), out_col="hits")
+    c = table(spark, sf_dir, "conversations")
+    h = toxic_hit_counts(c, "text", _lexicon(spark, sf_dir), out_col="hits")
     return h.select("conv_id", "turn", "hits", (toxicity_score(F.col("hits")) > F.lit(0.5)).alias("is_toxic"))
 
 
@@ -925,6 +1121,40 @@ def q_stream_ingest(spark, sf_dir):
                               deanonymize_text(F.col("content"), DEMO_SECRET).alias("content"))
 
 
+@register("stream_ingest_two_sources", f"""SELECT id, content FROM ({CHUNKS_SQL})
+UNION ALL SELECT -(item_id + 1) * 1000000 + chunk_no AS id, content
+FROM ({chunk_sql(256, 10, src="benchmark", key="item_id")})""")
+def q_stream_ingest_two_sources(spark, sf_dir):
+    """Two streams fill one collection; the first is then run again from a fresh checkpoint."""
+    from veilspark.operators.anonymize import deanonymize_text
+    from veilspark.streaming.streams import ingest_stream, table_stream
+    coll = _new_collection(spark, "node")
+
+    def docs():
+        return table_stream(spark, sf_dir, "documents", table(spark, sf_dir, "documents").schema)
+
+    items = table_stream(spark, sf_dir, "benchmark", table(spark, sf_dir, "benchmark").schema).select(
+        (-F.col("item_id") - 1).alias("doc_id"), F.lit("benchmark").alias("source"), "text")
+    for stream in (docs(), items, docs()):
+        _, ckpt, _ = _stream_dirs(spark, "ingest")
+        _run(ingest_stream(stream, coll, secret=DEMO_SECRET, checkpoint=ckpt, max_words=256, overlap=10, salt=DEMO_SALT))
+    return coll.scan().select("id", deanonymize_text(F.col("content"), DEMO_SECRET).alias("content"))
+
+
+@register("stream_deanonymize", "SELECT doc_id, text, FALSE AS malformed FROM documents")
+def q_stream_deanonymize(spark, sf_dir):
+    """Anonymize as a stream, restore the sink's rows as a second stream."""
+    from veilspark.streaming.streams import anonymize_stream, deanonymize_stream, table_stream
+    schema = table(spark, sf_dir, "documents").select("doc_id", "text").schema
+    sink, ckpt, back = _stream_dirs(spark, "anonymize")
+    s = table_stream(spark, sf_dir, "documents", schema)
+    _run(anonymize_stream(s, "text", DEMO_SECRET, sink=sink, checkpoint=ckpt, mode="aes", types=PATTERN_ALL,
+                          threshold=0.5, salt=DEMO_SALT, scope="doc_id"))
+    stored = spark.readStream.schema(schema).parquet(sink)
+    _run(deanonymize_stream(stored, "text", DEMO_SECRET, sink=back, checkpoint=f"{back}-checkpoint"))
+    return spark.read.parquet(back).select("doc_id", "text", "malformed")
+
+
 @register("stream_cache_lookup", f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}),
 p AS (SELECT item_id AS pid, text AS prompt FROM benchmark),
 pe AS ({hash_embed_sql('p', 'pid', 'prompt')}),

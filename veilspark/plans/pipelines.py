@@ -17,19 +17,25 @@ from veilspark.operators.context import (assemble_requests, empty_context, forma
 from veilspark.operators.embed import HashEmbedder
 
 
+def compose_id(key, n, width: int = 1_000_000):
+    """``key * width + n``; an ``n`` that does not fit is an error, never another key's id."""
+    return F.when((n >= 0) & (n < width), key * width + n).otherwise(
+        F.raise_error(F.concat(F.lit(f"number outside 0..{width - 1}: "), n.cast("string"))).cast("long"))
+
+
 def ingest_nodes(docs: DataFrame, *, secret: str | None, embedder=None, key_col: str = "doc_id",
                  doc_col: str = "source", text_col: str = "text", max_words: int | None = None,
                  overlap: int = 10, min_words: int = 3, salt: str = "") -> DataFrame:
     """Nodes ``(id, doc, content, metadata, embedding)``; narrow from scan to sink.
 
-    ``id = key * 1e6 + chunk_no`` is deterministic, so a re-run or a retried
-    task writes the same rows (idempotent append by id downstream).
+    The id is composed of key and chunk number (see :func:`compose_id`), so a
+    re-run or a retried task writes the same rows (appends are idempotent by id).
     """
     embedder = embedder or HashEmbedder()
     c = chunk_documents(docs.select(key_col, doc_col, text_col), text_col,
                         max_words=max_words or embedder.max_length, overlap=overlap,
                         min_words=min_words, keep_cols=[key_col, doc_col])
-    n = c.select((F.col(key_col) * 1000000 + F.col("chunk_no")).alias("id"),
+    n = c.select(compose_id(F.col(key_col), F.col("chunk_no")).alias("id"),
                  F.col(doc_col).cast("string").alias("doc"), "content")
     n = n.withColumn("embedding", embedder.column(F.col("content")))
     if secret:
@@ -37,10 +43,9 @@ def ingest_nodes(docs: DataFrame, *, secret: str | None, embedder=None, key_col:
     return n.withColumn("metadata", F.create_map(F.lit("doc"), F.col("doc")))
 
 
-def conversation_requests(conv: DataFrame, titles) -> DataFrame:
+def conversation_requests(conv: DataFrame) -> DataFrame:
     """Requests from a long message table: prompt = last user turn, last turn number.
 
-    ``titles(request_id_col) -> array<string>`` chooses the titles per request.
     Aggregates are partial (max of a struct), so a huge conversation is fine.
     """
     g = conv.groupBy("conv_id").agg(
@@ -48,18 +53,19 @@ def conversation_requests(conv: DataFrame, titles) -> DataFrame:
         F.max("turn").alias("last_turn"))
     return g.select(F.col("conv_id").alias("request_id"),
                     F.coalesce(F.col("_last_user.text"), F.lit("")).alias("prompt"),
-                    "last_turn", titles(F.col("conv_id")).alias("titles"))
+                    "last_turn")
 
 
 def rag_requests(conv: DataFrame, nodes: DataFrame, titles, *, secret: str, node_secret: str | None,
-                 embedder=None, k: int = 3, mode: str = "aes", salt: str = "", **anon_kw) -> DataFrame:
-    """A5: anonymized request messages with retrieved context (long form)."""
+                 embedder=None, k: int = 3, mode: str = "aes", salt: str = "", where=None, **anon_kw) -> DataFrame:
+    """A5: anonymized request messages with retrieved context (long form).
+
+    ``titles(requests) -> (request_id, prompt, title_pos, title)`` names the
+    documents that each request asks; ``where`` is a condition on the nodes.
+    """
     embedder = embedder or HashEmbedder()
-    req = conversation_requests(conv, titles)
-    probes = req.select("request_id", "prompt",
-                        F.posexplode("titles").alias("title_pos", "title")) \
-        .withColumn("title_pos", (F.col("title_pos") + 1).cast("int"))
-    hits = retrieve_by_title(probes, nodes, embedder=embedder, k=k)
+    req = conversation_requests(conv)
+    hits = retrieve_by_title(titles(req), nodes, embedder=embedder, k=k, where=where)
     ctx = format_context(hits, secret=node_secret)
     ctx = req.select("request_id", "last_turn").join(ctx, "request_id", "left").select(
         "request_id", (F.col("last_turn") + 2).cast("int").alias("msg_no"),

@@ -1,50 +1,21 @@
-"""Size checks that guard every broadcast.
+"""Optional spreading of scan rows over the cores of one machine.
 
-A side is broadcast only after a bounded probe proves it small:
-``limit(bound + 1).count()`` reads at most ``bound + 1`` rows, so the check
-itself stays cheap even when the side turns out to be huge.
+Off unless the session sets ``spark.veilspark.balanceScans`` (the local session
+builder does): a table written as one large row group is read by one task
+however big it is, which matters for benchmarks on a single file.  Joins carry
+no size switches; Catalyst and AQE choose broadcasts by bytes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+SETTING = "spark.veilspark.balanceScans"
 
 
-def row_count_at_most(df: DataFrame, bound: int) -> int | None:
-    """Exact row count when it is <= bound, else None."""
-    n = df.limit(bound + 1).count()
-    return n if n <= bound else None
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` when df has at most ``max_rows`` rows, else ``df``.
-
-    Without the hint the join falls back to a shuffled join chosen by
-    Catalyst/AQE, which handles any size.
-    """
-    return F.broadcast(df) if row_count_at_most(df, max_rows) is not None else df
-
-
-def target_partitions(spark, factor: int = 2) -> int:
-    """Enough tasks to keep every core busy: ``factor`` x default parallelism."""
-    return max(1, spark.sparkContext.defaultParallelism * factor)
-
-
-def balance(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
-    """Spread CPU-heavy text rows over all cores when the scan yields too few splits.
-
-    Parquet splits only at row-group boundaries, so a file written as one
-    large row group is read by one task however big it is.  When the scan
-    has fewer partitions than the cluster's parallelism, rows are hash-
-    partitioned by ``key`` (deterministic under retries, and co-partitioned
-    for later joins on the key); a large input that already has enough splits
-    is left alone, so no shuffle is added at scale.
-    """
+def balance(df: DataFrame, key: str, tasks_per_core: int = 2) -> DataFrame:
+    """Rows hash-partitioned by ``key`` where the session asks for it, else ``df``."""
     spark = df.sparkSession
-    n = target_partitions(spark, factor)
-    if df.rdd.getNumPartitions() >= n:
+    if spark.conf.get(SETTING, "false") != "true":
         return df
-    return df.repartition(n, key) if key else df.repartition(n)
+    return df.repartition(max(1, spark.sparkContext.defaultParallelism * tasks_per_core), key)

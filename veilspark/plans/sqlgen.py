@@ -25,8 +25,13 @@ _VALID = {
     "CREDIT_CARD": lambda v: luhn_sql(v),
     "PHONE_NUMBER": lambda v: "TRUE",
     "US_SSN": lambda v: f"(regexp_matches({v}, {q(P.SSN_OK)}) AND NOT regexp_matches({v}, {q(P.SSN_BAD)}))",
-    "DATE_TIME": lambda v: (f"(NOT regexp_matches({v}, '^[0-9]{{4}}-') OR "
-                            f"regexp_matches({v}, {q(P.DATE_ISO_OK)}))"),
+    "DATE_TIME": lambda v: (
+        f"(CASE WHEN {v} LIKE '____-%' THEN TRY_CAST(substring({v}, 6, 2) AS INTEGER) BETWEEN 1 AND 12"
+        f" AND TRY_CAST(substring({v}, 9, 2) AS INTEGER) BETWEEN 1 AND 31"
+        f" WHEN {v} LIKE '%/%' THEN least(TRY_CAST(split_part({v}, '/', 1) AS INTEGER), TRY_CAST(split_part({v}, '/', 2)"
+        f" AS INTEGER)) BETWEEN 1 AND 12 AND greatest(TRY_CAST(split_part({v}, '/', 1) AS INTEGER),"
+        f" TRY_CAST(split_part({v}, '/', 2) AS INTEGER)) <= 31"
+        f" ELSE TRY_CAST(replace(split_part({v}, ' ', 2), ',', '') AS INTEGER) BETWEEN 1 AND 31 END)"),
     "US_PASSPORT": lambda v: f"regexp_matches({v}, {q(P.PASSPORT_OK)})",
     "US_BANK_NUMBER": lambda v: f"regexp_matches({v}, {q(P.BANK_OK)})",
 }
@@ -69,8 +74,12 @@ def type_spans_sql(src: str, key: str, text: str, pii_type: str, threshold: floa
         boosted = num(min(1.0, det.score + P.CONTEXT_BOOST))
         score = f"CASE WHEN regexp_matches({ctx}, {q(det.context)}) THEN {boosted} ELSE {score} END"
     rows = match_rows_sql(src, key, text, det.pattern)
+    whole = ""
+    if pii_type in ("CREDIT_CARD", "PHONE_NUMBER", "DATE_TIME"):
+        whole = (" AND NOT (start > 0 AND substring(text, start, 1) BETWEEN '0' AND '9')"
+                 " AND NOT coalesce(substring(text, \"end\" + 1, 1) BETWEEN '0' AND '9', FALSE)")
     sql = f"""SELECT {key}, text, start, "end", {q(pii_type)} AS pii_type, {score} AS score, value
-FROM {rows} WHERE {_VALID[pii_type]('value')}"""
+FROM {rows} WHERE {_VALID[pii_type]('value')}{whole}"""
     if threshold > 0:
         sql = f"SELECT * FROM ({sql}) WHERE score >= {num(threshold)}"
     return sql
@@ -129,6 +138,14 @@ def rebuild_sql(text: str, m: str, toks: str) -> str:
             f"substring({text}, {last} + 1, greatest(length({text}) - {last}, 0)) END")
 
 
+def token_counts_sql(src: str, key: str, text: str, types, threshold: float = 0.0) -> str:
+    """(key, n_tokens): how many merged spans a text has."""
+    parts = [type_spans_sql(src, key, text, t, threshold) for t in types if t in P.DETECTORS]
+    rows = " UNION ALL ".join(f'SELECT {key}, start, "end", pii_type, score FROM ({p})' for p in parts)
+    return f"""SELECT d.{key}, CAST(coalesce(len({merge_sql(resolve_overlaps_sql('s.sp'))}), 0) AS INTEGER) AS n_tokens
+FROM {src} d LEFT JOIN ({spans_list_sql(rows, key)}) s ON d.{key} = s.{key}"""
+
+
 def anonymize_sql(src: str, key: str, text: str, types, secret: str, resolution: str,
                   threshold: float = 0.0, extra_span_rows: str | None = None) -> str:
     """(key, text) with PII replaced by sha tokens, as one SELECT."""

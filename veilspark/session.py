@@ -32,6 +32,7 @@ def build_session(master: str | None = None, app: str = "veilspark",
         # A regrouped row must never be larger than one task can hold; keep
         # Arrow batches moderate so Python workers stay within memory.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+        "spark.veilspark.balanceScans": "true",       # one machine, single-file tables
     }
     conf.update(extra or {})
     for k, v in conf.items():
@@ -45,13 +46,16 @@ def build_session(master: str | None = None, app: str = "veilspark",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    A folder is only chosen here when the session names none, which is the
-    case in local tests; on a cluster the shared folder is configured.
+    A folder is only chosen here for a local master (tests).  On a cluster a
+    missing setting is an error: a folder of one machine is invisible to the
+    executors on others.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="veilspark-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.plans.sizing import broadcast_if_small
 
 
 def load_documents(spark: SparkSession, path: str, fmt: str = "parquet", *,
@@ -38,13 +37,13 @@ def load_resources(docs: DataFrame, requests: DataFrame, resource_col: str = "re
     """S2 single-resource load, batched: one row per requested resource.
 
     ``requests`` holds ``resource`` (and optionally a display ``name``); the
-    document becomes ``doc = coalesce(name, resource)``.  An equi-join, so
-    the scan filter is pushed down when the request set is a literal list.
+    document becomes ``doc = coalesce(name, resource)``.  An equi-join; Spark
+    broadcasts a small request set.
     """
     r = requests.select(F.col(resource_col).cast("string").alias("resource"),
                         (F.col(name_col).cast("string") if name_col else F.lit(None).cast("string"))
                         .alias("_name"))
-    j = docs.join(broadcast_if_small(r), "resource")
+    j = docs.join(r, "resource")
     return j.select("resource", "text", F.map_concat(
         F.map_filter("metadata", lambda k, v: k != "doc"),
         F.create_map(F.lit("doc"), F.coalesce("_name", "resource"))).alias("metadata"))
