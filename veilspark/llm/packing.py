@@ -20,8 +20,10 @@ table gives no piece.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,73 +54,93 @@ def _split(text: str) -> list[str]:
     return _NOT_SPACE.findall(text) if _CONTROLS.search(text) else text.split()
 
 
+# Words of printable ASCII and Latin-1 letters, and how the pre-tokenizer parts them (after lower-casing).
+_LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+# --- fixed value: the pre-tokenizer pattern that _PIECE equals on such words
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_chars() -> dict[int, str]:
+    """The character that byte-level pieces write for each byte: itself if visible, else 256 and up."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 class WordTokenizer:
     """Token ids of a text by the given tokenizer file, remembered by word.
 
     The tokenizer drops white space and never joins across it, so a text's
-    ids are its words' ids in a row.  New words go through the tokenizer in one
-    call, parted by a special token; the memory is emptied at ``limit`` words.
+    ids are its words' ids in a row.  A new word of Latin letters is parted
+    into the pre-tokenizer's pieces, and new pieces go to the tokenizer's
+    model; any other word goes through the whole tokenizer.  The memory is
+    emptied at ``limit`` words.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.mark = next(t.content for t in self.tok.get_added_tokens_decoder().values())
-        self.mark_id = self.tok.token_to_id(self.mark)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        kinds = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+        splits = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_piece = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == [
+            "Split", "ByteLevel"] and splits[0]["pattern"].get("Regex") == _PATTERN
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.chars = _byte_chars()
         self.limit = limit
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)      # first id of word i; at[i + 1] ends it
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        rows = self._encode(words)
-        for w, ids in zip(words, rows):
-            i = len(self.index)
-            if i + 2 > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.index[w] = i
-            self.at[i + 1] = self.used
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        plain = [w for w in words if self.mark not in w]
-        ids = np.array(self.tok.encode(self.mark.join(plain), add_special_tokens=False).ids, np.uint32)
-        parts = iter(np.split(ids, np.flatnonzero(ids == self.mark_id)))
-        out = []
-        for w in words:
-            if self.mark in w:
-                out.append(np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32))
-            else:
-                p = next(parts)
-                out.append(p[1:] if len(p) and p[0] == self.mark_id else p)
+    def _ids(self, word: str) -> list[int]:
+        if not self.by_piece or not _LATIN.fullmatch(word) or any(x in word for x in self.special):
+            return self.tok.encode(word, add_special_tokens=False).ids
+        out: list[int] = []
+        for piece in _PIECE.findall(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                raw = piece if piece.isascii() else "".join(map(self.chars.__getitem__, piece.encode()))
+                ids = self.pieces[piece] = [t.id for t in self.tok.model.tokenize(raw)]
+            out += ids
         return out
 
+    def _learn(self, words) -> None:
+        rows = [self._ids(w) for w in words]
+        n, size = len(self.index), sum(map(len, rows))
+        while n + len(rows) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
+        while self.used + size > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[self.used:self.used + size] = [i for ids in rows for i in ids]
+        self.at[n + 1:n + 1 + len(rows)] = self.used + np.cumsum([len(ids) for ids in rows])
+        self.used += size
+        self.index.update(zip(words, range(n, n + len(rows))))
+
     def texts(self, texts: list) -> list[np.ndarray]:
         """Ids of every text, the end id last."""
         split = [_split(t) if t else [] for t in texts]
         if len(self.index) > self.limit:
             self._clear()
-        new = set().union(*split) - self.index.keys() if split else set()
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for ws in split:
-            w = np.fromiter(map(self.index.__getitem__, ws), np.int64, count=len(ws))
-            first, size = self.at[w], self.at[w + 1] - self.at[w]
-            total = int(size.sum())
-            ids = np.empty(total + 1, np.uint32)
-            ends = np.cumsum(size)
-            ids[:total] = self.flat[np.arange(total) + np.repeat(first - (ends - size), size)]
-            ids[total] = END_ID
-            out.append(ids)
-        return out
+        words = [w for ws in split for w in ws]
+        w = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, count=len(words))
+        new = np.flatnonzero(w < 0)
+        if len(new):
+            self._learn(list(dict.fromkeys(words[i] for i in new.tolist())))
+            w[new] = [self.index[words[i]] for i in new.tolist()]
+        first, size = self.at[w], self.at[w + 1] - self.at[w]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.arange(total) + np.repeat(first - (ends - size), size)]
+        last = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        end = np.array([END_ID], np.uint32)
+        return [np.concatenate([ids[a:b], end]) for a, b in zip(last[:-1].tolist(), last[1:].tolist())]
 
 
 _known: dict[str, WordTokenizer] = {}
