@@ -246,8 +246,17 @@ def train(texts: DataFrame, *, key=None, states: int = STATES, own: int = OWN, s
     counts = materialize(count_words(only), "lm-counts")
     t = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(t["n"]), int(t["v"])
-    top = [(bytes(r[0]), int(r[1])) for r in
-           counts.orderBy(F.col("c").desc(), "word").limit(broadcast_words).collect()]
+    # The words from the least frequency on at which they are at most ``broadcast_words``: found on a
+    # histogram of log frequencies (a few thousand rows), so no task and no sort sees all words.
+    level = F.floor(F.log2("c") * 32).cast("int")
+    least, room = None, broadcast_words
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    found = counts.filter(level >= least).collect() if least is not None else []
+    top = sorted(((bytes(r[0]), int(r[1])) for r in found), key=lambda x: (-x[1], x[0]))
     names = [w for w, _ in top[:own]]
     classes = Classes(dict(top), names, shared)
     # Totals of the shared classes: everything but the words with a class of their own.
