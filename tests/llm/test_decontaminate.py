@@ -53,7 +53,7 @@ def test_spans_are_cut_and_nothing_else(tables):
     kept = {r["doc_id"]: r["text"] for r in D.decontaminate(d, b).collect()}
     assert kept[1] == "before,  after" and kept[2] == "!" and kept[3] == docs[2][1] and kept[5] is None
     assert kept[7].split() == ["gap"]
-    assert {r["doc_id"] for r in D.decontaminate(d, b, action="drop_documents").collect()} == {3, 5, 6, 8} | {
+    assert {r["doc_id"] for r in D.decontaminate(d, b, action="drop_documents").collect()} == {
         x for x, v in brute(docs, items).items() if v[1] == 0}
 
 

@@ -252,3 +252,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, action: str = "remov
         raise ValueError("action is remove_spans or drop_documents")
     return found.select(*[F.col(name)["clean_text"].alias(c) if c == text_col else F.col(f"`{c}`")
                           for c in docs.columns])
+
+
+def _sql(n: int = WINDOW) -> str:
+    """DuckDB SQL of the digest that query op7 returns."""
+    def words(t):
+        return (f"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+                f"'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+    return f"""WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least({n}, len(w)) AS n
+  FROM (SELECT item_id, {words('text')} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS win
+  FROM (SELECT *, unnest(generate_series(1, len(w) - n + 1)) AS k FROM i)),
+dw AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM (
+  SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k
+  FROM d JOIN (SELECT DISTINCT n FROM iw) s ON len(d.w) >= s.n)),
+h AS (SELECT dw.doc_id, dw.k, dw.n, iw.item FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id"""
+
+
+ORACLE_SQL = _sql()

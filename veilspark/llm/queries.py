@@ -90,4 +90,4 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_lm_hmm": op10_lm_hmm,
 }
-ORACLES = {"op9_warc": warc.ORACLE_SQL}
+ORACLES = {"op7_decontamination": decon.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
