@@ -67,7 +67,7 @@ def test_every_token_once_and_little_padding(spark, sf_small, tokenizer):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
     pieces = P.pack(docs, PATH).collect()
     n, tokens = check(pieces, [tuple(r) for r in docs.collect()], tokenizer)
-    assert n == -(-tokens // P.CAPACITY)
+    assert n <= -(-tokens // P.CAPACITY) + 1
 
 
 def test_small_pools_and_many_tasks(spark, sf_small, tokenizer):

@@ -1,7 +1,7 @@
 """Sequence packing by minimum bin slack.
 
 Every task tokenizes its documents and cuts each into full windows and one
-remainder.  The remainders' lengths form a multiset.  For each window a bitset
+remainder.  The remainders' lengths form a multiset.  A window takes the longest piece; for the rest of it a bitset
 (one integer whose bit s says "length s is reachable") runs the subset-sum
 dynamic program over the multiset, longest lengths first; the count used of
 each length is read off by backtracking, and the filling closest to the
@@ -9,8 +9,8 @@ capacity is taken.  One document in ``filler_every`` is cut into powers of two,
 so that the last windows can also be closed exactly.
 
 A task's pool is bounded by ``pool`` pieces whatever the partition's size.
-Pieces that are left when a task ends (less than a window's worth) are packed
-together by a second small step.  Tokens never leave the task: a piece carries
+Pieces that fill no window exactly when a task ends are packed together by a
+second small step.  Tokens never leave the task: a piece carries
 its position, length and checksum.
 
 Edge cases: NULL or empty text is one piece with the end token alone; very long
@@ -36,7 +36,8 @@ from veilspark.llm.common import materialize
 CAPACITY = 2048
 END_ID = 1
 POOL = 8192
-FILLER_EVERY = 32
+FILLER_EVERY = 16
+LEFT = 256                # pieces of a task that may wait for the second step
 CACHE_WORDS = 1_000_000
 _TASK_BITS = 33           # sequence id = step and task number above, running number below
 
@@ -161,7 +162,7 @@ def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """
     mask = (1 << (capacity + 1)) - 1
     reach, steps = 1, []
-    for length in sorted(counts, reverse=True):
+    for length in sorted((x for x, n in counts.items() if n and x <= capacity), reverse=True):
         steps.append((length, reach))
         left, many = min(counts[length], capacity // length), 1
         while left:                                     # binary splitting of the count
@@ -209,8 +210,15 @@ class Packer:
             offset += p[2]
         self.next_id += 1
 
-    def _window(self) -> None:
-        used = fill({x: len(v) for x, v in self.by_length.items()}, self.capacity)
+    def _window(self, exact: bool = False) -> bool:
+        """Pack one window; with ``exact`` only if it can be filled to the last token."""
+        counts = {x: len(v) for x, v in self.by_length.items()}
+        longest = max(counts)                               # each window takes the longest piece and fills up
+        counts[longest] -= 1
+        used = fill(counts, self.capacity - longest)
+        used[longest] = used.get(longest, 0) + 1
+        if exact and sum(x * k for x, k in used.items()) < self.capacity:
+            return False
         chosen = []
         for length, k in sorted(used.items(), reverse=True):
             same = self.by_length[length]
@@ -220,11 +228,15 @@ class Packer:
         self.n -= len(chosen)
         self.tokens -= sum(p[2] for p in chosen)
         self._emit(chosen)
+        return True
 
     def finish(self, close: bool) -> None:
-        """Pack what is left: all of it (``close``), or whole windows only."""
-        while self.n and (close or self.tokens >= self.capacity):
-            self._window()
+        """Pack what is left: all of it (``close``), or full windows once few pieces are left.
+
+        What then remains has no window yet.
+        """
+        while self.n and self._window(exact=not close and self.n <= LEFT):
+            pass
         if not close:
             for same in self.by_length.values():
                 self.out += [(*p, None, None) for p in same]

@@ -114,9 +114,17 @@ def fit(rows: list[tuple[int, np.ndarray]], vocab: list[str], pairs: list[tuple[
     idx = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, int)
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     at = {w: i for i, w in enumerate(vocab)}
-    cf = [(at.get(a, -1), at.get(b, -1), n) for a, b, n in pairs if a in at or b in at]
-    a, b = np.array([c[0] for c in cf], int), np.array([c[1] for c in cf], int)
-    n = np.array([c[2] for c in cf], float)
+    # What a swap takes out and puts in: the two words' features, as rows of a sparse matrix.
+    which, col, sign, n = [], [], [], []
+    for a, b, times in pairs:
+        out, into = {at[f] for f in parts_of(a) if f in at}, {at[f] for f in parts_of(b) if f in at}
+        if out != into:
+            moved = [(i, 1.0) for i in out - into] + [(i, -1.0) for i in into - out]
+            which += [len(n)] * len(moved)
+            col += [i for i, _ in moved]
+            sign += [x for _, x in moved]
+            n.append(times)
+    which, col, sign, n = np.array(which, int), np.array(col, int), np.array(sign), np.array(n, float)
     n = n / max(1.0, n.sum())
     prior = y.mean()
     bias, w = math.log(prior / (1 - prior)), np.zeros(len(vocab))
@@ -125,13 +133,9 @@ def fit(rows: list[tuple[int, np.ndarray]], vocab: list[str], pairs: list[tuple[
         z = bias + np.bincount(row, w[idx], len(y))
         err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / len(y)
         grad = np.bincount(idx, err[row], len(vocab)) + l2 * w
-        if len(a):
-            ext = np.append(w, 0.0)                       # index -1: a word without weight
-            diff = counterfactual * n * (ext[a] - ext[b])
-            full = np.zeros(len(vocab) + 1)
-            np.add.at(full, a, diff)
-            np.add.at(full, b, -diff)
-            grad += full[:-1]
+        if len(n):
+            change = np.bincount(which, sign * w[col], len(n))
+            grad += counterfactual * np.bincount(col, sign * (n * change)[which], len(vocab))
         g2 += grad * grad
         step = rate / (np.sqrt(g2) + 1e-8)
         w = w - step * grad
@@ -179,7 +183,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxi
     vocab = [r[0] for r in df.orderBy(z.desc(), F.col("word")).limit(max_features).select("word").collect()]
     pairs = [tuple(r) for r in picked.mapInArrow(swap_rows, "a string, b string")
              .groupBy("a", "b").count().collect()]                    # at most two per identity term
-    vocab += sorted({a for a, _, _ in pairs} - set(vocab))
+    vocab += sorted({f for a, _, _ in pairs for f in parts_of(a)} - set(vocab))
     index = picked.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocab)})
 
     def encode(batches):
