@@ -15,8 +15,10 @@ components; a bucket whose members lie in several components is then closed
 exactly: members that cannot reach the threshold any more (their shingles that
 occur in no other open document are too many) drop out by a counting bound,
 and the rest are compared across components, in blocks of bounded size, each
-pair in the first band that it shares.  So no link between components is lost
-that the banding finds, and pairs inside a component are never listed.
+pair in the first band that it shares, on their whole sets as 32-bit hashes
+(which can only overstate what two sets share).  What passes is verified like
+any candidate.  So no link between components is lost that the banding finds,
+and neither pairs inside a component nor unlike pairs are ever listed.
 
 Edge cases: NULL or empty text (or white space alone) has an empty set and is
 linked with nothing; fewer words than a shingle are one shingle; repeated rows
@@ -187,7 +189,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _open_pairs(open_rows: DataFrame, threshold) -> DataFrame:
     """Distinct candidate pairs between components, each from the first band that both share.
 
-    open_rows: bucket, band, node, comp, n, shared, sketch, and size (members of the bucket).
+    open_rows: bucket, band, node, comp, n, shared, sketch, short (sorted 32-bit
+    hashes of the set), and size (members of the bucket).
     """
     num, den = threshold
     floor = num / den - ESTIMATE_SLACK
@@ -196,7 +199,7 @@ def _open_pairs(open_rows: DataFrame, threshold) -> DataFrame:
     rows = open_rows.withColumn("blocks", blocks).withColumn("mine", mine) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")) \
-        .select("bucket", "i", "j", "mine", "band", "node", "comp", "n", "shared", "sketch")
+        .select("bucket", "i", "j", "mine", "band", "node", "comp", "n", "shared", "sketch", "short")
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, band = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["band"].iloc[0])
@@ -205,6 +208,7 @@ def _open_pairs(open_rows: DataFrame, threshold) -> DataFrame:
         comp = pd.factorize(pdf["comp"])[0]
         n, shared = pdf["n"].to_numpy(), pdf["shared"].to_numpy()
         sk = np.stack(pdf["sketch"].to_numpy())
+        short = [np.frombuffer(x, np.uint32) for x in pdf["short"]]
         a, b = [], []
         for u in range(len(node) - 1):
             v = np.arange(u + 1, len(node))
@@ -222,13 +226,28 @@ def _open_pairs(open_rows: DataFrame, threshold) -> DataFrame:
                 continue
             band_of = same.reshape(len(v), -1, R).all(2).argmax(1)
             for w in v[band_of == band].tolist():
-                a.append(node[u])
-                b.append(node[w])
+                small, large = (u, w) if len(short[u]) <= len(short[w]) else (w, u)
+                k = np.searchsorted(short[large], short[small])
+                both = int((short[large][np.minimum(k, len(short[large]) - 1)] == short[small]).sum())
+                both += n[small] - len(short[small])          # hashes that fell together count for both sets
+                if both * den >= num * (n[u] + n[w] - both):
+                    a.append(node[u])
+                    b.append(node[w])
         return pd.DataFrame({"a": a, "b": b})
 
     return rows.groupBy("bucket", "i", "j").applyInPandas(pairs, "a binary, b binary")
 
 
+def _short_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, short): the set as sorted distinct 32-bit hashes."""
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_set(t, shingle).astype(np.uint32)).tobytes() for t in text_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "short"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, short binary")
+
+
 def _unique_counts(texts: DataFrame, shingle: int) -> DataFrame:
     """(node, alone): how many of a node's shingles occur in no other of the given texts."""
     def run(batches):
@@ -276,10 +295,12 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     open_rows = materialize(tagged.join(several, "bucket"), "near-open")
     if not open_rows.isEmpty():
         open_nodes = open_rows.select("node").distinct()
-        alone = _unique_counts(texts.join(open_nodes, "node"), shingle)
+        open_texts = materialize(texts.join(open_nodes, "node"), "near-open-texts")
+        alone = _unique_counts(open_texts, shingle)
         alive = nodes.join(open_nodes, "node").join(alone, "node", "left") \
             .withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))) \
-            .filter(F.col("shared") * den >= F.col("n") * num).select("node", "n", "shared", "sketch")
+            .filter(F.col("shared") * den >= F.col("n") * num).select("node", "n", "shared", "sketch") \
+            .join(_short_sets(open_texts, shingle), "node")
         rows = materialize(open_rows.join(alive, "node"), "near-alive")
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"),
                                            F.max("comp").alias("hi")).filter("lo <> hi").select("bucket", "size")
