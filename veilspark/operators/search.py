@@ -10,9 +10,10 @@ joined to the k winners by id.  One kernel does the search in both placements:
 
 The kernel keeps a running top-k per probe across its batches.  A matrix
 product in tiles of bounded size gives distances up to a rounding error; every
-row that may be among the k nearest under that error is measured exactly, so
-ties are always decided by (distance, id) and the placements agree row for
-row.  Its memory depends on the probes and k, not on the number of batches.
+row that may be among the k nearest under that error is measured in double
+precision.  Order goes by ``DIGITS`` decimals, so that distances which are
+equal but for the order of summation are ties.  Ties are always decided by id, and
+the placements agree row for row.  Its memory depends on the probes and k, not on the number of batches.
 
 A vector of another length than ``dim`` is an error; a NULL vector is skipped.
 """
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 from veilspark.fixed import DEFAULT_K
 
 PROBE_BYTES = 32 << 20
+DIGITS = 9
 TILE_CELLS = 1 << 22          # cells of one distance tile (32 MB)
 
 
@@ -55,8 +57,9 @@ def _key_expr(cols) -> Column:
     return F.concat_ws("\u0001", *[F.col(c).cast("string") for c in cols]) if cols else F.lit("")
 
 
-def _make_search(k: int, metric: str, dim: int, tile_cells: int = TILE_CELLS):
+def _make_search(k: int, metric: str, dim: int, tile_cells: int = TILE_CELLS, digits: int = DIGITS):
     """The kernel, as closures (they travel to the workers by value)."""
+    unit = 10.0 ** -digits
 
     def matrix(vectors):
         """float64 rows of an Arrow list column (no NULLs); other lengths are an error."""
@@ -75,7 +78,7 @@ def _make_search(k: int, metric: str, dim: int, tile_cells: int = TILE_CELLS):
 
     def first_k(who, dist, rank):
         """Positions of the k least (dist, rank) of each ``who``."""
-        order = np.lexsort((rank, dist, who))
+        order = np.lexsort((rank, np.round(dist, digits), who))
         w = who[order]
         start = np.r_[0, np.flatnonzero(w[1:] != w[:-1]) + 1] if len(w) else np.zeros(0, int)
         place = np.arange(len(w)) - np.repeat(start, np.diff(np.r_[start, len(w)]))
@@ -100,13 +103,14 @@ def _make_search(k: int, metric: str, dim: int, tile_cells: int = TILE_CELLS):
                 if metric == "l2":
                     near = self.qn[p][:, None] + xn[None, :] - 2.0 * dots
                     slack = 1e-14 * (dim + 8) * (self.qn[p][:, None] + xn[None, :]) + 1e-300
-                    limit = self.bound[p] ** 2 * (1 + 1e-12)
+                    limit = (self.bound[p] + unit) ** 2 * (1 + 1e-12)
                 else:
                     near = -dots
                     slack = 1e-14 * (dim + 8) * np.sqrt(self.qn[p])[:, None] * np.sqrt(xn)[None, :] + 1e-300
-                    limit = self.bound[p]
+                    limit = self.bound[p] + unit
                 if len(x) > k:
-                    limit = np.minimum(limit, np.partition(near + slack, k - 1, axis=1)[:, k - 1])
+                    kth = np.partition(near + slack, k - 1, axis=1)[:, k - 1]
+                    limit = np.minimum(limit, (np.sqrt(np.maximum(kth, 0)) + unit) ** 2 if metric == "l2" else kth + unit)
                 r, c = np.nonzero(near - slack <= limit[:, None])
                 d = np.empty(len(r))
                 for i in range(0, len(r), some):
@@ -221,7 +225,7 @@ def knn(queries: DataFrame, collection: DataFrame, *, dim: int, k: int = DEFAULT
         cand = _by_broadcast(coll, first.filter(first.column("vec").is_valid()), c_id, k, metric, dim, schema)
     else:
         cand = _by_groups(probes, coll, c_id, k, metric, dim, schema, most)
-    w = Window.partitionBy("qid").orderBy(F.col("distance"), F.col(c_id))
+    w = Window.partitionBy("qid").orderBy(F.round("distance", DIGITS), F.col(c_id))
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if payload:
         top = top.join(collection.select(c_id, *payload), c_id)

@@ -480,7 +480,7 @@ def knn_sql(metric: str, k: int, match_label: bool) -> str:
     return f"""SELECT qid, CAST(rank AS INTEGER) AS rank, id, CAST(round(d * 1e6) AS BIGINT) AS dist_e6,
   CAST(round((1 - exp(-abs(d))) * 1e6) AS BIGINT) AS score_e6 FROM (
   SELECT q.vec_id AS qid, c.vec_id AS id, {fn}(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS d,
-         row_number() OVER (PARTITION BY q.vec_id ORDER BY {fn}(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), c.vec_id) AS rank
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY round({fn}(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9), c.vec_id) AS rank
   FROM embeddings q JOIN embeddings c ON {on}) WHERE rank <= {k}"""
 
 
@@ -507,8 +507,8 @@ ce AS ({hash_embed_sql('ch', 'id', 'content')}),
 p AS (SELECT item_id AS qid, text AS prompt FROM benchmark),
 pe AS ({hash_embed_sql('p', 'qid', 'prompt')})
 SELECT qid, CAST(rank AS INTEGER) AS rank, id FROM (
-  SELECT pe.qid, ce.id, row_number() OVER (PARTITION BY pe.qid ORDER BY list_distance(CAST(pe.embedding AS DOUBLE[]),
-    CAST(ce.embedding AS DOUBLE[])), ce.id) AS rank FROM pe, ce) WHERE rank <= 5""")
+  SELECT pe.qid, ce.id, row_number() OVER (PARTITION BY pe.qid ORDER BY round(list_distance(CAST(pe.embedding AS DOUBLE[]),
+    CAST(ce.embedding AS DOUBLE[])), 9), ce.id) AS rank FROM pe, ce) WHERE rank <= 5""")
 def q_knn_ties(spark, sf_dir):
     """Chunks hold exact copies, so equal distances are common: ids decide."""
     from veilspark.operators.embed import HashEmbedder, embed
@@ -646,8 +646,8 @@ re AS ({hash_embed_sql('r', 'id', 'prompt')}),
 top AS (
   SELECT pid, id, d FROM (
     SELECT pe.pid, re.id, list_distance(CAST(pe.embedding AS DOUBLE[]), CAST(re.embedding AS DOUBLE[])) AS d,
-           row_number() OVER (PARTITION BY pe.pid ORDER BY list_distance(CAST(pe.embedding AS DOUBLE[]),
-               CAST(re.embedding AS DOUBLE[])), re.id) AS rk
+           row_number() OVER (PARTITION BY pe.pid ORDER BY round(list_distance(CAST(pe.embedding AS DOUBLE[]),
+               CAST(re.embedding AS DOUBLE[])), 9), re.id) AS rk
     FROM pe, re) WHERE rk = 1),
 st AS (
   SELECT p.pid, top.id, CASE WHEN top.id IS NULL OR 1 - exp(-abs(top.d)) >= 0.1 THEN 'miss'
@@ -701,7 +701,7 @@ pq AS (SELECT request_id * 1000 + title_pos AS qid, * FROM (
 pe AS (SELECT pq.*, e.embedding FROM pq JOIN ({hash_embed_sql('pq', 'qid', 'prompt')}) e ON pq.qid = e.qid),
 hits AS (SELECT * FROM (
   SELECT p.request_id, p.title_pos, c.id, c.doc, c.content,
-    row_number() OVER (PARTITION BY p.qid ORDER BY list_distance(CAST(p.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), c.id) AS rank
+    row_number() OVER (PARTITION BY p.qid ORDER BY round(list_distance(CAST(p.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9), c.id) AS rank
   FROM pe p JOIN ce c ON c.doc = p.title) WHERE rank <= {k})"""
 
 
@@ -1162,8 +1162,8 @@ re AS ({hash_embed_sql('r', 'id', 'prompt')}),
 top AS (
   SELECT pid, id, d FROM (
     SELECT pe.pid, re.id, list_distance(CAST(pe.embedding AS DOUBLE[]), CAST(re.embedding AS DOUBLE[])) AS d,
-           row_number() OVER (PARTITION BY pe.pid ORDER BY list_distance(CAST(pe.embedding AS DOUBLE[]),
-               CAST(re.embedding AS DOUBLE[])), re.id) AS rk
+           row_number() OVER (PARTITION BY pe.pid ORDER BY round(list_distance(CAST(pe.embedding AS DOUBLE[]),
+               CAST(re.embedding AS DOUBLE[])), 9), re.id) AS rk
     FROM pe, re) WHERE rk = 1),
 st AS (
   SELECT p.pid, top.id, CASE WHEN top.id IS NULL OR 1 - exp(-abs(top.d)) >= 0.1 THEN 'miss'
