@@ -82,11 +82,11 @@ def test_sha_mode_masks_without_reversibility(spark):
     assert len(parts) == 5 and parts[1] == parts[3]
 
 
-def test_lenient_restore_keeps_greek_text(spark):
+def test_greek_text_survives_both_restores(spark):
     text = "Η αλφάβητος: α, β, γ. Mail jo@ex.com, again jo@ex.com"
     df = spark.createDataFrame([(1, text)], "id int, text string")
     a = anonymize(df, "text", KEY, mode="aes", scope="id")
     strict = deanonymize(a, "text", KEY).first()
-    assert strict["malformed"] and strict["text"] is None          # reference rule: ambiguous
+    assert not strict["malformed"] and strict["text"] == text       # delimiters of the text are escaped
     lenient = deanonymize(a, "text", KEY, restore="tokens").first()
     assert lenient["text"] == text and not lenient["malformed"]
