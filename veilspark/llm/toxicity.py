@@ -146,6 +146,13 @@ def fit(rows: list[tuple[int, np.ndarray]], vocab: list[str], pairs: list[tuple[
     return Model(float(bias), {vocab[i]: float(w[i]) for i in np.flatnonzero(w)})
 
 
+def _small(batches, rows: int = 128):
+    """Batches of few texts: a text gives thousands of features, and lists of them must stay short."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id",
           max_train_rows: int = MAX_TRAIN_ROWS, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS,
           groups: dict | None = None, **fit_options) -> Model:
@@ -159,7 +166,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxi
     picked = materialize(picked, "toxicity-sample")
 
     def word_rows(batches):
-        for b in batches:
+        for b in _small(batches):
             words, ys = [], []
             for t, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 ws = features_of(t)
@@ -168,7 +175,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxi
             yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "y": pa.array(ys, pa.int32())})
 
     def swap_rows(batches):
-        for b in batches:
+        for b in _small(batches):
             got = [p for t in b.column(1).to_pylist() for p in swaps(t, groups)]
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in got], pa.string()),
                                               "b": pa.array([p[1] for p in got], pa.string())})
@@ -187,7 +194,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxi
     index = picked.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocab)})
 
     def encode(batches):
-        for b in batches:
+        for b in _small(batches):
             known = index.value
             out = [sorted(known[w] for w in features_of(t) & known.keys()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"y": b.column(2), "x": pa.array(out, pa.list_(pa.int32()))})
@@ -211,7 +218,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> tuple[Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in _small(batches):
             s = [shared.value.score(t) for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(c.cast(f.type) for c, f in zip(b.columns, arrow)), pa.array(s, pa.float64())], schema=arrow)
