@@ -138,7 +138,7 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         "d", "x", F.transform(split, _line_hash).alias("hs"),
         F.transform(split, lambda t: F.regexp_count(t, F.lit(WORD)).cast("int")).alias("ws"))
     p = places.select(F.col("d").alias("pd"), F.col("x").alias("px"))
-    arrays = arrays.join(p, F.col("d").eqNullSafe(F.col("pd")) & (F.col("x") == F.col("px"))).drop("pd", "px")
+    arrays = arrays.join(p.hint("merge"), F.col("d").eqNullSafe(F.col("pd")) & (F.col("x") == F.col("px"))).drop("pd", "px")
     arrays = materialize(arrays.dropDuplicates(PLACE), "line-arrays")
     runs = materialize(_extend(groups, arrays), "line-runs")
     while True:
@@ -171,8 +171,9 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     cuts = runs.groupBy("d", "x").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))
     x, gone, name = (free_name(docs, n) for n in ("text_hash", "cuts", "lines_removed"))
     cuts = cuts.select(F.col("d").alias(gone + "_d"), F.col("x").alias(gone + "_x"), F.col("cut").alias(gone))
+    # Always by a shuffle on the key: whether the cuts could be broadcast depends on how many there are.
     both = docs.withColumn(x, F.xxhash64(text_col)).join(
-        cuts, F.col(f"`{id_col}`").eqNullSafe(F.col(gone + "_d")) & (F.col(x) == F.col(gone + "_x")), "left")
+        cuts.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col(gone + "_d")) & (F.col(x) == F.col(gone + "_x")), "left")
     lines = F.split(text_col, "\n")
     # Positions first, so that a line is looked up and not compared with every run.
     lost = F.array_distinct(F.flatten(F.transform(gone, lambda g: F.sequence(g["lo"], g["hi"] - 1))))
