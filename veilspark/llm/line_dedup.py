@@ -1,19 +1,20 @@
-"""Line deduplication by winnowing over line hashes.
-
-Every line has a hash and a number of words.  A window is the shortest run of
-lines from a given line on that holds at least ``min_words`` words; its least
-hash is selected as a fingerprint.  A run of that many words which two places
-share contains a whole window, so both places select the same fingerprint: no
-such repetition can be missed.  Fingerprints are joined with their first
-occurrence (by document id, then line), matches are extended line by line in
-both directions, and every later run of at least ``min_words`` words is
-deleted; the first occurrence stays.
+"""Line deduplication by windows of lines.
+
+A window is the shortest run of lines from a given line on, or up to a given
+line, that holds at least ``min_words`` words.  Its key is a 128-bit hash of
+all its lines, so equal keys mean equal windows, and every window meets the
+first place (by document id, then line) that has the same lines.  A line of a
+run of at least ``min_words`` words which an earlier place shares lies in a
+window inside that run: in the one from a line on, or, in the last lines of
+the run, in the one up to that line.  So the lines of all windows with an
+earlier equal one are exactly the lines of the repeated runs; they are deleted,
+and the first occurrence stays.
 
 Only DataFrame functions are used.  Texts are shuffled once (to cut them); all
-else are hashes.  Matches on one diagonal of two documents are grouped by
-blocks of ``BLOCK`` lines, so a task holds arrays of bounded size however many
-places share a line; a match that reaches the edge of its block's context is
-carried on in another round.
+else are hashes.  A window spans at most ``min_words`` lines with words; blank
+lines between them count by their number, so a task holds arrays of bounded
+size however many places share a line.  Equal windows are aggregated to their
+first place before they are joined.
 
 Edge cases: NULL text stays NULL and empty text empty; blank lines count as
 equal lines without words; a text of fewer than ``min_words`` words is left
@@ -31,11 +32,9 @@ from pyspark.sql.window import Window
 from veilspark.llm.common import free_name, materialize
 
 MIN_WORDS = 50
-BLOCK = 128
-CONTEXT = 64
 WORD = r"[^\x20\x09-\x0D]+"
 PLACE = ["d", "x"]                                     # a document: its id and its text's hash
-PAIR = ["d", "x", "d0", "x0", "diag"]                  # a diagonal of two documents
+KEY = ["blank", "a", "b"]                              # a window: blank lines at its edge, and its lines
 
 
 def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,121 +42,67 @@ def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .filter(F.col("text").isNotNull())
 
 
-def _line_hash(line: Column) -> Column:
-    return F.when(line.rlike(WORD), F.xxhash64(line)).otherwise(F.lit(0).cast("long"))
-
+def windows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(d, x, lo, hi, blank, a, b): the windows [lo, hi) from each line on and up to each line.
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(d, x, idx, h, h2, s): the selected lines; s is the number of words before the line."""
-    lines = _places(docs, id_col, text_col).select("d", "x", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
-    rows = lines.select("d", "x", "idx", _line_hash(F.col("line")).alias("h"),
-                        F.xxhash64(F.lit(1), F.col("line")).alias("h2"),
+    ``blank`` counts the blank lines at the open edge: before the first line with words
+    (0, 1, ...), or after the last one (-1, -2, ... for 0, 1, ...).
+    """
+    lines = _places(docs, id_col, text_col).withColumn("lines", F.split("text", "\n")).select(
+        "d", "x", F.size("lines").alias("n"), F.posexplode("lines").alias("idx", "line")).filter(F.col("line").rlike(WORD))
+    rows = lines.select("d", "x", "n", "idx", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"),
                         F.regexp_count("line", F.lit(WORD)).cast("int").alias("w"))
     # Rows of one document meet once; equal rows of the input fall together there.
-    rows = rows.repartition(*PLACE).groupBy(*PLACE, "idx").agg(*[F.first(c).alias(c) for c in ("h", "h2", "w")])
+    rows = rows.repartition(*PLACE).groupBy(*PLACE, "idx").agg(*[F.first(c).alias(c) for c in ("n", "h", "h2", "w")])
     by_line = Window.partitionBy(*PLACE).orderBy("idx")
-    rows = rows.withColumn("s", F.sum("w").over(by_line) - F.col("w")) \
-        .withColumn("total", F.sum("w").over(Window.partitionBy(*PLACE)))
-    # Equal hashes: the last of a window.
-    mine = F.when(F.col("w") > 0, F.struct("h", (-F.col("idx")).alias("back"), "h2", "s"))
+    rows = rows.withColumns({
+        "e": F.sum("w").over(by_line), "total": F.sum("w").over(Window.partitionBy(*PLACE)),
+        "before": F.col("idx") - F.coalesce(F.lag("idx").over(by_line), F.lit(-1)) - 1,
+        "after": F.coalesce(F.lead("idx").over(by_line), F.col("n")) - F.col("idx") - 1})
+    # A line as it follows the one before it in a window.
+    rows = rows.withColumn("s", F.col("e") - F.col("w")) \
+        .withColumn("g", F.struct(F.xxhash64("before", "h").alias("g"), F.xxhash64("before", "h2").alias("g2")))
     ahead = Window.partitionBy(*PLACE).orderBy("s").rangeBetween(0, min_words - 1)
-    chosen = rows.withColumn("fp", F.min(mine).over(ahead)).filter(F.col("s") + min_words <= F.col("total"))
-    return chosen.select("d", "x", (-F.col("fp.back")).alias("idx"), F.col("fp.h").alias("h"),
-                         F.col("fp.h2").alias("h2"), F.col("fp.s").alias("s")).dropDuplicates(PLACE + ["idx"])
-
-
-def _seeds(prints: DataFrame) -> DataFrame:
-    """Later fingerprints with the first occurrence, by diagonal and block: seeds, and the context [lo, hi)."""
-    first = prints.groupBy("h", "h2").agg(F.min(F.struct("d", "x", "idx")).alias("f"), F.count("*").alias("n")) \
-        .filter("n > 1").select("h", "h2", "f")
-    same = F.col("d").eqNullSafe(F.col("f.d")) & (F.col("x") == F.col("f.x")) & (F.col("idx") == F.col("f.idx"))
-    hits = prints.join(first, ["h", "h2"]).filter(~same).select(
-        "d", "x", F.col("f.d").alias("d0"), F.col("f.x").alias("x0"), (F.col("idx") - F.col("f.idx")).alias("diag"),
-        "idx", "s", F.floor(F.col("idx") / BLOCK).cast("int").alias("block"))
-    return hits.groupBy(*PAIR, "block").agg(F.collect_list(F.struct("idx", "s")).alias("seeds")).select(
-        *PAIR, "seeds", F.greatest(F.col("block") * BLOCK - CONTEXT, F.lit(0), F.col("diag")).alias("lo"),
-        (F.col("block") * BLOCK + BLOCK + CONTEXT).alias("hi"))
-
-
-def _extend(groups: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Runs around seeds: (pair, lo, hi, first, end, last, open_lo, open_hi).
-
-    ``first``, ``end`` and ``last`` count the words before the run, to its end,
-    and before its last line.  ``open_*``: the run reaches that edge of its context, and the documents go on there.
-    """
-    a = arrays.select(F.col("d").alias("ad"), F.col("x").alias("ax"), "hs", "ws")
-    g = groups.join(a, F.col("d").eqNullSafe(F.col("ad")) & (F.col("x") == F.col("ax"))).select(
-        *PAIR, "seeds", "lo", F.size("hs").alias("n"),
-        F.slice("hs", F.col("lo") + 1, F.greatest(F.col("hi") - F.col("lo"), F.lit(0))).alias("mine"),
-        F.slice("ws", F.col("lo") + 1, F.greatest(F.col("hi") - F.col("lo"), F.lit(0))).alias("ws"))
-    g = g.join(a.drop("ws"), F.col("d0").eqNullSafe(F.col("ad")) & (F.col("x0") == F.col("ax"))).select(
-        *PAIR, "seeds", "lo", "n", F.size("hs").alias("n0"), "ws", F.size("mine").alias("len"), "mine",
-        F.slice("hs", F.col("lo") - F.col("diag") + 1, F.size("mine")).alias("theirs"))
-    equal = F.zip_with("mine", "theirs", lambda p, q: F.coalesce(p == q, F.lit(False)))
-    breaks = F.filter(F.transform(F.col("equal"), lambda e, i: F.when(~e, i)), lambda i: i.isNotNull())
-    g = g.withColumn("equal", equal).withColumn("breaks", breaks).select(
-        *PAIR, "lo", "n", "n0", "ws", "len", "breaks", F.explode("seeds").alias("seed"))
-    at = F.col("seed.idx") - F.col("lo")
-    g = g.withColumn("from", F.coalesce(F.array_max(F.filter("breaks", lambda i: i < at)) + 1, F.lit(0))) \
-        .withColumn("to", F.coalesce(F.array_min(F.filter("breaks", lambda i: i > at)), F.col("len")))
-
-    def words(lo, hi):
-        return F.aggregate(F.slice("ws", lo + 1, hi - lo), F.lit(0).cast("long"), lambda t, v: t + v)
-
-    first = F.col("seed.s") - words(F.col("from"), at)
-    return g.select(
-        *PAIR, (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"),
-        first.alias("first"), (first + words(F.col("from"), F.col("to"))).alias("end"),
-        (first + words(F.col("from"), F.col("to") - 1)).alias("last"),
-        ((F.col("from") == 0) & (F.col("lo") > F.greatest(F.lit(0), F.col("diag")))).alias("open_lo"),
-        ((F.col("to") == F.col("len"))
-         & (F.col("lo") + F.col("len") < F.least("n", F.col("n0") + F.col("diag")))).alias("open_hi")).distinct()
-
-
-def _merge(runs: DataFrame) -> DataFrame:
-    """Overlapping runs of one diagonal as one; open only where no other run covers the edge."""
-    by = Window.partitionBy(*PAIR).orderBy("lo", "hi")
-    before = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = runs.withColumn("new", F.when(F.col("lo") <= before, 0).otherwise(1)) \
-        .withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*PAIR, "run").agg(
-        F.min(F.struct("lo", F.col("open_lo"))).alias("l"), F.max(F.struct("hi", (~F.col("open_hi")).alias("shut"), "last")).alias("r"),
-        F.min("first").alias("first"), F.max("end").alias("end")).select(
-        *PAIR, F.col("l.lo").alias("lo"), F.col("r.hi").alias("hi"), "first", "end",
-        F.col("r.last").alias("last"), F.col("l.open_lo").alias("open_lo"), (~F.col("r.shut")).alias("open_hi"))
+    back = Window.partitionBy(*PLACE).orderBy("e").rangeBetween(1 - min_words, 0)
+    rows = rows.withColumns({
+        "next": F.collect_list("g").over(ahead), "end": F.max("idx").over(ahead) + 1,
+        "prior": F.collect_list("g").over(back), "from": F.first(F.struct("idx", "s", "h", "h2")).over(back)})
+
+    def keyed(h, h2, links):
+        rest = F.slice(links, 2, min_words)
+        return F.xxhash64(h, h2, rest), F.xxhash64(F.lit(1), h, h2, rest)
+
+    ahead_key = keyed(F.col("h"), F.col("h2"), F.col("next"))
+    back_key = keyed(F.col("from.h"), F.col("from.h2"), F.col("prior"))
+    rows = rows.withColumns({"a1": ahead_key[0], "b1": ahead_key[1], "a2": back_key[0], "b2": back_key[1]})
+    on = F.when(F.col("s") + min_words <= F.col("total"), F.transform(
+        F.sequence(F.lit(0), F.col("before")),
+        lambda k: F.struct((F.col("idx") - k).alias("lo"), F.col("end").alias("hi"), k.alias("blank"),
+                           F.col("a1").alias("a"), F.col("b1").alias("b"))))
+    # Without blank lines at its end, a window that is also the shortest from its first line on is there already.
+    same = F.col("e") - F.col("w") - F.col("from.s") < min_words
+    up = F.when(F.col("e") >= min_words, F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("after")), lambda k: (k > 0) | ~same),
+        lambda k: F.struct(F.col("from.idx").alias("lo"), (F.col("idx") + k + 1).alias("hi"), (-1 - k).alias("blank"),
+                           F.col("a2").alias("a"), F.col("b2").alias("b"))))
+    both = rows.select(*PLACE, on.alias("on"), up.alias("up")).select(
+        *PLACE, F.concat(F.coalesce("on", F.array()), F.coalesce("up", F.array())).alias("both"))
+    return both.select(*PLACE, F.inline("both"))
 
 
 def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                   min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, x, lo, hi): line ranges [lo, hi) that repeat an earlier run."""
-    prints = materialize(fingerprints(docs, id_col, text_col, min_words), "line-prints")
-    groups = materialize(_seeds(prints), "line-seeds")
-    places = groups.select("d", "x").union(groups.select("d0", "x0")).distinct()
-    split = F.split("text", "\n")
-    arrays = _places(docs, id_col, text_col).select(
-        "d", "x", F.transform(split, _line_hash).alias("hs"),
-        F.transform(split, lambda t: F.regexp_count(t, F.lit(WORD)).cast("int")).alias("ws"))
-    p = places.select(F.col("d").alias("pd"), F.col("x").alias("px"))
-    arrays = arrays.join(p.hint("merge"), F.col("d").eqNullSafe(F.col("pd")) & (F.col("x") == F.col("px"))).drop("pd", "px")
-    arrays = materialize(arrays.dropDuplicates(PLACE), "line-arrays")
-    runs = materialize(_extend(groups, arrays), "line-runs")
-    while True:
-        merged = materialize(_merge(runs), "line-merged")
-        reach = BLOCK + 2 * CONTEXT
-        up = merged.filter("open_hi").select(
-            *PAIR, F.array(F.struct((F.col("hi") - 1).alias("idx"), F.col("last").alias("s"))).alias("seeds"),
-            (F.col("hi") - 1).alias("lo"), (F.col("hi") + reach).alias("hi"))
-        down = merged.filter("open_lo").select(
-            *PAIR, F.array(F.struct(F.col("lo").alias("idx"), F.col("first").alias("s"))).alias("seeds"),
-            F.greatest(F.col("lo") - reach, F.lit(0), F.col("diag")).alias("lo"), (F.col("lo") + 1).alias("hi"))
-        if merged.filter("open_hi or open_lo").isEmpty():
-            break
-        shut = F.lit(False)
-        runs = materialize(
-            merged.drop("run").withColumns({"open_lo": shut, "open_hi": shut})
-            .unionByName(_extend(up, arrays).withColumn("open_lo", shut))
-            .unionByName(_extend(down, arrays).withColumn("open_hi", shut)), "line-runs")
-    return merged.filter(F.col("end") - F.col("first") >= min_words).select("d", "x", "lo", "hi").distinct()
+    """(d, x, lo, hi): the line ranges [lo, hi) that repeat earlier runs; ranges that touch are one."""
+    found = materialize(windows(docs, id_col, text_col, min_words), "line-windows")
+    first = found.groupBy(*KEY).agg(F.min(F.struct("d", "x", "lo")).alias("f"), F.count("*").alias("n")) \
+        .filter("n > 1").select(*KEY, "f")
+    same = F.col("d").eqNullSafe(F.col("f.d")) & (F.col("x") == F.col("f.x")) & (F.col("lo") == F.col("f.lo"))
+    later = found.join(first, KEY).filter(~same).select(*PLACE, "lo", "hi")
+    by = Window.partitionBy(*PLACE).orderBy("lo", "hi")
+    reach = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    marked = later.withColumn("new", F.when(F.col("lo") <= reach, 0).otherwise(1)) \
+        .withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*PLACE, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
