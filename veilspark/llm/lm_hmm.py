@@ -9,11 +9,11 @@ the ``own`` most frequent training words have one each, all others share
 Baum-Welch trains A, E and the start vector: each task runs scaled
 forward-backward over its documents and returns expected counts, which are
 added up across partitions block by block; only the finished sums (states x
-classes, a fixed size) reach the driver.  The first ``warm`` passes run over a
-hash-chosen eighth of the training documents as a start; the ``full`` passes
-that follow, like all word counts, cover every training document.  For
-training, documents are cut at ``SEGMENT`` tokens; scoring runs the scaled
-forward recursion over whole texts.
+classes, a fixed size) reach the driver.  All ``warm + full`` passes, like all
+word counts, cover every training document; the texts are split into words
+once, and the passes read their classes from a table.  For training, documents
+are cut at ``SEGMENT`` tokens; scoring runs the scaled forward recursion over
+whole texts.
 
 Word counts are a table as large as the vocabulary.  The most frequent
 ``broadcast_words`` are broadcast (a fixed bound); the other words of a text
@@ -45,7 +45,6 @@ OWN = 12_288
 SHARED = 4_096
 BROADCAST_WORDS = 262_144
 WARM, FULL = 6, 2
-WARM_SHARE = 8
 SEGMENT = 512
 CHUNK_TOKENS = 400_000
 COUNTER_WORDS = 400_000
@@ -177,12 +176,23 @@ def expected(p: Parameters, packed: _Packed, start, move, emit) -> float:
     return float(ll.sum())
 
 
-def _chunks(batches, classes: Classes, segment: int | None):
+def encode(texts: DataFrame, classes) -> DataFrame:
+    """(seq binary): the classes of every text's tokens as 32-bit numbers; ``classes`` is a broadcast."""
+    def run(batches):
+        c = classes.value
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"seq": pa.array(
+                [c.of(tokens(t)).tobytes() for t in text_bytes(b.column(0))], pa.binary())})
+
+    return texts.mapInArrow(run, "seq binary")
+
+
+def _chunks(batches, segment: int | None):
     """Class sequences in chunks of about CHUNK_TOKENS tokens."""
     seqs, n = [], 0
     for b in batches:
-        for t in text_bytes(b.column(0)):
-            c = classes.of(tokens(t))
+        for t in b.column(0).to_pylist():
+            c = np.frombuffer(t, np.int32)
             for i in range(0, len(c), segment or len(c)):
                 seqs.append(c[i:i + (segment or len(c))])
             n += len(c)
@@ -193,17 +203,17 @@ def _chunks(batches, classes: Classes, segment: int | None):
         yield seqs
 
 
-def em_step(texts: DataFrame, p: Parameters, classes, unigram: np.ndarray, smooth: float = 20.0):
-    """One Baum-Welch pass over all given texts; ``classes`` is a broadcast."""
-    spark = texts.sparkSession
+def em_step(encoded: DataFrame, p: Parameters, unigram: np.ndarray, smooth: float = 20.0):
+    """One Baum-Welch pass over all given sequences (``encode``); without any, the parameters stay."""
+    spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(p)
     size, states = p.emit.shape
 
     def run(batches):
-        q, c = shared.value, classes.value
+        q = shared.value
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
         ll = 0.0
-        for seqs in _chunks(batches, c, SEGMENT):
+        for seqs in _chunks(batches, SEGMENT):
             ll += expected(q, _Packed(seqs), start, move, emit)
         head = np.concatenate([[ll], start, move.ravel()])
         parts = [head, *np.array_split(emit.ravel(), BLOCKS)]
@@ -215,7 +225,7 @@ def em_step(texts: DataFrame, p: Parameters, classes, unigram: np.ndarray, smoot
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "v": [np.asarray(total).tobytes()]})
 
     # Two levels, so that no task adds up more than a share of the partitions.
-    part = texts.mapInArrow(run, "block int, v binary")
+    part = encoded.mapInArrow(run, "block int, v binary")
     some = part.withColumn("g", F.spark_partition_id() % 32).groupBy("block", "g").applyInPandas(
         lambda pdf: add(pdf), "block int, v binary")
     rows = {r[0]: np.frombuffer(bytes(r[1])) for r in some.groupBy("block").applyInPandas(
@@ -225,6 +235,8 @@ def em_step(texts: DataFrame, p: Parameters, classes, unigram: np.ndarray, smoot
         return p, 0.0
     head = rows[0]
     ll, start, move = head[0], head[1:1 + states], head[1 + states:].reshape(states, states)
+    if not start.sum():                                # smoothing alone would make all states alike
+        return p, 0.0
     emit = np.concatenate([rows[i] for i in range(1, BLOCKS + 1)]).reshape(size, states) + smooth * unigram[:, None]
     return Parameters((start + 0.1) / (start + 0.1).sum(),
                       (move + 0.1) / (move + 0.1).sum(1, keepdims=True), emit / emit.sum(0)), float(ll)
@@ -240,7 +252,7 @@ class LanguageModel:
 
 def train(texts: DataFrame, *, key=None, states: int = STATES, own: int = OWN, shared: int = SHARED,
           broadcast_words: int = BROADCAST_WORDS, warm: int = WARM, full: int = FULL) -> LanguageModel:
-    """Train on one text column (``text``); ``key``: the column whose hash picks the warm-up share."""
+    """Train on one text column (``text``) by ``warm + full`` passes over all texts; ``key`` is not used any more."""
     spark = texts.sparkSession
     only = texts.select(F.col("text"))
     counts = materialize(count_words(only), "lm-counts")
@@ -274,11 +286,9 @@ def train(texts: DataFrame, *, key=None, states: int = STATES, own: int = OWN, s
     class_log = np.concatenate([np.zeros(len(names)), np.log10(c_of + 0.5 * (v_of + 1))])
     params = initial(class_counts, states)
     sent = spark.sparkContext.broadcast(classes)
-    first = only if key is None else texts.filter(F.pmod(F.xxhash64(key), F.lit(WARM_SHARE)) == 0).select("text")
-    for _ in range(warm):
-        params, _ = em_step(first, params, sent, unigram)
-    for _ in range(full):
-        params, _ = em_step(only, params, sent, unigram)
+    encoded = materialize(encode(only, sent), "lm-classes")
+    for _ in range(warm + full):
+        params, _ = em_step(encoded, params, unigram)
     return LanguageModel(params, sent, counts, n, v, class_log)
 
 
