@@ -44,7 +44,6 @@ R = 4
 BANDS = T // R
 SHINGLE = 4
 THRESHOLD = (80, 100)          # numerator and denominator of the least similarity
-ESTIMATE_SLACK = 0.14          # four standard deviations of a T-coordinate estimate
 BLOCK = 1024
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -193,7 +192,6 @@ def _open_pairs(open_rows: DataFrame, threshold) -> DataFrame:
     hashes of the set), and size (members of the bucket).
     """
     num, den = threshold
-    floor = num / den - ESTIMATE_SLACK
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = open_rows.withColumn("blocks", blocks).withColumn("mine", mine) \
@@ -209,6 +207,10 @@ def _open_pairs(open_rows: DataFrame, threshold) -> DataFrame:
         n, shared = pdf["n"].to_numpy(), pdf["shared"].to_numpy()
         sk = np.stack(pdf["sketch"].to_numpy())
         short = [np.frombuffer(x, np.uint32) for x in pdf["short"]]
+        # Hashes as numbers from 0 on, so that one set at a time can be marked in a table.
+        at = np.unique(np.concatenate(short), return_inverse=True)[1]
+        short = np.split(at, np.cumsum([len(x) for x in short])[:-1])
+        marked = np.zeros(int(at.max()) + 1, bool)
         a, b = [], []
         for u in range(len(node) - 1):
             v = np.arange(u + 1, len(node))
@@ -220,19 +222,16 @@ def _open_pairs(open_rows: DataFrame, threshold) -> DataFrame:
             v = v[ok]
             if not len(v):
                 continue
-            same = sk[v] == sk[u]
-            v, same = v[close := same.mean(1) >= floor], same[close]
-            if not len(v):
-                continue
-            band_of = same.reshape(len(v), -1, R).all(2).argmax(1)
+            band_of = (sk[v] == sk[u]).reshape(len(v), -1, R).all(2).argmax(1)
+            marked[short[u]] = True
             for w in v[band_of == band].tolist():
-                small, large = (u, w) if len(short[u]) <= len(short[w]) else (w, u)
-                k = np.searchsorted(short[large], short[small])
-                both = int((short[large][np.minimum(k, len(short[large]) - 1)] == short[small]).sum())
+                small = u if len(short[u]) <= len(short[w]) else w
+                both = int(np.count_nonzero(marked[short[w]]))
                 both += n[small] - len(short[small])          # hashes that fell together count for both sets
                 if both * den >= num * (n[u] + n[w] - both):
                     a.append(node[u])
                     b.append(node[w])
+            marked[short[u]] = False
         return pd.DataFrame({"a": a, "b": b})
 
     return rows.groupBy("bucket", "i", "j").applyInPandas(pairs, "a binary, b binary")
