@@ -13,8 +13,6 @@ walks a column's schema and rebuilds it with higher-order functions:
 
 from __future__ import annotations
 
-import os
-import zipfile
 from functools import reduce
 from typing import Callable
 
@@ -22,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.fixed import PURGED_TEXT
+from veilspark.fixed import PURGED_TEXT, STOP_WORDS
 from veilspark.operators.chunk import blank_words
 
 Modifier = Callable[[Column], Column]
@@ -106,13 +104,8 @@ LOWER_TO = "abcdefghijklmnopqrstuvwxyz"
 
 # --- T3 stop words -----------------------------------------------------------
 def default_stop_words() -> list[str]:
-    """Spark's bundled English stop-word list, read from the MLlib jar; a missing list is an error."""
-    import pyspark
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    name = next(n for n in sorted(os.listdir(jars)) if n.startswith("spark-mllib_") and n.endswith(".jar"))
-    with zipfile.ZipFile(os.path.join(jars, name)) as z:
-        raw = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-    return [w.strip() for w in raw.splitlines() if w.strip()]
+    """The English stop-word list (the one Spark's ``StopWordsRemover`` bundles)."""
+    return list(STOP_WORDS)
 
 
 def remove_stop_words(stop_words=None) -> Modifier:

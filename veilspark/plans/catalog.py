@@ -22,10 +22,11 @@ DEMO_SALT = "run-0"
 FLAGSHIP = "rag_requests"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, Callable[[], str]] = {}
 
 
-def register(name: str, oracle: str | None = None):
+def register(name: str, oracle: Callable[[], str] | None = None):
+    """Register a query; ``oracle`` makes its SQL when it is asked for, not while this module loads."""
     def deco(fn):
         QUERIES[name] = fn
         if oracle is not None:
@@ -34,6 +35,11 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def oracle_sql(name: str) -> str | None:
+    """DuckDB SQL of one query (None where SQL cannot say it)."""
+    return ORACLES[name]() if name in ORACLES else None
+
+
 # Text-heavy tables and the key their rows are spread by (see sizing.balance).
 TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id", "customer": "c_custkey"}
 
@@ -62,7 +68,7 @@ def _type_oracle(pii_type: str) -> str:
 for _name, _t in [("pii_email", "EMAIL_ADDRESS"), ("pii_ip", "IP_ADDRESS"),
                   ("pii_card", "CREDIT_CARD"), ("pii_phone", "PHONE_NUMBER"),
                   ("pii_date", "DATE_TIME")]:
-    register(_name, _type_oracle(_t))(_type_query(_t))
+    register(_name, lambda t=_t: _type_oracle(t))(_type_query(_t))
 
 PATTERN_ALL = list(P.PATTERN_TYPES)
 
@@ -73,7 +79,7 @@ def token_count(text):
 
 
 # ---------------------------------------------------------------- P2-P5 anonymize (mask)
-@register("anonymize_mask", S.anonymize_sql("documents", "doc_id", "text", PATTERN_ALL,
+@register("anonymize_mask", lambda: S.anonymize_sql("documents", "doc_id", "text", PATTERN_ALL,
                                              DEMO_SECRET, "EQUALITY", threshold=0.5))
 def q_anonymize_mask(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,7 +89,7 @@ def q_anonymize_mask(spark, sf_dir):
 
 # ---------------------------------------------------------------- P5+P6 round trip
 @register("anonymize_roundtrip",
-          f"""SELECT d.doc_id, d.text, FALSE AS malformed, n.n_tokens FROM documents d
+          lambda: f"""SELECT d.doc_id, d.text, FALSE AS malformed, n.n_tokens FROM documents d
 JOIN ({S.token_counts_sql('documents', 'doc_id', 'text', PATTERN_ALL, 0.5)}) n ON d.doc_id = n.doc_id""")
 def q_anonymize_roundtrip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -96,7 +102,7 @@ def q_anonymize_roundtrip(spark, sf_dir):
 GREEK_DOCS_SQL = "SELECT doc_id, replace(text, 'e', 'α') AS text FROM documents"
 
 
-@register("anonymize_greek", f"""WITH gd AS ({GREEK_DOCS_SQL})
+@register("anonymize_greek", lambda: f"""WITH gd AS ({GREEK_DOCS_SQL})
 SELECT d.doc_id, d.text, FALSE AS malformed,
   len(string_split(d.text, 'α')) - 1 + n.n_tokens AS n_pairs
 FROM gd d JOIN ({S.token_counts_sql('gd', 'doc_id', 'text', PATTERN_ALL, 0.5)}) n ON d.doc_id = n.doc_id""")
@@ -178,7 +184,7 @@ def _cust_spans(spark, sf_dir, types, threshold):
     return d
 
 
-@register("pii_us_ids", f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL})
+@register("pii_us_ids", lambda: f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL})
 SELECT c_custkey, start, "end", pii_type, score, value FROM (
   {S.type_spans_sql('cust_text', 'c_custkey', 'text', 'US_SSN')}
   UNION ALL {S.type_spans_sql('cust_text', 'c_custkey', 'text', 'US_PASSPORT')}
@@ -195,7 +201,7 @@ DOC_DICTIONARY_SQL = f"""SELECT DISTINCT regexp_extract(text, {S.q(TERM_RX)}) AS
 WHERE regexp_extract(text, {S.q(TERM_RX)}) <> '' UNION ({DICTIONARY_SQL})"""
 
 
-@register("gazetteer_documents", f"""SELECT doc_id, start, "end", pii_type, score
+@register("gazetteer_documents", lambda: f"""SELECT doc_id, start, "end", pii_type, score
 FROM ({dictionary_span_rows_sql('documents', 'doc_id', DOC_DICTIONARY_SQL)})""")
 def q_gazetteer_documents(spark, sf_dir):
     from veilspark.operators.detect import dictionary_spans
@@ -222,7 +228,7 @@ def edge_text(spark, sf_dir) -> DataFrame:
         (k % 35).cast("string"), F.lit(", 2024 or 99/99/2024 or 12024-01-015.")).alias("text"))
 
 
-@register("pii_number_edges", f"""WITH e AS ({EDGE_TEXT_SQL}), v AS (
+@register("pii_number_edges", lambda: f"""WITH e AS ({EDGE_TEXT_SQL}), v AS (
 SELECT c_custkey, text, 'CREDIT_CARD' AS pii_type, '3782 822463 10005' AS value FROM e
 UNION ALL SELECT c_custkey, text, 'PHONE_NUMBER', '(212) 555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') FROM e
 UNION ALL SELECT c_custkey, text, 'DATE_TIME', CAST(c_custkey % 40 AS VARCHAR) || '/' || CAST(c_custkey % 17 AS VARCHAR) || '/2024'
@@ -236,14 +242,14 @@ def q_pii_number_edges(spark, sf_dir):
     return explode_spans(d, "c_custkey").select("c_custkey", "start", "end", "pii_type", "value")
 
 
-@register("pii_gazetteer", f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL})
+@register("pii_gazetteer", lambda: f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL})
 SELECT c_custkey, start, "end", pii_type, score FROM ({dictionary_span_rows_sql('cust_text', 'c_custkey')})""")
 def q_pii_gazetteer(spark, sf_dir):
     d = _cust_spans(spark, sf_dir, ["PERSON", "LOCATION"], 0.0)
     return explode_spans(d, "c_custkey").select("c_custkey", "start", "end", "pii_type", "score")
 
 
-@register("pii_threshold", f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL})
+@register("pii_threshold", lambda: f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL})
 SELECT c_custkey, start, "end", pii_type, score FROM (
   {' UNION ALL '.join(S.type_spans_sql('cust_text', 'c_custkey', 'text', t, 0.5) for t in P.PATTERN_TYPES)})""")
 def q_pii_threshold(spark, sf_dir):
@@ -251,7 +257,7 @@ def q_pii_threshold(spark, sf_dir):
     return explode_spans(d, "c_custkey").select("c_custkey", "start", "end", "pii_type", "score")
 
 
-@register("pii_types", f"""SELECT doc_id, start, "end", pii_type, score FROM (
+@register("pii_types", lambda: f"""SELECT doc_id, start, "end", pii_type, score FROM (
   {S.type_spans_sql('documents', 'doc_id', 'text', 'EMAIL_ADDRESS')}
   UNION ALL {S.type_spans_sql('documents', 'doc_id', 'text', 'IP_ADDRESS')})""")
 def q_pii_types(spark, sf_dir):
@@ -271,7 +277,7 @@ SELECT c_custkey, s.start, s."end", s.pii_type, s.score
 FROM (SELECT c_custkey, unnest({S.merge_sql(S.resolve_overlaps_sql('sp'))}) AS s FROM spl)"""
 
 
-@register("pii_merge", _merged_sql())
+@register("pii_merge", lambda: _merged_sql())
 def q_pii_merge(spark, sf_dir):
     from veilspark.functions.spans import drop_cross_type_overlaps, merge_spans
     d = _cust_spans(spark, sf_dir, [], 0.5)
@@ -294,12 +300,12 @@ def _resolve_oracle(mode):
     return f"WITH cust_text AS ({CUSTOMER_TEXT_SQL}) SELECT * FROM ({inner})"
 
 
-register("resolve_equality", _resolve_oracle("EQUALITY"))(_resolve_query("EQUALITY"))
-register("resolve_containment", _resolve_oracle("CONTAINMENT"))(_resolve_query("CONTAINMENT"))
+register("resolve_equality", lambda: _resolve_oracle("EQUALITY"))(_resolve_query("EQUALITY"))
+register("resolve_containment", lambda: _resolve_oracle("CONTAINMENT"))(_resolve_query("CONTAINMENT"))
 
 
 # ---------------------------------------------------------------- S1, S2, S4 sources
-@register("load_bulk", """SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS resource, text,
+@register("load_bulk", lambda: """SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS resource, text,
   source AS doc, lang FROM documents""")
 def q_load_bulk(spark, sf_dir):
     from veilspark.sources.documents import to_documents
@@ -310,7 +316,7 @@ def q_load_bulk(spark, sf_dir):
                     F.col("metadata")["lang"].alias("lang"))
 
 
-@register("load_resource", """SELECT CAST(d.doc_id AS VARCHAR) AS resource, d.text,
+@register("load_resource", lambda: """SELECT CAST(d.doc_id AS VARCHAR) AS resource, d.text,
   CASE WHEN l.quality = 1 THEN 'good-' || CAST(d.doc_id AS VARCHAR) ELSE CAST(d.doc_id AS VARCHAR) END AS doc
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def q_load_resource(spark, sf_dir):
@@ -335,7 +341,7 @@ def _page_text_sql() -> str:
     return f"SELECT url AS resource, {t} AS text FROM pages"
 
 
-@register("page_text", _page_text_sql())
+@register("page_text", lambda: _page_text_sql())
 def q_page_text(spark, sf_dir):
     from veilspark.sources.documents import pages_to_documents
     return pages_to_documents(table(spark, sf_dir, "pages")).select("resource", "text")
@@ -388,12 +394,12 @@ def _chunk_query(max_words, overlap, splitter="simple"):
     return run
 
 
-register("chunk_window", chunk_sql(256, 10))(_chunk_query(256, 10))
-register("chunk_window_small", chunk_sql(40, 10))(_chunk_query(40, 10))
-register("chunk_sentence", chunk_sql(40, 10, splitter="sentence"))(_chunk_query(40, 10, "sentence"))
+register("chunk_window", lambda: chunk_sql(256, 10))(_chunk_query(256, 10))
+register("chunk_window_small", lambda: chunk_sql(40, 10))(_chunk_query(40, 10))
+register("chunk_sentence", lambda: chunk_sql(40, 10, splitter="sentence"))(_chunk_query(40, 10, "sentence"))
 
 
-@register("split_simple", f"""SELECT doc_id, CAST(i AS INTEGER) AS piece_no, pieces[i] AS piece
+@register("split_simple", lambda: f"""SELECT doc_id, CAST(i AS INTEGER) AS piece_no, pieces[i] AS piece
 FROM (SELECT doc_id, pieces, unnest(generate_series(1, len(pieces))) AS i FROM ({_pieces_sql('simple')}))""")
 def q_split_simple(spark, sf_dir):
     from veilspark.operators.chunk import split_simple
@@ -402,7 +408,7 @@ def q_split_simple(spark, sf_dir):
     return d.select("doc_id", (F.col("pos") + 1).cast("int").alias("piece_no"), F.col("col").alias("piece"))
 
 
-@register("split_sentence", f"""SELECT doc_id, CAST(i AS INTEGER) AS piece_no, pieces[i] AS piece
+@register("split_sentence", lambda: f"""SELECT doc_id, CAST(i AS INTEGER) AS piece_no, pieces[i] AS piece
 FROM (SELECT doc_id, pieces, unnest(generate_series(1, len(pieces))) AS i FROM ({_pieces_sql('sentence')}))""")
 def q_split_sentence(spark, sf_dir):
     from veilspark.operators.chunk import split_sentences
@@ -410,7 +416,7 @@ def q_split_sentence(spark, sf_dir):
     return d.select("doc_id", (F.col("pos") + 1).cast("int").alias("piece_no"), F.col("col").alias("piece"))
 
 
-@register("chunk_metadata", f"""SELECT k.doc_id, k.chunk_no, d.source AS doc, d.lang AS lang,
+@register("chunk_metadata", lambda: f"""SELECT k.doc_id, k.chunk_no, d.source AS doc, d.lang AS lang,
   CAST(k.chunk_no AS VARCHAR) AS chunk FROM ({chunk_sql(256, 10)}) k JOIN documents d ON k.doc_id = d.doc_id""")
 def q_chunk_metadata(spark, sf_dir):
     from veilspark.operators.chunk import chunk_documents
@@ -451,7 +457,7 @@ CHUNKS_SQL = f"""SELECT k.doc_id * 1000000 + k.chunk_no AS id, k.doc_id, k.chunk
 FROM ({chunk_sql(256, 10)}) k JOIN documents d ON k.doc_id = d.doc_id"""
 
 
-@register("embed_truncate", f"SELECT doc_id, array_to_string(string_split(text, ' ')[1:{EMBED_MAX}], ' ') AS text FROM documents")
+@register("embed_truncate", lambda: f"SELECT doc_id, array_to_string(string_split(text, ' ')[1:{EMBED_MAX}], ' ') AS text FROM documents")
 def q_embed_truncate(spark, sf_dir):
     """E1 with the embedder's own limit (the text the model actually sees)."""
     from veilspark.operators.embed import truncate_words
@@ -459,7 +465,7 @@ def q_embed_truncate(spark, sf_dir):
         "doc_id", truncate_words(F.col("text"), EMBED_MAX).alias("text"))
 
 
-@register("embed_hash", f"""WITH ch AS ({CHUNKS_SQL})
+@register("embed_hash", lambda: f"""WITH ch AS ({CHUNKS_SQL})
 SELECT id, embedding FROM ({hash_embed_sql('ch', 'id', 'content')})""")
 def q_embed_hash(spark, sf_dir):
     from veilspark.operators.embed import HashEmbedder, embed
@@ -496,13 +502,13 @@ def _knn_query(metric, k, match_label):
     return run
 
 
-register("knn_l2", knn_sql("l2", 5, True))(_knn_query("l2", 5, True))
-register("knn_inner", knn_sql("inner", 5, True))(_knn_query("inner", 5, True))
-register("vector_score", knn_sql("l2", 1, False))(_knn_query("l2", 1, False))
-register("knn_l2_unfiltered", knn_sql("l2", 5, False))(_knn_query("l2", 5, False))
+register("knn_l2", lambda: knn_sql("l2", 5, True))(_knn_query("l2", 5, True))
+register("knn_inner", lambda: knn_sql("inner", 5, True))(_knn_query("inner", 5, True))
+register("vector_score", lambda: knn_sql("l2", 1, False))(_knn_query("l2", 1, False))
+register("knn_l2_unfiltered", lambda: knn_sql("l2", 5, False))(_knn_query("l2", 5, False))
 
 
-@register("knn_ties", f"""WITH ch AS (SELECT * FROM ({CHUNKS_SQL}) c),
+@register("knn_ties", lambda: f"""WITH ch AS (SELECT * FROM ({CHUNKS_SQL}) c),
 ce AS ({hash_embed_sql('ch', 'id', 'content')}),
 p AS (SELECT item_id AS qid, text AS prompt FROM benchmark),
 pe AS ({hash_embed_sql('p', 'qid', 'prompt')})
@@ -519,7 +525,7 @@ def q_knn_ties(spark, sf_dir):
     return knn(q, c, dim=EMBED_DIM, k=5).select("qid", "rank", "id")
 
 
-@register("metadata_filter", """SELECT doc_id FROM documents WHERE lang = 'en' AND source IS NOT NULL""")
+@register("metadata_filter", lambda: """SELECT doc_id FROM documents WHERE lang = 'en' AND source IS NOT NULL""")
 def q_metadata_filter(spark, sf_dir):
     from veilspark.operators.search import metadata_contains
     d = table(spark, sf_dir, "documents", balanced=False)
@@ -545,14 +551,14 @@ def _saved_chunks(spark, sf_dir):
     return coll
 
 
-@register("save_nodes", f"""SELECT id, doc, content, 64 AS dim FROM ({CHUNKS_SQL})""")
+@register("save_nodes", lambda: f"""SELECT id, doc, content, 64 AS dim FROM ({CHUNKS_SQL})""")
 def q_save_nodes(spark, sf_dir):
     s = _saved_chunks(spark, sf_dir).scan()
     return s.select("id", F.col("metadata")["doc"].alias("doc"), "content",
                     F.size("embedding").alias("dim"))
 
 
-@register("delete_by_content", f"""WITH ch AS ({CHUNKS_SQL})
+@register("delete_by_content", lambda: f"""WITH ch AS ({CHUNKS_SQL})
 SELECT id FROM ch WHERE content NOT IN (
   SELECT ch.content FROM ch JOIN labels l ON ch.doc_id = l.doc_id WHERE l.toxic = 1)""")
 def q_delete_by_content(spark, sf_dir):
@@ -592,13 +598,13 @@ def _stored_cache(spark, sf_dir):
     return coll
 
 
-@register("cache_admit", f"SELECT id FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}")
+@register("cache_admit", lambda: f"SELECT id FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}")
 def q_cache_admit(spark, sf_dir):
     from veilspark.operators.cache import admit
     return _cache_records(spark, sf_dir).where(admit(F.col("prompt"), EMBED_MAX)).select("id")
 
 
-@register("cache_store", f"""SELECT id, prompt AS content, record_json, created_at, 64 AS dim
+@register("cache_store", lambda: f"""SELECT id, prompt AS content, record_json, created_at, 64 AS dim
 FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}""")
 def q_cache_store(spark, sf_dir):
     from veilspark.operators.anonymize import deanonymize_text
@@ -608,7 +614,7 @@ def q_cache_store(spark, sf_dir):
                     "created_at", F.size("embedding").alias("dim"))
 
 
-@register("cache_expired", f"""SELECT id FROM ({CACHE_RECORDS_SQL})
+@register("cache_expired", lambda: f"""SELECT id FROM ({CACHE_RECORDS_SQL})
 WHERE created_at + to_seconds(604800) < TIMESTAMP '{CACHE_AS_OF}'""")
 def q_cache_expired(spark, sf_dir):
     from veilspark.operators.cache import expired
@@ -616,7 +622,7 @@ def q_cache_expired(spark, sf_dir):
     return r.where(expired(F.col("created_at"), 604800, F.to_timestamp_ntz(F.lit(CACHE_AS_OF)))).select("id")
 
 
-@register("cache_evict", f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX})
+@register("cache_evict", lambda: f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX})
 SELECT id FROM r WHERE prompt NOT IN (
   SELECT prompt FROM r WHERE created_at + to_seconds(604800) < TIMESTAMP '{CACHE_AS_OF}')""")
 def q_cache_evict(spark, sf_dir):
@@ -639,7 +645,7 @@ CACHE_PROBES_SQL = """SELECT -item_id AS pid, text AS prompt FROM benchmark
 UNION ALL SELECT conv_id * 1000000 + turn + 1, text FROM conversations WHERE role = 'user'"""
 
 
-@register("cache_lookup", f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}),
+@register("cache_lookup", lambda: f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}),
 p AS ({CACHE_PROBES_SQL}),
 pe AS ({hash_embed_sql('p', 'pid', 'prompt')}),
 re AS ({hash_embed_sql('r', 'id', 'prompt')}),
@@ -705,7 +711,7 @@ hits AS (SELECT * FROM (
   FROM pe p JOIN ce c ON c.doc = p.title) WHERE rank <= {k})"""
 
 
-@register("knn_by_title", f"""WITH {_hits_sql()}
+@register("knn_by_title", lambda: f"""WITH {_hits_sql()}
 SELECT request_id, CAST(title_pos AS INTEGER) AS title_pos, CAST(rank AS INTEGER) AS rank, id FROM hits""")
 def q_knn_by_title(spark, sf_dir):
     from veilspark.operators.context import retrieve_by_title
@@ -726,7 +732,7 @@ full_ctx AS (SELECT r.request_id, r.last_turn, coalesce(c.context, {S.q(CONTEXT_
   FROM req r LEFT JOIN ctx c ON r.request_id = c.request_id)"""
 
 
-@register("context_prompt", f"{_ctx_sql()} SELECT request_id, context FROM full_ctx")
+@register("context_prompt", lambda: f"{_ctx_sql()} SELECT request_id, context FROM full_ctx")
 def q_context_prompt(spark, sf_dir):
     from veilspark.operators.context import empty_context, format_context, retrieve_by_title
     from veilspark.operators.embed import HashEmbedder
@@ -750,7 +756,7 @@ SELECT m.request_id, m.msg_no, m.role, an.content FROM msgs m JOIN an ON m.mk =
 UNION ALL SELECT DISTINCT conv_id, CAST(0 AS INTEGER), 'system', {S.q(RAG_SYSTEM_PROMPT)} FROM conversations"""
 
 
-@register("rag_requests", _rag_sql())
+@register("rag_requests", lambda: _rag_sql())
 def q_rag_requests(spark, sf_dir):
     from veilspark.operators.embed import HashEmbedder
     from veilspark.plans.pipelines import rag_requests
@@ -773,7 +779,7 @@ def pii_turns(spark, sf_dir) -> DataFrame:
         F.coalesce("text", F.lit("")), F.lit(" "), F.col("line")).alias("text"))
 
 
-@register("rag_from_collection", _rag_sql())
+@register("rag_from_collection", lambda: _rag_sql())
 def q_rag_from_collection(spark, sf_dir):
     """The corpus is ingested once; requests search the saved collection through its metadata map."""
     from veilspark.operators.embed import HashEmbedder
@@ -789,7 +795,7 @@ def q_rag_from_collection(spark, sf_dir):
                         where=metadata_contains(F.col("metadata"), {"kind": "document"}))
 
 
-@register("assemble_request", f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL}), pt AS ({PII_TURNS_SQL}),
+@register("assemble_request", lambda: f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL}), pt AS ({PII_TURNS_SQL}),
 msgs AS (SELECT conv_id * 1000 + turn + 1 AS mk, conv_id AS request_id,
   CAST(turn + 1 AS INTEGER) AS msg_no, role, text AS content FROM pt),
 an AS ({S.anonymize_sql("msgs", "mk", "content", PATTERN_ALL, DEMO_SECRET, "EQUALITY", threshold=0.5)})
@@ -803,7 +809,7 @@ def q_assemble_request(spark, sf_dir):
     return assemble_requests(msgs, None, secret=DEMO_SECRET, mode="sha", types=PATTERN_ALL, threshold=0.5)
 
 
-@register("ingest", f"""WITH ch AS ({CHUNKS_SQL}) SELECT ch.id, doc, content, 64 AS dim, n_tokens
+@register("ingest", lambda: f"""WITH ch AS ({CHUNKS_SQL}) SELECT ch.id, doc, content, 64 AS dim, n_tokens
 FROM ch JOIN ({S.token_counts_sql('ch', 'id', 'content', PATTERN_ALL, 0.5)}) n ON ch.id = n.id""")
 def q_ingest(spark, sf_dir):
     from veilspark.operators.anonymize import deanonymize_text
@@ -815,7 +821,7 @@ def q_ingest(spark, sf_dir):
                     F.size("embedding").alias("dim"), token_count(F.col("content")).alias("n_tokens"))
 
 
-@register("response_restore", f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL}), pt AS ({PII_TURNS_SQL}),
+@register("response_restore", lambda: f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL}), pt AS ({PII_TURNS_SQL}),
 a AS (SELECT conv_id * 1000 + turn AS mk, conv_id, turn, text FROM pt WHERE role = 'assistant')
 SELECT a.conv_id, a.turn, 'assistant' AS role, a.text AS content, n.n_tokens FROM a
 JOIN ({S.token_counts_sql('a', 'mk', 'text', PATTERN_ALL, 0.5)}) n ON a.mk = n.mk""")
@@ -839,7 +845,7 @@ def q_response_restore(spark, sf_dir):
         "conv_id", "turn", "n_tokens", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
-@register("record_json", """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k,
+@register("record_json", lambda: """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k,
   event_id % 7 = 0 AS corrupt FROM events""")
 def q_record_json(spark, sf_dir):
     """Every seventh record is cut off before its end."""
@@ -851,7 +857,7 @@ def q_record_json(spark, sf_dir):
     return p.select("event_id", F.col("record.k").alias("k"), "corrupt")
 
 
-@register("response_json", """SELECT conv_id, turn, '{"id":"r-' || CAST(conv_id AS VARCHAR)
+@register("response_json", lambda: """SELECT conv_id, turn, '{"id":"r-' || CAST(conv_id AS VARCHAR)
   || '","choices":[{"index":0,"message":{"role":"assistant","content":"' || length(text) || ' chars"},"finish_reason":"stop"}]'
   || ',"usage":{"prompt_tokens":' || CAST(turn AS VARCHAR) || ',"total_tokens":' || CAST(turn + 1 AS VARCHAR) || '}}' AS json,
   length(text) || ' chars' AS content, turn + 1 AS total_tokens
@@ -887,7 +893,7 @@ def _alias_sql(session: str, row: str, pos: str) -> str:
             f"CAST({pos} AS VARCHAR)))), '+/', '-_'), 1, 7)")
 
 
-@register("alias_set", f"""WITH an AS ({ANON_DOCS_SQL})
+@register("alias_set", lambda: f"""WITH an AS ({ANON_DOCS_SQL})
 SELECT doc_id, CASE WHEN len(string_split(text, 'α')) % 2 = 0 THEN NULL ELSE array_to_string(list_transform(
   string_split(text, 'α'), lambda s, i: CASE WHEN (i - 1) % 2 = 1 THEN 'α' || {_alias_sql('source', 'doc_id', 'i - 1')} || 'α'
   ELSE s END), '') END AS text FROM an""")
@@ -903,14 +909,14 @@ FROM (SELECT doc_id, source, segs, unnest(generate_series(1, len(segs))) AS i
 WHERE (i - 1) % 2 = 1"""
 
 
-@register("alias_map", f"WITH an AS ({ANON_DOCS_SQL}) {ALIAS_MAP_SQL}")
+@register("alias_map", lambda: f"WITH an AS ({ANON_DOCS_SQL}) {ALIAS_MAP_SQL}")
 def q_alias_map(spark, sf_dir):
     from veilspark.operators.aliases import alias_tokens
     _, amap = alias_tokens(_anon_docs(spark, sf_dir), "text", "source", "doc_id")
     return amap
 
 
-@register("alias_get", f"WITH an AS ({ANON_DOCS_SQL}) SELECT doc_id, source, text, FALSE AS missing_alias FROM an")
+@register("alias_get", lambda: f"WITH an AS ({ANON_DOCS_SQL}) SELECT doc_id, source, text, FALSE AS missing_alias FROM an")
 def q_alias_get(spark, sf_dir):
     from veilspark.operators.aliases import alias_tokens, expand_aliases
     from veilspark.session import ensure_checkpoint_dir
@@ -923,7 +929,7 @@ def q_alias_get(spark, sf_dir):
     return expand_aliases(text, amap, "text", "source", "doc_id")
 
 
-@register("alias_delete_session", f"""WITH an AS ({ANON_DOCS_SQL}), m AS ({ALIAS_MAP_SQL})
+@register("alias_delete_session", lambda: f"""WITH an AS ({ANON_DOCS_SQL}), m AS ({ALIAS_MAP_SQL})
 SELECT session_id, alias FROM m WHERE session_id NOT IN (
   SELECT DISTINCT d.source FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1)""")
 def q_alias_delete_session(spark, sf_dir):
@@ -935,7 +941,7 @@ def q_alias_delete_session(spark, sf_dir):
     return delete_sessions(amap, sessions).select("session_id", "alias")
 
 
-@register("alias_upsert", f"""WITH an AS ({ANON_DOCS_SQL}), m AS ({ALIAS_MAP_SQL})
+@register("alias_upsert", lambda: f"""WITH an AS ({ANON_DOCS_SQL}), m AS ({ALIAS_MAP_SQL})
 SELECT session_id, alias, CASE WHEN session_id = 'src0' THEN 'rewritten' ELSE token END AS token FROM m""")
 def q_alias_upsert(spark, sf_dir):
     """One session's aliases are written again, later; the last write wins."""
@@ -949,7 +955,7 @@ def q_alias_upsert(spark, sf_dir):
 ALIAS_USE_SQL = "TIMESTAMP '2024-01-01' + to_days(CAST(substring(session_id, 4) AS INTEGER))"
 
 
-@register("alias_purge", f"""WITH an AS ({ANON_DOCS_SQL}), m AS ({ALIAS_MAP_SQL}),
+@register("alias_purge", lambda: f"""WITH an AS ({ANON_DOCS_SQL}), m AS ({ALIAS_MAP_SQL}),
 u AS (SELECT *, {ALIAS_USE_SQL} AS t FROM m)
 SELECT session_id, alias FROM u WHERE session_id = 'src1' OR t >= TIMESTAMP '2024-01-11'""")
 def q_alias_purge(spark, sf_dir):
@@ -965,7 +971,7 @@ def q_alias_purge(spark, sf_dir):
         .select("session_id", "alias")
 
 
-@register("alias_delete_count", f"""WITH an AS ({ANON_DOCS_SQL}), m AS ({ALIAS_MAP_SQL}),
+@register("alias_delete_count", lambda: f"""WITH an AS ({ANON_DOCS_SQL}), m AS ({ALIAS_MAP_SQL}),
 s AS (SELECT DISTINCT source AS session_id FROM documents UNION SELECT 'unknown')
 SELECT s.session_id, count(m.alias) AS deleted FROM s LEFT JOIN m ON s.session_id = m.session_id GROUP BY s.session_id""")
 def q_alias_delete_count(spark, sf_dir):
@@ -992,21 +998,21 @@ def _stop_sql(text: str) -> str:
             f"{S.q(Mo.LOWER_TO)}))), lambda w: regexp_replace(w, '[^\\x00-\\x7F]', '', 'g')), ' ')")
 
 
-@register("stop_words", f"SELECT doc_id, {_stop_sql('text')} AS text FROM documents")
+@register("stop_words", lambda: f"SELECT doc_id, {_stop_sql('text')} AS text FROM documents")
 def q_stop_words(spark, sf_dir):
     from veilspark.operators.modifiers import apply_modifier, remove_stop_words
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_modifier(d, "text", remove_stop_words())
 
 
-@register("modifier_chain", f"SELECT doc_id, translate({_stop_sql('text')}, 'aeiou', 'AEIOU') AS text FROM documents")
+@register("modifier_chain", lambda: f"SELECT doc_id, translate({_stop_sql('text')}, 'aeiou', 'AEIOU') AS text FROM documents")
 def q_modifier_chain(spark, sf_dir):
     from veilspark.operators.modifiers import apply_modifier, chain, remove_stop_words
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_modifier(d, "text", chain(remove_stop_words(), _vowels))
 
 
-@register("modifier_nested", """SELECT conv_id, turn,
+@register("modifier_nested", lambda: """SELECT conv_id, turn,
   translate(text, 'aeiou', 'AEIOU') AS node_content, translate(text, 'aeiou', 'AEIOU') AS node_note, 'role' AS node_role_key,
   text AS list_node_note, translate(text, 'aeiou', 'AEIOU') AS list_node_content,
   translate(coalesce(text, ''), 'aeiou', 'AEIOU') AS msg_content, role AS msg_role,
@@ -1054,13 +1060,13 @@ def _lexicon(spark, sf_dir):
     return learn_toxic_lexicon(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), min_docs=5)
 
 
-@register("toxicity_lexicon", TOX_LEXICON_SQL)
+@register("toxicity_lexicon", lambda: TOX_LEXICON_SQL)
 def q_toxicity_lexicon(spark, sf_dir):
     from veilspark.operators.modifiers import learn_toxic_lexicon
     return learn_toxic_lexicon(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), min_docs=5)
 
 
-@register("toxicity_purge", f"""WITH lex AS (SELECT coalesce(list(word), []) AS words FROM ({TOX_LEXICON_SQL}))
+@register("toxicity_purge", lambda: f"""WITH lex AS (SELECT coalesce(list(word), []) AS words FROM ({TOX_LEXICON_SQL}))
 SELECT doc_id, CASE WHEN {_tox_hits_sql('text')} > 0
   THEN {S.q(__import__('veilspark.fixed', fromlist=['x']).PURGED_TEXT)} ELSE text END AS text FROM documents, lex""")
 def q_toxicity_purge(spark, sf_dir):
@@ -1072,7 +1078,7 @@ def q_toxicity_purge(spark, sf_dir):
                     .otherwise(F.col("text")).alias("text"))
 
 
-@register("toxicity_flag", f"""WITH lex AS (SELECT coalesce(list(word), []) AS words FROM ({TOX_LEXICON_SQL}))
+@register("toxicity_flag", lambda: f"""WITH lex AS (SELECT coalesce(list(word), []) AS words FROM ({TOX_LEXICON_SQL}))
 SELECT conv_id, turn, CAST({_tox_hits_sql('text')} AS INTEGER) AS hits, {_tox_hits_sql('text')} > 0 AS is_toxic
 FROM conversations, lex""")
 def q_toxicity_flag(spark, sf_dir):
@@ -1096,7 +1102,7 @@ def _run(q):
         raise RuntimeError(str(q.exception()))
 
 
-@register("stream_anonymize", S.anonymize_sql("documents", "doc_id", "text", PATTERN_ALL,
+@register("stream_anonymize", lambda: S.anonymize_sql("documents", "doc_id", "text", PATTERN_ALL,
                                               DEMO_SECRET, "EQUALITY", threshold=0.5))
 def q_stream_anonymize(spark, sf_dir):
     from veilspark.streaming.streams import anonymize_stream, table_stream
@@ -1108,7 +1114,7 @@ def q_stream_anonymize(spark, sf_dir):
     return spark.read.schema(schema).parquet(sink)
 
 
-@register("stream_ingest", f"SELECT id, doc, content FROM ({CHUNKS_SQL})")
+@register("stream_ingest", lambda: f"SELECT id, doc, content FROM ({CHUNKS_SQL})")
 def q_stream_ingest(spark, sf_dir):
     from veilspark.operators.anonymize import deanonymize_text
     from veilspark.streaming.streams import ingest_stream, table_stream
@@ -1121,7 +1127,7 @@ def q_stream_ingest(spark, sf_dir):
                               deanonymize_text(F.col("content"), DEMO_SECRET).alias("content"))
 
 
-@register("stream_ingest_two_sources", f"""SELECT id, content FROM ({CHUNKS_SQL})
+@register("stream_ingest_two_sources", lambda: f"""SELECT id, content FROM ({CHUNKS_SQL})
 UNION ALL SELECT -(item_id + 1) * 1000000 + chunk_no AS id, content
 FROM ({chunk_sql(256, 10, src="benchmark", key="item_id")})""")
 def q_stream_ingest_two_sources(spark, sf_dir):
@@ -1141,7 +1147,7 @@ def q_stream_ingest_two_sources(spark, sf_dir):
     return coll.scan().select("id", deanonymize_text(F.col("content"), DEMO_SECRET).alias("content"))
 
 
-@register("stream_deanonymize", "SELECT doc_id, text, FALSE AS malformed FROM documents")
+@register("stream_deanonymize", lambda: "SELECT doc_id, text, FALSE AS malformed FROM documents")
 def q_stream_deanonymize(spark, sf_dir):
     """Anonymize as a stream, restore the sink's rows as a second stream."""
     from veilspark.streaming.streams import anonymize_stream, deanonymize_stream, table_stream
@@ -1155,7 +1161,7 @@ def q_stream_deanonymize(spark, sf_dir):
     return spark.read.parquet(back).select("doc_id", "text", "malformed")
 
 
-@register("stream_cache_lookup", f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}),
+@register("stream_cache_lookup", lambda: f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}),
 p AS (SELECT item_id AS pid, text AS prompt FROM benchmark),
 pe AS ({hash_embed_sql('p', 'pid', 'prompt')}),
 re AS ({hash_embed_sql('r', 'id', 'prompt')}),
@@ -1185,7 +1191,7 @@ def q_stream_cache_lookup(spark, sf_dir):
         .select("pid", "status", "cache_id", "record_json")
 
 
-@register("stream_alias_map", f"WITH an AS ({ANON_DOCS_SQL}) {ALIAS_MAP_SQL}")
+@register("stream_alias_map", lambda: f"WITH an AS ({ANON_DOCS_SQL}) {ALIAS_MAP_SQL}")
 def q_stream_alias_map(spark, sf_dir):
     from veilspark.streaming.streams import alias_stream, table_stream
     schema = table(spark, sf_dir, "documents").select("doc_id", "source", "text").schema
@@ -1213,7 +1219,7 @@ ORDER_TEXT_SQL = """SELECT o_orderkey, 'Order ' || CAST(o_orderkey AS VARCHAR) |
   || ', confirm on ' || strftime(o_orderdate, '%B %-d, %Y') || ' (' || o_orderpriority || ').' AS text FROM orders"""
 
 
-@register("pii_date_orders", f"""WITH ot AS ({ORDER_TEXT_SQL})
+@register("pii_date_orders", lambda: f"""WITH ot AS ({ORDER_TEXT_SQL})
 SELECT o_orderkey, start, "end", pii_type, score, value FROM ({S.type_spans_sql('ot', 'o_orderkey', 'text', 'DATE_TIME')})""")
 def q_pii_date_orders(spark, sf_dir):
     d = detect_pii(order_text(spark, sf_dir), "text", types=["DATE_TIME"])
@@ -1221,7 +1227,7 @@ def q_pii_date_orders(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- P6 with malformed input
-@register("deanonymize", """SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE text END AS text,
+@register("deanonymize", lambda: """SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE text END AS text,
   lang = 'de' AS malformed FROM documents""")
 def q_deanonymize(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
