@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from veilspark.llm import collocations
 from veilspark.llm import decontaminate as decon
 from veilspark.llm import line_dedup, lm_hmm, minhash, packing, quality_rules, site_quality, suffix_dedup, toxicity, warc
 from veilspark.llm.common import held_out, table
@@ -78,6 +79,10 @@ def op10_lm_hmm(spark, sf_dir):
         "doc_id", held_out(out, 5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_site_quality": op2_site_quality,
@@ -89,5 +94,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc": op9_warc,
     "op10_lm_hmm": op10_lm_hmm,
+    "op12_collocations": op12_collocations,
 }
-ORACLES = {"op7_decontamination": decon.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+ORACLES = {"op7_decontamination": decon.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL,
+           "op12_collocations": collocations.ORACLE_SQL}
