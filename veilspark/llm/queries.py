@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import collocations
 from veilspark.llm import decontaminate as decon
-from veilspark.llm import line_dedup, lm_hmm, minhash, packing, quality_rules, site_quality, suffix_dedup, toxicity, warc
+from veilspark.llm import hard_negatives, line_dedup, lm_hmm, minhash, packing, quality_rules, site_quality, suffix_dedup
+from veilspark.llm import toxicity, warc
 from veilspark.llm.common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -79,6 +80,11 @@ def op10_lm_hmm(spark, sf_dir):
         "doc_id", held_out(out, 5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return hard_negatives.mine(rows, relabel=lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 def op12_collocations(spark, sf_dir):
     return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -94,7 +100,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_warc": op9_warc,
     "op10_lm_hmm": op10_lm_hmm,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_collocations": op12_collocations,
 }
 ORACLES = {"op7_decontamination": decon.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL,
-           "op12_collocations": collocations.ORACLE_SQL}
+           "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL}
