@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import collocations
 from veilspark.llm import decontaminate as decon
-from veilspark.llm import hard_negatives, line_dedup, lm_hmm, minhash, packing, quality_rules, site_quality, suffix_dedup
+from veilspark.llm import hard_negatives, line_dedup, lm_hmm, minhash, packing, pieces, quality_rules, site_quality, suffix_dedup
 from veilspark.llm import toxicity, warc
 from veilspark.llm.common import held_out, table
 
 TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def op1_toxicity(spark, sf_dir):
@@ -89,6 +90,11 @@ def op12_collocations(spark, sf_dir):
     return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op13_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digest(docs, public_tokenizers.path(PIECE_MODEL))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_site_quality": op2_site_quality,
@@ -102,6 +108,7 @@ QUERIES = {
     "op10_lm_hmm": op10_lm_hmm,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_collocations": op12_collocations,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 ORACLES = {"op7_decontamination": decon.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL,
            "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL}
