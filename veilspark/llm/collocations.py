@@ -5,9 +5,10 @@ corpus is read level by level (Apriori): level 1 holds the stripe of the empty
 prefix (all words), level k the stripes of the prefixes of k-1 words whose
 prefix and suffix both reach ``min_count``.  A task builds its own stripes and
 writes them as one row per (prefix, shard); equal keys are then merged
-elementwise in sorted order, one stripe at a time.  A shard is a share of the
-next words by hash, so that no stripe of a frequent prefix lands in one task
-whole.  From the merged stripes come
+elementwise in sorted order, one stripe at a time.  The stripe of a hot prefix
+(one that begins at least 1 of ``HOT`` words of the corpus, so there are at
+most ``HOT`` of them) is dealt out by a hash of the next word, so that it
+never lands in one task whole.  From the merged stripes come
 
 * the extensions that reach ``min_count`` (the phrases of the next length),
 * the prefix totals: every phrase inherits the counts of its beginnings from
@@ -37,6 +38,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +50,8 @@ MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 MAX_FILTER_BITS = 1 << 28          # 32 MB, whatever the corpus
-SHARDS = {1: 4096}                 # shares of the next words; the empty prefix holds all words
-SHARDS_BELOW = 16
+FIRST_SHARDS = 4096                # shares of the empty prefix's stripe, which holds all words
+HOT, HOT_SHARDS = 2000, 64
 SLICE_BYTES = 4 << 20              # text taken at a time
 MAX_ENTRIES = 1 << 20              # stripe entries a task holds before it writes them out
 
@@ -59,14 +61,14 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 PARTIAL = T.StructType([
     T.StructField("lang", T.StringType()), T.StructField("prefix", T.StringType()), T.StructField("shard", T.IntegerType()),
-    T.StructField("ph", T.LongType()), T.StructField("nexts", T.ArrayType(T.StringType())),
-    T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("runs", T.StringType())])
+    T.StructField("ph", T.LongType()), T.StructField("nexts", T.StringType()),
+    T.StructField("counts", T.BinaryType()), T.StructField("runs", T.StringType())])
 STRIPES = T.StructType([
     T.StructField("lang", T.StringType()), T.StructField("prefix", T.StringType()), T.StructField("total", T.LongType()),
     T.StructField("nexts", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType())),
     T.StructField("hashes", T.ArrayType(T.LongType()))])
 _PARTIAL_ARROW = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("shard", pa.int32()), ("ph", pa.int64()),
-                            ("nexts", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("runs", pa.string())])
+                            ("nexts", pa.string()), ("counts", pa.binary()), ("runs", pa.string())])
 
 
 def _chain(state: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -112,8 +114,9 @@ class _Words(dict):
 class _Stripes:
     """The stripes of one language inside a task."""
 
-    def __init__(self, lang: str, level: int, bits: np.ndarray | None, limit: int):
+    def __init__(self, lang: str, level: int, bits: np.ndarray | None, hot: frozenset, limit: int):
         self.lang, self.level, self.bits, self.limit = lang, level, bits, limit
+        self.hot = {p.encode() for k, p in hot if k == lang}
         self.reset()
 
     def reset(self) -> None:
@@ -190,19 +193,15 @@ class _Stripes:
         return self.held > self.limit
 
     def rows(self):
-        """Partial stripes as Arrow batches, one row per prefix and shard."""
+        """Partial stripes as Arrow batches, one row per prefix (and shard, where it is hot).
+
+        The next words are joined by blanks, which no word holds; counts are 32-bit numbers.
+        """
         self._merge()
         keys, counts = self.keys[0], self.counts[0]
         if not len(keys):
             return
         words, hashes = self.words.words, np.array(self.words.hashes, np.uint64)
-        nxt, prefix = keys & 0xFFFFFFFF, keys >> 32
-        shards = SHARDS.get(self.level, SHARDS_BELOW)
-        shard = (hashes[nxt] >> np.uint64(40)).astype(np.int64) % shards
-        order = np.lexsort((shard, prefix))
-        nxt, prefix, shard, counts = nxt[order], prefix[order], shard[order], counts[order]
-        first = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (shard[1:] != shard[:-1])])
-        ends = np.r_[first[1:], len(nxt)]
         if self.level == 1:
             names, states = [b""], np.zeros(1, np.uint64)
         elif self.level == 2:
@@ -213,19 +212,24 @@ class _Stripes:
             states = hashes[rows[:, 0]]
             for j in range(1, rows.shape[1]):
                 states = _chain(states, hashes[rows[:, j]])
-        vocabulary = pa.array(words, pa.binary())
-        titles = pa.array(names, pa.binary())
-        step = 4096
+        shards = np.array([FIRST_SHARDS if self.level == 1 else HOT_SHARDS if n in self.hot else 1 for n in names], np.int64)
+        nxt, prefix = keys & 0xFFFFFFFF, keys >> 32
+        shard = (hashes[nxt] >> np.uint64(40)).astype(np.int64) % shards[prefix]
+        order = np.lexsort((shard, prefix))
+        nxt, prefix, shard, counts = nxt[order], prefix[order], shard[order], counts[order].astype("<u4")
+        first = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (shard[1:] != shard[:-1])])
+        ends = np.r_[first[1:], len(nxt)]
+        vocabulary, titles = pa.array(words, pa.binary()), pa.array(names, pa.binary())
+        step = 2048
         for lo in range(0, len(first), step):
             f, e = first[lo:lo + step], ends[lo:lo + step]
-            offsets = pa.array(np.r_[f, e[-1]] - f[0], pa.int32())
-            own = prefix[f]
+            offsets, own = (np.r_[f, e[-1]] - f[0]).astype(np.int32), prefix[f]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), vocabulary.take(pa.array(nxt[f[0]:e[-1]])))
+            numbers = pa.Array.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(offsets * 4), pa.py_buffer(counts[f[0]:e[-1]].tobytes())])
             yield pa.RecordBatch.from_arrays([
                 pa.array([self.lang] * len(f), pa.string()), titles.take(pa.array(own)).cast(pa.string()),
                 pa.array(shard[f], pa.int32()), pa.array(states[own].view(np.int64)),
-                pa.ListArray.from_arrays(offsets, vocabulary.take(pa.array(nxt[f[0]:e[-1]])).cast(pa.string())),
-                pa.ListArray.from_arrays(offsets, pa.array(counts[f[0]:e[-1]])),
-                pa.nulls(len(f), pa.string())], schema=_PARTIAL_ARROW)
+                pc.binary_join(lists, b" ").cast(pa.string()), numbers, pa.nulls(len(f), pa.string())], schema=_PARTIAL_ARROW)
 
 
 def _slices(batches, slice_bytes):
@@ -247,14 +251,14 @@ def _slices(batches, slice_bytes):
             yield k, _BREAK.join(v)
 
 
-def _counter(level: int, sent, limit: int, slice_bytes: int):
+def _counter(level: int, sent, hot: frozenset, limit: int, slice_bytes: int):
     def run(batches):
         bits = np.frombuffer(sent.value, np.uint8) if sent is not None else None
         own: dict[str, _Stripes] = {}
         for lang, blob in _slices(batches, slice_bytes):
             s = own.get(lang)
             if s is None:
-                s = own[lang] = _Stripes(lang, level, bits, limit)
+                s = own[lang] = _Stripes(lang, level, bits, hot, limit)
             runs = s.add(blob)
             if runs:
                 yield pa.RecordBatch.from_arrays(
@@ -314,9 +318,9 @@ def _merger(min_count: int, keep_all: bool):
                 if not keys or keys[-1] != k:
                     keys.append(k)
                 row[i] = len(keys) - 1
-            lists, counts = b.column(4), b.column(5)
+            lists = pc.split_pattern(b.column(4), " ")
             group = np.repeat(row, lists.value_lengths().to_numpy(zero_copy_only=False))
-            words, c = lists.flatten(), counts.flatten().to_numpy(zero_copy_only=False)
+            words, c = lists.flatten(), np.frombuffer(b"".join(b.column(5).to_pylist()), "<u4").astype(np.int64)
             if wait is not None:
                 if wait[0] == keys[0]:
                     group, words, c = np.r_[np.zeros(len(wait[2]), np.int64), group], pa.concat_arrays([wait[1], words]), np.r_[wait[2], c]
@@ -359,8 +363,9 @@ def stripes(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     corpus = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     levels: list[DataFrame] = []
     sent = totals = None
+    hot: frozenset = frozenset()
     for k in range(1, max_words + 1):
-        part = materialize(corpus.mapInArrow(_counter(k, sent, max_entries, slice_bytes), PARTIAL), f"stripes-part-{k}")
+        part = materialize(corpus.mapInArrow(_counter(k, sent, hot, max_entries, slice_bytes), PARTIAL), f"stripes-part-{k}")
         if sent is not None:
             sent.destroy()
         found = part.where("runs is null").select("lang", "prefix", "shard", "ph", "nexts", "counts")
@@ -369,7 +374,8 @@ def stripes(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
             _merger(min_count, k == 1), STRIPES), f"stripes-{k}")
         entry = F.explode(F.arrays_zip("nexts", "counts", "hashes")).alias("e")
         if k == 1:
-            totals = merged.groupBy("lang").agg(F.sum("total").alias("n"))
+            totals = materialize(merged.groupBy("lang").agg(F.sum("total").alias("n")), "stripes-totals")
+            n_words = totals.agg(F.sum("n")).first()[0] or 0
             level = merged.select("lang", entry).select(
                 "lang", F.col("e.nexts").alias("phrase"), F.lit("").alias("prefix"), F.lit("").alias("suffix"),
                 F.col("e.counts").alias("a"), F.array("e.counts").alias("firsts"),
@@ -391,9 +397,11 @@ def stripes(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
         if not n or k == max_words:
             break
         sent = sc.broadcast(_filter_bits(level, "h", n))
+        common = level.where(F.col("a") * HOT >= n_words).select("lang", "phrase")       # at most HOT rows
+        hot = frozenset((r["lang"], r["phrase"]) for r in common.collect())
         if k >= 2:
             corpus = part.where("runs is not null").select("lang", F.col("runs").alias("text"))
-    return levels, materialize(totals, "stripes-totals")
+    return levels, totals
 
 
 def _best_cut() -> str:

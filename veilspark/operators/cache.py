@@ -5,7 +5,9 @@ the *raw* prompt (probe and stored vectors must share one space), anonymize
 the stored prompt and the JSON record, append.
 Lookup (C1): embed probes, top-1 by L2, a hit needs score < threshold (F4)
 and an unexpired row (F5, ``as_of`` is a parameter so runs repeat);
-null ``created_at`` never expires.  Evict (C3): delete expired rows by content.
+null ``created_at`` never expires.  Only a row within the threshold's distance
+can be a hit or expired, so the search is the pivot-pruned one of
+:mod:`threshold`: the same answers, without a distance for every pair.  Evict (C3): delete expired rows by content.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from veilspark.fixed import CACHE_THRESHOLD, CACHE_TTL_SECONDS
 from veilspark.operators.anonymize import anonymize, deanonymize_text
 from veilspark.operators.embed import HashEmbedder
 from veilspark.operators.search import knn
+from veilspark.operators.search import score as distance_score
+from veilspark.operators.threshold import nearest_within, radius_of
 
 
 def admit(prompt: Column, max_length: int) -> Column:
@@ -56,7 +60,11 @@ def cache_lookup(prompts: DataFrame, cache: DataFrame, *, secret: str, as_of: Co
     embedder = embedder or HashEmbedder()
     q = prompts.select(F.col(pid_col).alias("qid"), embedder.column(F.col(prompt_col)).alias("embedding"))
     c = cache.select("id", "embedding", "created_at", F.col("metadata")["cache"].alias("record"))
-    top = knn(q, c, k=1, metric="l2", payload=["created_at", "record"], dim=embedder.output_dim)
+    if threshold < 1:
+        top = nearest_within(q, c, radius=radius_of(threshold), dim=embedder.output_dim).where("id is not null") \
+            .withColumn("score", distance_score(F.col("distance"))).join(c.drop("embedding"), "id")
+    else:                                               # every distance is below the threshold
+        top = knn(q, c, k=1, metric="l2", payload=["created_at", "record"], dim=embedder.output_dim)
     j = prompts.select(F.col(pid_col).alias("qid")).join(top, "qid", "left")
     is_exp = expired(F.col("created_at"), ttl_seconds, as_of)
     status = (F.when(F.col("id").isNull() | (F.col("score") >= F.lit(threshold)), F.lit("miss"))

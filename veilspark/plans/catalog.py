@@ -645,8 +645,10 @@ CACHE_PROBES_SQL = """SELECT -item_id AS pid, text AS prompt FROM benchmark
 UNION ALL SELECT conv_id * 1000000 + turn + 1, text FROM conversations WHERE role = 'user'"""
 
 
-@register("cache_lookup", lambda: f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}),
-p AS ({CACHE_PROBES_SQL}),
+def _lookup_sql(threshold: float, probes: str) -> str:
+    """All pairs, the nearest by (distance, id), then cutoff and expiry."""
+    return f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}),
+p AS ({probes}),
 pe AS ({hash_embed_sql('p', 'pid', 'prompt')}),
 re AS ({hash_embed_sql('r', 'id', 'prompt')}),
 top AS (
@@ -656,17 +658,44 @@ top AS (
                CAST(re.embedding AS DOUBLE[])), 9), re.id) AS rk
     FROM pe, re) WHERE rk = 1),
 st AS (
-  SELECT p.pid, top.id, CASE WHEN top.id IS NULL OR 1 - exp(-abs(top.d)) >= 0.1 THEN 'miss'
+  SELECT p.pid, top.id, CASE WHEN top.id IS NULL OR 1 - exp(-abs(top.d)) >= {threshold} THEN 'miss'
     WHEN r.created_at + to_seconds(604800) < TIMESTAMP '{CACHE_AS_OF}' THEN 'expired' ELSE 'hit' END AS status,
     r.record_json
   FROM p LEFT JOIN top ON p.pid = top.pid LEFT JOIN r ON top.id = r.id)
 SELECT pid, status, CASE WHEN status = 'hit' THEN id END AS cache_id,
-  CASE WHEN status = 'hit' THEN record_json END AS record_json FROM st""")
-def q_cache_lookup(spark, sf_dir):
-    from veilspark.operators.cache import cache_lookup
-    coll = _stored_cache(spark, sf_dir)
-    return cache_lookup(_cache_probes(spark, sf_dir), coll.scan(), secret=DEMO_SECRET,
-                        as_of=F.to_timestamp_ntz(F.lit(CACHE_AS_OF)), ttl_seconds=604800)
+  CASE WHEN status = 'hit' THEN record_json END AS record_json FROM st"""
+
+
+def _lookup_query(threshold: float):
+    def run(spark, sf_dir):
+        from veilspark.operators.cache import cache_lookup
+        coll = _stored_cache(spark, sf_dir)
+        return cache_lookup(_cache_probes(spark, sf_dir), coll.scan(), secret=DEMO_SECRET, threshold=threshold,
+                            as_of=F.to_timestamp_ntz(F.lit(CACHE_AS_OF)), ttl_seconds=604800)
+    return run
+
+
+register("cache_lookup", lambda: _lookup_sql(0.1, CACHE_PROBES_SQL))(_lookup_query(0.1))
+# A wide cutoff (distance 0.87): near prompts hit too, and ties and expiry matter.
+register("cache_lookup_threshold", lambda: _lookup_sql(0.58, CACHE_PROBES_SQL))(_lookup_query(0.58))
+
+
+@register("cache_threshold_share", lambda: f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}),
+p AS ({CACHE_PROBES_SQL})
+SELECT (SELECT count(*) FROM p) AS n_probes, (SELECT count(*) FROM r) AS n_stored, TRUE AS below_a_tenth""")
+def q_cache_threshold_share(spark, sf_dir):
+    """How many pairs the threshold join measures, against all pairs."""
+    from veilspark.operators.embed import HashEmbedder
+    from veilspark.operators.threshold import nearest_within, radius_of
+    e = HashEmbedder(EMBED_DIM, EMBED_MAX)
+    stored = _stored_cache(spark, sf_dir).scan()
+    q = _cache_probes(spark, sf_dir).select(F.col("pid").alias("qid"), e.column(F.col("prompt")).alias("embedding"))
+    found = nearest_within(q, stored, radius=radius_of(0.1), dim=EMBED_DIM)
+    zero = F.lit(0).cast("long")
+    both = found.select(F.lit(1).cast("long").alias("q"), zero.alias("c"), "compared").unionByName(
+        stored.select(zero.alias("q"), F.lit(1).cast("long").alias("c"), zero.alias("compared")))
+    return both.agg(F.sum("q").alias("n_probes"), F.sum("c").alias("n_stored"), F.sum("compared").alias("m")).select(
+        "n_probes", "n_stored", (F.col("m") * 10 < F.col("n_probes") * F.col("n_stored")).alias("below_a_tenth"))
 
 
 # ---------------------------------------------------------------- J3, A1-A6
@@ -1161,23 +1190,7 @@ def q_stream_deanonymize(spark, sf_dir):
     return spark.read.parquet(back).select("doc_id", "text", "malformed")
 
 
-@register("stream_cache_lookup", lambda: f"""WITH r AS (SELECT * FROM ({CACHE_RECORDS_SQL}) WHERE length(prompt) <= {EMBED_MAX}),
-p AS (SELECT item_id AS pid, text AS prompt FROM benchmark),
-pe AS ({hash_embed_sql('p', 'pid', 'prompt')}),
-re AS ({hash_embed_sql('r', 'id', 'prompt')}),
-top AS (
-  SELECT pid, id, d FROM (
-    SELECT pe.pid, re.id, list_distance(CAST(pe.embedding AS DOUBLE[]), CAST(re.embedding AS DOUBLE[])) AS d,
-           row_number() OVER (PARTITION BY pe.pid ORDER BY round(list_distance(CAST(pe.embedding AS DOUBLE[]),
-               CAST(re.embedding AS DOUBLE[])), 9), re.id) AS rk
-    FROM pe, re) WHERE rk = 1),
-st AS (
-  SELECT p.pid, top.id, CASE WHEN top.id IS NULL OR 1 - exp(-abs(top.d)) >= 0.1 THEN 'miss'
-    WHEN r.created_at + to_seconds(604800) < TIMESTAMP '{CACHE_AS_OF}' THEN 'expired' ELSE 'hit' END AS status,
-    r.record_json
-  FROM p LEFT JOIN top ON p.pid = top.pid LEFT JOIN r ON top.id = r.id)
-SELECT pid, status, CASE WHEN status = 'hit' THEN id END AS cache_id,
-  CASE WHEN status = 'hit' THEN record_json END AS record_json FROM st""")
+@register("stream_cache_lookup", lambda: _lookup_sql(0.1, "SELECT item_id AS pid, text AS prompt FROM benchmark"))
 def q_stream_cache_lookup(spark, sf_dir):
     from veilspark.streaming.streams import cache_lookup_stream, table_stream
     coll = _stored_cache(spark, sf_dir)
