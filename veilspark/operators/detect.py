@@ -2,23 +2,20 @@
 
 Pattern types run as one projection per row (JVM regex, no Python, no
 shuffle).  Name-like types (PERSON, LOCATION, NRP) come from a dictionary
-table: the text's 1..3-word phrases (cut in Arrow batches, in time linear in
-the text) are looked up with an equi-join, and the hits are regrouped per row.
+table, whose terms of any length are found in one pass per text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veilspark.functions.pii import (DETECTORS, GAZETTEER_TYPES, SCORES, detector_spans,
                                      normalize_types)
-from veilspark.functions.spans import SPANS, regex_matches
-
-# --- fixed values: phrase tokens for dictionary lookup ----------------------
-PHRASE_TOKEN_RX = r"[\p{L}\p{N}][\p{L}\p{N}#_'&-]*"   # phrases are 1, 2 or 3 of these tokens
+from veilspark.functions.spans import SPANS
+from veilspark.operators.dictionary import MAX_BYTES, PHRASE_TOKEN_RX, term_column, term_rows
 
+__all__ = ["PHRASE_TOKEN_RX", "detect_pii", "dictionary_spans", "explode_spans", "pattern_spans"]
 
 def pattern_spans(text: Column, types=None, threshold: float = 0.0) -> Column:
     """All validated spans of the requested pattern types with score >= threshold."""
@@ -47,73 +44,43 @@ def pattern_spans(text: Column, types=None, threshold: float = 0.0) -> Column:
     return allspans
 
 
-def phrase_candidates(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """One row per 1..3-word phrase: (key, start, end, phrase).
-
-    One pass over each text (its time is linear in the words), in Arrow batches.
-    """
-    rx = PHRASE_TOKEN_RX
-    schema = T.StructType([T.StructField(key_col, df.schema[key_col].dataType), T.StructField("start", T.IntegerType()),
-                           T.StructField("end", T.IntegerType()), T.StructField("phrase", T.StringType())])
-
-    def run(batches):
-        import pyarrow as pa
-        import regex
-        token = regex.compile(rx)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 64):
-                row, start, end, phrase = [], [], [], []
-                for i, t in enumerate(texts[lo:lo + 64], lo):
-                    spans = [m.span() for m in token.finditer(t)] if t else []
-                    for n in range(min(3, len(spans))):
-                        for (s, _), (_, e) in zip(spans, spans[n:]):
-                            start.append(s)
-                            end.append(e)
-                            phrase.append(t[s:e])
-                        row += [i] * (len(spans) - n)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
-                     pa.array(phrase, pa.string())], names=[key_col, "start", "end", "phrase"])
-
-    return df.select(key_col, text_col).mapInArrow(run, schema)
+def _term_scores(types) -> dict[str, float]:
+    return {t: SCORES[t] for t in normalize_types(types) if t in GAZETTEER_TYPES}
 
 
 def dictionary_spans(df: DataFrame, key_col: str, text_col: str, dictionary: DataFrame,
-                     types=None, threshold: float = 0.0) -> DataFrame:
+                     types=None, threshold: float = 0.0, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(key, spans) for dictionary types; rows without a hit are absent.
 
-    ``dictionary`` has columns ``term`` and ``pii_type``.  The lookup is an
-    equi-join on the phrase; Spark broadcasts a dictionary that is small by
-    bytes, otherwise both sides shuffle on the phrase (AQE splits a hot phrase).
+    ``dictionary`` has columns ``term`` and ``pii_type``; terms may have any
+    number of words (see :mod:`dictionary`).
     """
-    wanted = [t for t in normalize_types(types) if t in GAZETTEER_TYPES]
-    d = dictionary.select(F.col("term"), F.upper("pii_type").alias("pii_type")) \
-        .where(F.col("pii_type").isin(wanted)).dropDuplicates(["term", "pii_type"])
-    score = F.coalesce(*[F.when(F.col("pii_type") == t, F.lit(SCORES[t])) for t in wanted])
-    hits = phrase_candidates(df, key_col, text_col) \
-        .join(d, F.col("phrase") == F.col("term")) \
-        .select(key_col, "start", "end", "pii_type", score.cast("double").alias("score")) \
-        .where(F.col("score") >= F.lit(threshold))
-    return hits.groupBy(key_col).agg(
+    find = term_column(dictionary, _term_scores(types), threshold, max_bytes)
+    if find is not None:
+        return df.select(key_col, find(F.col(text_col)).alias("_dict_spans")).where(F.size("_dict_spans") > 0)
+    return term_rows(df, key_col, text_col, dictionary, _term_scores(types), threshold).groupBy(key_col).agg(
         F.collect_list(F.struct("start", "end", "pii_type", "score")).alias("_dict_spans"))
 
 
 def detect_pii(df: DataFrame, text_col: str = "text", types=None, threshold: float = 0.0,
                out_col: str = "pii", key_col: str | None = None,
-               dictionary: DataFrame | None = None) -> DataFrame:
+               dictionary: DataFrame | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Add ``out_col: array<struct<start,end,pii_type,score>>`` to ``df``.
 
     ``types`` restricts the detectors before the plan is built (empty = all);
     spans scoring under ``threshold`` are dropped.  Dictionary types need
-    ``key_col`` (unique per row) and ``dictionary``.
+    ``dictionary``, and one that is too large to hold (``max_bytes``) also a
+    ``key_col`` that is unique per row.
     """
     types = normalize_types(types)
     out = df.withColumn(out_col, pattern_spans(F.col(text_col), types, threshold))
     if dictionary is not None and any(t in GAZETTEER_TYPES for t in types):
+        find = term_column(dictionary, _term_scores(types), threshold, max_bytes)
+        if find is not None:
+            return out.withColumn(out_col, F.concat(F.col(out_col), find(F.col(text_col))))
         if key_col is None:
-            raise ValueError("dictionary detection needs a unique key_col")
-        found = dictionary_spans(df, key_col, text_col, dictionary, types, threshold)
+            raise ValueError("a dictionary of this size needs a unique key_col")
+        found = dictionary_spans(df, key_col, text_col, dictionary, types, threshold, max_bytes)
         out = out.join(found, key_col, "left").withColumn(
             out_col, F.concat(F.col(out_col), F.coalesce(F.col("_dict_spans"), F.array().cast(SPANS)))
         ).drop("_dict_spans")

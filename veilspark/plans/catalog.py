@@ -165,8 +165,8 @@ DICTIONARY_SQL = """SELECT DISTINCT term, pii_type FROM (
   UNION ALL SELECT r_name, 'LOCATION' FROM region)"""
 
 
-def dictionary_span_rows_sql(src: str, key: str, dictionary: str = DICTIONARY_SQL) -> str:
-    """(key, start, end, pii_type, score) for dictionary hits of 1..3-word phrases."""
+def dictionary_span_rows_sql(src: str, key: str, dictionary: str = DICTIONARY_SQL, words: int = 3) -> str:
+    """(key, start, end, pii_type, score) for dictionary hits of phrases up to ``words`` words."""
     from veilspark.operators.detect import PHRASE_TOKEN_RX
     toks = S.match_rows_sql(src, key, "text", PHRASE_TOKEN_RX)
     return f"""SELECT g.{key}, g.start, g."end", dct.pii_type, {S.num(P.SCORES['PERSON'])} AS score
@@ -174,7 +174,7 @@ FROM (
   SELECT {key}, text, toks[i].start AS start, toks[i + n - 1]."end" AS "end"
   FROM (SELECT {key}, text, toks, n, unnest(generate_series(1, len(toks) - n + 1)) AS i
         FROM (SELECT {key}, text, list({{'start': start, 'end': "end"}} ORDER BY start) AS toks
-              FROM {toks} GROUP BY {key}, text), (SELECT unnest([1, 2, 3]) AS n))
+              FROM {toks} GROUP BY {key}, text), (SELECT unnest(generate_series(1, {words})) AS n))
 ) g JOIN ({dictionary}) dct ON substring(g.text, g.start + 1, g."end" - g.start) = dct.term"""
 
 
@@ -212,6 +212,27 @@ def q_gazetteer_documents(spark, sf_dir):
     return d.select("doc_id", F.explode("_dict_spans").alias("s")).select("doc_id", "s.start", "s.end", "s.pii_type", "s.score")
 
 
+# Terms of four to eight words: how benchmark passages begin; documents hold many of these passages.
+LONG_TERM_RX = r"^[\p{L}]+(?: [\p{L}]+){3,7}"
+LONG_DICTIONARY_SQL = f"""SELECT DISTINCT term, 'NRP' AS pii_type FROM (
+  SELECT array_to_string(string_split(t, ' ')[1:n], ' ') AS term FROM (
+    SELECT regexp_extract(text, {S.q(LONG_TERM_RX)}) AS t, unnest([4, 5, 6, 7, 8]) AS n FROM benchmark)
+  WHERE t <> '')"""
+
+
+@register("gazetteer_long_terms", lambda: f"""SELECT doc_id, start, "end", pii_type, score
+FROM ({dictionary_span_rows_sql('documents', 'doc_id', LONG_DICTIONARY_SQL, words=8)})""")
+def q_gazetteer_long_terms(spark, sf_dir):
+    """Names of many words: every beginning of 4 to 8 words is a term, so hits nest."""
+    from veilspark.operators.detect import dictionary_spans
+    t = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", LONG_TERM_RX, 0).alias("t")).where("t <> ''")
+    n = F.explode(F.array(*[F.lit(i) for i in (4, 5, 6, 7, 8)]))
+    terms = t.select("t", n.alias("n")).select(F.expr("array_join(slice(split(t, ' '), 1, n), ' ')").alias("term"),
+                                               F.lit("NRP").alias("pii_type"))
+    d = dictionary_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", terms)
+    return d.select("doc_id", F.explode("_dict_spans").alias("s")).select("doc_id", "s.start", "s.end", "s.pii_type", "s.score")
+
+
 # Numbers at their edges: a 4-6-5 card, digit runs that hold a phone or card, impossible dates.
 EDGE_TEXT_SQL = """SELECT c_custkey, 'Amex 3782 822463 10005, run 55' || lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0')
   || ' 78901234, ref 1555-123-45678, call (212) 555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')
