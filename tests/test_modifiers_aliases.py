@@ -109,3 +109,26 @@ def test_set_aliases_last_write_wins(spark):
                                 "session_id string, alias string, token string, v int")
     got = {(r["session_id"], r["alias"]): r["token"] for r in set_aliases(old, new, order_col="v").collect()}
     assert got == {("s", "αaα"): "t9", ("s", "αbα"): "t2", ("u", "αaα"): "t3"}
+
+
+def test_toxic_hit_counts_in_both_placements(spark):
+    from veilspark.operators.modifiers import toxic_hit_counts
+    rows = [(1, "Bad bad, worse."), (1, "Bad bad, worse."), (2, None), (3, ""), (4, "fine"), (5, "BAD-bad ba d"), (6, "worse " * 500)]
+    df = spark.createDataFrame(rows, "k int, text string")
+    lex = spark.createDataFrame([("bad",), ("worse",), ("bad",), (None,)], "word string")
+    want = sorted([(1, 3), (1, 3), (2, 0), (3, 0), (4, 0), (5, 2), (6, 500)])
+    for limit in (1 << 20, 0):
+        got = toxic_hit_counts(df, "text", lex, max_bytes=limit)
+        assert sorted((r["k"], r["toxic_hits"]) for r in got.collect()) == want
+    plan = toxic_hit_counts(df, "text", lex).where("toxic_hits > 0")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_word_weights_without_labels(spark):
+    from veilspark.operators.modifiers import toxicity_by_words, toxicity_weights
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id int, text string")
+    none = spark.createDataFrame([], "doc_id int, toxic int")
+    assert toxicity_by_words(docs, toxicity_weights(docs, none)).collect() == []
+    lab = spark.createDataFrame([(1, 1), (2, 0), (2, None)], "doc_id int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity_by_words(docs, toxicity_weights(docs, lab)).collect()}
+    assert got[1]["score"] > got[2]["score"] == 0 and got[1]["is_toxic"] and not got[2]["is_toxic"]

@@ -50,3 +50,38 @@ def test_load_documents_from_json_and_text(spark):
     spark.createDataFrame([("line one",), ("line two",)], "value string").write.mode("overwrite").text(f"{d}/txt")
     t = load_documents(spark, f"{d}/txt", "text", text_col="value", resource_col="value")
     assert sorted(r["text"] for r in t.collect()) == ["line one", "line two"]
+
+
+def test_character_references_are_read_once(spark):
+    import html
+
+    from veilspark.sources.documents import decode_references
+    cases = ["&#8217;&#x2019;&#X1f600;", "&#38;lt; &#38;#65; &amp;amp;", "&#0;&#xD800;&#1114112;&#9999999;&#xFFFFFF;", "&lt;&gt;&quot;&#39;&amp;",
+             "&#12; &#x; &#; & &unknown; &#123456789;", "", None, "no reference"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
+    got = {r["i"]: r["t"] for r in df.select("i", decode_references(F.col("t")).alias("t")).collect()}
+    assert got[0] == "’’😀" and got[1] == "&lt; &#65; &amp;" and got[2] == "�" * 5 and got[3] == html.unescape(cases[3])
+    assert got[4] == "\x0c &#x; &#; & &unknown; &#123456789;" and got[5] == "" and got[6] is None and got[7] == cases[7]
+
+
+def test_text_files_and_single_resources(spark, tmp_path):
+    from veilspark.sources.documents import load_resource, load_text
+    (tmp_path / "a.txt").write_text("one\ntwo")
+    (tmp_path / "b.txt").write_text("")
+    rows = {r["resource"]: r["text"] for r in load_text(spark, str(tmp_path)).collect()}
+    assert rows["a.txt"] == "one\ntwo" and rows.get("b.txt", "") == ""
+    path = str(tmp_path / "t")
+    spark.range(100).selectExpr("id", "concat('t', id) as text").write.parquet(path)
+    one = load_resource(spark.read.parquet(path), 7, key_col="id")
+    assert [tuple(r)[:2] for r in one.collect()] == [("7", "t7")]
+    plan = one._jdf.queryExecution().toString()
+    assert "EqualTo(id,7)" in plan
+
+
+def test_ids_of_large_keys_and_many_chunks(spark):
+    from veilspark.plans.pipelines import compose_id
+    rows = [(5, 3), (5, 1_000_000), (2 ** 62, 1), (-2 ** 62, 1), (2 ** 62, 2), (-4, 7), (9_223_372_036_853, 999_999)]
+    df = spark.createDataFrame(rows, "k long, n long").select("k", "n", compose_id(F.col("k"), F.col("n")).alias("id"))
+    got = {(r["k"], r["n"]): r["id"] for r in df.collect()}
+    assert got[5, 3] == 5_000_003 and got[-4, 7] == -3_999_993 and len(set(got.values())) == len(rows)
+    assert got[5, 1_000_000] < 0 and got[2 ** 62, 1] < 0

@@ -13,15 +13,19 @@ walks a column's schema and rebuilds it with higher-order functions:
 
 from __future__ import annotations
 
+import re
+import uuid
 from functools import reduce
 from typing import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.fixed import PURGED_TEXT, STOP_WORDS
 from veilspark.operators.chunk import blank_words
+from veilspark.session import shared_path
 
 Modifier = Callable[[Column], Column]
 
@@ -122,6 +126,7 @@ def remove_stop_words(stop_words=None) -> Modifier:
 
 # --- T4-T6 toxicity ------------------------------------------------------------
 TOX_WORD_RX = "[a-z]+"
+LEXICON_BYTES = 32 << 20
 
 
 def ascii_words(text: Column) -> Column:
@@ -148,21 +153,73 @@ def toxic_hits(text: Column, lexicon_words: list[str]) -> Column:
     return F.coalesce(F.size(F.filter(ascii_words(text), lambda w: w.isin(list(lexicon_words)))), F.lit(0))
 
 
-def toxic_hit_counts(df: DataFrame, text_col: str, lexicon: DataFrame, out_col: str = "toxic_hits") -> DataFrame:
-    """Add the number of lexicon-word occurrences per row, for any lexicon size.
+def toxic_hit_counts(df: DataFrame, text_col: str, lexicon: DataFrame, out_col: str = "toxic_hits",
+                     max_bytes: int = LEXICON_BYTES) -> DataFrame:
+    """Add the number of lexicon-word occurrences per row (0 for a NULL text), for any lexicon size.
 
-    Words are counted per distinct text (by SHA-256), so repeated keys or rows
-    cannot mix; counts are partial aggregates, joined back (AQE splits hot texts).
+    The lexicon is written once and measured.  Up to ``max_bytes`` it is
+    broadcast and the count is a column: no shuffle.  A larger one is joined
+    with (text digest, word) rows; texts themselves are never shuffled, and the
+    counts come back to the rows by digest (equal texts share one).
     """
-    lex = lexicon.select("word").distinct()
+    spark = df.sparkSession
+    path = shared_path(spark, f"lexicon/{uuid.uuid4().hex}")
+    lexicon.select("word").where("word is not null").distinct().write.parquet(path)
+    lex = spark.read.schema("word string").parquet(path)
+    if (lex.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0) <= max_bytes:
+        words = frozenset(w.encode() for w in lex.toArrow().column("word").to_pylist())
+        sent = spark.sparkContext.broadcast(words)
+        lower, rx = bytes.maketrans(LOWER_FROM.encode(), LOWER_TO.encode()), re.compile(TOX_WORD_RX.encode())
+
+        def hits(texts: pa.Array) -> pa.Array:
+            known = sent.value.__contains__
+            return pa.array([sum(map(known, rx.findall(t.translate(lower)))) if t else 0
+                             for t in texts.cast(pa.large_binary()).to_pylist()], pa.int32())
+
+        # Never evaluated twice, whatever is filtered on the count.
+        return df.withColumn(out_col, F.arrow_udf(hits, T.IntegerType()).asNondeterministic()(F.col(text_col)))
     key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    ex = df.select(key.alias("_t"), F.col(text_col).alias("_text")).groupBy("_t").agg(F.any_value("_text").alias("_text")) \
-        .select("_t", F.explode(ascii_words(F.col("_text"))).alias("word"))
-    counts = ex.join(lex, "word").groupBy("_t").agg(F.count("*").cast("int").alias("_n"))
+    found = df.select(key.alias("_t"), F.explode(ascii_words(F.col(text_col))).alias("word")).join(lex, "word") \
+        .groupBy("_t").agg(F.count("*").alias("_all"))
+    copies = df.groupBy(key.alias("_t")).agg(F.count("*").alias("_copies"))
+    counts = found.join(copies, "_t").select("_t", F.expr("cast(_all div _copies as int)").alias("_n"))
     return df.withColumn("_t", key).join(counts, "_t", "left") \
         .withColumn(out_col, F.coalesce("_n", F.lit(0))).drop("_t", "_n")
 
 
+def toxicity_weights(docs: DataFrame, labels: DataFrame, *, key_col: str = "doc_id", text_col: str = "text",
+                     label_col: str = "toxic") -> DataFrame:
+    """T4 (count form): (word, weight), log-odds of a word's presence in toxic against clean texts.
+
+    Counts over all labelled rows by one grouped aggregation; weights are whole
+    millionths, so sums do not depend on their order.  The prior is the weight
+    of the empty word.
+    """
+    lab = labels.where(F.col(label_col).isin(0, 1)).select(key_col, F.col(label_col).alias("_y"))
+    rows = docs.select(key_col, text_col).join(lab, key_col).select(
+        "_y", F.explode(F.array_append(F.array_distinct(F.coalesce(ascii_words(F.col(text_col)), F.array().cast("array<string>"))),
+                                       F.lit(""))).alias("word"))
+    n = rows.groupBy("word").agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c"))
+    total = n.where("word = ''").select(F.col("t").alias("nt"), F.col("c").alias("nc"))
+    ratio = F.when(F.col("word") == "", (F.col("t") + 0.5) / (F.col("c") + 0.5)).otherwise(
+        ((F.col("t") + 0.5) / (F.col("nt") + 1.0)) / ((F.col("c") + 0.5) / (F.col("nc") + 1.0)))
+    one = total.first()                                  # one row, or none
+    nt, nc = (one["nt"], one["nc"]) if one else (0, 0)
+    return n.withColumns({"nt": F.lit(nt), "nc": F.lit(nc)}).select(
+        "word", F.round(F.log(ratio) * 1e6).cast("long").alias("weight"))
+
+
+def toxicity_by_words(docs: DataFrame, weights: DataFrame, *, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, score, is_toxic): the weights of a text's different words added up; unknown words weigh nothing.
+
+    ``key_col`` is unique.  Only (key, word) rows are shuffled, with partial sums.
+    """
+    rows = docs.select(key_col, F.explode(F.array_append(F.array_distinct(F.coalesce(
+        ascii_words(F.col(text_col)), F.array().cast("array<string>"))), F.lit(""))).alias("word"))
+    return rows.join(weights, "word").groupBy(key_col).agg(F.sum("weight").alias("score")) \
+        .select(key_col, "score", (F.col("score") > 0).alias("is_toxic"))
+
+
 def toxicity_score(hits: Column) -> Column:
     """T4 score in [0, 1): ``1 - exp(-hits)``; toxic when above the threshold (default 0.5)."""
     return F.lit(1.0) - F.exp(-hits.cast("double"))

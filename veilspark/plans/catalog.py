@@ -351,15 +351,21 @@ def q_load_resource(spark, sf_dir):
     return out.select("resource", "text", F.col("metadata")["doc"].alias("doc"))
 
 
-def _page_text_sql() -> str:
+def _page_text_sql(src: str = "pages") -> str:
     from veilspark.sources import documents as D
     t = f"regexp_replace(html, {S.q(D.HTML_DROP_BLOCKS)}, ' ', 'g')"
     t = f"regexp_replace({t}, {S.q(D.HTML_COMMENT)}, ' ', 'g')"
     t = f"regexp_replace({t}, {S.q(D.HTML_TAG)}, ' ', 'g')"
-    for ent, ch in D.HTML_ENTITIES:
-        t = f"replace({t}, {S.q(ent)}, {S.q(ch)})"
-    t = f"trim(regexp_replace({t}, {S.q(D.HTML_BLANKS)}, ' ', 'g'))"
-    return f"SELECT url AS resource, {t} AS text FROM pages"
+    names = " ".join(f"WHEN {S.q(ent)} THEN {S.q(ch)}" for ent, ch in D.HTML_ENTITIES)
+    code = ("CASE WHEN lower(r[3:3]) = 'x' THEN TRY_CAST('0x' || r[4:len(r) - 1] AS BIGINT) "
+            "ELSE TRY_CAST(r[3:len(r) - 1] AS BIGINT) END")
+    char = (f"CASE r {names} ELSE chr(CAST(CASE WHEN {code} <= 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343 "
+            f"THEN 65533 ELSE {code} END AS INTEGER)) END")
+    return f"""SELECT url AS resource, trim(regexp_replace(array_to_string(list_transform(range(1, len(segs) + 1),
+    lambda i: segs[i] || coalesce(chars[i], '')), ''), {S.q(D.HTML_BLANKS)}, ' ', 'g')) AS text
+FROM (SELECT url, string_split_regex(t, {S.q(D.HTML_REFERENCE)}) AS segs,
+    list_transform(regexp_extract_all(t, {S.q(D.HTML_REFERENCE)}), lambda r: {char}) AS chars
+  FROM (SELECT url, {t} AS t FROM {src}))"""
 
 
 @register("page_text", lambda: _page_text_sql())
@@ -368,6 +374,47 @@ def q_page_text(spark, sf_dir):
     return pages_to_documents(table(spark, sf_dir, "pages")).select("resource", "text")
 
 
+# Pages with references of every kind, one of them by the page's number.
+REFERENCE_TAIL = "<p>It&#8217;s &#x2019; &#128512;&#x1F600; &#xd83d;&#0;&#1114112; &#38;lt;&#38;#65;&amp;#66; &#39;"
+
+
+@register("page_text_entities", lambda: _page_text_sql(
+    f"(SELECT url, html || {S.q(REFERENCE_TAIL)} || '&#' || CAST(page_id % 60000 + 161 AS VARCHAR) || ';</p>' AS html FROM pages)"))
+def q_page_text_entities(spark, sf_dir):
+    from veilspark.sources.documents import pages_to_documents
+    p = table(spark, sf_dir, "pages")
+    tail = F.concat(F.lit(REFERENCE_TAIL + "&#"), (F.col("page_id") % 60000 + 161).cast("string"), F.lit(";</p>"))
+    return pages_to_documents(p.withColumn("html", F.concat("html", tail))).select("resource", "text")
+
+
+# JSON lines written from documents; every seventh line is cut before its end.
+@register("load_json", lambda: """SELECT CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id AS VARCHAR) END AS resource,
+  CASE WHEN doc_id % 7 <> 0 THEN text END AS text, CASE WHEN doc_id % 7 <> 0 THEN source END AS doc,
+  CASE WHEN doc_id % 7 <> 0 THEN lang END AS lang, doc_id % 7 = 0 AS corrupt FROM documents""")
+def q_load_json(spark, sf_dir):
+    import uuid
+
+    from veilspark.session import shared_path
+    from veilspark.sources.documents import load_json
+    d = table(spark, sf_dir, "documents", balanced=False)
+    line = F.to_json(F.struct("doc_id", "text", "source", "lang"))
+    path = shared_path(spark, f"json/{uuid.uuid4().hex}")
+    d.select(F.when(F.col("doc_id") % 7 == 0, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line).alias("value")) \
+        .write.text(path)
+    got = load_json(spark, path, "doc_id long, text string, source string, lang string", resource_col="doc_id",
+                    name_col="source", extra_meta={"lang": "lang"})
+    return got.select("resource", "text", F.col("metadata")["doc"].alias("doc"), F.col("metadata")["lang"].alias("lang"),
+                      F.col("corrupt").isNotNull().alias("corrupt"))
+
+
+@register("load_resource_single", lambda: """SELECT CAST(doc_id AS VARCHAR) AS resource, text, 'the twelfth' AS doc
+FROM documents WHERE doc_id = 12""")
+def q_load_resource_single(spark, sf_dir):
+    from veilspark.sources.documents import load_resource
+    got = load_resource(table(spark, sf_dir, "documents", balanced=False), 12, "the twelfth", key_col="doc_id")
+    return got.select("resource", "text", F.col("metadata")["doc"].alias("doc"))
+
+
 # ---------------------------------------------------------------- K1-K5 chunking
 def _pieces_sql(splitter: str, src: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     if splitter == "simple":
@@ -579,6 +626,19 @@ def q_save_nodes(spark, sf_dir):
                     F.size("embedding").alias("dim"))
 
 
+@register("save_nodes_twice", lambda: f"""WITH ch AS ({CHUNKS_SQL})
+SELECT id, min(content) AS content FROM (SELECT id, content FROM ch UNION ALL SELECT id, 'again ' || content FROM ch) GROUP BY id""")
+def q_save_nodes_twice(spark, sf_dir):
+    """Every id twice in one call, with other contents: one row of each is stored; a second call adds none."""
+    from veilspark.operators.embed import HashEmbedder, embed
+    ch = embed(chunks_df(spark, sf_dir), "content", HashEmbedder(EMBED_DIM, EMBED_MAX)).select("id", "content", "embedding")
+    both = ch.unionByName(ch.withColumn("content", F.concat(F.lit("again "), "content")))
+    coll = _new_collection(spark, "doc_nodes")
+    coll.save_nodes(both)
+    coll.save_nodes(ch)
+    return coll.scan().select("id", "content")
+
+
 @register("delete_by_content", lambda: f"""WITH ch AS ({CHUNKS_SQL})
 SELECT id FROM ch WHERE content NOT IN (
   SELECT ch.content FROM ch JOIN labels l ON ch.doc_id = l.doc_id WHERE l.toxic = 1)""")
@@ -721,15 +781,27 @@ def q_cache_threshold_share(spark, sf_dir):
 
 # ---------------------------------------------------------------- J3, A1-A6
 def request_titles(spark, sf_dir):
-    """Two document titles per request: a function of the request id over the table's own titles."""
+    """Two document titles per request: a function of the request id over the table's own titles.
+
+    Titles are numbered by (first two digits of their MD5, title) in two steps:
+    the 256 bucket sizes give every bucket its first number, and each bucket is
+    numbered on its own, so no task sees all titles.
+    """
     from pyspark.sql import Window
-    titles = table(spark, sf_dir, "documents", balanced=False).select("source").where("source is not null").distinct()
-    ranked = titles.select("source", (F.row_number().over(Window.orderBy("source")) - 1).alias("n"))
+    titles = table(spark, sf_dir, "documents", balanced=False).select("source").where("source is not null").distinct() \
+        .withColumn("b", F.substring(F.md5("source"), 1, 2))
+    sizes = sorted((r["b"], r["n"]) for r in titles.groupBy("b").agg(F.count("*").alias("n")).collect())   # 256 rows at most
+    total, first = 0, {}
+    for b, n in sizes:
+        first[b], total = total, total + n
+    firsts = F.create_map(*[F.lit(x) for kv in first.items() for x in kv]) if first else F.create_map().cast("map<string,int>")
+    ranked = titles.select("source", (F.try_element_at(firsts, F.col("b")) + F.row_number().over(
+        Window.partitionBy("b").orderBy("source")) - 1).alias("n"))
 
     def of(req):
-        total = titles.count()
+        m = max(total, 1)
         asked = req.select("request_id", "prompt", F.posexplode(F.array(
-            F.col("request_id") % total, (F.col("request_id") * 7 + 3) % total)).alias("p", "n"))
+            F.col("request_id") % m, (F.col("request_id") * 7 + 3) % m)).alias("p", "n"))
         return asked.join(ranked, "n").select("request_id", "prompt", (F.col("p") + 1).cast("int").alias("title_pos"),
                                               F.col("source").alias("title"))
     return of
@@ -741,6 +813,14 @@ def _nodes(spark, sf_dir, secret=DEMO_SECRET):
     return ingest_nodes(docs, secret=secret, max_words=256, overlap=10, salt=DEMO_SALT)
 
 
+def _saved_nodes(spark, sf_dir, kind: str | None = None):
+    """The corpus ingested once into a collection, and its scan: searches and payloads read stored nodes."""
+    coll = _new_collection(spark, "node")
+    meta = F.col("metadata") if kind is None else F.map_concat("metadata", F.create_map(F.lit("kind"), F.lit(kind)))
+    coll.save_nodes(_nodes(spark, sf_dir).select("id", "content", meta.alias("metadata"), "embedding"))
+    return coll.scan().withColumn("doc", F.col("metadata")["doc"])
+
+
 REQ_SQL = """SELECT conv_id AS request_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), '') AS prompt,
   max(turn) AS last_turn FROM conversations GROUP BY conv_id"""
 
@@ -749,7 +829,7 @@ def _hits_sql(k: int = 3) -> str:
     return f"""ch AS ({CHUNKS_SQL}),
 ce AS (SELECT ch.id, ch.doc, ch.content, e.embedding FROM ch JOIN ({hash_embed_sql('ch', 'id', 'content')}) e ON ch.id = e.id),
 req AS ({REQ_SQL}),
-tt AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS n, count(*) OVER () AS total
+tt AS (SELECT source, row_number() OVER (ORDER BY substr(md5(source), 1, 2), source) - 1 AS n, count(*) OVER () AS total
   FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
 pq AS (SELECT request_id * 1000 + title_pos AS qid, * FROM (
   SELECT request_id, prompt, 1 AS title_pos, source AS title FROM req JOIN tt ON n = request_id % total
@@ -769,7 +849,7 @@ def q_knn_by_title(spark, sf_dir):
     from veilspark.plans.pipelines import conversation_requests
     req = conversation_requests(table(spark, sf_dir, "conversations"))
     probes = request_titles(spark, sf_dir)(req)
-    hits = retrieve_by_title(probes, _nodes(spark, sf_dir), embedder=HashEmbedder(EMBED_DIM, EMBED_MAX), k=3)
+    hits = retrieve_by_title(probes, _saved_nodes(spark, sf_dir), embedder=HashEmbedder(EMBED_DIM, EMBED_MAX), k=3)
     return hits.select("request_id", "title_pos", "rank", "id")
 
 
@@ -789,7 +869,7 @@ def q_context_prompt(spark, sf_dir):
     from veilspark.plans.pipelines import conversation_requests
     req = conversation_requests(table(spark, sf_dir, "conversations"))
     probes = request_titles(spark, sf_dir)(req)
-    hits = retrieve_by_title(probes, _nodes(spark, sf_dir), embedder=HashEmbedder(EMBED_DIM, EMBED_MAX), k=3)
+    hits = retrieve_by_title(probes, _saved_nodes(spark, sf_dir), embedder=HashEmbedder(EMBED_DIM, EMBED_MAX), k=3)
     ctx = format_context(hits, secret=DEMO_SECRET)
     return req.select("request_id").join(ctx, "request_id", "left").select(
         "request_id", F.coalesce("context", empty_context()).alias("context"))
@@ -810,7 +890,7 @@ UNION ALL SELECT DISTINCT conv_id, CAST(0 AS INTEGER), 'system', {S.q(RAG_SYSTEM
 def q_rag_requests(spark, sf_dir):
     from veilspark.operators.embed import HashEmbedder
     from veilspark.plans.pipelines import rag_requests
-    return rag_requests(table(spark, sf_dir, "conversations"), _nodes(spark, sf_dir), request_titles(spark, sf_dir),
+    return rag_requests(table(spark, sf_dir, "conversations"), _saved_nodes(spark, sf_dir), request_titles(spark, sf_dir),
                         secret=DEMO_SECRET, node_secret=DEMO_SECRET, embedder=HashEmbedder(EMBED_DIM, EMBED_MAX),
                         k=3, mode="sha", types=PATTERN_ALL, threshold=0.5)
 
@@ -835,10 +915,7 @@ def q_rag_from_collection(spark, sf_dir):
     from veilspark.operators.embed import HashEmbedder
     from veilspark.operators.search import metadata_contains
     from veilspark.plans.pipelines import rag_requests
-    coll = _new_collection(spark, "node")
-    coll.save_nodes(_nodes(spark, sf_dir).select(
-        "id", "content", F.map_concat("metadata", F.create_map(F.lit("kind"), F.lit("document"))).alias("metadata"), "embedding"))
-    nodes = coll.scan().withColumn("doc", F.col("metadata")["doc"])
+    nodes = _saved_nodes(spark, sf_dir, "document")
     return rag_requests(table(spark, sf_dir, "conversations"), nodes, request_titles(spark, sf_dir),
                         secret=DEMO_SECRET, node_secret=DEMO_SECRET, embedder=HashEmbedder(EMBED_DIM, EMBED_MAX),
                         k=3, mode="sha", types=PATTERN_ALL, threshold=0.5,
@@ -1138,6 +1215,26 @@ def q_toxicity_flag(spark, sf_dir):
     return h.select("conv_id", "turn", "hits", (toxicity_score(F.col("hits")) > F.lit(0.5)).alias("is_toxic"))
 
 
+# T4 by counts: log-odds of words over all labelled rows, whole millionths, so sums are exact.
+TOX_WEIGHTS_SQL = """SELECT word, CAST(round(ln(CASE WHEN word = '' THEN (t + 0.5) / (c + 0.5)
+    ELSE ((t + 0.5) / (nt + 1.0)) / ((c + 0.5) / (nc + 1.0)) END) * 1e6) AS BIGINT) AS weight
+FROM (SELECT w.word, CAST(sum(l.toxic) AS DOUBLE) AS t, CAST(sum(1 - l.toxic) AS DOUBLE) AS c
+  FROM (SELECT DISTINCT doc_id, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[a-z]+'), '')) AS word FROM documents) w
+  JOIN labels l ON w.doc_id = l.doc_id WHERE l.toxic IN (0, 1) GROUP BY w.word),
+ (SELECT sum(l.toxic) AS nt, sum(1 - l.toxic) AS nc FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IN (0, 1))"""
+
+
+@register("toxicity_nb", lambda: f"""SELECT d.doc_id, CAST(sum(m.weight) AS BIGINT) AS score, sum(m.weight) > 0 AS is_toxic
+FROM (SELECT DISTINCT doc_id, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[a-z]+'), '')) AS word FROM documents) d
+JOIN ({TOX_WEIGHTS_SQL}) m ON d.word = m.word GROUP BY d.doc_id""")
+def q_toxicity_nb(spark, sf_dir):
+    from veilspark.operators.modifiers import toxicity_by_words, toxicity_weights
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_by_words(docs, toxicity_weights(docs, table(spark, sf_dir, "labels")))
+
+
 # ---------------------------------------------------------------- X1-X4 streams
 def _stream_dirs(spark, name):
     import uuid

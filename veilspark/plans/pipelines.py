@@ -18,9 +18,15 @@ from veilspark.operators.embed import HashEmbedder
 
 
 def compose_id(key, n, width: int = 1_000_000):
-    """``key * width + n``; an ``n`` that does not fit is an error, never another key's id."""
-    return F.when((n >= 0) & (n < width), key * width + n).otherwise(
-        F.raise_error(F.concat(F.lit(f"number outside 0..{width - 1}: "), n.cast("string"))).cast("long"))
+    """``key * width + n`` where that is exact; otherwise a hash of both, always negative.
+
+    No number and no key ends the job: a document of more than ``width``
+    chunks, or a key from a 64-bit hash, gets hashed ids (63 bits).
+    """
+    most = (2 ** 63 - 1) // width - 1
+    fits = (n >= 0) & (n < width) & (key >= -most) & (key <= most)
+    return F.when(fits, key * width + n).otherwise(
+        F.xxhash64(key, n).bitwiseOR(F.lit(-2 ** 63).cast("long")))
 
 
 def ingest_nodes(docs: DataFrame, *, secret: str | None, embedder=None, key_col: str = "doc_id",

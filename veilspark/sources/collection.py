@@ -73,7 +73,7 @@ class Collection:
         return self._table("nodes", self.schema).join(self._table("deleted", _DELETED), "id", "left_anti")
 
     def save_nodes(self, nodes: DataFrame) -> None:
-        """Append nodes whose id is new; ``created_at`` defaults to now; dim is enforced."""
+        """Append nodes whose id is new, each id once; ``created_at`` defaults to now; dim is enforced."""
         self._check()
         cols = [F.col("id").cast("long").alias("id"), F.col("content").cast("string").alias("content")]
         if self.include_metadata:
@@ -87,7 +87,10 @@ class Collection:
         ts = F.col("created_at").cast("timestamp_ntz") if "created_at" in nodes.columns else F.lit(None)
         cols.append(F.coalesce(ts, F.localtimestamp()).alias("created_at"))
         known = self._table("nodes", self.schema).select("id").union(self._table("deleted", _DELETED))
-        nodes.select(*cols).join(known, "id", "left_anti") \
+        new = nodes.select(*cols).join(known, "id", "left_anti")
+        # Of equal ids inside one call the row with the least (content, created_at) stays.
+        one = F.min_by(F.struct(*new.columns), F.struct("content", "created_at"))
+        new.groupBy(F.col("id").alias("_id")).agg(one.alias("row")).select("row.*") \
             .write.mode("append").parquet(f"{self.base}/nodes")
 
     def delete_by_content(self, keys: DataFrame, content_col: str = "content") -> None:
