@@ -14,11 +14,13 @@ member; candidates are verified on the full sets.  Verified links give
 components; a bucket whose members lie in several components is then closed
 exactly: members that cannot reach the threshold any more (their shingles that
 occur in no other open document are too many) drop out by a counting bound,
-and the rest are compared across components, in blocks of bounded size, each
-pair in the first band that it shares, on their whole sets as 32-bit hashes
-(which can only overstate what two sets share).  What passes is verified like
-any candidate.  So no link between components is lost that the banding finds,
-and neither pairs inside a component nor unlike pairs are ever listed.
+and the rest are compared across components, on their whole sets, in blocks of
+bounded size, each pair in the first band that it shares.  Members of a
+bucket's largest component are met by the other members only, never by each
+other.  A block keeps track of the components its links have joined and skips
+every further pair between joined ones, so it lists fewer links than it holds
+components, and the groups of documents are still those that all pairs found
+by the banding would give.
 
 Edge cases: NULL or empty text (or white space alone) has an empty set and is
 linked with nothing; fewer words than a shingle are one shingle; repeated rows
@@ -44,7 +46,8 @@ R = 4
 BANDS = T // R
 SHINGLE = 4
 THRESHOLD = (80, 100)          # numerator and denominator of the least similarity
-BLOCK = 1024
+BLOCK = 512                    # members on either side of a block of comparisons
+SALTS = 16
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -185,66 +188,92 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _open_pairs(open_rows: DataFrame, threshold) -> DataFrame:
-    """Distinct candidate pairs between components, each from the first band that both share.
+def _open_blocks(rows: DataFrame) -> DataFrame:
+    """Members of open buckets, once for every block of comparisons that they take part in.
 
-    open_rows: bucket, band, node, comp, n, shared, sketch, short (sorted 32-bit
-    hashes of the set), and size (members of the bucket).
+    A bucket's largest component ("top") meets the other members; these meet
+    each other.  ``kind`` t: ``i`` is a block of the top, ``j`` one of the
+    others; kind o: two blocks of others (or one with itself).
     """
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    tops = sizes.groupBy("bucket").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"),
+                                       F.count("*").alias("comps")).filter("comps > 1")
+    tops = tops.select("bucket", F.col("top.comp").alias("top"),
+                       F.ceil(F.col("top.size") / BLOCK).cast("int").alias("n_top"),
+                       F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("n_other"))
+    r = rows.join(tops, "bucket")
+
+    def upto(n):
+        return F.sequence(F.lit(0), n - 1)
+
+    def key(kind, i, j, side):
+        return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    of_top = F.pmod(F.xxhash64("node"), F.col("n_top"))
+    of_other = F.pmod(F.xxhash64("node"), F.col("n_other"))
+    as_top = F.transform(upto(F.col("n_other")), lambda j: key("t", of_top, j, F.lit(0)))
+    as_other = F.concat(
+        F.transform(upto(F.col("n_top")), lambda i: key("t", i, of_other, F.lit(1))),
+        F.transform(upto(F.col("n_other")), lambda j: key("o", F.least(of_other, j), F.greatest(of_other, j),
+                                                          (of_other > j).cast("int"))))
+    return r.withColumn("at", F.explode(F.when(F.col("comp") == F.col("top"), as_top).otherwise(as_other))) \
+        .select("bucket", "at.kind", "at.i", "at.j", "at.side", "band", "node", "comp", "n", "shared", "sketch", "set")
+
+
+def _open_links(blocks: DataFrame, threshold) -> DataFrame:
+    """Exact links (a, b) between components, fewer per block than it holds components."""
     num, den = threshold
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = open_rows.withColumn("blocks", blocks).withColumn("mine", mine) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")) \
-        .select("bucket", "i", "j", "mine", "band", "node", "comp", "n", "shared", "sketch", "short")
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j, band = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["band"].iloc[0])
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        band = int(pdf["band"].iloc[0])
+        inside = pdf["kind"].iloc[0] == "o" and int(pdf["i"].iloc[0]) == int(pdf["j"].iloc[0])
         pdf = pdf.sort_values("node", ignore_index=True)
-        node, mine = pdf["node"].to_numpy(), pdf["mine"].to_numpy()
-        comp = pd.factorize(pdf["comp"])[0]
+        node, side = pdf["node"].to_numpy(), pdf["side"].to_numpy()
+        root = pd.factorize(pdf["comp"])[0]               # component of each member, joined as links are found
         n, shared = pdf["n"].to_numpy(), pdf["shared"].to_numpy()
         sk = np.stack(pdf["sketch"].to_numpy())
-        short = [np.frombuffer(x, np.uint32) for x in pdf["short"]]
+        sets = [np.frombuffer(x, np.uint64) for x in pdf.pop("set")]
         # Hashes as numbers from 0 on, so that one set at a time can be marked in a table.
-        at = np.unique(np.concatenate(short), return_inverse=True)[1]
-        short = np.split(at, np.cumsum([len(x) for x in short])[:-1])
+        at = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        sets = np.split(at, np.cumsum([len(x) for x in sets])[:-1])
         marked = np.zeros(int(at.max()) + 1, bool)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not inside and len(right) < len(left):
+            left, right = right, left
         a, b = [], []
-        for u in range(len(node) - 1):
-            v = np.arange(u + 1, len(node))
-            ok = (comp[v] != comp[u]) & (np.minimum(n[u], n[v]) * den >= num * np.maximum(n[u], n[v]))
+        for u in range(len(node)) if inside else left.tolist():
+            v = np.arange(u + 1, len(node)) if inside else right
+            ok = (root[v] != root[u]) & (np.minimum(n[u], n[v]) * den >= num * np.maximum(n[u], n[v]))
             # both / (n_u + n_v - both) >= num / den needs this many common shingles
             ok &= np.minimum(shared[u], shared[v]) * (num + den) >= num * (n[u] + n[v])
-            if i != j:
-                ok &= mine[v] != mine[u]
             v = v[ok]
             if not len(v):
                 continue
-            band_of = (sk[v] == sk[u]).reshape(len(v), -1, R).all(2).argmax(1)
-            marked[short[u]] = True
-            for w in v[band_of == band].tolist():
-                small = u if len(short[u]) <= len(short[w]) else w
-                both = int(np.count_nonzero(marked[short[w]]))
-                both += n[small] - len(short[small])          # hashes that fell together count for both sets
+            v = v[(sk[v] == sk[u]).reshape(len(v), -1, R).all(2).argmax(1) == band]
+            marked[sets[u]] = True
+            for w in v.tolist():
+                if root[w] == root[u]:
+                    continue
+                both = int(np.count_nonzero(marked[sets[w]]))
                 if both * den >= num * (n[u] + n[w] - both):
-                    a.append(node[u])
-                    b.append(node[w])
-            marked[short[u]] = False
+                    first, second = sorted((node[u], node[w]))
+                    a.append(first)
+                    b.append(second)
+                    root[root == root[w]] = root[u]
+            marked[sets[u]] = False
         return pd.DataFrame({"a": a, "b": b})
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(pairs, "a binary, b binary")
+    return blocks.groupBy("bucket", "kind", "i", "j").applyInPandas(links, "a binary, b binary")
 
 
-def _short_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, short): the set as sorted distinct 32-bit hashes."""
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, set): the set as sorted 64-bit hashes."""
     def run(batches):
         for b in batches:
-            sets = [np.unique(shingle_set(t, shingle).astype(np.uint32)).tobytes() for t in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "short"])
+            sets = [shingle_set(t, shingle).tobytes() for t in text_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, short binary")
+    return texts.select("node", "text").mapInArrow(run, "node binary, set binary")
 
 
 def _unique_counts(texts: DataFrame, shingle: int) -> DataFrame:
@@ -299,19 +328,21 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
         alive = nodes.join(open_nodes, "node").join(alone, "node", "left") \
             .withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))) \
             .filter(F.col("shared") * den >= F.col("n") * num).select("node", "n", "shared", "sketch") \
-            .join(_short_sets(open_texts, shingle), "node")
+            .join(_sets(open_texts, shingle), "node")
         rows = materialize(open_rows.join(alive, "node"), "near-alive")
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"),
-                                           F.max("comp").alias("hi")).filter("lo <> hi").select("bucket", "size")
-        more = materialize(_open_pairs(rows.join(sizes, "bucket"), threshold), "near-more")
-        late = materialize(verify(more, texts, shingle, threshold), "near-late")
+        late = materialize(_open_links(_open_blocks(rows), threshold), "near-late")
         if not late.isEmpty():
             comp = components(edges.unionByName(late))
 
-    out = base.select("doc_id", "n_shingles", "node").join(comp, "node", "left") \
-        .withColumn("comp", F.coalesce("comp", "node"))
-    least = out.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = out.join(least, "comp", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    # A node's id is its own least one, or that of its component; the labels of one component are dealt out by salt.
+    of_node = nodes.select("node", "doc_id")
+    salted = comp.join(of_node, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    least = salted.groupBy("comp").agg(F.min("doc_id").alias("least")) \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ids = of_node.join(salted.join(least, ["comp", "salt"]).select("node", "least"), "node", "left") \
+        .select("node", F.coalesce("least", "doc_id").alias("component_id"))
+    out = base.select("doc_id", "n_shingles", "node").join(ids, "node", "left") \
+        .withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
