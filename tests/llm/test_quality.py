@@ -39,6 +39,52 @@ def test_fences_keep_normal_documents_and_reject_outliers(spark):
     assert Q.filter_documents(docs).count() == sum(r["kept"] for r in got.values())
 
 
+def verdicts(rows, min_group=50):
+    """Fences by sorting, as exact sketches read them (the least value with at least q of the rows up to it)."""
+    def of(values, q):
+        v = sorted(values)
+        return v[max(0, -int(-q * len(v) // 1) - 1)]
+
+    measured = []
+    for i, t, lang, source in rows:
+        n, chars, symbols, dup, rep, lines = brute(t)
+        measured.append((i, n, lang, source, (n < 50 or 100 * rep > 50 * n),
+                         {"mean_chars": chars / max(n, 1), "symbol_rate": symbols / max(n, 1), "dup_rate": dup / max(lines, 1),
+                          "repeat_rate": rep / max(n, 1)}))
+    out = {}
+    for i, n, lang, source, failed, m in measured:
+        near = [x for x in measured if x[1]]
+        for keep in (lambda x: x[2:4] == (lang, source), lambda x: x[2] == lang, lambda x: True):
+            group = [x[5] for x in near if keep(x)]
+            if len(group) >= min_group:
+                break
+        ok = not failed
+        for r, (side, margin, grain) in Q.RULES.items():
+            q10, q25, q50, q75, q90 = (of([g[r] for g in group], q) for q in (0.1, 0.25, 0.5, 0.75, 0.9))
+            ok = ok and m[r] <= q75 + margin * max(q90 - q50, grain)
+            ok = ok and (side == "high" or m[r] >= q25 - margin * max(q50 - q10, grain))
+        out[i] = ok
+    return out
+
+
+def test_groups_with_other_tails_judge_the_same_document_otherwise(spark):
+    import random
+    rng = random.Random(5)
+
+    def text(length, symbols):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=max(1, int(rng.gauss(length, 2))))) +
+                        ("%" if rng.random() < symbols else "") for _ in range(120))
+
+    same = text(9, 0.1)
+    rows = [(i, text(5, 0), "en", "plain") for i in range(200)] + \
+           [(1000 + i, text(rng.choice([4, 6, 9, 10]), rng.choice([0, 0.05, 0.12])), "en", "mixed") for i in range(200)] + \
+           [(2000 + i, text(5, 0), "fr", "few") for i in range(10)] + [(5000, same, "en", "plain"), (5001, same, "en", "mixed")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in Q.judge(docs).collect()}
+    assert not got[5000] and got[5001]
+    assert got == verdicts(rows)
+
+
 def test_rules_on_awkward_rows(odd_docs, no_docs):
     assert Q.judge(odd_docs).count() == odd_docs.count()
     assert Q.judge(no_docs).count() == 0

@@ -2,11 +2,14 @@
 
 Per document a few shape metrics are measured.  Per (language, source) a
 mergeable quantile sketch (KLL) of every metric is built by partial
-aggregation, merged upward per language and over all rows, and read off as
-fences: ``[q25 - k * spread, q75 + k * spread]`` with
-``spread = max(q75 - q25, floor)``.  A group of fewer than ``min_group``
-documents uses the fences of its language, and a sparse language those of the
-whole corpus.  The fences replace fixed cutoffs and are joined back to the
+aggregation over all documents with words, merged upward per language and over
+all rows, and read off as fences that follow the group's own tails:
+``hi = q75 + margin * max(q90 - q50, grain)`` and
+``lo = q25 - margin * max(q50 - q10, grain)``.  The grain only keeps a fence
+open where nine documents of ten have one and the same value (no symbols, no
+repeated lines); the quantiles lie where junk, being rarer than one in ten,
+does not move them.  A group of fewer than ``min_group`` documents uses the
+fences of its language, and a sparse language those of the whole corpus.  The fences replace fixed cutoffs and are joined back to the
 documents for the verdict.
 
 Edge cases: NULL or empty text has no words, so it fails the base rule; NULL
@@ -23,10 +26,9 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import ASCII_WS, materialize
 
 SYMBOLS = "#*$%&|<>"
-#: Rules: metric -> (side that is bad, least spread of the fences).
-RULES = {"mean_chars": ("both", 0.5), "symbol_rate": ("high", 0.03),
-         "dup_rate": ("high", 0.04), "repeat_rate": ("high", 0.04)}
-FENCE = 3.0
+#: Rules: metric -> (side that is bad, margin in tail widths, least tail width).
+RULES = {"mean_chars": ("both", 2.0, 0.1), "symbol_rate": ("high", 2.0, 0.015),
+         "dup_rate": ("high", 2.0, 0.05), "repeat_rate": ("high", 4.0, 0.01)}
 MIN_GROUP = 50
 KLL_K = 400
 
@@ -84,7 +86,7 @@ def rates(m: DataFrame) -> DataFrame:
         "repeat_rate": F.col("n_repeat_words") / n})
 
 
-def fences(m: DataFrame, fence: float = FENCE, kll_k: int = KLL_K) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fences(m: DataFrame, kll_k: int = KLL_K) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fences per (lang, source), per lang and overall, from merged sketches."""
     sketches = m.groupBy("lang", "source").agg(
         F.count("*").alias("n"),
@@ -97,25 +99,22 @@ def fences(m: DataFrame, fence: float = FENCE, kll_k: int = KLL_K) -> tuple[Data
 
     def read(df, keys, tag):
         out = [*keys, F.col("n").alias(f"n_{tag}")]
-        for r, (_, floor) in RULES.items():
-            q1 = F.kll_sketch_get_quantile_double(F.col(r), F.lit(0.25))
-            q3 = F.kll_sketch_get_quantile_double(F.col(r), F.lit(0.75))
-            spread = F.greatest(q3 - q1, F.lit(floor)) * fence
-            out.append(F.struct((q1 - spread).alias("lo"), (q3 + spread).alias("hi")).alias(f"{r}_{tag}"))
+        for r, (_, margin, grain) in RULES.items():
+            q10, q25, q50, q75, q90 = (F.kll_sketch_get_quantile_double(F.col(r), F.lit(q)) for q in (0.1, 0.25, 0.5, 0.75, 0.9))
+            out.append(F.struct((q25 - margin * F.greatest(q50 - q10, F.lit(grain))).alias("lo"),
+                                (q75 + margin * F.greatest(q90 - q50, F.lit(grain))).alias("hi")).alias(f"{r}_{tag}"))
         return df.select(*out)
 
     return (read(sketches, ["lang", "source"], "g"), read(merged("lang"), ["lang"], "l"),
             read(merged().filter("n is not null"), [], "a"))
 
 
-def judge(docs: DataFrame, *, fence: float = FENCE, min_group: int = MIN_GROUP, kll_k: int = KLL_K,
-          **columns) -> DataFrame:
+def judge(docs: DataFrame, *, min_group: int = MIN_GROUP, kll_k: int = KLL_K, **columns) -> DataFrame:
     """Metrics, base rule and verdict per document, with the fences used."""
     m = rates(materialize(measure(docs, **columns), "rule-metrics"))
-    # Junk that the base rule already rejects does not shape the fences.
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     m = m.withColumn("base_failed", base_failed)
-    by_group, by_lang, overall = fences(m.filter(~F.col("base_failed")), fence, kll_k)
+    by_group, by_lang, overall = fences(m.filter(F.col("n_words") > 0), kll_k)
     # One row of fences per group: sparse groups take their language's, then the corpus's.
     levels = by_group.alias("g").join(by_lang.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")), "left")
     corpus = overall.first()                                        # one row, or none
@@ -127,7 +126,7 @@ def judge(docs: DataFrame, *, fence: float = FENCE, min_group: int = MIN_GROUP,
                          *[pick[r].alias(f"{r}_fence") for r in RULES])
     joined = m.join(used, m["lang"].eqNullSafe(F.col("f_lang")) & m["source"].eqNullSafe(F.col("f_source")), "left")
     ok = F.lit(True)
-    for r, (side, _) in RULES.items():
+    for r, (side, _, _) in RULES.items():
         f = F.col(f"{r}_fence")
         ok = ok & (F.col(r) <= f["hi"])
         if side == "both":
@@ -137,6 +136,8 @@ def judge(docs: DataFrame, *, fence: float = FENCE, min_group: int = MIN_GROUP,
 
 
 def filter_documents(docs: DataFrame, **options) -> DataFrame:
-    """The kept documents; identical rows of one id share one verdict."""
+    """The kept documents; the rows of one id (NULL included) share one verdict, so one bad row rejects them all."""
     verdict = judge(docs, **options).groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).filter("kept")
-    return docs.join(verdict.select("doc_id"), "doc_id", "left_semi")
+    kept = verdict.select(F.col("doc_id").alias("_kept_id"))
+    id_col = options.get("id_col", "doc_id")
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
