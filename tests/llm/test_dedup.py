@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tests.llm.test_line_dedup_runs import check as check_runs
 from veilspark.llm import line_dedup as L
 from veilspark.llm import minhash as M
 from veilspark.llm import suffix_dedup as S
@@ -13,13 +14,7 @@ from veilspark.llm import suffix_dedup as S
 
 # ------------------------------------------------------------------ line dedup
 def line_check(spark, rows, min_words=50):
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    lines = sorted({x for _, t in rows for x in t.split("\n")})
-    hashes = dict(tuple(r) for r in spark.createDataFrame([(x,) for x in lines], "line string")
-                  .select("line", F.xxhash64("line")).collect())
-    got = {r["doc_id"]: r["text"] for r in L.deduplicate(docs, min_words=min_words, drop_emptied=False).collect()}
-    assert got == brute.line_dedup(rows, hashes.get, min_words)
-    return got
+    return check_runs(spark, rows, min_words)
 
 
 def test_line_runs_match_brute_force(spark):
