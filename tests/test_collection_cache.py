@@ -84,3 +84,41 @@ def test_second_handle_sees_writes(spark):
     a.drop()
     with pytest.raises(RuntimeError):
         Collection(spark, root, "shared", 4).scan()
+
+
+def _vec(n):
+    return [float(n % 7), 1.0, 0.0, 0.0]
+
+
+def test_equal_ids_in_one_call_are_one_node(spark):
+    c = _coll(spark)
+    c.save_nodes(_nodes(spark, [(1, "b", _vec(1)), (1, "a", _vec(2)), (2, "x", _vec(3)), (2, "x", _vec(3))]).repartition(4))
+    assert sorted((r["id"], r["content"]) for r in c.scan().collect()) == [(1, "a"), (2, "x")]
+
+
+def test_a_save_reads_only_the_ranges_of_its_ids(spark):
+    """Batches of growing ids: the files read for the known ids stay as few as the table grows."""
+    c = Collection(spark, tempfile.mkdtemp(prefix="vs-coll-", dir="/tmp"), "grow", 4, span_bits=8).create()
+    read = []
+    for batch in range(6):
+        rows = [(batch * 256 + i, f"c{batch}-{i}", _vec(i)) for i in range(40)]
+        parts = sorted({r["p"] for r in _nodes(spark, rows).select(c._part(F.col("id")).alias("p")).collect()})
+        read.append(c._known(parts).select(F.input_file_name().alias("f")).distinct().count())
+        c.save_nodes(_nodes(spark, rows))
+        c.save_nodes(_nodes(spark, rows))                    # a replay adds nothing
+    assert read == [0] * 6 and c.scan().count() == 240
+    files = c._known([2]).select(F.input_file_name().alias("f")).distinct().count()
+    assert 0 < files <= 8
+
+
+def test_two_writers_and_compaction(spark):
+    c = _coll(spark)
+    c.save_nodes(_nodes(spark, [(1, "a", _vec(1)), (2, "b", _vec(2)), (3, "c", _vec(3))]))
+    c._write(c.scan().where("id = 2"))                       # as a second writer that did not see the first
+    assert c.scan().count() == 4 and c.scan(distinct=True).count() == 3
+    c.delete_by_content(spark.createDataFrame([("a",)], "content string"))
+    d = c.compact("second")
+    assert sorted(r["id"] for r in d.scan().collect()) == [2, 3]
+    d.save_nodes(_nodes(spark, [(1, "a", _vec(1)), (4, "d", _vec(4)), (-5, "e", _vec(5))]))
+    assert sorted(r["id"] for r in d.scan().collect()) == [-5, 2, 3, 4]
+    assert sorted(d.scan().columns) == sorted(c.scan().columns)

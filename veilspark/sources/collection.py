@@ -4,7 +4,18 @@
 deleted ones.  Writes are appends only, and idempotent by node id: a node whose
 id is already stored, or was deleted, is not written again, so a replayed
 stream batch, a restarted stream or a second stream neither duplicates rows
-nor brings deleted ones back.  Reads leave deleted ids out.
+nor brings deleted ones back.  Equal ids inside one call are one node.  Reads
+leave deleted ids out.
+
+Both tables are partitioned by a range of the id (``2 ** span_bits`` ids,
+numbered modulo ``PARTS``), and a save reads the known ids of the ranges that
+its own ids lie in, nothing else.  Ids composed of a growing document key lie
+side by side, so what a micro-batch reads does not grow with the table; a first
+load reads nothing.
+
+Two writers that save the same new id at the same time can both find it new:
+``scan(distinct=True)`` then gives one of the rows, and ``compact`` writes a
+collection without such rows, with the deleted ids folded in.
 """
 
 from __future__ import annotations
@@ -21,7 +32,11 @@ NODE_SCHEMA = T.StructType([
     T.StructField("embedding", T.ArrayType(T.FloatType()), False),
     T.StructField("created_at", T.TimestampNTZType(), True),   # wall-clock time, no zone
 ])
-_DELETED = T.StructType([T.StructField("id", T.LongType())])
+PART = T.StructField("part", T.IntegerType())
+_DELETED = T.StructType([T.StructField("id", T.LongType()), PART])
+SPAN_BITS = 32
+PARTS = 4096
+WRITERS = 8               # tasks that write one range, at most
 
 
 def sanitize_name(name: str) -> str:
@@ -33,11 +48,11 @@ class Collection:
     """A node table ``(id, content, [metadata,] embedding, created_at)`` with a fixed dim."""
 
     def __init__(self, spark: SparkSession, root: str, name: str, dim: int,
-                 include_metadata: bool = True):
+                 include_metadata: bool = True, span_bits: int = SPAN_BITS):
         if dim <= 0:
             raise ValueError("vectors must have a positive dimension")
         self.spark, self.name, self.dim = spark, sanitize_name(name), int(dim)
-        self.include_metadata = include_metadata
+        self.include_metadata, self.span_bits, self.root = include_metadata, int(span_bits), root
         self.base = f"{root.rstrip('/')}/{self.name}"
         self.schema = NODE_SCHEMA if include_metadata else T.StructType(
             [f for f in NODE_SCHEMA.fields if f.name != "metadata"])
@@ -57,20 +72,59 @@ class Collection:
         if there("dropped"):
             raise RuntimeError(f"collection {self.name} was dropped; it can no longer be queried")
 
+    def _part(self, node_id):
+        return F.pmod(F.shiftright(node_id, self.span_bits), F.lit(PARTS)).cast("int")
+
+    def _append(self, df: DataFrame, table: str) -> None:
+        df.write.mode("append").partitionBy("part").parquet(f"{self.base}/{table}")
+
     def create(self) -> "Collection":
         """Create if it does not exist (idempotent)."""
-        self.spark.createDataFrame([], self.schema).write.mode("ignore").parquet(f"{self.base}/nodes")
-        self.spark.createDataFrame([], _DELETED).write.mode("ignore").parquet(f"{self.base}/deleted")
+        for table, schema in (("nodes", self._nodes_schema()), ("deleted", _DELETED)):
+            self.spark.createDataFrame([], schema).write.mode("ignore").partitionBy("part").parquet(f"{self.base}/{table}")
         return self
 
+    def _nodes_schema(self):
+        return T.StructType([*self.schema.fields, PART])
+
     def drop(self) -> None:
         """Later calls raise; the files are left to the storage retention policy."""
         self.spark.createDataFrame([], _DELETED).write.mode("ignore").parquet(f"{self.base}/dropped")
 
-    def scan(self) -> DataFrame:
-        """Every stored node that was not deleted."""
+    def _live(self) -> DataFrame:
+        return self._table("nodes", self._nodes_schema()).join(self._table("deleted", _DELETED), ["part", "id"], "left_anti")
+
+    def scan(self, distinct: bool = False) -> DataFrame:
+        """Every stored node that was not deleted; ``distinct``: one row per id, whoever wrote it."""
         self._check()
-        return self._table("nodes", self.schema).join(self._table("deleted", _DELETED), "id", "left_anti")
+        live = self._live()
+        if distinct:                                     # ids alone are grouped; full rows only where an id is double
+            twice = live.groupBy("part", "id").agg(F.count("*").alias("n")).where("n > 1").select("part", "id")
+            one = F.min_by(F.struct(*live.columns), F.struct("content", "created_at")).alias("row")
+            live = live.join(twice, ["part", "id"], "left_anti").unionByName(
+                live.join(twice, ["part", "id"], "left_semi").groupBy(F.col("id").alias("_id")).agg(one).select("row.*"))
+        return live.select(*self.schema.names)
+
+    def compact(self, name: str) -> "Collection":
+        """A new collection of the live nodes, one row per id; ids deleted here stay deleted there."""
+        new = Collection(self.spark, self.root, name, self.dim, self.include_metadata, self.span_bits).create()
+        new._write(self.scan(distinct=True))
+        self._table("deleted", _DELETED).distinct().repartition("part").write.mode("append").partitionBy("part") \
+            .parquet(f"{new.base}/deleted")
+        return new
+
+    def _known(self, parts: list[int]) -> DataFrame:
+        """(part, id) ever stored or deleted in the given ranges."""
+        here = F.col("part").isin(parts)
+        return self._table("nodes", self._nodes_schema()).where(here).select("part", "id").union(
+            self._table("deleted", _DELETED).where(here).select("part", "id"))
+
+    def _write(self, nodes: DataFrame) -> None:
+        """Append, each id once: equal ids of one call meet in one task, and a range has few writers."""
+        salt = F.pmod(F.xxhash64("id"), F.lit(WRITERS))
+        rows = nodes.withColumn("part", self._part(F.col("id"))).withColumn("_salt", salt).repartition("part", "_salt")
+        one = F.min_by(F.struct(*nodes.columns), F.struct("content", "created_at")).alias("row")
+        self._append(rows.groupBy("part", "_salt", "id").agg(one).select("row.*", "part"), "nodes")
 
     def save_nodes(self, nodes: DataFrame) -> None:
         """Append nodes whose id is new, each id once; ``created_at`` defaults to now; dim is enforced."""
@@ -86,18 +140,21 @@ class Collection:
         cols.append(checked.alias("embedding"))
         ts = F.col("created_at").cast("timestamp_ntz") if "created_at" in nodes.columns else F.lit(None)
         cols.append(F.coalesce(ts, F.localtimestamp()).alias("created_at"))
-        known = self._table("nodes", self.schema).select("id").union(self._table("deleted", _DELETED))
-        new = nodes.select(*cols).join(known, "id", "left_anti")
-        # Of equal ids inside one call the row with the least (content, created_at) stays.
-        one = F.min_by(F.struct(*new.columns), F.struct("content", "created_at"))
-        new.groupBy(F.col("id").alias("_id")).agg(one.alias("row")).select("row.*") \
-            .write.mode("append").parquet(f"{self.base}/nodes")
+        new = nodes.select(*cols)
+        stored = self._table("nodes", self._nodes_schema()).select("part").limit(1).count() or \
+            self._table("deleted", _DELETED).select("part").limit(1).count()
+        if stored:                                       # at most PARTS numbers; only the ids are computed for them
+            part = self._part(F.col("id")).alias("part")
+            parts = [r["part"] for r in nodes.select(F.col("id").cast("long").alias("id")).select(part).distinct().collect()]
+            new = new.withColumn("part", part).join(self._known(parts), ["part", "id"], "left_anti").drop("part")
+        self._write(new.select(*self.schema.names))
 
     def delete_by_content(self, keys: DataFrame, content_col: str = "content") -> None:
         """Drop *every* node whose content equals a key's content (their ids are noted)."""
         k = keys.select(F.col(content_col).alias("content")).distinct()
-        self.scan().select("id", "content").join(k, "content", "left_semi").select("id") \
-            .write.mode("append").parquet(f"{self.base}/deleted")
+        self._check()
+        gone = self._live().select("part", "id", "content").join(k, "content", "left_semi").select("id", "part").distinct()
+        self._append(gone, "deleted")
 
     def delete_where(self, cond) -> None:
         """Delete rows matching a predicate, by content (as S8 does)."""
