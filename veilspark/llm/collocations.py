@@ -17,6 +17,12 @@ never lands in one task whole.  From the merged stripes come
   word.  A phrase inside a longer one occurs at least as often as that one,
   so some one-word extension ties with it exactly if any longer candidate does.
 
+Two words are where most stripe entries are, and nearly all of them are rare.
+Before level 2 a screen counts pairs of frequent words by 44 bits of their hash
+(five bytes an entry, dealt out by the hash); only pairs whose hash reaches
+``min_count`` enter a stripe.  A count by hash is never too small, so the
+screen loses nothing, and what it lets through is counted exactly.
+
 Which prefixes go on is told by a bitmap of hashes, built by Spark's bitmap
 aggregates.  Its size is bounded (``MAX_FILTER_BITS``), and it never decides a
 count: a hash that collides costs work only, because stripes are keyed by the
@@ -87,6 +93,17 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _screened(state: np.ndarray) -> np.ndarray:
+    """The bits of a pair's hash by which the screen counts it."""
+    return state >> np.uint64(20)
+
+
+def _spread(key: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits from a screen's key."""
+    x = key * _MULT
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 class _Words(dict):
     """Word -> number inside a task; words that the filter turns away are -1."""
 
@@ -114,8 +131,8 @@ class _Words(dict):
 class _Stripes:
     """The stripes of one language inside a task."""
 
-    def __init__(self, lang: str, level: int, bits: np.ndarray | None, hot: frozenset, limit: int):
-        self.lang, self.level, self.bits, self.limit = lang, level, bits, limit
+    def __init__(self, lang: str, level: int, bits: np.ndarray | None, pairs: np.ndarray | None, hot: frozenset, limit: int):
+        self.lang, self.level, self.bits, self.pairs, self.limit = lang, level, bits, pairs, limit
         self.hot = {p.encode() for k, p in hot if k == lang}
         self.reset()
 
@@ -151,6 +168,9 @@ class _Stripes:
             fits = np.zeros(n, bool)
             fits[at[_passes(self.bits, state[at])]] = True
         at = np.flatnonzero(fits[:-1] & fits[1:])
+        if level == 2 and len(at):
+            hashes = np.array(self.words.hashes, np.uint64)
+            at = at[_passes(self.pairs, _spread(_screened(_chain(hashes[ids[at]], hashes[ids[at + 1]]))))]
         if not len(at):
             return b""
         prefix = ids[at]
@@ -162,13 +182,17 @@ class _Stripes:
             number = np.array([self.prefixes.setdefault(r.tobytes(), len(self.prefixes)) for r in rows], np.int64)
             prefix = number[prefix]                      # own is 0..len-1
         self._hold(*np.unique(prefix << 32 | ids[at + width], return_counts=True))
-        return self._runs(toks, fits, width)
+        if level == 2:                                   # the screen already tells of pairs
+            fits = np.zeros(n, bool)
+            fits[at] = True
+            return self._runs(toks, fits, 2, 2)
+        return self._runs(toks, fits, width, 3)
 
-    def _runs(self, toks: list[bytes], fits: np.ndarray, width: int) -> bytes:
-        """Stretches of frequent prefixes that are long enough for a phrase of ``level + 1`` words."""
+    def _runs(self, toks: list[bytes], fits: np.ndarray, width: int, least: int) -> bytes:
+        """Stretches of ``least`` or more places of ``width`` words that may be frequent: ``level + 1`` words or more."""
         edge = np.flatnonzero(np.diff(np.r_[0, fits.astype(np.int8), 0]))
         start, end = edge[::2], edge[1::2]
-        long = end - start >= 3
+        long = end - start >= least
         return b"\n".join(b" ".join(toks[s:e + width - 1]) for s, e in zip(start[long].tolist(), end[long].tolist()))
 
     def _hold(self, keys: np.ndarray, counts: np.ndarray) -> None:
@@ -251,14 +275,101 @@ def _slices(batches, slice_bytes):
             yield k, _BREAK.join(v)
 
 
-def _counter(level: int, sent, hot: frozenset, limit: int, slice_bytes: int):
+def _screen(sent, limit: int, slice_bytes: int, min_count: int):
+    """Counts of pairs of frequent words by hash: one row per shard, sorted keys and capped counts."""
+    kind = "<u1" if min_count <= 255 else "<u4"
+
+    def run(batches):
+        bits = np.frombuffer(sent.value, np.uint8)
+        words: dict[str, _Words] = {}
+        keys, counts, held = [], [], 0
+
+        def merge():
+            nonlocal keys, counts, held
+            if keys:
+                own, at = np.unique(np.concatenate(keys), return_inverse=True)
+                total = np.zeros(len(own), np.int64)
+                np.add.at(total, at, np.concatenate(counts))
+                keys, counts, held = [own], [total], len(own)
+
+        def rows():
+            merge()
+            if not keys or not len(keys[0]):
+                return
+            shard = (keys[0] >> np.uint64(32)).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            offsets = np.r_[first, len(shard)].astype(np.int32)
+            low = keys[0].astype("<u4")
+            capped = np.minimum(counts[0], np.iinfo(kind).max).astype(kind)
+            blobs = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets * x.itemsize), pa.py_buffer(x.tobytes())])
+                     for x in (low, capped)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[first], pa.int32()), *blobs], names=["shard", "keys", "counts"])
+
+        for lang, blob in _slices(batches, slice_bytes):
+            w = words.setdefault(lang, _Words(lang, bits))
+            toks = blob.translate(_NORMAL).replace(_BREAK, b" \xff ").split()
+            ids = np.fromiter(map(w.__getitem__, toks), np.int64, len(toks))
+            at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+            hashes = np.array(w.hashes, np.uint64)
+            own, n = np.unique(_screened(_chain(hashes[ids[at]], hashes[ids[at + 1]])), return_counts=True)
+            keys.append(own)
+            counts.append(n)
+            held += len(own)
+            if held > 4 * limit:
+                merge()
+            if held > 2 * limit:
+                yield from rows()
+                keys, counts, held = [], [], 0
+            if sum(map(len, words.values())) > limit:
+                words = {}
+        yield from rows()
+    return run
+
+
+def _screen_merger(min_count: int):
+    """Hashes of the pairs that reach ``min_count``, from partial counts sorted by shard."""
+    kind = "<u1" if min_count <= 255 else "<u4"
+
+    def run(batches):
+        now, keys, counts, held = None, [], [], 0
+
+        def merge():
+            nonlocal keys, counts, held
+            own, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.zeros(len(own), np.int64)
+            np.add.at(total, at, np.concatenate(counts))
+            keys, counts, held = [own], [total], len(own)
+
+        def done():
+            merge()
+            full = keys[0][counts[0] >= min_count].astype(np.uint64) | np.uint64(now << 32)
+            return pa.RecordBatch.from_arrays([pa.array(_spread(full).view(np.int64))], names=["h"])
+
+        for b in batches:
+            for shard, k, c in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if shard != now and now is not None:
+                    yield done()
+                    keys, counts, held = [], [], 0
+                now = shard
+                keys.append(np.frombuffer(k, "<u4"))
+                counts.append(np.frombuffer(c, kind).astype(np.int64))
+                held += len(keys[-1])
+                if held > 8 * MAX_ENTRIES:
+                    merge()
+        if now is not None:
+            yield done()
+    return run
+
+
+def _counter(level: int, sent, pairs, hot: frozenset, limit: int, slice_bytes: int):
     def run(batches):
         bits = np.frombuffer(sent.value, np.uint8) if sent is not None else None
+        seen = np.frombuffer(pairs.value, np.uint8) if pairs is not None else None
         own: dict[str, _Stripes] = {}
         for lang, blob in _slices(batches, slice_bytes):
             s = own.get(lang)
             if s is None:
-                s = own[lang] = _Stripes(lang, level, bits, hot, limit)
+                s = own[lang] = _Stripes(lang, level, bits, seen, hot, limit)
             runs = s.add(blob)
             if runs:
                 yield pa.RecordBatch.from_arrays(
@@ -365,13 +476,22 @@ def stripes(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     sent = totals = None
     hot: frozenset = frozenset()
     for k in range(1, max_words + 1):
-        part = materialize(corpus.mapInArrow(_counter(k, sent, hot, max_entries, slice_bytes), PARTIAL), f"stripes-part-{k}")
-        if sent is not None:
-            sent.destroy()
+        pairs = None
+        if k == 2:
+            seen = corpus.mapInArrow(_screen(sent, max_entries, slice_bytes, min_count), "shard int, keys binary, counts binary")
+            seen = materialize(seen.repartition("shard").sortWithinPartitions("shard").mapInArrow(
+                _screen_merger(min_count), "h long"), "stripes-screen")
+            pairs = sc.broadcast(_filter_bits(seen, "h", seen.count()))
+        part = corpus.mapInArrow(_counter(k, sent, pairs, hot, max_entries, slice_bytes), PARTIAL)
+        if k > 1:                                        # read twice: stripes and runs
+            part = materialize(part, f"stripes-part-{k}")
         found = part.where("runs is null").select("lang", "prefix", "shard", "ph", "nexts", "counts")
         keys = ["lang", "prefix", "shard", "ph"]
         merged = materialize(found.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
             _merger(min_count, k == 1), STRIPES), f"stripes-{k}")
+        for old in (sent, pairs):
+            if old is not None:
+                old.destroy()
         entry = F.explode(F.arrays_zip("nexts", "counts", "hashes")).alias("e")
         if k == 1:
             totals = materialize(merged.groupBy("lang").agg(F.sum("total").alias("n")), "stripes-totals")
