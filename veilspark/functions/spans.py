@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilspark.functions.entities import containment_column
+
 SPAN = T.StructType([
     T.StructField("start", T.IntegerType()),
     T.StructField("end", T.IntegerType()),
@@ -129,23 +131,9 @@ def resolve_entities(values: Column, mode: str = "EQUALITY") -> Column:
     variants are not added, so the relation is greedy and not transitive.
     Returns ``array<string>`` aligned with ``values``.
     """
-    keyed = F.transform(values, lambda v: F.struct(v.alias("v")))
-    return F.transform(resolve_structs(keyed, mode), lambda e: e["rep"])
-
-
-def resolve_structs(items: Column, mode: str = "EQUALITY") -> Column:
-    """Add field ``rep`` to each struct of ``items`` (field ``v`` holds the surface)."""
     m = mode.upper()
     if m == "EQUALITY":
-        return F.transform(items, lambda e: e.withField("rep", e["v"]))
+        return values
     if m != "CONTAINMENT":
         raise ValueError(f"unknown entity resolution {mode!r}")
-
-    def step(acc, x):
-        reps = F.filter(acc, lambda e: (e["v"] == e["rep"]) & (
-            (F.instr(x["v"], e["rep"]) > 0) | (F.instr(e["rep"], x["v"]) > 0)))
-        rep = F.coalesce(F.try_element_at(reps, F.lit(1))["rep"], x["v"])
-        return F.concat(acc, F.array(x.withField("rep", rep)))
-
-    empty = F.slice(F.transform(items, lambda e: e.withField("rep", e["v"])), 1, 0)
-    return F.aggregate(items, empty, step)
+    return containment_column(values)

@@ -1,7 +1,8 @@
 """Merge spans, resolve entities, replace by tokens, and restore.
 
 Everything is a per-row projection over array columns (higher-order
-functions), so anonymize and deanonymize are narrow: no shuffle, no Python.
+functions), so anonymize and deanonymize are narrow: no shuffle; only CONTAINMENT
+resolution calls Python, on a row's entity strings.
 Intermediate arrays are materialised as their own columns so that Catalyst
 evaluates each expensive expression once (it will not inline an expensive
 alias that is used several times).
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veilspark.fixed import DEFAULT_THRESHOLD, EQUALITY, TOKEN_DELIM
 from veilspark.functions.spans import (drop_cross_type_overlaps, merge_spans, regex_matches,
-                                       resolve_structs, surface)
+                                       resolve_entities, surface)
 from veilspark.functions.tokens import decrypt_token, make_token, wrap
 from veilspark.operators.detect import pattern_spans
 
@@ -48,6 +49,9 @@ def anonymize_column(df: DataFrame, col: str, secret: str, *, mode: str = "aes",
                      delim: str = TOKEN_DELIM) -> DataFrame:
     """Replace PII in ``col`` by ``delim+token+delim``.
 
+    ``mode``: ``aes`` (reversible), ``sha`` (one-way) or ``label`` (the type's
+    name; nothing of the value is kept, and entities of a type look alike).
+
     Spans come from ``spans_col`` when given (e.g. from :func:`detect_pii`
     with a dictionary), else from the pattern detectors.  Same entity within
     the row (under ``resolution``) shares one token.  ``scope`` names a column
@@ -58,14 +62,29 @@ def anonymize_column(df: DataFrame, col: str, secret: str, *, mode: str = "aes",
     t = F.col(col)
     raw = F.col(spans_col) if spans_col else pattern_spans(t, types, threshold)
     merged = merge_spans(drop_cross_type_overlaps(raw))
-    items = F.transform(merged, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
-                                                   surface(t, s).alias("v")))
-    resolved = resolve_structs(items, resolution)
     scope_c = F.col(scope) if scope else None
-    with_tok = F.transform(resolved, lambda e: F.struct(
-        e["start"].alias("start"), e["end"].alias("end"),
-        wrap(make_token(e["rep"], secret, mode, salt, scope_c), delim).alias("repl")))
-    return df.withColumn(out_col, F.when(t.isNull(), t).otherwise(rebuild_text(t, with_tok, delim)))
+
+    def token(s, rep):
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), wrap(
+            s["pii_type"] if mode == "label" else make_token(rep, secret, mode, salt, scope_c), delim).alias("repl"))
+
+    def replaced(tokens):
+        return F.when(t.isNull(), t).otherwise(rebuild_text(t, tokens, delim))
+
+    if resolution.upper() == EQUALITY or mode == "label":            # a value stands for itself: one JVM projection
+        return df.withColumn(out_col, replaced(F.transform(merged, lambda s: token(s, surface(t, s)))))
+    # Spans and representatives as columns of their own, so that each is computed once.
+    spans, reps = _free(df, "_spans"), _free(df, "_reps")
+    out = df.withColumn(spans, merged)
+    out = out.withColumn(reps, resolve_entities(F.transform(spans, lambda s: surface(t, s)), resolution))
+    pairs = F.arrays_zip(F.col(spans).alias("s"), F.col(reps).alias("r"))
+    return out.withColumn(out_col, replaced(F.transform(pairs, lambda p: token(p["s"], p["r"])))).drop(spans, reps)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def anonymize(df: DataFrame, cols, secret: str, **kw) -> DataFrame:

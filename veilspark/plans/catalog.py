@@ -87,6 +87,13 @@ def q_anonymize_mask(spark, sf_dir):
                      types=PATTERN_ALL, threshold=0.5)
 
 
+@register("anonymize_label", lambda: S.anonymize_sql("documents", "doc_id", "text", PATTERN_ALL,
+                                                      DEMO_SECRET, "EQUALITY", threshold=0.5, label=True))
+def q_anonymize_label(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return anonymize(docs, "text", DEMO_SECRET, mode="label", types=PATTERN_ALL, threshold=0.5)
+
+
 # ---------------------------------------------------------------- P5+P6 round trip
 @register("anonymize_roundtrip",
           lambda: f"""SELECT d.doc_id, d.text, FALSE AS malformed, n.n_tokens FROM documents d

@@ -147,8 +147,10 @@ FROM {src} d LEFT JOIN ({spans_list_sql(rows, key)}) s ON d.{key} = s.{key}"""
 
 
 def anonymize_sql(src: str, key: str, text: str, types, secret: str, resolution: str,
-                  threshold: float = 0.0, extra_span_rows: str | None = None) -> str:
-    """(key, text) with PII replaced by sha tokens, as one SELECT."""
+                  threshold: float = 0.0, extra_span_rows: str | None = None, label: bool = False) -> str:
+    """(key, text) with PII replaced by sha tokens (or type names), as one SELECT."""
+    toks = "list_transform(m, lambda s: 'α' || s.pii_type || 'α')" if label else \
+        f"list_transform(reps, lambda r: 'α' || {sha_token_sql('r', secret)} || 'α')"
     parts = [type_spans_sql(src, key, text, t, threshold) for t in types if t in P.DETECTORS]
     rows = " UNION ALL ".join(f'SELECT {key}, start, "end", pii_type, score FROM ({p})' for p in parts)
     if extra_span_rows:
@@ -157,5 +159,5 @@ def anonymize_sql(src: str, key: str, text: str, types, secret: str, resolution:
 m AS (SELECT s.{key}, {merge_sql(resolve_overlaps_sql('s.sp'))} AS m FROM spl s),
 j AS (SELECT d.{key}, d.{text} AS text, m.m FROM {src} d LEFT JOIN m ON d.{key} = m.{key}),
 v AS (SELECT {key}, text, m, {resolve_sql("list_transform(m, lambda s: substring(text, s.start + 1, s.\"end\" - s.start))", resolution)} AS reps FROM j),
-t AS (SELECT {key}, text, m, list_transform(reps, lambda r: 'α' || {sha_token_sql('r', secret)} || 'α') AS toks FROM v)
+t AS (SELECT {key}, text, m, {toks} AS toks FROM v)
 SELECT {key}, {rebuild_sql('text', 'm', 'toks')} AS {text} FROM t"""
