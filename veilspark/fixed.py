@@ -63,7 +63,7 @@ DEFAULT_K = 5                    # k-NN default
 RAG_K = 3                        # k per title in the request path
 CACHE_THRESHOLD = 0.1            # miss when score >= this
 CACHE_TTL_SECONDS = 604800       # 7 days
-ALIAS_LEN = 7                    # characters of a short alias
+ALIAS_LEN = 12                   # characters of a short alias: 72 bits, so that no two of a session meet
 
 # Python's str.split() whitespace set, as characters and as one regex
 # character class that Java regex and RE2 read the same way.

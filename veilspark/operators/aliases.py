@@ -3,7 +3,9 @@
 ``alias_tokens`` replaces every ``αtokenα`` occurrence by a short
 ``αaliasα`` (one alias per occurrence) and emits the map rows
 ``(session_id, alias, token)``.  Aliases are derived from a hash of
-(session, row, position), so a retried task writes the same aliases.
+(session, row, position), so a retried task writes the same aliases; at 72
+bits, a billion of them in one session hold two equal ones with a chance of
+1 in 9,000.
 ``expand_aliases`` restores ``αtokenα`` by an equi-join on
 ``(session_id, alias)`` — only alias segments are joined, so a row's plain
 text never meets a NULL join key, and a hot session does not skew the join

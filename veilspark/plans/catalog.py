@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.fixed import ALIAS_LEN
 from veilspark.functions import pii as P
 from veilspark.operators.anonymize import anonymize, deanonymize
 from veilspark.operators.detect import detect_pii, explode_spans
@@ -270,6 +271,40 @@ def q_pii_number_edges(spark, sf_dir):
     return explode_spans(d, "c_custkey").select("c_custkey", "start", "end", "pii_type", "value")
 
 
+# Addresses and identifiers at their edges.  The SQL says which values count by arithmetic on the key, without any pattern.
+VALUE_TEXT_SQL = """SELECT c_custkey, 'Ref ' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || ' is open; mail jo.x+1@m-1.example.org, not a@b; host 10.0.'
+  || CAST(c_custkey % 300 AS VARCHAR) || '.7, not 1.2.3.4.5 or 1.2.3; SSN ' || lpad(CAST(c_custkey * 7 % 1000 AS VARCHAR), 3, '0') || '-'
+  || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey % 50 AS VARCHAR), 4, '0')
+  || ', not 1-123-45-6789; passport K' || lpad(CAST(c_custkey AS VARCHAR), 8, '0')
+  || ' and no more to say about that number here; account ' || lpad(CAST(c_custkey * 7919 AS VARCHAR), 12, '0') || '.' AS text FROM customer"""
+
+
+@register("pii_value_edges", lambda: f"""WITH e AS ({VALUE_TEXT_SQL}), v AS (
+SELECT c_custkey, text, 'EMAIL_ADDRESS' AS pii_type, 'jo.x+1@m-1.example.org' AS value FROM e
+UNION ALL SELECT c_custkey, text, 'IP_ADDRESS', '10.0.' || CAST(c_custkey % 300 AS VARCHAR) || '.7' FROM e WHERE c_custkey % 300 <= 255
+UNION ALL SELECT c_custkey, text, 'US_SSN', lpad(CAST(c_custkey * 7 % 1000 AS VARCHAR), 3, '0') || '-'
+    || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey % 50 AS VARCHAR), 4, '0') FROM e
+  WHERE c_custkey * 7 % 1000 NOT IN (0, 666) AND c_custkey * 7 % 1000 < 900 AND c_custkey % 100 <> 0 AND c_custkey % 50 <> 0
+UNION ALL SELECT c_custkey, text, 'US_PASSPORT', 'K' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM e
+UNION ALL SELECT c_custkey, text, 'US_BANK_NUMBER', lpad(CAST(c_custkey * 7919 AS VARCHAR), 12, '0') FROM e)
+SELECT c_custkey, CAST(strpos(text, value) - 1 AS INTEGER) AS start, CAST(strpos(text, value) - 1 + length(value) AS INTEGER) AS "end",
+  pii_type, value FROM v""")
+def q_pii_value_edges(spark, sf_dir):
+    k = F.col("c_custkey")
+
+    def pad(x, w):
+        return F.lpad(x.cast("string"), w, "0")
+
+    text = F.concat(
+        F.lit("Ref "), pad(k, 9), F.lit(" is open; mail jo.x+1@m-1.example.org, not a@b; host 10.0."), (k % 300).cast("string"),
+        F.lit(".7, not 1.2.3.4.5 or 1.2.3; SSN "), pad(k * 7 % 1000, 3), F.lit("-"), pad(k % 100, 2), F.lit("-"), pad(k % 50, 4),
+        F.lit(", not 1-123-45-6789; passport K"), pad(k, 8), F.lit(" and no more to say about that number here; account "),
+        pad(k * 7919, 12), F.lit("."))
+    d = detect_pii(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "text", threshold=0.5,
+                   types=["EMAIL_ADDRESS", "IP_ADDRESS", "US_SSN", "US_PASSPORT", "US_BANK_NUMBER"])
+    return explode_spans(d, "c_custkey").select("c_custkey", "start", "end", "pii_type", "value")
+
+
 @register("pii_gazetteer", lambda: f"""WITH cust_text AS ({CUSTOMER_TEXT_SQL})
 SELECT c_custkey, start, "end", pii_type, score FROM ({dictionary_span_rows_sql('cust_text', 'c_custkey')})""")
 def q_pii_gazetteer(spark, sf_dir):
@@ -1024,7 +1059,7 @@ ANON_DOCS_SQL = (f"SELECT a.doc_id, d.source, a.text FROM ("
 
 def _alias_sql(session: str, row: str, pos: str) -> str:
     return (f"substring(translate(to_base64(unhex(sha256({session} || '#' || CAST({row} AS VARCHAR) || '#' || "
-            f"CAST({pos} AS VARCHAR)))), '+/', '-_'), 1, 7)")
+            f"CAST({pos} AS VARCHAR)))), '+/', '-_'), 1, {ALIAS_LEN})")
 
 
 @register("alias_set", lambda: f"""WITH an AS ({ANON_DOCS_SQL})
