@@ -90,3 +90,24 @@ def test_greek_text_survives_both_restores(spark):
     assert not strict["malformed"] and strict["text"] == text       # delimiters of the text are escaped
     lenient = deanonymize(a, "text", KEY, restore="tokens").first()
     assert lenient["text"] == text and not lenient["malformed"]
+
+
+def test_key_from_a_table_is_in_no_plan(spark, tmp_path):
+    import hashlib
+
+    from veilspark.operators.anonymize import anonymize, deanonymize, secret_of
+    secret = "zebra-lantern-77"
+    spark.createDataFrame([(secret,)], "secret string").write.parquet(str(tmp_path / "key"))
+    df = spark.createDataFrame([(1, "write a@b.io"), (2, None), (3, "nothing")], "id int, t string")
+    key = secret_of(spark.read.parquet(str(tmp_path / "key")))
+    for mode, resolution in (("aes", "EQUALITY"), ("sha", "EQUALITY"), ("aes", "CONTAINMENT")):
+        hidden = anonymize(df, "t", key, mode=mode, resolution=resolution)
+        assert hidden.columns == df.columns
+        plain = anonymize(df, "t", secret, mode=mode, resolution=resolution)
+        assert sorted(map(tuple, hidden.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+        derived = hashlib.sha256(secret.encode()).hexdigest()
+        text = hidden._jdf.queryExecution().toString()
+        assert secret not in text and derived not in text.lower() and secret in plain._jdf.queryExecution().toString()
+    back = deanonymize(anonymize(df, "t", key), "t", key)
+    assert {r["id"]: r["t"] for r in back.collect()} == {1: "write a@b.io", 2: None, 3: "nothing"} and "_secret" not in back.columns
+    assert secret not in back._jdf.queryExecution().toString()

@@ -42,7 +42,7 @@ def rebuild_text(text: Column, items: Column, escape: str | None = None) -> Colu
     return folded
 
 
-def anonymize_column(df: DataFrame, col: str, secret: str, *, mode: str = "aes",
+def anonymize_column(df: DataFrame, col: str, secret: str | Column, *, mode: str = "aes",
                      resolution: str = EQUALITY, types=None, threshold: float = DEFAULT_THRESHOLD,
                      salt: str = "", scope: str | None = None,
                      spans_col: str | None = None, out_col: str | None = None,
@@ -87,14 +87,34 @@ def _free(df: DataFrame, name: str) -> str:
     return name
 
 
-def anonymize(df: DataFrame, cols, secret: str, **kw) -> DataFrame:
-    """Anonymize several string columns (each column is its own entity scope)."""
+def secret_of(table: DataFrame, column: str = "secret") -> Column:
+    """The secret held by a one-row table, as a column: it is read when the job runs and no plan's text holds it.
+
+    More rows than one are an error; no row makes every token NULL.
+    """
+    return table.select(column).scalar()
+
+
+def _with_secret(df: DataFrame, secret):
+    """(df, secret, helper column to drop): a secret column becomes a column of the rows, usable in their expressions."""
+    if not isinstance(secret, Column):
+        return df, secret, []
+    name = _free(df, "_secret")
+    return df.withColumn(name, secret), F.col(name), [name]
+
+
+def anonymize(df: DataFrame, cols, secret: str | Column, **kw) -> DataFrame:
+    """Anonymize several string columns (each column is its own entity scope).
+
+    ``secret`` is a string or a column such as :func:`secret_of`.
+    """
+    df, secret, helper = _with_secret(df, secret)
     for c in ([cols] if isinstance(cols, str) else cols):
         df = anonymize_column(df, c, secret, **kw)
-    return df
+    return df.drop(*helper)
 
 
-def deanonymize_text(text: Column, secret: str, delim: str = TOKEN_DELIM) -> Column:
+def deanonymize_text(text: Column, secret: str | Column, delim: str = TOKEN_DELIM) -> Column:
     """Restore a tokenized text; NULL when malformed (odd delimiters or a bad token)."""
     segs = F.split(text, delim, -1)
     restored = F.transform(segs, lambda s, i: F.when(i % 2 == 0, s).when(s == "", F.lit(delim))
@@ -107,7 +127,7 @@ def deanonymize_text(text: Column, secret: str, delim: str = TOKEN_DELIM) -> Col
 TOKEN_BODY_RX = "[A-Za-z0-9+/]{43,}={0,2}"
 
 
-def restore_tokens(text: Column, secret: str, delim: str = TOKEN_DELIM) -> Column:
+def restore_tokens(text: Column, secret: str | Column, delim: str = TOKEN_DELIM) -> Column:
     """Lenient restore: only well-formed ``delim+base64+delim`` tokens that decrypt
     are replaced, and doubled delimiters unescaped; any other delimiter stays."""
     found = regex_matches(text, f"{delim}({TOKEN_BODY_RX})?{delim}")
@@ -118,7 +138,7 @@ def restore_tokens(text: Column, secret: str, delim: str = TOKEN_DELIM) -> Colum
     return F.when(text.isNull(), text).otherwise(rebuild_text(text, items))
 
 
-def deanonymize(df: DataFrame, cols, secret: str, *, on_error: str = "null",
+def deanonymize(df: DataFrame, cols, secret: str | Column, *, on_error: str = "null",
                 delim: str = TOKEN_DELIM, flag_col: str = "malformed",
                 restore: str = "strict") -> DataFrame:
     """Restore tokens in ``cols``.
@@ -130,10 +150,11 @@ def deanonymize(df: DataFrame, cols, secret: str, *, on_error: str = "null",
     is set; ``raise`` — the job fails on the first malformed row.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
+    df, secret, helper = _with_secret(df, secret)
     if restore == "tokens":
         for c in cols:
             df = df.withColumn(c, restore_tokens(F.col(c), secret, delim))
-        return df.withColumn(flag_col, F.lit(False))
+        return df.withColumn(flag_col, F.lit(False)).drop(*helper)
     flags = []
     for c in cols:
         df = df.withColumn(f"__r_{c}", deanonymize_text(F.col(c), secret, delim))
@@ -145,4 +166,4 @@ def deanonymize(df: DataFrame, cols, secret: str, *, on_error: str = "null",
         flags.append(F.col(f"__bad_{c}"))
     flag = flags[0] if len(flags) == 1 else F.greatest(*flags)
     return df.withColumn(flag_col, flag).drop(*[f"__bad_{c}" for c in cols],
-                                              *[f"__r_{c}" for c in cols])
+                                              *[f"__r_{c}" for c in cols], *helper)

@@ -88,6 +88,15 @@ def q_anonymize_mask(spark, sf_dir):
                      types=PATTERN_ALL, threshold=0.5)
 
 
+# The key comes from a one-row table (here: the first region's name) and is in no plan.
+@register("anonymize_key_table", lambda: S.anonymize_sql("documents", "doc_id", "text", PATTERN_ALL, "AFRICA", "EQUALITY", threshold=0.5))
+def q_anonymize_key_table(spark, sf_dir):
+    from veilspark.operators.anonymize import secret_of
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    key = table(spark, sf_dir, "region").agg(F.min("r_name").alias("secret"))
+    return anonymize(docs, "text", secret_of(key), mode="sha", types=PATTERN_ALL, threshold=0.5)
+
+
 @register("anonymize_label", lambda: S.anonymize_sql("documents", "doc_id", "text", PATTERN_ALL,
                                                       DEMO_SECRET, "EQUALITY", threshold=0.5, label=True))
 def q_anonymize_label(spark, sf_dir):
