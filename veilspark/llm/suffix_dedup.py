@@ -42,6 +42,7 @@ K = 48
 SHALLOW = 32
 BATCH = 20_000
 HOT = 50_000
+WRITTEN = 200_000                  # digests a task remembers, so as to give out a context once
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -296,7 +297,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A row per input row.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
 
     def find(batches):
         for b in batches:
@@ -313,21 +314,29 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         .mapInArrow(find, "key binary, h array<long>, at array<int>")
     # One row per distinct text; copies fall together before and in the shuffle.
     found = materialize(found.groupBy("key").agg(F.first("h").alias("h"), F.first("at").alias("at"),
-                                                 F.count("*").alias("copies")), "suffix-anchors")
+                                                 F.count("*").alias("copies")), "suffix-anchors", "zstd")
     each = found.select("key", F.explode(F.arrays_zip("h", "at")).alias("a")).select(
         "key", F.col("a.h").alias("h"), F.col("a.at").alias("at"))
     many = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     wanted = each.join(many, "h").groupBy("key").agg(F.collect_list(F.struct("at", "h")).alias("a"))
     texts = rows.filter(F.octet_length("text") >= length).select("key", "text").dropDuplicates(["key"])
-    texts = materialize(texts.join(wanted, "key"), "suffix-texts")
+    texts = materialize(texts.join(wanted, "key"), "suffix-texts", "zstd")
     most = length - k
 
     def cut(batches):
+        written: set[bytes] = set()                        # contexts that this task has already given out
         for b in batches:
             for key, t, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 before = [min(x["at"], most) for x in a]
                 ctx = [t[x["at"] - n:x["at"] + length] for x, n in zip(a, before)]
                 ch = [blake2b(c + bytes([n & 255, n >> 8]), digest_size=16).digest() for c, n in zip(ctx, before)]
+                for i, d in enumerate(ch):
+                    if d in written:
+                        ctx[i] = None
+                    else:
+                        written.add(d)
+                if len(written) > WRITTEN:
+                    written.clear()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key] * len(a), pa.binary()), pa.array([x["at"] for x in a], pa.int32()),
                      pa.array([x["h"] for x in a], pa.int64()), pa.array(ch, pa.binary()),
@@ -335,9 +344,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     names=["key", "at", "h", "ch", "before", "ctx"])
 
     places = texts.mapInArrow(cut, "key binary, at int, h long, ch binary, before int, ctx binary")
-    places = materialize(places, "suffix-places")
+    places = materialize(places, "suffix-places", "zstd")
     contexts = materialize(places.groupBy("h", "ch").agg(
-        F.count("*").alias("n"), F.first("before").alias("before"), F.first("ctx").alias("ctx")), "suffix-contexts")
+        F.count("*").alias("n"), F.first("before").alias("before"), F.first("ctx", ignorenulls=True).alias("ctx")),
+        "suffix-contexts", "zstd")
     sizes = contexts.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > hot).select("h")
     verdict = _judge_contexts(contexts.join(sizes, "h", "left_anti"), length, k)
     if not sizes.isEmpty():
