@@ -117,3 +117,56 @@ def test_site_quality_awkward_rows(odd_docs, no_docs, spark):
     some = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (None, 1), (3, None)], "doc_id long, quality int")
     assert S.score(odd_docs, some).count() == odd_docs.count()
     assert S.score(no_docs, some).count() == 0
+
+
+def test_site_quality_scores_match_plain_arithmetic(spark):
+    """Evidence, strengths and leave-one-out shares repeated in plain Python from the binned rows."""
+    import math
+    import random
+    rng = random.Random(9)
+    rows = [(i, " ".join("".join(rng.choices("abcde", k=rng.randint(1, 9))) for _ in range(rng.randint(5, 60))) + rng.choice(["", "!", " ###"]),
+             rng.choice(["en", "de", None]), rng.choice(["h1", "h2", "h3", None])) for i in range(160)]
+    rows += rows[:3]                                              # repeated rows
+    labels = [(i, int(rng.random() < (0.8 if rows[i][3] == "h1" else 0.3))) for i in range(0, 160, 2)] + [(0, 1), (2, 0), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    bins = [r.asDict() for r in S.binned(docs, "doc_id", "text", "source", ["lang"]).collect()]
+    for r in bins:
+        own = [y for d, y in labels if d == r["doc_id"] and y is not None]
+        r["ly"], r["sy"] = len(own), sum(own)
+    n, s = sum(r["ly"] for r in bins), sum(r["sy"] for r in bins)
+    rate = (s + 1) / (n + 2)
+
+    def total(key, field, value):
+        return sum(r[field] for r in bins if r[key] == value)
+
+    def strength(sites):
+        sites = [x for x in sites if x[0]]
+        big, k = sum(x[0] for x in sites), len(sites)
+        pq = sum(x[0] * x[2] * (1 - x[2]) for x in sites) / big
+        spare = big - sum(x[0] ** 2 for x in sites) / big
+        between = (sum(x[0] * (x[1] / x[0] - x[2]) ** 2 for x in sites) - (k - 1) * pq) / spare
+        return 1e4 if between <= 1e-9 else min(1e4, max(1.0, pq / between - 1))
+
+    hosts = {h: (total("host", "ly", h), total("host", "sy", h)) for h in {r["host"] for r in bins}}
+    k_host = strength([(a, b, rate) for a, b in hosts.values()])
+    paths = {p: (total("path", "ly", p), total("path", "sy", p), next(r["host"] for r in bins if r["path"] == p))
+             for p in {r["path"] for r in bins}}
+    k_path = strength([(a, b, (hosts[h][1] + k_host * rate) / (hosts[h][0] + k_host)) for a, b, h in paths.values()])
+    names = [c for c in bins[0] if c.startswith("f_")]
+    want = []
+    for r in bins:
+        llr = 0.0
+        for c in names:
+            good = sum(x["sy"] for x in bins if x[c] == r[c])
+            bad = sum(x["ly"] for x in bins if x[c] == r[c]) - good
+            llr += math.log((good + 1) / (s + S.BINS)) - math.log((bad + 1) / (n - s + S.BINS))
+        hn, hs = hosts[r["host"]]
+        host = (hs - r["sy"] + k_host * rate) / (hn - r["ly"] + k_host)
+        pn, ps, _ = paths[r["path"]]
+        path = (ps - r["sy"] + k_path * host) / (pn - r["ly"] + k_path)
+        score = 1 / (1 + math.exp(-(0.5 * llr + math.log(path / (1 - path)))))
+        want.append((r["doc_id"], round(host, 9), round(path, 9), round(score, 9), score >= S.THRESHOLD))
+    got = [(r["doc_id"], round(r["host_rate"], 9), round(r["path_rate"], 9), round(r["score"], 9), r["kept"])
+           for r in S.score(docs, lab).collect()]
+    assert sorted(got) == sorted(want)
