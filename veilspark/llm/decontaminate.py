@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from veilspark.llm.common import free_name, materialize, text_bytes
 
 WINDOW = 10
-MAX_BROADCAST_BYTES = 32 << 20
+MAX_BROADCAST_BYTES = 2 << 20        # of text; the index in memory is about a hundred times as large
 
 # Word bytes: digits, letters (lower-cased) and every non-ASCII byte; all else separates.
 _NORMAL = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80
