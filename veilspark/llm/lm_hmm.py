@@ -47,6 +47,7 @@ BROADCAST_WORDS = 262_144
 WARM, FULL = 6, 2
 SEGMENT = 512
 CHUNK_TOKENS = 400_000
+EM_TOKENS = 1_000_000          # tokens that a training task takes side by side, in single precision
 COUNTER_WORDS = 400_000
 BLOCKS = 64
 END = b""                 # the end token; no word is empty
@@ -136,7 +137,7 @@ def forward(p: Parameters, packed: _Packed, keep: bool = True):
     """Scaled forward recursion: log10 likelihood by sequence (input order), and alpha, scale, emission rows."""
     e = p.emit[packed.obs]
     alpha = np.empty_like(e) if keep else None
-    scale = np.empty(len(e))
+    scale = np.empty(len(e), e.dtype)
     a = p.start * e[:packed.live[0]]
     for t, n in enumerate(packed.live.tolist()):
         lo = packed.at[t]
@@ -157,7 +158,7 @@ def expected(p: Parameters, packed: _Packed, start, move, emit) -> float:
     """Add the expected counts of the sequences to start, move and emit; log10 likelihood."""
     ll, alpha, scale, e = forward(p, packed)
     live, at, states = packed.live, packed.at, len(p.start)
-    beta = np.ones((live[-1], states))
+    beta = np.ones((live[-1], states), e.dtype)
     for t in range(len(live) - 1, -1, -1):
         lo, n = at[t], live[t]
         w = e[lo:lo + n] * beta / scale[lo:lo + n, None]
@@ -167,7 +168,7 @@ def expected(p: Parameters, packed: _Packed, start, move, emit) -> float:
         if t:
             before = at[t - 1]
             move += p.move * (alpha[before:before + n].T @ w)
-            beta = np.ones((live[t - 1], states))
+            beta = np.ones((live[t - 1], states), e.dtype)
             beta[:n] = w @ p.move.T
         else:
             start += gamma.sum(0)
@@ -188,7 +189,7 @@ def encode(texts: DataFrame, classes) -> DataFrame:
 
 
 def _chunks(batches, segment: int | None):
-    """Class sequences in chunks of about CHUNK_TOKENS tokens."""
+    """Class sequences in chunks of about EM_TOKENS tokens."""
     seqs, n = [], 0
     for b in batches:
         for t in b.column(0).to_pylist():
@@ -196,7 +197,7 @@ def _chunks(batches, segment: int | None):
             for i in range(0, len(c), segment or len(c)):
                 seqs.append(c[i:i + (segment or len(c))])
             n += len(c)
-            if n >= CHUNK_TOKENS:
+            if n >= EM_TOKENS:
                 yield seqs
                 seqs, n = [], 0
     if seqs:
@@ -210,7 +211,8 @@ def em_step(encoded: DataFrame, p: Parameters, unigram: np.ndarray, smooth: floa
     size, states = p.emit.shape
 
     def run(batches):
-        q = shared.value
+        # Single precision for a pass's expected counts; they are added up in double.  Scoring is in double.
+        q = Parameters(*(x.astype(np.float32) for x in (shared.value.start, shared.value.move, shared.value.emit)))
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
         ll = 0.0
         for seqs in _chunks(batches, SEGMENT):
