@@ -35,7 +35,7 @@ MAX_TRAIN_ROWS = 20_000
 MAX_FEATURES = 8_192
 MIN_DOCS = 4
 STEMS = range(3, 9)               # lengths of the beginnings
-MEMORY_WORDS = 500_000            # words whose features a worker remembers
+MEMORY_WORDS = 100_000            # words whose features a task remembers
 THRESHOLD = 0.7
 
 # --- fixed values: identity terms by group (swapped within a group)
@@ -222,6 +222,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> tuple[Dat
             s = [shared.value.score(t) for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(c.cast(f.type) for c, f in zip(b.columns, arrow)), pa.array(s, pa.float64())], schema=arrow)
+        shared.value.seen.clear()                     # the worker lives on in later stages
 
     return docs.mapInArrow(run, schema), name
 
