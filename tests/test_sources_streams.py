@@ -85,3 +85,22 @@ def test_ids_of_large_keys_and_many_chunks(spark):
     got = {(r["k"], r["n"]): r["id"] for r in df.collect()}
     assert got[5, 3] == 5_000_003 and got[-4, 7] == -3_999_993 and len(set(got.values())) == len(rows)
     assert got[5, 1_000_000] < 0 and got[2 ** 62, 1] < 0
+
+
+def test_table_stream_reads_files_and_folders(spark):
+    """A table is one file or a folder of files; a stream gives all its rows either way."""
+    import glob
+    import os
+    import shutil
+    import tempfile
+    d = tempfile.mkdtemp(prefix="vs-table-", dir="/tmp")
+    rows = [(i, f"s{i % 3}", f"mail a{i}@b{i}.example.org now") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs.repartition(4).write.parquet(f"{d}/folder/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{d}/one")
+    os.mkdir(f"{d}/file")
+    shutil.copy(glob.glob(f"{d}/one/*.parquet")[0], f"{d}/file/documents.parquet")
+    for form in ("folder", "file"):
+        back = E.queries()["stream_deanonymize"](spark, f"{d}/{form}").collect()
+        assert sorted((r["doc_id"], r["text"], r["malformed"]) for r in back) == [(i, t, False) for i, _, t in rows]
+        assert E.queries()["stream_alias_map"](spark, f"{d}/{form}").count() == 40

@@ -25,11 +25,14 @@ from veilspark.operators.cache import cache_lookup
 from veilspark.plans.pipelines import ingest_nodes
 
 
-def table_stream(spark: SparkSession, folder: str, table: str, schema, max_files: int = 1) -> DataFrame:
-    """A file-source stream over ``<folder>/<table>.parquet`` (schema given, never inferred)."""
+def table_stream(spark: SparkSession, folder: str, table: str, schema, max_bytes: int = 256 << 20) -> DataFrame:
+    """A file-source stream over ``<folder>/<table>.parquet``, one file or a folder of files (schema given, never inferred).
+
+    The path is a pattern: a file source takes a single file only by one.  A batch is bounded in
+    bytes, so many small files do not make as many batches of one task each.
+    """
     return (spark.readStream.format("parquet").schema(schema)
-            .option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", max_files).load(folder))
+            .option("maxBytesPerTrigger", max_bytes).load(f"{folder.rstrip('/')}/{table}.parque[t]"))
 
 
 def _writer(df: DataFrame, checkpoint: str, available_now: bool):
