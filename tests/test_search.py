@@ -125,3 +125,48 @@ def test_model_embedder_hook(spark):
     df = spark.createDataFrame([(1, "a bc"), (2, None), (3, "one two three four")], "id int, t string")
     out = {r["id"]: r["embedding"] for r in embed(df, "t", ModelEmbedder(_LenModel, dim=2, max_length=3)).collect()}
     assert out == {1: [4.0, 2.0], 2: [0.0, 0.0], 3: [13.0, 3.0]}      # truncated to 3 words first
+
+
+def test_kernel_equals_brute_force_and_holds_little():
+    """Any metric, ties, blocks and a loose first limit: the kernel's k rows are the brute force's; its tiles stay small."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from veilspark.operators.search import _make_search
+    rng = np.random.default_rng(5)
+    for metric in ("l2", "inner"):
+        q, x = rng.integers(-3, 4, (300, 4)).astype(float), rng.integers(-3, 4, (1500, 4)).astype(float)
+        x[7] = np.inf
+        _, best = _make_search(3, metric, 4, tile_cells=5000)
+        b = best(q)
+        for lo in range(0, len(x), 400):
+            b.add(pa.array(np.arange(lo, min(lo + 400, len(x)))), x[lo:lo + 400])
+        d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2)) if metric == "l2" else -(q[:, None] * np.where(np.isinf(x), np.nan, x)[None]).sum(2)
+        d[:, 7] = np.inf
+        want = {(i, int(j)) for i in range(len(q)) for j in np.lexsort((np.arange(len(x)), np.round(d[i], 9)))[:3]}
+        assert set(zip(b.who.tolist(), b.ids.to_pylist())) == want
+    _, best = _make_search(3, "l2", 64)
+    b = best(rng.normal(size=(4000, 64)))
+    rows = rng.normal(size=(4096, 64))
+    tracemalloc.start()
+    b.add(pa.array(np.arange(4096)), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20                                  # before: over 100 MB, tiles of 32 MB several times
+
+
+def test_kernel_merges_within_one_key(spark):
+    """A match key's rows are merged with that key's probes only, in blocks: many keys, same answers."""
+    import numpy as np
+    rng = np.random.default_rng(6)
+    rows = [(i, f"t{i % 37}", [float(v) for v in rng.normal(size=4)]) for i in range(900)]
+    c = spark.createDataFrame(rows, "id long, doc string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, f"t{i % 41}", v) for i, _, v in rows[:200]], "qid long, title string, embedding array<double>")
+    got = {(r["qid"], r["rank"], r["id"]) for r in knn(q, c, dim=4, k=2, match=[("title", "doc")]).collect()}
+    want = set()
+    for i, _, v in rows[:200]:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for j, t, w in rows if t == f"t{i % 41}")[:2]
+        want |= {(i, n + 1, j) for n, (_, j) in enumerate(near)}
+    assert got == want
