@@ -14,12 +14,15 @@ from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --- fixed values: hash-embedding word pattern -------------------------------
 EMBED_WORD_RX = r"[\p{L}\p{N}]+"
+ROWS = 1024               # rows of an Arrow batch that are counted at a time
 
 
 def truncate_words(text: Column, max_length: int) -> Column:
@@ -43,19 +46,21 @@ class HashEmbedder:
     def column(self, text: Column) -> Column:
         dim = self.output_dim
 
-        @F.pandas_udf(T.ArrayType(T.FloatType()))
-        def _hist(col: pd.Series) -> pd.Series:
-            # One bincount for the whole Arrow batch: cell = row * dim + bucket.
-            n = len(col)
-            lens = np.fromiter((0 if b is None else len(b) for b in col), dtype=np.int64, count=n)
-            flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in col if b is not None and len(b)]) \
-                if lens.sum() else np.empty(0, dtype=np.int64)
-            cells = np.repeat(np.arange(n, dtype=np.int64), lens) * dim + flat
-            m = np.bincount(cells, minlength=n * dim).reshape(n, dim).astype(np.float64)
-            norm = np.sqrt((m * m).sum(axis=1))
-            nz = norm > 0
-            m[nz] /= norm[nz, None]
-            return pd.Series(list(m.astype(np.float32)))
+        @F.arrow_udf(T.ArrayType(T.FloatType()))
+        def _hist(col: pa.Array) -> pa.Array:
+            out = [np.zeros((0, dim), np.float32)]
+            for lo in range(0, len(col), ROWS):              # what is held beside the batch does not depend on its size
+                part = col.slice(lo, ROWS)
+                n, lens = len(part), pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+                # One bincount for all rows: cell = row * dim + bucket.
+                cells = np.repeat(np.arange(n, dtype=np.int64), lens) * dim + part.flatten().to_numpy(zero_copy_only=False)
+                m = np.bincount(cells, minlength=n * dim).reshape(n, dim).astype(np.float64)
+                norm = np.sqrt((m * m).sum(axis=1))
+                nz = norm > 0
+                m[nz] /= norm[nz, None]
+                out.append(m.astype(np.float32))
+            flat = np.concatenate(out).reshape(-1)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(col) + 1, dtype=np.int32) * dim), pa.array(flat))
 
         return _hist(word_buckets(truncate_words(text, self.max_length), dim))
 
