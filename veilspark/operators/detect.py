@@ -90,7 +90,9 @@ def detect_pii(df: DataFrame, text_col: str = "text", types=None, threshold: flo
 def explode_spans(df: DataFrame, key_cols, text_col: str = "text", spans_col: str = "pii") -> DataFrame:
     """Long form: one row per span with its surface value."""
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    e = df.select(*keys, F.col(text_col), F.explode(spans_col).alias("s"))
+    # Of a plain column, the optimizer would infer size(spans) > 0 and push it to the scan, where every
+    # detector then runs twice more, before any join or repartition; an expression is exploded as it is.
+    e = df.select(*keys, F.col(text_col), F.explode(F.flatten(F.array(spans_col))).alias("s"))
     return e.select(*keys, F.col("s.start").alias("start"), F.col("s.end").alias("end"),
                     F.col("s.pii_type").alias("pii_type"), F.col("s.score").alias("score"),
                     F.substring(F.col(text_col), F.col("s.start") + 1,

@@ -52,6 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = True) ->
     return balance(df, TEXT_TABLES[name]) if balanced and name in TEXT_TABLES else df
 
 
+def customer_rows(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Customers as input of made texts: 20 bytes a row in the file and milliseconds of detectors, so dealt over all cores."""
+    from veilspark.plans.sizing import spread
+    return spread(table(spark, sf_dir, "customer", balanced=False).select(*cols))
+
+
 # ---------------------------------------------------------------- P1 detectors
 def _type_query(pii_type: str):
     def run(spark, sf_dir):
@@ -134,7 +140,7 @@ def q_anonymize_greek(spark, sf_dir):
 # Text with names, places and US identifiers built from customer × nation by
 # the same expression on both sides (the corpus itself has none of these).
 def customer_text(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    c = customer_rows(spark, sf_dir, "c_custkey", "c_name", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     k = F.col("c_custkey")
 
@@ -259,7 +265,7 @@ EDGE_TEXT_SQL = """SELECT c_custkey, 'Amex 3782 822463 10005, run 55' || lpad(CA
 
 def edge_text(spark, sf_dir) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(
+    return customer_rows(spark, sf_dir, "c_custkey").select("c_custkey", F.concat(
         F.lit("Amex 3782 822463 10005, run 55"), F.lpad((k % 1000000).cast("string"), 6, "0"),
         F.lit(" 78901234, ref 1555-123-45678, call (212) 555-"), F.lpad((k % 10000).cast("string"), 4, "0"),
         F.lit(", due "), (k % 40).cast("string"), F.lit("/"), (k % 17).cast("string"), F.lit("/2024, on May "),
@@ -309,7 +315,7 @@ def q_pii_value_edges(spark, sf_dir):
         F.lit(".7, not 1.2.3.4.5 or 1.2.3; SSN "), pad(k * 7 % 1000, 3), F.lit("-"), pad(k % 100, 2), F.lit("-"), pad(k % 50, 4),
         F.lit(", not 1-123-45-6789; passport K"), pad(k, 8), F.lit(" and no more to say about that number here; account "),
         pad(k * 7919, 12), F.lit("."))
-    d = detect_pii(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "text", threshold=0.5,
+    d = detect_pii(customer_rows(spark, sf_dir, "c_custkey").select("c_custkey", text.alias("text")), "text", threshold=0.5,
                    types=["EMAIL_ADDRESS", "IP_ADDRESS", "US_SSN", "US_PASSPORT", "US_BANK_NUMBER"])
     return explode_spans(d, "c_custkey").select("c_custkey", "start", "end", "pii_type", "value")
 
@@ -683,7 +689,7 @@ def q_save_nodes_twice(spark, sf_dir):
     """Every id twice in one call, with other contents: one row of each is stored; a second call adds none."""
     from veilspark.operators.embed import HashEmbedder, embed
     ch = embed(chunks_df(spark, sf_dir), "content", HashEmbedder(EMBED_DIM, EMBED_MAX)).select("id", "content", "embedding")
-    both = ch.unionByName(ch.withColumn("content", F.concat(F.lit("again "), "content")))
+    both = ch.select("id", F.explode(F.array("content", F.concat(F.lit("again "), "content"))).alias("content"), "embedding")
     coll = _new_collection(spark, "doc_nodes")
     coll.save_nodes(both)
     coll.save_nodes(ch)
