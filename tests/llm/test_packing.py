@@ -37,6 +37,25 @@ def test_cached_words_give_the_tokenizers_ids(tokenizer):
             assert ids.tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
 
 
+def test_plain_words_and_what_looks_like_them(tokenizer):
+    texts = ["It's plain, Plain; PLAIN... end?! (x) a.b .a ,; don't. 7. Käse. x<|endoftext|>. <|endoftext|> I'LL, K\u212a. \ufb01n."]
+    tok = P.WordTokenizer(PATH)
+    assert tok.plain and tok.texts(texts)[0].tolist() == tokenizer.encode(texts[0], add_special_tokens=False).ids + [1]
+
+
+def test_a_worker_forgets_its_words_at_the_end_of_a_task(spark):
+    from pyspark.sql import functions as F
+    docs = spark.range(0, 3000, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"))
+    assert P.pack(docs, PATH).count() >= 3000
+
+    def held(batches):
+        import pyarrow as pa
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(t.index) for t in P._known.values())], pa.int64())})
+
+    assert sum(r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()) == 0
+
+
 def check(pieces, docs, tokenizer):
     ids = {}
     for d, t in docs:

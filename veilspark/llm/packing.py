@@ -58,6 +58,8 @@ def _split(text: str) -> list[str]:
 # Words of printable ASCII and Latin-1 letters, and how the pre-tokenizer parts them (after lower-casing).
 _LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+# Plain words: ASCII letters, then closing marks; the pieces are these two.
+_PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
 # --- fixed value: the pre-tokenizer pattern that _PIECE equals on such words
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -88,28 +90,38 @@ class WordTokenizer:
         splits = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.by_piece = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == [
             "Split", "ByteLevel"] and splits[0]["pattern"].get("Regex") == _PATTERN
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) if special else r"(?!)")
+        self.plain = self.by_piece and not any(_PLAIN.fullmatch(x) or not x.strip(".,;:!?") for x in special)
         self.chars = _byte_chars()
         self.limit = limit
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.pieces: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)      # first id of word i; at[i + 1] ends it
         self.used = 0
 
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            raw = piece if piece.isascii() else "".join(map(self.chars.__getitem__, piece.encode()))
+            ids = self.pieces[piece] = [t.id for t in self.tok.model.tokenize(raw)]
+        return ids
+
     def _ids(self, word: str) -> list[int]:
-        if not self.by_piece or not _LATIN.fullmatch(word) or any(x in word for x in self.special):
+        if self.plain:                             # no special token lies in such a word
+            if m := _PLAIN.fullmatch(word):
+                letters, marks = m.groups()
+                ids = self._piece(letters.lower())
+                return ids + self._piece(marks) if marks else ids
+        if not self.by_piece or not _LATIN.fullmatch(word) or self.special.search(word):
             return self.tok.encode(word, add_special_tokens=False).ids
         out: list[int] = []
         for piece in _PIECE.findall(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                raw = piece if piece.isascii() else "".join(map(self.chars.__getitem__, piece.encode()))
-                ids = self.pieces[piece] = [t.id for t in self.tok.model.tokenize(raw)]
-            out += ids
+            out += self._piece(piece)
         return out
 
     def _learn(self, words) -> None:
@@ -128,7 +140,7 @@ class WordTokenizer:
         """Ids of every text, the end id last."""
         split = [_split(t) if t else [] for t in texts]
         if len(self.index) > self.limit:
-            self._clear()
+            self.forget()
         words = [w for ws in split for w in ws]
         w = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, count=len(words))
         new = np.flatnonzero(w < 0)
@@ -148,7 +160,7 @@ _known: dict[str, WordTokenizer] = {}
 
 
 def _tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer per worker process, kept between tasks."""
+    """One tokenizer per worker process, kept between tasks (its words are not)."""
     if path not in _known:
         _known[path] = WordTokenizer(path)
     return _known[path]
@@ -283,6 +295,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
                     for a, size in cut(ids, capacity, filler_every > 0 and n % filler_every == 1):
                         packer.add((doc, a, size, zlib.crc32(raw[a:a + size].tobytes()), len(ids)))
             yield from packer.take(arrow)
+        tok.forget()                              # the worker lives on in later stages
         packer.finish(close=False)
         yield from packer.take(arrow)
 
