@@ -47,6 +47,22 @@ def test_expected_counts_match_enumeration():
     assert np.allclose(emit[3, 1], sum(v for z, v in w.items() if z[1] == 1) / total)
 
 
+def test_one_look_gives_class_and_count_and_rows_add_up_alike():
+    top = [(f"w{i}".encode(), 100 - i) for i in range(40)]
+    classes = H.Classes(top, 10, 4)
+    words = [b"w39", b"w3", b"new", H.END, b"w10", b"w3"]
+    c, counts = classes.with_counts(words)
+    assert c.tolist() == classes.of(words).tolist() and c[1] == c[5] == 3 and (c[[0, 2, 3, 4]] >= 10).all()
+    assert counts.tolist() == [61, 97, 0, 0, 90, 97]
+    assert [x.tolist() for x in classes.with_counts([])] == [[], []]
+    for kind in (np.float32, np.float64):
+        for n in (1, 127, 500):
+            a = np.random.default_rng(n).random((n, 8)).astype(kind)
+            assert np.array_equal(H._row_sums(a), a.sum(1))
+    packed = H._Packed([np.array([1, 2], np.int32)])
+    assert packed.obs.dtype == packed.doc.dtype == np.intp
+
+
 @pytest.fixture(scope="module")
 def scored(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")

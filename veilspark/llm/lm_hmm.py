@@ -80,21 +80,38 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Classes:
-    """Word classes, and the counts that are broadcast with them."""
+    """Word classes, and the counts that are broadcast with them.
 
-    def __init__(self, counts: dict[bytes, int], own: list[bytes], shared: int):
-        self.counts, self.n_own, self.shared = counts, len(own), shared
-        self.index = {w: i for i, w in enumerate(own)}
-        self.size = len(own) + shared
+    ``top``: the most frequent words with their counts, the first ``own`` of
+    which have a class of their own.
+    """
+
+    def __init__(self, top: list[tuple[bytes, int]], own: int, shared: int):
+        self.n_own, self.shared = min(own, len(top)), shared
+        self.size = self.n_own + shared
+        self.index = {w: i for i, (w, _) in enumerate(top[:own])}
+        self.own_counts = np.array([c for _, c in top[:own]], np.int64)
+        self.others = dict(top[own:])
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """Class of each word."""
+        return self._of(words)[0]
+
+    def _of(self, words):
         c = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, count=len(words))
-        rest = np.flatnonzero(c < 0)
-        if len(rest):
-            h = np.fromiter((zlib.crc32(words[i]) for i in rest.tolist()), np.int64, count=len(rest))
-            c[rest] = self.n_own + h % self.shared
-        return c
+        at = np.flatnonzero(c < 0)
+        rest = [words[i] for i in at.tolist()]
+        c[at] = self.n_own + np.fromiter(map(zlib.crc32, rest), np.int64, count=len(rest)) % self.shared
+        return c, at, rest
+
+    def with_counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Class and broadcast count (0: not broadcast) of each word."""
+        c, at, rest = self._of(words)
+        counts = np.zeros(len(words), np.int64)
+        own = c < self.n_own
+        counts[own] = self.own_counts[c[own]]
+        counts[at] = np.fromiter(map(self.others.get, rest, repeat(0)), np.int64, count=len(rest))
+        return c, counts
 
 
 class Parameters:
@@ -127,15 +144,24 @@ class _Packed:
         doc = np.repeat(np.arange(len(seqs)), size)
         t = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
         where = self.at[t] + doc
-        self.obs = np.empty(len(doc), np.int32)
+        self.obs = np.empty(len(doc), np.intp)    # numpy's own index type: others are converted at each use
         self.obs[where] = np.concatenate([seqs[i] for i in self.order])
-        self.doc = np.empty(len(doc), np.int32)
+        self.doc = np.empty(len(doc), np.intp)
         self.doc[where] = doc
 
 
+def _row_sums(a: np.ndarray) -> np.ndarray:
+    """``a.sum(1)``; many rows of eight by adding columns, in the order in which numpy adds a row."""
+    if a.shape[1] != 8 or len(a) < 128:
+        return a.sum(1)
+    a = a[:, 0::2] + a[:, 1::2]
+    a = a[:, 0::2] + a[:, 1::2]
+    return a[:, 0] + a[:, 1]
+
+
 def forward(p: Parameters, packed: _Packed, keep: bool = True):
     """Scaled forward recursion: log10 likelihood by sequence (input order), and alpha, scale, emission rows."""
-    e = p.emit[packed.obs]
+    e = p.emit.take(packed.obs, axis=0)
     alpha = np.empty_like(e) if keep else None
     scale = np.empty(len(e), e.dtype)
     a = p.start * e[:packed.live[0]]
@@ -143,7 +169,7 @@ def forward(p: Parameters, packed: _Packed, keep: bool = True):
         lo = packed.at[t]
         if t:
             a = (a[:n] @ p.move) * e[lo:lo + n]
-        c = a.sum(1)
+        c = _row_sums(a)
         a = a / c[:, None]
         scale[lo:lo + n] = c
         if keep:
@@ -272,7 +298,7 @@ def train(texts: DataFrame, *, key=None, states: int = STATES, own: int = OWN, s
     found = counts.filter(level >= least).collect() if least is not None else []
     top = sorted(((bytes(r[0]), int(r[1])) for r in found), key=lambda x: (-x[1], x[0]))
     names = [w for w, _ in top[:own]]
-    classes = Classes(dict(top), names, shared)
+    classes = Classes(top, own, shared)
     # Totals of the shared classes: everything but the words with a class of their own.
     rest = {r[0]: (int(r[1]), int(r[2])) for r in counts.groupBy((F.crc32("word") % shared).alias("h"))
             .agg(F.sum("c"), F.count("*")).collect()}                     # at most ``shared`` rows
@@ -306,7 +332,7 @@ def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text
 
     def run(batches):
         (params, class_log), classes = shared.value, sent.value
-        counts, n_own = classes.counts, classes.n_own
+        n_own = classes.n_own
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             ids, texts = b.column(0), text_bytes(b.column(1))
@@ -317,11 +343,10 @@ def score(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text
                     split.append(tokens(texts[hi]))
                     n += len(split[-1])
                     hi += 1
-                seqs = [classes.of(ws) for ws in split]
-                ll = forward(params, _Packed(seqs), keep=False)[0]
+                found = [classes.with_counts(ws) for ws in split]
+                ll = forward(params, _Packed([c for c, _ in found]), keep=False)[0]
                 out = {"n": [], "known": [], "base": [], "score": [], "words": []}
-                for ws, c, s in zip(split, seqs, ll.tolist()):
-                    got = np.fromiter(map(counts.get, ws, repeat(0)), np.int64, count=len(ws))
+                for ws, (c, got), s in zip(split, found, ll.tolist()):
                     known = got > 0
                     logs = np.log10(got[known] + 0.5)
                     out["n"].append(len(ws))
