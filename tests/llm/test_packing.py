@@ -43,6 +43,26 @@ def test_plain_words_and_what_looks_like_them(tokenizer):
     assert tok.plain and tok.texts(texts)[0].tolist() == tokenizer.encode(texts[0], add_special_tokens=False).ids + [1]
 
 
+def test_latin_words_take_the_plain_way_too(tokenizer, monkeypatch):
+    words = "Élan, été... ÀÖØÞ ßöøÿ! naïve x Çà: über;? ÉÉÉ."
+    want = tokenizer.encode(words, add_special_tokens=False).ids + [1]
+    tok = P.WordTokenizer(PATH)
+    monkeypatch.setattr(tok, "_ids", lambda w: pytest.fail(w))
+    assert tok.texts([words, None, words])[0].tolist() == want
+    for odd in ("a×b.", "ªº", "e\u0301t\u00e9,"):                # no such words
+        assert not P._PLAIN.fullmatch(odd)
+
+
+def test_the_pools_lengths_are_kept_in_order_with_their_counts():
+    rng = random.Random(3)
+    packer = P.Packer(100, 64, 0)
+    for i in range(2000):
+        packer.add((i, 0, rng.randint(1, 100), 0, 0))
+        assert packer.lengths == sorted(packer.by_length) and packer.counts == {x: len(v) for x, v in packer.by_length.items()}
+    packer.finish(close=True)
+    assert not (packer.n or packer.lengths or packer.counts) and len(packer.out) == 2000
+
+
 def test_a_worker_forgets_its_words_at_the_end_of_a_task(spark):
     from pyspark.sql import functions as F
     docs = spark.range(0, 3000, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"))

@@ -23,7 +23,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from itertools import repeat
+from bisect import bisect_left, bisect_right, insort
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,8 @@ def _split(text: str) -> list[str]:
 # Words of printable ASCII and Latin-1 letters, and how the pre-tokenizer parts them (after lower-casing).
 _LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
-# Plain words: ASCII letters, then closing marks; the pieces are these two.
-_PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+# Plain words: ASCII or Latin-1 letters, then closing marks; the pieces are these two.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 # --- fixed value: the pre-tokenizer pattern that _PIECE equals on such words
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -93,7 +94,7 @@ class WordTokenizer:
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) if special else r"(?!)")
         self.plain = self.by_piece and not any(_PLAIN.fullmatch(x) or not x.strip(".,;:!?") for x in special)
-        self.chars = _byte_chars()
+        self.chars = _byte_chars()                 # for str.translate
         self.limit = limit
         self.forget()
 
@@ -107,16 +108,11 @@ class WordTokenizer:
     def _piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
         if ids is None:
-            raw = piece if piece.isascii() else "".join(map(self.chars.__getitem__, piece.encode()))
+            raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars)
             ids = self.pieces[piece] = [t.id for t in self.tok.model.tokenize(raw)]
         return ids
 
     def _ids(self, word: str) -> list[int]:
-        if self.plain:                             # no special token lies in such a word
-            if m := _PLAIN.fullmatch(word):
-                letters, marks = m.groups()
-                ids = self._piece(letters.lower())
-                return ids + self._piece(marks) if marks else ids
         if not self.by_piece or not _LATIN.fullmatch(word) or self.special.search(word):
             return self.tok.encode(word, add_special_tokens=False).ids
         out: list[int] = []
@@ -125,14 +121,24 @@ class WordTokenizer:
         return out
 
     def _learn(self, words) -> None:
-        rows = [self._ids(w) for w in words]
-        n, size = len(self.index), sum(map(len, rows))
+        # No special token lies in a plain word.
+        rows, known, new, plain = [], self.pieces.get, self._piece, _PLAIN.fullmatch if self.plain else lambda w: None
+        for w in words:
+            if m := plain(w):
+                letters, marks = m.groups()
+                letters = letters.lower()
+                ids = known(letters) or new(letters)
+                rows.append(ids + (known(marks) or new(marks)) if marks else ids)
+            else:
+                rows.append(self._ids(w))
+        sizes = np.fromiter(map(len, rows), np.int64, count=len(rows))
+        n, size = len(self.index), int(sizes.sum())
         while n + len(rows) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
         while self.used + size > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        self.flat[self.used:self.used + size] = [i for ids in rows for i in ids]
-        self.at[n + 1:n + 1 + len(rows)] = self.used + np.cumsum([len(ids) for ids in rows])
+        self.flat[self.used:self.used + size] = np.fromiter(chain.from_iterable(rows), np.uint32, count=size)
+        self.at[n + 1:n + 1 + len(rows)] = self.used + np.cumsum(sizes)
         self.used += size
         self.index.update(zip(words, range(n, n + len(rows))))
 
@@ -141,16 +147,19 @@ class WordTokenizer:
         split = [_split(t) if t else [] for t in texts]
         if len(self.index) > self.limit:
             self.forget()
-        words = [w for ws in split for w in ws]
+        words = list(chain.from_iterable(split))
         w = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, count=len(words))
         new = np.flatnonzero(w < 0)
         if len(new):
             self._learn(list(dict.fromkeys(words[i] for i in new.tolist())))
             w[new] = [self.index[words[i]] for i in new.tolist()]
-        first, size = self.at[w], self.at[w + 1] - self.at[w]
+        first = self.at.take(w)
+        size = self.at.take(w + 1) - first
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(first - (ends - size), size)]
+        place = np.repeat(first - (ends - size), size)
+        place += np.arange(total)
+        ids = self.flat.take(place)
         last = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
         end = np.array([END_ID], np.uint32)
         return [np.concatenate([ids[a:b], end]) for a, b in zip(last[:-1].tolist(), last[1:].tolist())]
@@ -166,15 +175,20 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _known[path]
 
 
-def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
+def fill(counts: dict[int, int], capacity: int, lengths: list[int] | None = None) -> dict[int, int]:
     """Lengths and how many of each give the total closest to ``capacity``, not above it.
 
     Longest lengths are offered first; the program stops once the capacity
-    itself is reachable.  ``counts`` holds lengths from 1 to the capacity.
+    itself is reachable.  ``counts`` holds lengths from 1 to the capacity;
+    ``lengths`` are its keys in ascending order, if known.
     """
+    lengths = sorted(counts) if lengths is None else lengths
     mask = (1 << (capacity + 1)) - 1
     reach, steps = 1, []
-    for length in sorted((x for x, n in counts.items() if n and x <= capacity), reverse=True):
+    for i in range(bisect_right(lengths, capacity) - 1, -1, -1):
+        length = lengths[i]
+        if not counts[length]:
+            continue
         steps.append((length, reach))
         left, many = min(counts[length], capacity // length), 1
         while left:                                     # binary splitting of the count
@@ -201,6 +215,8 @@ class Packer:
     def __init__(self, capacity: int, pool: int, first_id: int):
         self.capacity, self.pool = capacity, pool
         self.by_length: dict[int, list] = {}
+        self.counts: dict[int, int] = {}                    # pieces of each length
+        self.lengths: list[int] = []                        # ascending
         self.n, self.tokens, self.next_id, self.out = 0, 0, first_id, []
 
     def add(self, piece: tuple) -> None:
@@ -208,7 +224,11 @@ class Packer:
         if piece[2] == self.capacity:
             self._emit([piece])
             return
-        self.by_length.setdefault(piece[2], []).append(piece)
+        if piece[2] not in self.counts:
+            insort(self.lengths, piece[2])
+            self.by_length[piece[2]], self.counts[piece[2]] = [], 0
+        self.by_length[piece[2]].append(piece)
+        self.counts[piece[2]] += 1
         self.n += 1
         self.tokens += piece[2]
         if self.n > self.pool:
@@ -224,10 +244,10 @@ class Packer:
 
     def _window(self, exact: bool = False) -> bool:
         """Pack one window; with ``exact`` only if it can be filled to the last token."""
-        counts = {x: len(v) for x, v in self.by_length.items()}
-        longest = max(counts)                               # each window takes the longest piece and fills up
-        counts[longest] -= 1
-        used = fill(counts, self.capacity - longest)
+        longest = self.lengths[-1]                          # each window takes the longest piece and fills up
+        self.counts[longest] -= 1
+        used = fill(self.counts, self.capacity - longest, self.lengths)
+        self.counts[longest] += 1
         used[longest] = used.get(longest, 0) + 1
         if exact and sum(x * k for x, k in used.items()) < self.capacity:
             return False
@@ -235,8 +255,9 @@ class Packer:
         for length, k in sorted(used.items(), reverse=True):
             same = self.by_length[length]
             chosen += [same.pop() for _ in range(k)]
+            self.counts[length] -= k
             if not same:
-                del self.by_length[length]
+                del self.by_length[length], self.counts[length], self.lengths[bisect_left(self.lengths, length)]
         self.n -= len(chosen)
         self.tokens -= sum(p[2] for p in chosen)
         self._emit(chosen)
@@ -252,7 +273,7 @@ class Packer:
         if not close:
             for same in self.by_length.values():
                 self.out += [(*p, None, None) for p in same]
-            self.by_length, self.n, self.tokens = {}, 0, 0
+            self.by_length, self.counts, self.lengths, self.n, self.tokens = {}, {}, [], 0, 0
 
     def take(self, schema: pa.Schema):
         rows, self.out = self.out, []
