@@ -53,6 +53,29 @@ def test_latin_words_take_the_plain_way_too(tokenizer, monkeypatch):
         assert not P._PLAIN.fullmatch(odd)
 
 
+def test_a_word_is_looked_up_once_in_a_stretch_of_texts():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return dict.get(self, *a)
+
+    tok = P.WordTokenizer(PATH)
+    tok.index = Counted(tok.index)
+    tok.texts(["some words again and some words"] * 600)
+    assert Counted.asked == 4
+
+
+def test_stretches_of_texts_give_the_tokenizers_ids(tokenizer, monkeypatch):
+    texts = ["", None, " two  blanks ", "\x1c", "\u3000", "a\x1eb c", "é\u0301 µ ªb. ÀÉ!?", "x" * 50, *(f"w{i} W{i}. {i}" for i in range(600))]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    for stretch in (1, 40, 1 << 20):
+        monkeypatch.setattr(P, "STRETCH", stretch)
+        assert [x.tolist() for x in P.WordTokenizer(PATH).texts(texts)] == want
+        assert P.WordTokenizer(PATH).texts([]) == []
+
+
 def test_the_pools_lengths_are_kept_in_order_with_their_counts():
     rng = random.Random(3)
     packer = P.Packer(100, 64, 0)

@@ -23,11 +23,13 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,7 @@ POOL = 8192
 FILLER_EVERY = 16
 LEFT = 256                # pieces of a task that may wait for the second step
 CACHE_WORDS = 1_000_000
+STRETCH = 8 << 20         # bytes of text that are parted at a time
 _TASK_BITS = 33           # sequence id = step and task number above, running number below
 
 PIECES = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -47,19 +50,23 @@ PIECES = ("doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-# str.split() also parts at these four control characters, which are no white space to the tokenizer.
-_CONTROLS = re.compile("[\x1c-\x1f]")
+# Arrow also parts at these four control characters, which are no white space to the tokenizer.
+_CONTROLS = "[\x1c-\x1f]"
 _NOT_SPACE = re.compile(r"(?:[\x1c-\x1f]|\S)+")
 
 
-def _split(text: str) -> list[str]:
-    return _NOT_SPACE.findall(text) if _CONTROLS.search(text) else text.split()
+def _split(texts: pa.Array) -> pa.Array:
+    """Words of every text, among empty ones where white space begins or ends it."""
+    if pc.any(pc.match_substring_regex(texts, _CONTROLS)).as_py():
+        return pa.array([_NOT_SPACE.findall(t) for t in texts.to_pylist()], pa.list_(texts.type))
+    return pc.utf8_split_whitespace(texts)
 
 
 # Words of printable ASCII and Latin-1 letters, and how the pre-tokenizer parts them (after lower-casing).
 _LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 # Plain words: ASCII or Latin-1 letters, then closing marks; the pieces are these two.
+_MARKS = ".,;:!?"
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 # --- fixed value: the pre-tokenizer pattern that _PIECE equals on such words
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -93,76 +100,94 @@ class WordTokenizer:
             "Split", "ByteLevel"] and splits[0]["pattern"].get("Regex") == _PATTERN
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) if special else r"(?!)")
-        self.plain = self.by_piece and not any(_PLAIN.fullmatch(x) or not x.strip(".,;:!?") for x in special)
+        self.plain = self.by_piece and not any(_PLAIN.fullmatch(x) or not x.strip(_MARKS) for x in special)
         self.chars = _byte_chars()                 # for str.translate
         self.limit = limit
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}         # unsigned 32-bit ids
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)      # first id of word i; at[i + 1] ends it
         self.used = 0
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
             raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars)
-            ids = self.pieces[piece] = [t.id for t in self.tok.model.tokenize(raw)]
+            ids = self.pieces[piece] = array("I", [t.id for t in self.tok.model.tokenize(raw)]).tobytes()
         return ids
 
-    def _ids(self, word: str) -> list[int]:
+    def _ids(self, word: str) -> bytes:
         if not self.by_piece or not _LATIN.fullmatch(word) or self.special.search(word):
-            return self.tok.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in _PIECE.findall(word.lower()):
-            out += self._piece(piece)
-        return out
+            return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self._piece, _PIECE.findall(word.lower())))
 
     def _learn(self, words) -> None:
         # No special token lies in a plain word.
-        rows, known, new, plain = [], self.pieces.get, self._piece, _PLAIN.fullmatch if self.plain else lambda w: None
+        rows, known, new, plain = [], self.pieces.get, self._piece, self.plain
         for w in words:
-            if m := plain(w):
-                letters, marks = m.groups()
+            letters = w.rstrip(_MARKS)
+            if plain and letters.isalpha() and (letters.isascii() or _PLAIN.fullmatch(w)):
+                marks = w[len(letters):]
                 letters = letters.lower()
                 ids = known(letters) or new(letters)
                 rows.append(ids + (known(marks) or new(marks)) if marks else ids)
             else:
-                rows.append(self._ids(w))
-        sizes = np.fromiter(map(len, rows), np.int64, count=len(rows))
+                rows.append(self._ids(w) if w else b"")
+        sizes = np.fromiter(map(len, rows), np.int64, count=len(rows)) // 4
         n, size = len(self.index), int(sizes.sum())
         while n + len(rows) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
         while self.used + size > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        self.flat[self.used:self.used + size] = np.fromiter(chain.from_iterable(rows), np.uint32, count=size)
+        self.flat[self.used:self.used + size] = np.frombuffer(b"".join(rows), np.uint32)
         self.at[n + 1:n + 1 + len(rows)] = self.used + np.cumsum(sizes)
         self.used += size
         self.index.update(zip(words, range(n, n + len(rows))))
 
-    def texts(self, texts: list) -> list[np.ndarray]:
+    def texts(self, texts: pa.Array | list) -> list[np.ndarray]:
         """Ids of every text, the end id last."""
-        split = [_split(t) if t else [] for t in texts]
+        return list(self.each(texts))
+
+    def each(self, texts: pa.Array | list):
+        """Ids of one text after the other."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        # Stretches of bounded size: each word is looked up once in a stretch.
+        at = np.flatnonzero(np.diff(np.cumsum(pc.binary_length(texts).to_numpy()) // STRETCH, prepend=-1))
+        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(texts)]):
+            yield from self._stretch(texts.slice(lo, hi - lo))
+
+    def _stretch(self, texts: pa.Array):
+        split = _split(texts)
         if len(self.index) > self.limit:
             self.forget()
-        words = list(chain.from_iterable(split))
+        codes = split.flatten().dictionary_encode()
+        words = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
         w = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, count=len(words))
         new = np.flatnonzero(w < 0)
         if len(new):
-            self._learn(list(dict.fromkeys(words[i] for i in new.tolist())))
-            w[new] = [self.index[words[i]] for i in new.tolist()]
-        first = self.at.take(w)
-        size = self.at.take(w + 1) - first
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.repeat(first - (ends - size), size)
-        place += np.arange(total)
-        ids = self.flat.take(place)
-        last = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+            n = len(self.index)
+            self._learn([words[i] for i in new.tolist()])
+            w[new] = np.arange(n, n + len(new))
+        code = codes.indices.to_numpy()
+        counts = np.cumsum(np.r_[0, split.value_lengths().to_numpy()])
         end = np.array([END_ID], np.uint32)
-        return [np.concatenate([ids[a:b], end]) for a, b in zip(last[:-1].tolist(), last[1:].tolist())]
+        for lo in range(0, len(texts), 256):
+            part = counts[lo:lo + 257]
+            first = w.take(code[part[0]:part[-1]])
+            size = self.at.take(first + 1)
+            first = self.at.take(first)
+            size -= first
+            ends = np.cumsum(size)
+            total = int(ends[-1]) if len(ends) else 0
+            place = np.repeat(first - (ends - size), size)
+            place += np.arange(total)
+            ids = self.flat.take(place)
+            last = np.concatenate([[0], ends])[part - part[0]]
+            for a, b in zip(last[:-1].tolist(), last[1:].tolist()):
+                yield np.concatenate([ids[a:b], end])
 
 
 _known: dict[str, WordTokenizer] = {}
@@ -308,13 +333,12 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         packer = Packer(capacity, pool, task << _TASK_BITS)
         n = 0
         for b in batches:
-            ids_col, text_rows = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo in range(0, len(text_rows), 256):
-                for doc, ids in zip(ids_col[lo:lo + 256], tok.texts(text_rows[lo:lo + 256])):
-                    n += 1
-                    raw = ids.astype("<u4", copy=False)
-                    for a, size in cut(ids, capacity, filler_every > 0 and n % filler_every == 1):
-                        packer.add((doc, a, size, zlib.crc32(raw[a:a + size].tobytes()), len(ids)))
+            ids_col, text_rows = b.column(0).to_pylist(), b.column(1)
+            for doc, ids in zip(ids_col, tok.each(text_rows)):
+                n += 1
+                raw = ids.astype("<u4", copy=False)
+                for a, size in cut(ids, capacity, filler_every > 0 and n % filler_every == 1):
+                    packer.add((doc, a, size, zlib.crc32(raw[a:a + size].tobytes()), len(ids)))
             yield from packer.take(arrow)
         tok.forget()                              # the worker lives on in later stages
         packer.finish(close=False)
