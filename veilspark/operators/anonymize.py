@@ -17,7 +17,7 @@ from veilspark.fixed import DEFAULT_THRESHOLD, EQUALITY, TOKEN_DELIM
 from veilspark.functions.spans import (drop_cross_type_overlaps, merge_spans, regex_matches,
                                        resolve_entities, surface)
 from veilspark.functions.tokens import decrypt_token, make_token, wrap
-from veilspark.operators.detect import pattern_spans
+from veilspark.operators.detect import no_pattern, pattern_spans
 
 
 def rebuild_text(text: Column, items: Column, escape: str | None = None) -> Column:
@@ -69,7 +69,10 @@ def anonymize_column(df: DataFrame, col: str, secret: str | Column, *, mode: str
             s["pii_type"] if mode == "label" else make_token(rep, secret, mode, salt, scope_c), delim).alias("repl"))
 
     def replaced(tokens):
-        return F.when(t.isNull(), t).otherwise(rebuild_text(t, tokens, delim))
+        whole = F.when(t.isNull(), t)
+        if not spans_col:                                            # most texts hold nothing to look for: no fold over no spans
+            whole = whole.when(no_pattern(t, types), F.replace(t, F.lit(delim), F.lit(delim * 2)))
+        return whole.otherwise(rebuild_text(t, tokens, delim))
 
     if resolution.upper() == EQUALITY or mode == "label":            # a value stands for itself: one JVM projection
         return df.withColumn(out_col, replaced(F.transform(merged, lambda s: token(s, surface(t, s)))))
@@ -120,7 +123,7 @@ def deanonymize_text(text: Column, secret: str | Column, delim: str = TOKEN_DELI
     restored = F.transform(segs, lambda s, i: F.when(i % 2 == 0, s).when(s == "", F.lit(delim))
                            .otherwise(decrypt_token(s, secret)))
     ok = (F.size(segs) % 2 == 1) & F.forall(restored, lambda x: x.isNotNull())
-    return F.when(ok, F.array_join(restored, ""))
+    return F.when(F.instr(text, delim) == 0, text).when(ok, F.array_join(restored, ""))
 
 
 # --- fixed values: shape of a well-formed token (base64 of iv + >= 1 block) ---

@@ -44,6 +44,17 @@ def pattern_spans(text: Column, types=None, threshold: float = 0.0) -> Column:
     return allspans
 
 
+def no_pattern(text: Column, types=None) -> Column:
+    """True where the guards of :func:`pattern_spans` alone say that no detector of these types can match."""
+    needs = {DETECTORS[t].needs or "" for t in normalize_types(types) if t in DETECTORS}
+    if "" in needs:
+        return F.lit(False)
+    cond = F.lit(True)
+    for need in sorted(needs):
+        cond = cond & (~text.rlike("[0-9]") if need == "digit" else F.instr(text, need) == 0)
+    return cond
+
+
 def _term_scores(types) -> dict[str, float]:
     return {t: SCORES[t] for t in normalize_types(types) if t in GAZETTEER_TYPES}
 

@@ -864,17 +864,18 @@ def request_titles(spark, sf_dir):
     return of
 
 
-def _nodes(spark, sf_dir, secret=DEMO_SECRET):
-    from veilspark.plans.pipelines import ingest_nodes
-    docs = table(spark, sf_dir, "documents")
-    return ingest_nodes(docs, secret=secret, max_words=256, overlap=10, salt=DEMO_SALT)
+def _node_collection(spark, sf_dir, metadata=None):
+    """The corpus ingested once into a new collection."""
+    from veilspark.plans.pipelines import ingest_into
+    coll = _new_collection(spark, "node")
+    ingest_into(coll, table(spark, sf_dir, "documents"), secret=DEMO_SECRET, max_words=256, overlap=10, salt=DEMO_SALT,
+                metadata=metadata)
+    return coll
 
 
 def _saved_nodes(spark, sf_dir, kind: str | None = None):
-    """The corpus ingested once into a collection, and its scan: searches and payloads read stored nodes."""
-    coll = _new_collection(spark, "node")
-    meta = F.col("metadata") if kind is None else F.map_concat("metadata", F.create_map(F.lit("kind"), F.lit(kind)))
-    coll.save_nodes(_nodes(spark, sf_dir).select("id", "content", meta.alias("metadata"), "embedding"))
+    """The collection's scan: searches and payloads read stored nodes."""
+    coll = _node_collection(spark, sf_dir, None if kind is None else {"kind": kind})
     return coll.scan().withColumn("doc", F.col("metadata")["doc"])
 
 
@@ -997,9 +998,7 @@ def q_assemble_request(spark, sf_dir):
 FROM ch JOIN ({S.token_counts_sql('ch', 'id', 'content', PATTERN_ALL, 0.5)}) n ON ch.id = n.id""")
 def q_ingest(spark, sf_dir):
     from veilspark.operators.anonymize import deanonymize_text
-    coll = _new_collection(spark, "node")
-    coll.save_nodes(_nodes(spark, sf_dir).select("id", "content", "metadata", "embedding"))
-    s = coll.scan()
+    s = _node_collection(spark, sf_dir).scan()
     return s.select("id", F.col("metadata")["doc"].alias("doc"),
                     deanonymize_text(F.col("content"), DEMO_SECRET).alias("content"),
                     F.size("embedding").alias("dim"), token_count(F.col("content")).alias("n_tokens"))

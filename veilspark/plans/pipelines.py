@@ -1,6 +1,7 @@
 """The two end-to-end jobs, each one lazy plan.
 
 ingest:  documents → chunk windows → embed (raw text) → anonymize at rest → nodes
+         (into a collection, texts are dealt first and embedded where they are written)
 rag:     conversations → requests (last user turn as prompt, titles) →
          per-title k-NN over nodes → context → anonymized request messages
 """
@@ -29,11 +30,12 @@ def compose_id(key, n, width: int = 1_000_000):
         F.xxhash64(key, n).bitwiseOR(F.lit(-2 ** 63).cast("long")))
 
 
-def ingest_nodes(docs: DataFrame, *, secret: str | None, embedder=None, key_col: str = "doc_id",
-                 doc_col: str = "source", text_col: str = "text", max_words: int | None = None,
-                 overlap: int = 10, min_words: int = 3, salt: str = "") -> DataFrame:
-    """Nodes ``(id, doc, content, metadata, embedding)``; narrow from scan to sink.
+def chunk_nodes(docs: DataFrame, *, secret: str | None, embedder=None, key_col: str = "doc_id",
+                doc_col: str = "source", text_col: str = "text", max_words: int | None = None,
+                overlap: int = 10, min_words: int = 3, salt: str = "") -> DataFrame:
+    """A6 up to the embedding: ``(id, doc, content, plain, metadata)``; narrow.
 
+    ``content`` is anonymized; ``plain`` is the chunk's own text where that is another one, else NULL.
     The id is composed of key and chunk number (see :func:`compose_id`), so a
     re-run or a retried task writes the same rows (appends are idempotent by id).
     """
@@ -42,13 +44,36 @@ def ingest_nodes(docs: DataFrame, *, secret: str | None, embedder=None, key_col:
                         max_words=max_words or embedder.max_length, overlap=overlap,
                         min_words=min_words, keep_cols=[key_col, doc_col])
     n = c.select(compose_id(F.col(key_col), F.col("chunk_no")).alias("id"),
-                 F.col(doc_col).cast("string").alias("doc"), "content")
-    n = n.withColumn("embedding", embedder.column(F.col("content")))
+                 F.col(doc_col).cast("string").alias("doc"), "content", F.col("content").alias("plain"))
     if secret:
         n = anonymize(n, "content", secret, mode="aes", salt=salt, scope="id")
+    n = n.withColumn("plain", F.when(F.col("plain") != F.col("content"), F.col("plain")))
     return n.withColumn("metadata", F.create_map(F.lit("doc"), F.col("doc")))
 
 
+def embed_chunks(chunks: DataFrame, embedder=None) -> DataFrame:
+    """The embedding, of the text before it was anonymized, in the place of ``plain``."""
+    text = F.coalesce("plain", "content")
+    return chunks.withColumn("embedding", (embedder or HashEmbedder()).column(text)).drop("plain")
+
+
+def ingest_nodes(docs: DataFrame, *, secret: str | None, embedder=None, **kw) -> DataFrame:
+    """Nodes ``(id, doc, content, metadata, embedding)``; narrow from scan to sink (see :func:`chunk_nodes`)."""
+    return embed_chunks(chunk_nodes(docs, secret=secret, embedder=embedder, **kw), embedder)
+
+
+def ingest_into(collection, docs: DataFrame, *, secret: str | None, embedder=None, metadata=None, **kw) -> None:
+    """A6 into a collection: chunks are dealt to their ranges, and those that are new are embedded there.
+
+    ``metadata``: entries that every node gets besides its ``doc``.
+    """
+    chunks = chunk_nodes(docs, secret=secret, embedder=embedder, **kw)
+    if metadata:
+        more = F.create_map(*[F.lit(x) for kv in metadata.items() for x in kv])
+        chunks = chunks.withColumn("metadata", F.map_concat("metadata", more))
+    collection.save_nodes(chunks, embed=lambda new: embed_chunks(new, embedder))
+
+
 def conversation_requests(conv: DataFrame) -> DataFrame:
     """Requests from a long message table: prompt = last user turn, last turn number.
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from veilspark.operators.aliases import alias_tokens
 from veilspark.operators.anonymize import anonymize, deanonymize
 from veilspark.operators.cache import cache_lookup
-from veilspark.plans.pipelines import ingest_nodes
+from veilspark.plans.pipelines import ingest_into
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, schema, max_bytes: int = 256 << 20) -> DataFrame:
@@ -60,8 +60,7 @@ def ingest_stream(stream: DataFrame, collection, *, secret: str | None, checkpoi
                   available_now: bool = True, **ingest_kw):
     """Documents stream → chunk/embed/anonymize → collection (idempotent per batch)."""
     def batch(bdf: DataFrame, batch_id: int) -> None:
-        nodes = ingest_nodes(bdf, secret=secret, **ingest_kw)
-        collection.save_nodes(nodes.select("id", "content", "metadata", "embedding"))
+        ingest_into(collection, bdf, secret=secret, **ingest_kw)
     return _writer(stream, checkpoint, available_now).foreachBatch(batch).start()
 
 
